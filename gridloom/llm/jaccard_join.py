@@ -13,9 +13,10 @@ How it runs, with every step linear in the input's tokens:
    i-th hash): rare tokens first, and unrelated between orders. The bitmap is approximate only
    towards more marks, and any order is a right one: it steers the work, never the result.
 3. Linked documents must share a token of their prefixes under every order. Under the first one,
-   documents of a posting list hang on one hub per run of compatible sizes, first within each map
-   task, so that a token of a third of all documents still sends one row per task. Connected
-   components of these edges confine all links.
+   a rare token has few documents by definition, whose pairs are filtered one by one by how many
+   prefix tokens they share; documents of a common token hang on one hub per run of compatible
+   sizes, first within each map task, so that a token of a third of all documents still sends one
+   row per task. Connected components of these edges confine all links.
 4. The sets of documents in such components meet in tasks of bounded size (large components are
    cut in blocks, every two of which meet). There pairs must pass the prefix filters of all orders
    at once, before their sets are intersected exactly.
@@ -47,6 +48,7 @@ ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BITMAP_BITS = 24
 _POSTING = np.dtype([("key", "<u8"), ("low", "<i4"), ("high", "<i4"), ("hub", "<i8")])
 _EDGE = np.dtype([("a", "<i8"), ("b", "<i8")])
+_END = np.dtype([("doc", "<i8"), ("w", "<i8"), ("rest", "<i4"), ("n", "<i4")])
 _FLUSH = 1 << 21
 
 
@@ -91,7 +93,7 @@ def _signatures(k: int):
 def _blobs(values: np.ndarray, bucket: np.ndarray, kind: int = 0) -> pa.RecordBatch:
     """Rows (bucket, kind, blob) of values that are sorted by bucket."""
     ids, first = np.unique(bucket, return_index=True)
-    blobs = [values[a:b].tobytes() for a, b in zip(first, [*first[1:], len(values)], strict=True)]
+    blobs = [values[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(values)), strict=len(first) > 0)]
     return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(np.full(len(ids), kind, np.int32)), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
 
 
@@ -182,47 +184,98 @@ def _runs(rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return out, np.unique(edges)
 
 
-def candidate_edges(docs: DataFrame, bitmap, k: int, percent: int) -> DataFrame:
-    """Edges (a, b) that join any two documents with a common prefix token of the first order."""
+def _pairs(rows: np.ndarray, common: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of documents with a rare prefix token in common, and how many; at most ``common`` rows share a key."""
+    rows = rows[np.argsort(rows["key"], kind="stable")]
+    out = []
+    for step in range(1, common):
+        x, y = rows[:-step], rows[step:]
+        low, high = np.minimum(x["low"], y["low"]).astype(np.int64), np.maximum(x["low"], y["low"]).astype(np.int64)
+        near = (x["key"] == y["key"]) & (100 * low >= percent * high) & (x["hub"] != y["hub"])
+        if not near.any():
+            continue
+        found = np.empty(int(near.sum()), dtype=_EDGE)
+        found["a"], found["b"] = np.maximum(x["hub"], y["hub"])[near], np.minimum(x["hub"], y["hub"])[near]
+        out.append(found)
+    return np.unique(np.concatenate(out), return_counts=True) if out else (np.zeros(0, _EDGE), np.zeros(0, np.int64))
+
+
+def candidate_edges(docs: DataFrame, bitmap, k: int, percent: int, common: int) -> DataFrame:
+    """Edges (a, b) whose connected components confine all links, by the prefixes of the first order.
+
+    A rare token has at most ``common`` documents, whose pairs are looked at one by one. If w is the
+    smaller of the ends of two prefixes (among rare tokens), all common tokens up to w are in both
+    prefixes; further ones number at most what lies behind w in the set whose prefix ends there.
+    A pair whose shared prefix tokens and this rest are too few for a link is dropped. Documents
+    whose prefixes reach common tokens hang on a hub for each such token and run of sizes.
+    """
     bits = _bucket_bits(docs)
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        rare, often, ends, n = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            runs, edges = _runs(np.concatenate(held), percent)
-            yield _blobs(runs, (runs["key"] >> _U(63 - bits)) & _U((1 << bits) - 1))
-            if len(edges):
-                bucket = edges["a"] & ((1 << bits) - 1)
+            for kind, rows in ((0, np.concatenate(rare)), (1, _runs(np.concatenate(often), percent)[0])):
+                bucket = (rows["key"] >> _U(63 - bits)) & _U((1 << bits) - 1)
+                order = np.argsort(bucket, kind="stable")
+                yield _blobs(rows[order], bucket[order], kind)
+            for kind, rows, by in ((2, _runs(np.concatenate(often), percent)[1], "a"), (3, np.concatenate(ends), "doc")):
+                bucket = rows[by] & ((1 << bits) - 1)
                 order = np.argsort(bucket, kind="stable")
-                yield _blobs(edges[order], bucket[order], 1)
+                yield _blobs(rows[order], bucket[order], kind)
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, _, tokens, at in shingle_sets(batch.column(1), k):
+            for a, b, tokens, at in shingle_sets(batch.column(1), k):
                 keys, rows = prefixes(tokens, at, bitmap.value, ORDERS[0], percent)
                 part = np.empty(len(keys), dtype=_POSTING)
                 part["key"], part["hub"] = keys, ids[a + rows]
                 part["low"] = part["high"] = np.diff(at)[rows]
-                held.append(part)
-                n += len(part)
+                marked = keys >> _U(63) == 1
+                rare.append(part[~marked])
+                often.append(part[marked])
+                stop = np.searchsorted(rows, np.arange(b - a), side="right") - 1
+                some = np.flatnonzero(np.diff(at))
+                end = np.empty(len(some), dtype=_END)
+                end["doc"], end["n"] = ids[a + some], np.diff(at)[some]
+                end["rest"] = end["n"] - np.bincount(rows[~marked], minlength=b - a)[some]
+                end["w"] = np.where(marked[stop[some]], np.int64(0x7FFFFFFFFFFFFFFF), keys[stop[some]].view(np.int64))
+                ends.append(end)
+                n += len(keys)
                 if n >= _FLUSH:
                     yield from flush()
-                    held, n = [], 0
+                    rare, often, ends, n = [], [], [], 0
         if n:
             yield from flush()
 
     def meet(table: pa.Table) -> pa.Table:
         kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
-        rows = [np.frombuffer(x, _POSTING) for kind, x in zip(kinds, blobs, strict=True) if kind == 0]
-        edges = [np.frombuffer(x, _EDGE) for kind, x in zip(kinds, blobs, strict=True) if kind == 1]
-        if rows:
-            edges.append(_runs(np.concatenate(rows), percent)[1])
-        edges = np.unique(np.concatenate(edges))
-        return pa.table({"a": edges["a"], "b": edges["b"]})
+
+        def of(kind: int, dtype: np.dtype) -> np.ndarray:
+            return np.concatenate([np.zeros(0, dtype), *(np.frombuffer(x, dtype) for i, x in zip(kinds, blobs, strict=True) if i == kind)])
+
+        pairs, shared = _pairs(of(0, _POSTING), common, percent)
+        hubs = np.unique(np.concatenate([of(2, _EDGE), _runs(of(1, _POSTING), percent)[1]]))
+        ends = of(3, _END)
+        kind = np.repeat(np.array([0, 1, 2], np.int32), [len(pairs), len(hubs), len(ends)])
+        return pa.table({
+            "kind": kind,
+            "a": np.concatenate([pairs["a"], hubs["a"], ends["doc"]]),
+            "b": np.concatenate([pairs["b"], hubs["b"], ends["w"]]),
+            "shared": np.concatenate([shared, np.zeros(len(hubs), np.int64), ends["rest"]]),
+            "n": np.concatenate([np.zeros(len(pairs) + len(hubs), np.int64), ends["n"]]),
+        })
 
     some = plain(docs, "doc_id", "text").where("doc_id is not null and text is not null")
-    return some.mapInArrow(postings, "bucket int, kind int, blob binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
+    every = stored(some.mapInArrow(postings, "bucket int, kind int, blob binary").groupBy("bucket").applyInArrow(meet, "kind int, a long, b long, shared long, n long"), "prefixes")
+    pairs = every.where("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    ends = every.where("kind = 2")
+    for side in "ab":
+        own = ends.select(F.col("a").alias(side), F.col("b").alias(f"w_{side}"), F.col("shared").alias(f"rest_{side}"), F.col("n").alias(f"n_{side}"))
+        pairs = pairs.join(own, side)
+    rest = F.when(F.col("w_a") < F.col("w_b"), F.col("rest_a")).when(F.col("w_a") > F.col("w_b"), F.col("rest_b")).otherwise(F.least("rest_a", "rest_b"))
+    enough = (100 + percent) * (F.col("shared") + rest) >= percent * (F.col("n_a") + F.col("n_b"))
+    return pairs.where(enough).select("a", "b").union(every.where("kind = 1").select("a", "b"))
 
 
 def _lists(keys: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -293,7 +346,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, common: i
     classes = stored(sizes.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("first_id")), "classes")
 
     bitmap = spark.sparkContext.broadcast(common_tokens(pairs, k, common))
-    confined = connected_components(candidate_edges(pairs, bitmap, k, percent))
+    confined = connected_components(candidate_edges(pairs, bitmap, k, percent, common))
     members = stored(confined.join(classes.groupBy("first_id").agg(F.sum("n_shingles").alias("n")), F.col("node") == F.col("first_id")).select("node", "component", "n"), "members")
     totals = members.groupBy("component").agg(F.sum("n").alias("n_all"), F.count("*").alias("docs")).where("docs > 1")
     small = task_tokens // 8
