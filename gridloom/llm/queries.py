@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, jaccard_join, language_id, oracles, pii
+from gridloom.llm import decontaminate, jaccard_join, language_id, oracles, packing, pii, token_records
 from gridloom.llm.samples import fold
 
 
@@ -40,6 +41,17 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_records.new_folder(spark)
+    token_records.write_records(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), mode="words", end_id=1)
+    return token_records.positions(spark, folder)
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.cut_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), mode="spaces", end_id=0, size=2048)
+    return packing.place(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), size=2048)
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.ngram_jaccard_join(_table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -53,6 +65,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op5_pii": op5_pii,
+    "op6_token_records": op6_token_records,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_language_id": op9_language_id,
 }
