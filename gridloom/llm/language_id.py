@@ -208,14 +208,14 @@ def _label(model):
         fitted: Model = model.value
         names = np.array([*fitted.languages, "und"], dtype=object)
         for batch in batches:
-            for a, b, _, _, at, both in label_words(batch.column(1), fitted):
+            for a, b, _, _, at, both in label_words(batch.column(0), fitted):
                 total = np.concatenate([np.zeros((1, both.shape[1])), np.cumsum(both, axis=0, dtype=np.float64)])
                 share = (total[at[1:]] - total[at[:-1]]) / np.maximum(np.diff(at), 1)[:, None]
                 rows = batch.slice(a, b - a)
-                known = rows.column(2).to_numpy(zero_copy_only=False).astype(bool) & (np.diff(at) > 0)
+                known = rows.column(1).to_numpy(zero_copy_only=False).astype(bool) & (np.diff(at) > 0)
                 best = np.where(known, share.argmax(axis=1), len(fitted.languages))
                 score = np.where(known, np.clip(share.max(axis=1), 0.0, 1.0), 0.0)
-                yield pa.RecordBatch.from_arrays([rows.column(0), *rows.columns[3:], pa.array(names[best], pa.string()), pa.array(score)], ["doc_id", *rows.schema.names[3:], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*rows.columns[2:], pa.array(names[best], pa.string()), pa.array(score)], [*rows.schema.names[2:], "lang_pred", "score"])
 
     return run
 
@@ -229,10 +229,11 @@ def fit(docs: DataFrame, may_learn: Column, each: int = 150, most_chars: int = 2
 
 
 def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """(doc_id, kept columns, lang_pred, score) for each row of ``docs`` (doc_id, text)."""
+    """(kept columns, lang_pred, score) for each row of ``docs``; doc_id is kept if none is named."""
+    kept = keep or ("doc_id",)
     if not model.languages:
-        return plain(docs, "doc_id", *keep).withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters")
-    rows = docs.select(F.col("doc_id"), F.col("text"), letters, *[F.col(f"`{c}`") for c in keep])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("text", "_letters")), "lang_pred string", "score double"])
+        return plain(docs, *kept).withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    rows = docs.select(F.col("text").alias("_text"), letters.alias("_letters"), *[F.col(f"`{c}`") for c in kept])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[2:]), "lang_pred string", "score double"])
     return rows.mapInArrow(_label(docs.sparkSession.sparkContext.broadcast(model)), schema)

@@ -31,3 +31,17 @@ def sample(rows: DataFrame, counts: dict, by: str | None, key: str, each: int, s
 
 def _share(each: int, n: int) -> int:
     return _SLOTS if n <= each else max(1, round(_SLOTS * each / n))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column, each: int, most_chars: int, seed: int) -> list:
+    """About ``each`` rows (doc_id, text, y) of either label, from labels that ``may_learn`` allows.
+
+    Texts of more than ``most_chars`` characters are passed over. Bounded: only the ids of the
+    sample are sent to the scan of ``docs``, and only its texts come back. Rows in a fixed order.
+    """
+    rows = labels.select(F.col("doc_id"), F.col(f"`{label}`").cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & may_learn).distinct()
+    counts = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    chosen = sample(rows, counts, "y", "doc_id", each, seed)
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= most_chars))
+    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")  # bounded by 2 * each rows
+    return sorted(found.collect())
