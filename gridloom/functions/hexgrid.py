@@ -71,7 +71,7 @@ def _settled(n: Column) -> Column:
 
 
 def pack(q: Column, r: Column) -> Column:
-    return (q + F.lit(_SHIFT)) * F.lit(_STRIDE) + (r + F.lit(_SHIFT))
+    return (q.cast("long") + F.lit(_SHIFT)) * F.lit(_STRIDE) + (r.cast("long") + F.lit(_SHIFT))
 
 
 def unpack(cell_id: Column) -> tuple[Column, Column]:

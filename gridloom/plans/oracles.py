@@ -164,7 +164,7 @@ SQL: dict[str, str] = {
     "point_counts": sql("SELECT cell_id, intersection_count, building_count, transit_stop_count FROM base"),
     "classify_amenities": sql("SELECT * FROM labels"),
     "category_counts": sql("SELECT * FROM counts"),
-    "list_categories": sql("SELECT category, CAST(sum(count) AS BIGINT) AS total, count(*) AS n_cells, category AS display_name FROM counts GROUP BY category HAVING sum(count) >= 10"),
+    "list_categories": sql("SELECT category, CAST(sum(count) AS BIGINT) AS total, count(*) AS n_cells, upper(substr(category, 1, 1)) || lower(substr(category, 2)) AS display_name FROM counts GROUP BY category HAVING sum(count) >= 10"),
     "kring_sum_grid": sql("SELECT a.cell_id, CAST(coalesce(sum(amenity_count), 0) AS BIGINT) AS kring FROM base a, disk LEFT JOIN base b ON b.cell_id = a.cell_id + step GROUP BY 1".replace("sum(amenity_count)", "sum(b.amenity_count)")),
     "kring_sum_open": sql("SELECT a.cell_id, CAST(coalesce(sum(b.amenity_count), 0) AS BIGINT) AS kring FROM base a, disk LEFT JOIN labels b ON b.cell_id = a.cell_id + step GROUP BY 1"),
     "norm_bounds": sql(" UNION ALL ".join(f"SELECT '{c}' AS feature, {_r(f'quantile_cont({c}::DOUBLE, 0.05)')} AS p05, {_r(f'quantile_cont({c}::DOUBLE, 0.95)')} AS p95, quantile_cont({c}::DOUBLE, 0.95) <= quantile_cont({c}::DOUBLE, 0.05) AS is_degenerate FROM cells" for c in _NORMED)),
