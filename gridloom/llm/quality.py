@@ -1,9 +1,10 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A byte is embedded in ``EMBED`` numbers; learned filters span 8 bytes and move by 4. Their outputs
-are max-pooled over chunks of 512 bytes that overlap by half and cover the whole text; a document
-is the mean and the maximum of its chunks' pooled outputs, which a logistic unit combines into one
-probability. Filters are applied once: a chunk is the maximum of two neighbouring blocks of 256.
+are max-pooled over chunks of 512 bytes that overlap by half and cover the whole text. A document
+is the mean, the maximum and the minimum of its chunks' pooled outputs (the minimum tells chunks
+that repeat a few patterns), with how far the text fills a chunk; a logistic unit combines them into
+one probability. Filters are applied once: a chunk is the maximum of two neighbouring blocks of 256.
 
 The network is trained by back-propagation on a bounded sample: about ``each`` labelled texts of
 either label, of at most ``most_chars`` characters, whose rows ``may_learn`` allows. Its weights,
@@ -37,7 +38,7 @@ class Network:
     embed: np.ndarray  # 256 x EMBED
     filters: np.ndarray  # 2 * STEP * EMBED x FILTERS
     shift: np.ndarray  # FILTERS
-    combine: np.ndarray  # 2 * FILTERS
+    combine: np.ndarray  # 3 * FILTERS + 2
     bias: np.ndarray  # 1
     prior: float | None = None  # the answer where nothing could be learned
 
@@ -52,7 +53,7 @@ def start(seed: int) -> Network:
         rng.normal(0, 0.5, (256, EMBED)).astype(np.float32),
         rng.normal(0, (2 / width) ** 0.5, (width, FILTERS)).astype(np.float32),
         np.zeros(FILTERS, np.float32),
-        rng.normal(0, 0.2, 2 * FILTERS).astype(np.float32),
+        rng.normal(0, 0.2, 3 * FILTERS + 2).astype(np.float32),
         np.zeros(1, np.float32),
     )
 
@@ -96,7 +97,7 @@ def _chunks(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bt.ranges(first[:-1], count), np.concatenate([[0], np.cumsum(count)])
 
 
-def _document(net: Network, pooled: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _document(net: Network, pooled: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(documents' features, chunks' features, block of each chunk feature's maximum)."""
     begin, at = _chunks(first)
     second = np.minimum(begin + 1, np.repeat(first[1:] - 1, np.diff(at)))
@@ -104,7 +105,9 @@ def _document(net: Network, pooled: np.ndarray, first: np.ndarray) -> tuple[np.n
     chunk = np.maximum(np.where(later, pooled[second], pooled[begin]) + net.shift, 0)
     mean = np.add.reduceat(chunk, at[:-1], axis=0) / np.diff(at)[:, None]
     most = np.maximum.reduceat(chunk, at[:-1], axis=0)
-    return np.concatenate([mean, most], axis=1), chunk, np.where(later, second[:, None], begin[:, None])
+    least = np.minimum.reduceat(chunk, at[:-1], axis=0)
+    fill = np.stack([np.minimum(size, 2 * BLOCK) / (2 * BLOCK), np.minimum(size, BLOCK // 4) / (BLOCK // 4)], axis=1).astype(chunk.dtype)
+    return np.concatenate([mean, most, least, fill], axis=1), chunk, np.where(later, second[:, None], begin[:, None])
 
 
 def scores(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -112,7 +115,7 @@ def scores(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if net.prior is not None:
         return np.full(len(offsets) - 1, net.prior)
     padded, first, last = _blocks(data, offsets)
-    features, _, _ = _document(net, _pooled(net, padded, last), first)
+    features, _, _ = _document(net, _pooled(net, padded, last), first, np.diff(offsets))
     return 1 / (1 + np.exp(-np.clip((features @ net.combine + net.bias).astype(np.float64), -30, 30)))
 
 
@@ -123,7 +126,7 @@ def _slopes(net: Network, data: np.ndarray, offsets: np.ndarray, y: np.ndarray,
     outputs = (windows @ net.filters).reshape(len(last), _PLACES, FILTERS)
     place = outputs.argmax(axis=1)
     pooled = np.take_along_axis(outputs, place[:, None, :], axis=1)[:, 0]
-    features, chunk, block = _document(net, pooled, first)
+    features, chunk, block = _document(net, pooled, first, np.diff(offsets))
     p = 1 / (1 + np.exp(-np.clip(features @ net.combine + net.bias, -30, 30)))
     error = ((p - y) * weight / weight.sum()).astype(np.float32)
     d_features = error[:, None] * net.combine
@@ -131,8 +134,10 @@ def _slopes(net: Network, data: np.ndarray, offsets: np.ndarray, y: np.ndarray,
     count = np.diff(at)
     text = np.repeat(np.arange(len(count)), count)
     d_chunk = (d_features[:, :FILTERS] / count[:, None])[text]
-    tops = chunk == features[text, FILTERS:]
-    d_chunk += d_features[text, FILTERS:] * tops / np.maximum(np.add.reduceat(tops, at[:-1], axis=0)[text], 1)
+    for low in (FILTERS, 2 * FILTERS):  # a maximum or minimum passes its slope to the chunks that have it
+        part = slice(low, low + FILTERS)
+        there = chunk == features[text, part]
+        d_chunk += d_features[text, part] * there / np.maximum(np.add.reduceat(there, at[:-1], axis=0, dtype=np.int64)[text], 1)
     d_chunk *= chunk > 0
     rows = block * _PLACES + np.take_along_axis(place, block, axis=0)  # window of each chunk feature
     d_filters = np.empty_like(net.filters)
@@ -150,7 +155,7 @@ def _slopes(net: Network, data: np.ndarray, offsets: np.ndarray, y: np.ndarray,
     return [d_bytes.astype(np.float32), d_filters, d_chunk.sum(axis=0), (error @ features).astype(np.float32), np.array([error.sum()], np.float32)]
 
 
-def train(texts: list[str], y: list[int], epochs: int = 10, rate: float = 0.01, batch: int = 48, seed: int = 2) -> Network:
+def train(texts: list[str], y: list[int], epochs: int = 14, rate: float = 0.015, batch: int = 48, seed: int = 2) -> Network:
     """Adam steps on mini-batches; either label weighs the same."""
     net = start(seed)
     target = np.array(y, dtype=np.float32)
@@ -178,7 +183,7 @@ def train(texts: list[str], y: list[int], epochs: int = 10, rate: float = 0.01,
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "quality", each: int = 400, most_chars: int = 20_000, seed: int = 2) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "quality", each: int = 1000, most_chars: int = 20_000, seed: int = 2) -> Network:
     rows = labelled(docs, labels, label, may_learn, each, most_chars, seed)
     return train([r.text for r in rows], [r.y for r in rows], seed=seed)
 
