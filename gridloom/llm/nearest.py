@@ -6,9 +6,10 @@ centre, and the product of its direction with its own code. From these, for a qu
 
     <q, x> = <q, c> + |x - c| * <q', o>,   <q', o> ~ <q', code> / <o, code>
 
-where q' is the rotated query, quantised to 8 bits so that <q', code> is a sum of bit counts. The
+where q' is the rotated query, quantised to 6 bits so that <q', code> is a sum of bit counts. The
 error of the estimate is at most ``eps * |q| * |x - c| * sqrt((1 - s**2) / (s**2 * (D - 1)))``, s =
-<o, code>, but for a share of vectors that falls off exponentially in eps**2. Per query, the k-th
+<o, code>, and ``eps`` deviations of the rounding, but for a share of vectors that falls off
+exponentially in eps**2. Per query, the k-th
 largest lower bound is a threshold; vectors whose upper bound reaches it are reranked by the exact
 inner product in double precision on the original vectors.
 
@@ -33,9 +34,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.samples import sample
-from gridloom.llm.shared import plain, stored
+from gridloom.llm.shared import partitions, stored
 
-QUERY_BITS = 8
+QUERY_BITS = 6
 _ROWS = 64  # queries estimated at a time
 
 
@@ -77,18 +78,18 @@ def estimates(book: Codes, queries: np.ndarray, codes: np.ndarray, numbers: np.n
     step = np.maximum((turned.max(axis=1, keepdims=True) - low) / (2**QUERY_BITS - 1), 1e-300)
     levels = np.rint((turned - low) / step).astype(np.uint8)
     ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
-    counts = np.zeros((len(queries), len(codes)), dtype=np.int64)
+    counts = np.zeros((len(queries), len(codes)), dtype=np.int32)
     for bit in range(QUERY_BITS):
         plane = np.packbits((levels >> bit) & 1, axis=1, bitorder="little").view("<u8")
         for word in range(codes.shape[1]):
-            counts += np.bitwise_count(plane[:, word, None] & codes[None, :, word]).astype(np.int64) << bit
+            counts += np.bitwise_count(plane[:, word, None] & codes[None, :, word]).astype(np.int32) << bit
     # signs are 2 * bit - 1; a query component is low + step * level
     signed = 2 * (low * ones + step * counts) - (low * book.width + step * levels.sum(axis=1, keepdims=True, dtype=np.int64))
     length, product, own = numbers.T
     safe = np.maximum(own, 1e-12)
     found = product_with_centre(book, queries)[:, None] + length * (signed / book.width**0.5) / safe
     norm = np.linalg.norm(queries, axis=1, keepdims=True)
-    rounding = step * 0.5 * book.width**0.5
+    rounding = eps * step / 12**0.5  # of a sum of rounding errors, each uniform in half a step
     bound = length * (eps * norm * np.sqrt(np.maximum(1 - own**2, 0) / max(book.width - 1, 1)) + rounding) / safe
     return found, bound
 
@@ -125,7 +126,7 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, eps: float = 3.0, id_column: str = "vec_id", vector_column: str = "embedding", sample_rows: int = 2000, chunk_rows: int = 16_384, query_rows: int = 4_096) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, eps: float = 3.0, id_column: str = "vec_id", vector_column: str = "embedding", sample_rows: int = 2000, chunk_rows: int = 8_192, query_rows: int = 4_096) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's nearest rows, by largest inner product.
 
     ``is_query``: a condition on the id column. ``sample_rows``: rows that centre and rotation are fitted to.
@@ -166,9 +167,10 @@ def search(vectors: DataFrame, is_query, k: int = 20, eps: float = 3.0, id_colum
                 found = nearest_in_chunk(book.value, np.frombuffer(q_ids, np.int64), np.frombuffer(q).reshape(-1, dims), own, np.frombuffer(x).reshape(-1, dims), np.frombuffer(codes, "<u8").reshape(len(own), -1), np.frombuffer(numbers).reshape(-1, 3), k, eps)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
 
-    # each chunk goes to every block of queries, by an equi-join on the block
-    dealt = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(chunks * blocks, "part", "block")
-    met = dealt.join(asked.select(F.col("part").alias("block"), F.col("ids").alias("q_ids"), F.col("x").alias("q")), "block")
+    # every chunk meets every block of queries, in a task of its own, by an equi-join on both
+    chunk_side = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    query_side = asked.select(F.col("part").alias("block"), F.col("ids").alias("q_ids"), F.col("x").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("part"))
+    met = chunk_side.join(query_side, ["block", "part"]).repartition(min(chunks * blocks, 8 * partitions(spark)), "block", "part")
     found = met.select("q_ids", "q", "ids", "x", "codes", "numbers").mapInArrow(meet, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
