@@ -15,7 +15,8 @@ counted over all of them.
 Words speak for toxicity or not at all: weights are never negative. Only features of
 ``least_texts`` texts of the sample or more have weights, and the first epochs shrink weights
 towards zero (``sparsity``), so that the classifier cannot learn single texts by heart; the
-features left then are trained on without shrinking. The sample is bounded: about ``each_toxic`` toxic and
+features left then are trained on without shrinking. Last, the constant is set where the same
+corrected risk, of decisions instead of losses, is least on the sample. The sample is bounded: about ``each_toxic`` toxic and
 ``each_other`` unlabelled texts of at most ``most_chars`` characters. Weights, of fixed size, go to
 every task and each text is scored whole. A null text is scored as an empty one; null ids are never
 learned from; repeated rows are scored each; without any toxic text every score is 0. Other columns
@@ -134,7 +135,21 @@ def train(toxic: list[str], other: list[str], prior: float, least_texts: int = 8
             seen_bias += slope.sum() ** 2
             bias -= rate * slope.sum() / seen_bias**0.5
     weights[used] = w
-    return Classifier(weights, bias, prior)
+    z = np.bincount(row, weights=w[column], minlength=len(toxic) + len(other))
+    return Classifier(weights, -_boundary(z[: len(toxic)], z[len(toxic) :], prior), prior)
+
+
+def _boundary(p: np.ndarray, u: np.ndarray, prior: float) -> float:
+    """Where to cut sums of weights: the least non-negative corrected risk of the decisions themselves.
+
+    Of cuts with the least risk, the highest; halfway down to the next sum below.
+    """
+    every = np.unique(np.concatenate([p, u]))
+    cuts = np.concatenate([every[:1] - 1, (every[1:] + every[:-1]) / 2, every[-1:] + 1])
+    caught = 1 - np.searchsorted(np.sort(p), cuts) / len(p)
+    called = 1 - np.searchsorted(np.sort(u), cuts) / len(u)
+    risk = prior * (1 - caught) + np.maximum(called - prior * caught, 0)
+    return float(cuts[np.flatnonzero(risk <= risk.min() + 1e-12)[-1]])
 
 
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "toxic", each_toxic: int = 1200, each_other: int = 3600, most_chars: int = 20_000, seed: int = 3) -> Classifier:
