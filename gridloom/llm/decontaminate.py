@@ -185,9 +185,10 @@ def _scan(items, span: int, gram: int):
                     n_hit[r] = sum(e - s for s, e in merged)
                     item_ids[r] = np.unique(ids[mine]).tolist()
                     spans[r] = [{"start": s, "end": e} for s, e in merged]
+                rows = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.diff(at)), pa.array(n_hit), pa.array(item_ids, pa.list_(pa.int64())), pa.array(spans, span_type), pa.array(digest)],
-                    ["doc_id", "n_words", "n_hit", "item_ids", "spans", "digest"],
+                    [rows.column(0), pa.array(np.diff(at)), pa.array(n_hit), pa.array(item_ids, pa.list_(pa.int64())), pa.array(spans, span_type), pa.array(digest), *rows.columns[2:]],
+                    ["doc_id", "n_words", "n_hit", "item_ids", "spans", "digest", *rows.schema.names[2:]],
                 )
 
     return run
@@ -208,32 +209,33 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list[int],
         yield ids, texts
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 13, gram: int = 6, percent: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *keep: str, span: int = 13, gram: int = 6, percent: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): its words, hit words, items and spans of hit words.
 
     ``contaminated``: some word is hit, and hit words make up ``percent`` of all words or more.
+    ``keep``: columns of ``docs``, such as the text, that stay with their rows.
     """
     spark = docs.sparkSession
-    pairs = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    id_column, kept = F.col("doc_id").cast("long").alias("doc_id"), [F.col(f"`{c}`").alias(f"kept_{c}") for c in keep]
+    pairs = docs.select(id_column, "text")
+    whole = docs.select(id_column, F.col("text"), *kept)
     items = plain(benchmark, "item_id", "text").where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    scans = []
-    for ids, texts in _blocks(items, block_bytes):
-        block = spark.sparkContext.broadcast(index(ids, texts, span, gram))
-        scans.append((pairs, block))
-    if not scans:
-        scans.append((pairs, spark.sparkContext.broadcast(index([], [], span, gram))))
-    if len(scans) == 1:
-        found = pairs.mapInArrow(_scan(scans[0][1], span, gram), _SCAN).drop("digest")
-    else:
-        found = _merge_scans([p.mapInArrow(_scan(block, span, gram), _SCAN) for p, block in scans])
-    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
-
-
-def _merge_scans(scans: list[DataFrame]) -> DataFrame:
-    """Joins the findings of all blocks per document; documents without any keep the first scan's row."""
+    blocks = [spark.sparkContext.broadcast(index(ids, texts, span, gram)) for ids, texts in _blocks(items, block_bytes)]
+    blocks = blocks or [spark.sparkContext.broadcast(index([], [], span, gram))]
+    schema = ", ".join([_SCAN, *(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema[2:])])
+    found = whole.mapInArrow(_scan(blocks[0], span, gram), schema)
+    if len(blocks) > 1:
+        merged = _merged_scans([pairs.mapInArrow(_scan(block, span, gram), _SCAN) for block in blocks])
+        rows = found.drop("n_hit", "item_ids", "spans").alias("r").join(merged.alias("m"), F.expr("r.doc_id <=> m.doc_id AND r.n_words = m.n_words AND r.digest = m.digest"))
+        found = rows.select("r.doc_id", "r.n_words", "m.n_hit", "m.item_ids", "m.spans", *[f"r.`kept_{c}`" for c in keep])
+    contaminated = (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))
+    return found.select("doc_id", "n_words", "n_hit", "item_ids", "spans", contaminated.alias("contaminated"), *[F.col(f"`kept_{c}`").alias(c) for c in keep])
+
+
+def _merged_scans(scans: list[DataFrame]) -> DataFrame:
+    """What all blocks found in each distinct document: (doc_id, n_words, digest, n_hit, item_ids, spans)."""
     every = stored(reduce(DataFrame.union, scans), "scans")
     per = every.groupBy("doc_id", "n_words", "digest").agg(
-        F.count("*").alias("rows"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
     )
@@ -247,6 +249,4 @@ def _merge_scans(scans: list[DataFrame]) -> DataFrame:
             )
         ),
     )
-    merged = per.withColumn("spans", joined).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]))
-    copies = F.explode(F.sequence(F.lit(1), (F.col("rows") / len(scans)).cast("int")))
-    return merged.withColumn("copy", copies).select("doc_id", "n_words", "n_hit", "item_ids", "spans")
+    return per.withColumn("spans", joined).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]))
