@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are handled in groups of about so many bytes; one longer text is a group of its own.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)

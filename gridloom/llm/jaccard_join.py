@@ -49,7 +49,7 @@ BITMAP_BITS = 24
 _POSTING = np.dtype([("key", "<u8"), ("low", "<i4"), ("high", "<i4"), ("hub", "<i8")])
 _EDGE = np.dtype([("a", "<i8"), ("b", "<i8")])
 _END = np.dtype([("doc", "<i8"), ("w", "<i8"), ("rest", "<i4"), ("n", "<i4")])
-_FLUSH = 1 << 21
+_FLUSH = 1 << 20
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import chat, decontaminate, jaccard_join, language_id, nearest, oracles, packing, pii, quality, token_records, toxicity
 from gridloom.llm.samples import fold
+from gridloom.llm.shared import small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

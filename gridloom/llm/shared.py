@@ -36,6 +36,11 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Sets how many rows (of whole texts) a Python task is handed at once, for this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def plain(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that other columns of the input never clash with an operator's."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

@@ -27,7 +27,8 @@ _MARK = bt.byte_class((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 #: Lead bytes of the characters outside ASCII that are white space.
 _MAYBE_BLANK = bt.byte_class((0xC2, 0xC2), (0xE1, 0xE3))
 _SLOT_BITS = 21
-_MOST_PIECES = 1_500_000
+_MOST_PIECES = 1_000_000
+_AT_ONCE = 4096
 _KEPT: dict[tuple[str, str], WordTokens] = {}
 
 
@@ -95,7 +96,9 @@ class WordTokens:
         """Encodes distinct pieces; returns their numbers."""
         whole = data.tobytes()
         texts = [whole[s:e].decode() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = []
+        for low in range(0, len(texts), _AT_ONCE):  # an encoding takes far more memory than its ids
+            found += [x.ids for x in self.tokenizer.encode_batch_fast(texts[low : low + _AT_ONCE], add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int32, len(found))
         new = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
         if self.used + len(new) > len(self.ids):
