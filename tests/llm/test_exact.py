@@ -263,6 +263,8 @@ def luhn(digits):
 def expect_spans(text):
     out = []
     for kind, pattern in PATTERNS.items():
+        if kind == "email" and "@" not in text:  # cannot match, but would take time that grows with the square
+            continue
         for m in re.finditer(pattern, text):
             digits = re.sub(r"[^0-9]", "", m[0])
             ok = {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".") if kind == "ip"), "card": 13 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
