@@ -11,7 +11,7 @@ each leftmost and non-overlapping within its kind; a match that fails its condit
 
 Further candidates come from wider patterns (numbers that fail the sum, national phone numbers,
 spelt-out addresses, IPv6). On every candidate five labelers vote yes, no or abstain: pattern,
-check sum or range, gazetteer, context words before it, and its borders. Over the vote patterns of
+check sum or range, gazetteer, context words before it in its line, and its borders. Over the vote patterns of
 all texts, expectation-maximisation estimates each labeler's reliability and how likely each
 pattern is personal data. These likelihoods train a logistic classifier on the shape of the spans,
 and candidates that it takes for personal data, and that touch no base span, are added.
@@ -145,7 +145,7 @@ def _judge(text: bytes, kind: int, start: int, end: int, base: bool, wider: bool
         known = span.startswith(CALLING_CODES)
     glued_left = start > 0 and text[start - 1 : start].isalnum()
     glued_right = text[end : end + 1].isalnum()
-    before = text[max(0, start - 40) : start]
+    before = text[max(0, start - 40) : start].rpartition(b"\n")[2]
     votes = [
         YES if base else ABSTAIN if wider else NO,
         checks,
