@@ -169,7 +169,7 @@ def place(pieces: DataFrame, size: int = 2048, rows_per_group: int = 20_000) ->
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     groups = salted.groupBy("length", "_salt").count()
     before = groups.select("length", "_salt", (F.sum("count").over(Window.partitionBy("length").orderBy("_salt")) - F.col("count")).alias("_before"))
-    nth = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece"))
+    nth = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", *[F.col(f"`{c}`") for c in pieces.columns if c not in ("doc_id", "piece")]))
     ranked = salted.withColumn("_nth", nth).join(before, ["length", "_salt"]).select(*[f"`{c}`" for c in pieces.columns], (F.col("_before") + F.col("_nth") - 1).alias("_rank"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema), "sequence_id long, offset long"])
     return ranked.mapInArrow(_assign(plan, len(pieces.columns)), schema)
