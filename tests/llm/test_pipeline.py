@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridloom.llm import language_id, oracles, pii, queries
@@ -38,3 +39,16 @@ def test_pipeline(spark, sf_dir):
     clean = corpus_pipeline.redact_personal_data(spark, table, sf_dir)
     assert clean.columns == list(corpus_pipeline.COLUMNS)
     assert not [r for r in clean.collect() if list(x for x in pii.base_spans(r.text.encode()) if x[3])]
+
+
+@pytest.mark.parametrize("languages", [3, 4])
+def test_evenly_mixed_documents_stay(spark, sf_dir, languages):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = table.where(F.col("lang").isNotNull() & (F.col("n_chars") > 1500)).orderBy("doc_id").collect()
+    lines = [" ".join(next(r.text for r in rows if r.lang == lang).split()[:40]) for lang in sorted({r.lang for r in rows})]
+    assert len(lines) >= 4
+    text = "\n".join(lines[-languages:])
+    mixed = spark.createDataFrame([(-1, text, None, "planted", len(text)), (-2, text + " ", "en", "planted", len(text) + 1), (-3, "12 34 ...", "en", "planted", 9)], table.schema)
+    kept = corpus_pipeline.identify_language(spark, table.unionByName(mixed), sf_dir).where("doc_id < 0").collect()
+    assert {r.doc_id for r in kept} == {-1, -2}
+    assert all(r.lang for r in kept)
