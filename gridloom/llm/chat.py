@@ -13,7 +13,7 @@ reverse give every text back. Only the texts of assistant turns carry loss.
 
 Nulls: a null text is empty, a null role is an empty one, a null seq comes first, and null
 conversation ids are one conversation. Events that agree in all columns count once, as logs may
-deliver them twice. Ties in seq are ordered by message, kind, role and text. Other columns are
+deliver them twice; rows of a table of finished turns (``events_of``) count each. Ties in seq are ordered by message, kind, role and text. Other columns are
 ignored; an empty log gives no rows. Events of a message, and then messages by ranges of their
 places, are gathered before conversations are, so only finished parts meet in a long one.
 """
@@ -89,5 +89,10 @@ def loss_text(segments: Column) -> Column:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns (conv_id, turn, role, text) as a log: each row sets a message of its own."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.struct("turn", "role", "text").alias("message"), "role", "text")
+    """A table of finished turns (conv_id, turn, role, text) as a log: each row sets a message of its own.
+
+    Rows that repeat are turns of their own too: the number of each copy is part of its message.
+    """
+    counted = conversations.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))
+    rows = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    return rows.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.struct("turn", "role", "text", "copy").alias("message"), "role", "text")

@@ -380,6 +380,14 @@ def test_control_strings_survive(spark):
         assert read[conv].loss == "".join(x for role, x in mine if role == "assistant")
 
 
+def test_repeated_turns_stay(spark):
+    rows = [(1, 0, "user", "again"), (1, 1, "assistant", "yes"), (1, 1, "assistant", "yes"), (1, 1, "assistant", "yes"), (1, 2, "user", None), (1, 2, "user", None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    read = chat.render(chat.reconstruct(chat.events_of(turns))).select(chat.parse(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss")).first()
+    assert [(t.role, t.text) for t in read.turns] == [(role, text or "") for _, _, role, text in rows]
+    assert read.loss == "yesyesyes"
+
+
 def test_chat_query(spark, sf_dir):
     digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
     got = {r.conv_id: r for r in queries.op10_chat(spark, sf_dir).collect()}
