@@ -6,37 +6,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalars import coordinates
+from gridloom.sources.store import kept
 
 
-def _packed(vectors: DataFrame, id_column: str, vector: str, blocks: int, name: str) -> DataFrame:
-    """Blocks of vectors as one row each: (name, ids, x)."""
+KEYS = ("table", "bucket", "part")
+
+
+def _rows(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
+    """(id, v) of the rows that have both."""
+    some = vectors.where(F.col(vector).isNotNull() & F.col(id_column).isNotNull())
+    return some.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+
+
+def _dealt(rows: DataFrame, blocks: Column, table: str | Column = "table", bucket: str | Column = "bucket") -> DataFrame:
+    """Rows (id, v) with their bucket and, by a hash of the id, their block of it."""
+    return rows.select(F.pmod(F.xxhash64("id"), blocks).cast("int").alias("part"), table, bucket, "id", "v")
+
+
+def _packed(rows: DataFrame, name: str) -> DataFrame:
+    """Blocks of dealt rows as one row each: (table, bucket, part, ids, x, dims), the last three named after ``name``."""
 
     def pack(table: pa.Table) -> pa.Table:
-        ids = table.column(1).to_numpy()
+        ids = table.column("id").to_numpy()
         order = np.argsort(ids, kind="stable")
-        x = table.column(2).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)[order]
-        return pa.table({"part": pa.array([table.column(0)[0].as_py()], pa.int32()), "ids": pa.array([ids[order].tobytes()]), "x": pa.array([x.tobytes()]), "dims": pa.array([x.shape[1]], pa.int32())})
-
-    rows = vectors.select(F.pmod(F.xxhash64(id_column), F.lit(blocks)).cast("int").alias("part"), F.col(id_column).cast("long"), F.col(vector).cast("array<double>"))
-    packed = rows.groupBy("part").applyInArrow(pack, "part int, ids binary, x binary, dims int")
-    return packed.select(*[F.col(c).alias(f"{name}_{c}") for c in packed.columns])
+        x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)[order]
+        keys = [table.column(key).slice(0, 1).combine_chunks() for key in KEYS]
+        return pa.table([*keys, pa.array([ids[order].tobytes()]), pa.array([x.tobytes()]), pa.array([x.shape[1]], pa.int32())], [*KEYS, "ids", "x", "dims"])
 
+    packed = rows.groupBy(*KEYS).applyInArrow(pack, "table int, bucket double, part int, ids binary, x binary, dims int")
+    return packed.select(*KEYS, *[F.col(c).alias(f"{name}_{c}") for c in ("ids", "x", "dims")])
 
-def exact_knn(vectors: DataFrame, id_column: str, vector: str = "z", k: int = 5, rows_per_block: int = 4096, rows: int | None = None) -> DataFrame:
-    """(id, rank, nbr_id, dist_sq): the k nearest by squared L2, never the row itself; ties: smaller id.
 
-    Vectors are cut in blocks of about ``rows_per_block``; every two blocks meet in one task, which
-    keeps k rows for each vector, and a ranking over blocks ends it. No task holds more than two
-    blocks. ``rows``: the number of vectors, if known (else it is counted). Null vectors drop out.
-    """
-    vectors = vectors.where(F.col(vector).isNotNull() & F.col(id_column).isNotNull())
-    n = vectors.count() if rows is None else rows
-    blocks = n // rows_per_block + 1
-    left, right = _packed(vectors, id_column, vector, blocks, "a"), _packed(vectors, id_column, vector, blocks, "b")
+def _met(left: DataFrame, right: DataFrame, k: int, tasks: int) -> DataFrame:
+    """(id, nbr_id, dist_sq): the k nearest to each row of a block of ``left`` in every block of ``right`` that it is to meet (``b_part``)."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,12 +68,34 @@ def exact_knn(vectors: DataFrame, id_column: str, vector: str = "z", k: int = 5,
                         best = np.lexsort((other[some], total))[:k]
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), own[low + i])), pa.array(other[some[best]]), pa.array(total[best])], ["id", "nbr_id", "dist_sq"])
 
-    dealt = left.withColumn("b_part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(blocks * blocks, "a_part", "b_part")
-    met = dealt.join(right, "b_part").select("a_ids", "a_x", "a_dims", "b_ids", "b_x", "b_dims").mapInArrow(_batched(meet), "id long, nbr_id long, dist_sq double")
+    dealt = left.repartition(tasks, *KEYS, "b_part")
+    joined = dealt.join(right.withColumnRenamed("part", "b_part"), ["table", "bucket", "b_part"])
+    return joined.select("a_ids", "a_x", "a_dims", "b_ids", "b_x", "b_dims").mapInArrow(_batched(meet), "id long, nbr_id long, dist_sq double")
+
+
+def _ranked(met: DataFrame, k: int, id_column: str) -> DataFrame:
     order = Window.partitionBy("id").orderBy("dist_sq", "nbr_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("id").alias(id_column), "rank", "nbr_id", "dist_sq")
 
 
+def exact_knn(vectors: DataFrame, id_column: str, vector: str = "z", k: int = 5, rows_per_block: int = 4096, rows: int | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """(id, rank, nbr_id, dist_sq): the k nearest by squared L2, never the row itself; ties: smaller id.
+
+    Vectors are cut in blocks of about ``rows_per_block``; every two blocks meet in one task, which
+    keeps k rows for each vector, and a ranking over blocks ends it. No task holds more than two
+    blocks. ``rows``: the number of vectors, if known (else it is counted). Null vectors drop out.
+    ``queries``: the rows whose neighbours are wanted, if not all; neighbours come from ``vectors``.
+    """
+    known = _rows(vectors, id_column, vector)
+    asked = known if queries is None else _rows(queries, id_column, vector)
+    n = known.count() if rows is None else rows
+    blocks = n // rows_per_block + 1
+    own = blocks if queries is None else asked.count() // rows_per_block + 1
+    one = (F.lit(0).alias("table"), F.lit(0.0).alias("bucket"))
+    left = _packed(_dealt(asked, F.lit(own), *one), "a").withColumn("b_part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return _ranked(_met(left, _packed(_dealt(known, F.lit(blocks), *one), "b"), k, own * blocks), k, id_column)
+
+
 def _batched(function, rows: int = 20_000):
     """Joins the small batches of a function into larger ones."""
 
@@ -91,13 +119,36 @@ def enrich(neighbours: DataFrame, cells: DataFrame, score: str) -> DataFrame:
     return neighbours.join(known, "nbr_id").withColumn("distance", F.floor(F.sqrt("dist_sq") * 100.0 + 0.5) / 100.0)
 
 
-def approximate_knn(vectors: DataFrame, id_column: str, vector: str = "z", k: int = 5, bucket_length: float = 2.0, tables: int = 6, within: float = 10.0, seed: int = 1) -> DataFrame:
-    """As exact_knn, by random-projection hashing from Spark ML: for many vectors, at a recall below 1."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def approximate_knn(vectors: DataFrame, id_column: str, vector: str = "z", k: int = 5, bucket_length: float = 2.0, tables: int = 6, seed: int = 1, rows_per_block: int = 4096) -> DataFrame:
+    """As exact_knn, by random-projection hashing from Spark ML: for many vectors, at a recall below 1.
 
-    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(id_column).alias("id"), array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed).fit(rows)
-    pairs = model.approxSimilarityJoin(rows, rows, within, "d").select(F.col("datasetA.id").alias("id"), F.col("datasetB.id").alias("nbr_id"), "d").where("id <> nbr_id")
-    order = Window.partitionBy("id").orderBy("d", "nbr_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("id").alias(id_column), "rank", "nbr_id", (F.col("d") * F.col("d")).alias("dist_sq"))
+    Buckets are cut in blocks of about ``rows_per_block``; all blocks of a bucket meet, and two of
+    them give at most k rows for each vector, however hot the bucket is. A row that finds fewer than
+    k others, or whose k-th find is farther than two bucket lengths (hashing misses many of those
+    that are far), is compared with all rows, by exact_knn.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = kept(_rows(vectors, id_column, vector), "vectors")
+    n = rows.count()
+    far = rows
+    found = None
+    if n > k:
+        as_vectors = rows.withColumn("w", array_to_vector("v"))
+        model = BucketedRandomProjectionLSH(inputCol="w", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed).fit(as_vectors)
+        hashed = model.transform(as_vectors).select("id", "v", F.posexplode("h").alias("table", "h"))
+        # adding 0.0 makes -0.0 and 0.0 one bucket
+        hashed = hashed.select("id", "v", "table", (vector_to_array("h")[0] + F.lit(0.0)).alias("bucket"))
+        hot = kept(hashed.groupBy("table", "bucket").count().where(F.col("count") >= rows_per_block).select("table", "bucket", (F.floor(F.col("count") / rows_per_block) + 1).cast("int").alias("blocks")), "buckets")
+        pairs = hot.agg(F.coalesce(F.sum(F.col("blocks").cast("long") * F.col("blocks")), F.lit(0))).first()[0]
+        in_blocks = lambda df: df.join(hot, ["table", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        packed = _dealt(in_blocks(hashed), F.col("blocks"))
+        left = in_blocks(_packed(packed, "a")).withColumn("b_part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        met = _met(left, _packed(packed, "b"), k, min(pairs + tables * n // rows_per_block + 1, 10_000))
+        found = kept(_ranked(met.distinct(), k, "id"), "finds")
+        near = found.where((F.col("rank") == k) & (F.col("dist_sq") <= (2.0 * bucket_length) ** 2)).select("id")
+        far = rows.join(near, "id", "left_anti")
+    whole = exact_knn(rows, "id", "v", k, rows_per_block, n, far)
+    result = whole if found is None else found.join(near, "id", "left_semi").unionByName(whole)
+    return result.withColumnRenamed("id", id_column)
