@@ -1,15 +1,17 @@
 """Language identification with a linear-chain conditional random field over words.
 
 Every word gets a label; a text's language is the one with the largest summed posterior. Words are
-runs of ASCII letters (lower-cased), apostrophes and characters outside ASCII. A chain is a line of
-the text (a longer one is cut every ``CHAIN`` words), so that text in several languages is labelled
-word by word. A word's score for a label sums the weights of its features: the word itself (a
+runs of ASCII letters (lower-cased), apostrophes and characters outside ASCII. A chain is a whole line
+of the text, however long, so that text in several languages is labelled word by word. A word's score for a label sums the weights of its features: the word itself (a
 lexicon), its first and last 1, 2 and 3 bytes, and its byte 2- and 3-grams, all hashed into
 ``2**BUCKET_BITS`` weights. Transition weights are learned too; posteriors come from the
-forward-backward algorithm, run over all chains of a group of texts at once.
+forward-backward algorithm, run over all chains of a group of texts at once. Long chains are worked on
+in segments whose products of moves are multiplied out first, which gives the whole chain's posteriors
+without walking it word by word.
 
-Training maximises the conditional likelihood on a bounded sample: about ``each`` texts of every
-language, of at most ``most_chars`` characters, from rows that ``train`` chooses. Half of the
+Training maximises the conditional likelihood on a bounded sample: at most ``each`` texts of every
+language, of any length, and ``most_bytes`` of text, from rows that ``may_learn`` allows, for the
+``most_languages`` values of lang that most rows have. Half of the
 chains it sees are spliced from lines of several languages, so that transitions are learned from
 switches as well. Weights are sent to every task (their size is fixed), and all texts are labelled
 whole.
@@ -30,11 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import bytetext as bt
-from gridloom.llm.samples import sample
+from gridloom.llm.samples import draw, within_bytes
 from gridloom.llm.shared import plain
 
 WORD = bt.byte_class((0x61, 0x7A), (0x27, 0x27), (0x80, 0xFF))
-CHAIN = 256
+SEGMENT = 128
 BUCKET_BITS = 18
 _U = np.uint64
 
@@ -91,7 +93,7 @@ def emissions(f: Features, weights: np.ndarray) -> np.ndarray:
 
 
 def chains(data: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, length) of each chain: words of one text and line, at most CHAIN of them."""
+    """(first word, length) of each chain: the words of one text and line."""
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     line = np.searchsorted(np.flatnonzero(data == 10), starts)
@@ -99,35 +101,91 @@ def chains(data: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.nda
     new[1:] = line[1:] != line[:-1]
     new[at[:-1][np.diff(at) > 0]] = True
     first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(starts)))
-    cuts = (size + CHAIN - 1) // CHAIN
-    begin = np.repeat(first, cuts) + CHAIN * bt.ranges(np.zeros(len(cuts), np.int64), cuts)
-    return begin, np.diff(np.append(begin, len(starts)))
+    return first, np.diff(np.append(first, len(starts)))
 
 
-def posteriors(scores: np.ndarray, first: np.ndarray, size: np.ndarray, moves: np.ndarray, want_moves: bool = False):
-    """Forward-backward over all chains at once: (posterior of each word, expected moves, log likelihoods)."""
+def _active(size: np.ndarray) -> np.ndarray:
+    """Of sizes that descend, how many are larger than t, for each t."""
+    return np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), side="left")
+
+
+def _products(local: np.ndarray, step: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of each segment (in descending order of size), the product of its moves and scores, up to a factor."""
+    out = np.broadcast_to(np.eye(len(step), dtype=local.dtype), (len(first), *step.shape)).copy()
+    for t, n in enumerate(_active(size)):
+        out[:n] = (out[:n] @ step) * local[first[:n] + t][:, None, :]
+        out[:n] /= out[:n].max(axis=(1, 2), keepdims=True)
+    return out
+
+
+def posteriors(scores: np.ndarray, first: np.ndarray, size: np.ndarray, moves: np.ndarray, want_moves: bool = False, segment: int = SEGMENT):
+    """Forward-backward over all chains at once: (posterior of each word, expected moves, log likelihoods).
+
+    Chains are cut in segments of ``segment`` words. Products of the later segments of a chain carry
+    its state from segment to segment, forward and backward; within segments, all are walked at once.
+    """
+    cuts = (size + segment - 1) // segment
+    chain = np.repeat(np.arange(len(size)), cuts)
+    nth = bt.ranges(np.zeros(len(cuts), np.int64), cuts)
+    first = first[chain] + segment * nth
+    size = np.minimum(size[chain] - segment * nth, segment)
     order = np.argsort(-size, kind="stable")
-    first, size = first[order], size[order]
-    active = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), side="left")  # chains longer than t
+    first, size, chain, nth = first[order], size[order], chain[order], nth[order]
+    active = _active(size)
     top = scores.max(axis=1, keepdims=True)
     local = np.exp(scores - top)
     step = np.exp(moves)
+    entry = np.ones((len(first), len(step)), dtype=local.dtype)  # forward state in front of a segment
+    leave = np.ones_like(entry)  # backward state behind it
+    begins = nth == 0
+    if not begins.all():
+        place = np.empty(len(first), np.int64)  # of segment nth of a chain
+        place[np.concatenate([[0], np.cumsum(cuts)])[chain] + nth] = np.arange(len(first))
+        at = np.cumsum(cuts) - cuts
+        own = np.flatnonzero(~begins)
+        product = np.empty((len(first), *step.shape), dtype=local.dtype)
+        product[own] = _products(local, step, first[own], size[own])
+        heads = place[at[cuts > 1]]  # of whose first words there is no move
+        head = local[first[heads]]
+        rest = _products(local, step, first[heads] + 1, size[heads] - 1)
+        state = (head[:, None, :] @ rest)[:, 0]
+        state /= state.sum(axis=1, keepdims=True)
+        long = np.flatnonzero(cuts > 1)
+        reached = dict(forward=state, backward=np.ones_like(state))
+        for j in range(1, int(cuts.max())):
+            some = np.flatnonzero(cuts[long] > j)
+            here = place[at[long[some]] + j]
+            entry[here] = reached["forward"][some]
+            state = (reached["forward"][some][:, None, :] @ product[here])[:, 0]
+            reached["forward"][some] = state / state.sum(axis=1, keepdims=True)
+        for j in range(int(cuts.max()) - 1, 0, -1):
+            some = np.flatnonzero(cuts[long] > j)
+            here = place[at[long[some]] + j]
+            state = (product[here] @ reached["backward"][some][:, :, None])[:, :, 0]
+            reached["backward"][some] = leave[place[at[long[some]] + j - 1]] = state / state.sum(axis=1, keepdims=True)
     forward, scale = np.empty_like(local), np.empty(len(local), dtype=local.dtype)
     state = None
     for t, n in enumerate(active):
         here = first[:n] + t
-        state = local[here] if t == 0 else (state[:n] @ step) * local[here]
+        if t == 0:
+            state = np.where(begins[:, None], local[here], (entry @ step) * local[here])
+        else:
+            state = (state[:n] @ step) * local[here]
         total = state.sum(axis=1)
         state = state / total[:, None]
         forward[here], scale[here] = state, total
     backward = np.ones_like(local)
+    last = first + size - 1
+    backward[last] = leave / (forward[last] * leave).sum(axis=1, keepdims=True)
     gained = np.zeros_like(step)
-    for t in range(len(active) - 1, 0, -1):
+    for t in range(len(active) - 1, -1, -1):
         here = first[: active[t]] + t
+        if t == 0:  # the move into a segment from the one before it
+            here = here[~begins]
         later = local[here] * backward[here] / scale[here][:, None]
-        backward[here - 1] = later @ step.T
-        if want_moves:
+        if t > 0:
+            backward[here - 1] = later @ step.T
+        if want_moves and len(here):
             gained += step * (forward[here - 1].T @ later)
     both = forward * backward
     both /= both.sum(axis=1, keepdims=True)
@@ -220,12 +278,14 @@ def _label(model):
     return run
 
 
-def fit(docs: DataFrame, may_learn: Column, each: int = 150, most_chars: int = 20_000, seed: int = 9) -> Model:
-    """A model from about ``each`` texts of every language (doc_id, text, lang)."""
-    rows = plain(docs, "doc_id", "text", "lang").where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    chosen = sample(rows, counts, "lang", "doc_id", each, seed).where(F.length("text") <= most_chars).orderBy("doc_id", "text").collect()
-    return train([r.text for r in chosen], [r.lang for r in chosen], seed=seed)
+def fit(docs: DataFrame, may_learn: Column, each: int = 150, most_bytes: int = 2 << 20, most_languages: int = 200, seed: int = 9) -> Model:
+    """A model from at most ``each`` texts (doc_id, text, lang), of ``most_bytes`` in all, of every language."""
+    rows = plain(docs, "doc_id", "text", "lang").where(may_learn & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    sizes = docs.sparkSession.createDataFrame(counts, "lang string, n long")
+    chosen = draw(rows.join(F.broadcast(sizes), "lang").select("doc_id", "text", "lang", "n"), "n", each, seed, "doc_id", "lang")
+    found = sorted(within_bytes(chosen, "lang", seed, most_bytes).collect())
+    return train([r.text for r in found], [r.lang for r in found], seed=seed)
 
 
 def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:

@@ -6,8 +6,8 @@ is the mean, the maximum and the minimum of its chunks' pooled outputs (the mini
 that repeat a few patterns), with how far the text fills a chunk; a logistic unit combines them into
 one probability. Filters are applied once: a chunk is the maximum of two neighbouring blocks of 256.
 
-The network is trained by back-propagation on a bounded sample: about ``each`` labelled texts of
-either label, of at most ``most_chars`` characters, whose rows ``may_learn`` allows. Its weights,
+The network is trained by back-propagation on a bounded sample: at most ``each`` labelled texts of
+either label, of any length, whose rows ``may_learn`` allows, and ``most_bytes`` of text. Its weights,
 of fixed size, are sent to every task, and each text is scored whole, in memory that its own bytes
 bound. A null text is scored as an empty one. Null ids stay null and are never learned from; rows
 that repeat are scored each; without rows of both labels every score is the share of label 1 (one
@@ -183,8 +183,8 @@ def train(texts: list[str], y: list[int], epochs: int = 14, rate: float = 0.015,
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "quality", each: int = 1000, most_chars: int = 20_000, seed: int = 2) -> Network:
-    rows = labelled(docs, labels, label, may_learn, each, most_chars, seed)
+def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "quality", each: int = 1000, most_bytes: int = 16 << 20, seed: int = 2) -> Network:
+    rows = labelled(docs, labels, label, may_learn, each, most_bytes, seed)
     return train([r.text for r in rows], [r.y for r in rows], seed=seed)
 
 

@@ -16,8 +16,8 @@ Words speak for toxicity or not at all: weights are never negative. Only feature
 ``least_texts`` texts of the sample or more have weights, and the first epochs shrink weights
 towards zero (``sparsity``), so that the classifier cannot learn single texts by heart; the
 features left then are trained on without shrinking. Last, the constant is set where the same
-corrected risk, of decisions instead of losses, is least on the sample. The sample is bounded: about ``each_toxic`` toxic and
-``each_other`` unlabelled texts of at most ``most_chars`` characters. Weights, of fixed size, go to
+corrected risk, of decisions instead of losses, is least on the sample. The sample is bounded: at most
+``each_toxic`` toxic and ``each_other`` unlabelled texts, of any length, and ``most_bytes`` of either. Weights, of fixed size, go to
 every task and each text is scored whole. A null text is scored as an empty one; null ids are never
 learned from; repeated rows are scored each; without any toxic text every score is 0. Other columns
 are ignored.
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import bytetext as bt
-from gridloom.llm.samples import sample
+from gridloom.llm.samples import draw, texts_of, within_bytes
 from gridloom.llm.shared import plain
 
 WORD = bt.byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
@@ -152,19 +152,20 @@ def _boundary(p: np.ndarray, u: np.ndarray, prior: float) -> float:
     return float(cuts[np.flatnonzero(risk <= risk.min() + 1e-12)[-1]])
 
 
-def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "toxic", each_toxic: int = 1200, each_other: int = 3600, most_chars: int = 20_000, seed: int = 3) -> Classifier:
-    """``may_learn`` (on doc_id) limits both the labels and the unlabelled texts that are used."""
-    rows = labels.select("doc_id", F.col(f"`{label}`").cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & may_learn).distinct()
+def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "toxic", each_toxic: int = 1200, each_other: int = 3600, most_bytes: int = 32 << 20, seed: int = 3) -> Classifier:
+    """``may_learn`` (on doc_id) limits both the labels and the unlabelled texts that are used.
+
+    An id that has both labels counts as toxic.
+    """
+    rows = labels.select("doc_id", F.col(f"`{label}`").cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & may_learn).groupBy("doc_id").agg(F.max("y").alias("y"))
     counts = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     if not counts.get(1):
         return train([], [], 0.0)
     prior = counts[1] / sum(counts.values())
-    texts = docs.select("doc_id", "text").where(may_learn & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= most_chars))
-    confirmed = sample(rows.where("y = 1"), {None: counts[1]}, None, "doc_id", each_toxic, seed).select("doc_id", F.lit(True).alias("toxic"))
-    total = docs.where(may_learn).count()
-    unlabelled = sample(texts, {None: total}, None, "doc_id", each_other, seed + 1)
-    toxic = sorted(r.text for r in texts.join(F.broadcast(confirmed), "doc_id").select("text").collect())  # about each_toxic rows
-    other = sorted(r.text for r in unlabelled.select("text").collect())
+    texts = docs.select("doc_id", "text").where(may_learn & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    confirmed = texts_of(texts, draw(rows.where("y = 1"), counts[1], each_toxic, seed, "doc_id"), "y")
+    unlabelled = draw(texts.withColumn("y", F.lit(0)), docs.where(may_learn).count(), each_other, seed + 1, "doc_id")
+    toxic, other = (sorted(r.text for r in within_bytes(some, "y", seed, most_bytes).collect()) for some in (confirmed, unlabelled))
     return train(toxic, other, prior, seed=seed)
 
 

@@ -1,10 +1,12 @@
 """Trained operators, by held-out accuracy and on odd rows."""
 
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import language_id, quality, queries, toxicity
-from gridloom.llm.samples import fold, sample
+from gridloom.llm.samples import draw, fold, labelled
 
 
 @pytest.fixture(scope="module")
@@ -16,8 +18,21 @@ def more(sf_dir):
     return str(larger) if larger.exists() else sf_dir
 
 
-def accuracy(df, want):
-    return df.where("held_out").agg(F.avg((F.col("predicted") == F.col(want)).cast("int"))).first()[0]
+def recalls(df, want):
+    """Shares of held-out rows of label 0 and of label 1 that are predicted so: a constant answer has 0 in one of them."""
+    rows = df.where("held_out").select("predicted", F.col(want).alias("y")).collect()
+    return tuple(sum(r.predicted == y for r in rows if r.y == y) / sum(r.y == y for r in rows) for y in (0, 1))
+
+
+def check_scored(spark, found, sf_dir, folds, held):
+    """Every output column of a classifier's query."""
+    assert dict(found.dtypes) == {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"}
+    rows = found.collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect())
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % folds == held)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
+    assert len({r.predicted for r in rows}) == 2
 
 
 def test_language_id(spark, more, odd_docs, no_docs):
@@ -47,29 +62,53 @@ def test_words_of_switched_text(spark, more):
     assert (labels == np.where(starts < switch, "en", "de")).mean() > 0.9
 
 
-def test_forward_backward_by_enumeration():
+@pytest.mark.parametrize("segment", [1, 2, 3, 100])
+def test_forward_backward_by_enumeration(segment):
     import itertools
 
     import numpy as np
 
     rng = np.random.default_rng(2)
-    scores, moves = rng.normal(size=(7, 3)), rng.normal(size=(3, 3))
-    first, size = np.array([0, 4, 5]), np.array([4, 1, 2])
-    both, _, _ = language_id.posteriors(scores, first, size, moves)
+    scores, moves = rng.normal(size=(12, 3)), rng.normal(size=(3, 3))
+    first, size = np.array([0, 4, 5, 7]), np.array([4, 1, 2, 5])
+    both, gained, _ = language_id.posteriors(scores, first, size, moves, want_moves=True, segment=segment)
+    want_moves = np.zeros((3, 3))
     for s, n in zip(first, size, strict=True):
-        weight = np.zeros((n, 3))
+        weight, pairs, total = np.zeros((n, 3)), np.zeros((3, 3)), 0.0
         for path in itertools.product(range(3), repeat=int(n)):
             p = np.exp(sum(scores[s + i, y] for i, y in enumerate(path)) + sum(moves[a, b] for a, b in itertools.pairwise(path)))
+            total += p
             for i, y in enumerate(path):
                 weight[i, y] += p
-        assert np.allclose(both[s : s + n], weight / weight.sum(axis=1, keepdims=True))
+            for a, b in itertools.pairwise(path):
+                pairs[a, b] += p
+        assert np.allclose(both[s : s + n], weight / total)
+        want_moves += pairs / total
+    assert np.allclose(gained, want_moves)
+
+
+def test_a_long_line_is_one_chain(prose):
+    import numpy as np
+    import pyarrow as pa
+
+    model = language_id.train([prose(200), "la el los de que " * 40], ["xx", "es"])
+    text = pa.array([prose(700) + " " + "la el los de que " * 260, prose(3), ""])
+    _, _, _, _, at, both = next(language_id.label_words(text, model))
+    assert at[1] == 2000
+    for a, b, data, starts, ends, at in language_id._words(text):
+        scores = language_id.emissions(language_id.features(data, starts, ends, language_id.bt.span_hashes(data, starts, ends)), model.weights).astype(np.float64)
+        first, size = language_id.chains(data, starts, at)
+        assert size.tolist() == [2000, 3]
+        whole, _, _ = language_id.posteriors(scores, first, size, model.moves.astype(np.float64), segment=10**6)
+    assert np.allclose(both, whole, atol=1e-4)
 
 
 def test_quality(spark, more, odd_docs, no_docs):
     labels = spark.read.parquet(f"{more}/labels.parquet")
     found = queries.op2_quality(spark, more)
-    assert found.count() == spark.read.parquet(f"{more}/documents.parquet").count()
-    assert accuracy(found.join(labels, "doc_id"), "quality") >= 0.85
+    check_scored(spark, found, more, 3, 1)
+    low, high = recalls(found.join(labels, "doc_id"), "quality")
+    assert low >= 0.6 and high >= 0.85
     net = quality.start(1)
     assert all(0 <= r.score <= 1 for r in quality.score(odd_docs, net).collect())
     assert quality.score(no_docs, net).count() == 0
@@ -121,7 +160,9 @@ def test_gradients(prose):
 def test_toxicity(spark, more, odd_docs, no_docs):
     labels = spark.read.parquet(f"{more}/labels.parquet")
     found = queries.op3_toxicity(spark, more)
-    assert accuracy(found.join(labels, "doc_id"), "toxic") >= 0.88
+    check_scored(spark, found, more, 5, 0)
+    clean, toxic = recalls(found.join(labels, "doc_id"), "toxic")
+    assert clean >= 0.9 and toxic >= 0.5
     model = toxicity.train(["you scum idiot", "what a scum", "idiot trash here"] * 5, ["a fine day", "some idiot words", "words of the day"] * 20, 0.1, least_texts=2)
     assert all(0 <= r.score <= 1 for r in toxicity.score(odd_docs, model).collect())
     assert toxicity.score(no_docs, model).count() == 0
@@ -131,8 +172,29 @@ def test_toxicity(spark, more, odd_docs, no_docs):
 
 def test_samples_are_bounded_and_stable(spark):
     rows = spark.range(20_000).withColumn("y", (F.col("id") % 10 == 0).cast("int"))
-    counts = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
-    one = sample(rows, counts, "y", "id", 500, 1)
-    two = sample(rows.repartition(7), counts, "y", "id", 500, 1)
+    sized = rows.withColumn("n", F.when(F.col("y") == 1, 2000).otherwise(18_000))
+    one = draw(sized, "n", 500, 1, "id", "y")
+    two = draw(sized.repartition(7), "n", 500, 1, "id", "y")
     assert sorted(r.id for r in one.collect()) == sorted(r.id for r in two.collect())
-    assert all(350 < r["count"] < 650 for r in one.groupBy("y").count().collect())
+    assert [r["count"] for r in one.groupBy("y").count().collect()] == [500, 500]
+    assert draw(rows, 20_000, 30_000, 1, "id").count() == 20_000
+    # the cut stays fine for tables of any size
+    assert abs(draw(rows, 10**7, 500, 1, "id").count() - 2 * 500 * 20_000 / 10**7) <= 6
+
+
+def test_an_id_that_repeats_is_drawn_once(spark):
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 5).alias("text"))
+    got = draw(rows, 30_000, 400, 5, "doc_id").collect()
+    assert len(got) == len({r.doc_id for r in got}) == 400
+
+
+def test_long_texts_are_learned_from(spark, prose):
+    texts = [(i, prose(30)) for i in range(20)] + [(100, prose(40_000)), (101, None), (None, "x")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert len(texts[20][1]) > 100_000
+    labels = spark.createDataFrame([(i, int(i == 100 or i % 4 == 0), 0, "x") for i in [*range(20), 100, 101]] + [(100, 1, 0, "x"), (None, 1, 0, "x"), (3, None, 0, "x")], "doc_id long, quality int, toxic int, text string")
+    rows = labelled(docs, labels, "quality", F.lit(True), 1000, 16 << 20, 2)
+    assert {(r.doc_id, r.y) for r in rows} == {(i, int(i == 100 or i % 4 == 0)) for i in [*range(20), 100]}
+    assert max(len(r.text) for r in rows) == len(texts[20][1])
+    few = labelled(docs, labels, "quality", F.lit(True), 1000, 1, 2)
+    assert sorted(r.y for r in few) == [0, 1]  # one text of either label, whole
