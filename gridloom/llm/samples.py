@@ -69,26 +69,3 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column,
     size = F.when(F.col("y") == 1, counts.get(1, 0)).otherwise(counts.get(0, 0))
     chosen = draw(rows.withColumn("_n", size), "_n", each, seed, "doc_id", "y")
     return sorted(within_bytes(texts_of(docs, chosen, "y"), "y", seed, most_bytes).select("doc_id", "text", "y").collect())
-
-
-_SLOTS = 1 << 20
-
-
-def sample(rows: DataFrame, counts: dict, by: str | None, key: str, each: int, seed: int) -> DataFrame:
-    """About ``each`` of the rows of every value of ``by`` (or of all rows), chosen by a hash of ``key``.
-
-    ``counts``: rows of each value (under None, of all). A value with fewer rows is taken whole.
-    The choice depends on the key alone, so it is the same however the table is cut into files.
-    """
-    slot = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(_SLOTS))
-    if by is None:
-        share = F.lit(_share(each, counts[None]))
-    else:
-        share = F.lit(0)
-        for value, n in counts.items():
-            share = F.when(F.col(by) == value, _share(each, n)).otherwise(share)
-    return rows.where(slot < share)
-
-
-def _share(each: int, n: int) -> int:
-    return _SLOTS if n <= each else max(1, round(_SLOTS * each / n))

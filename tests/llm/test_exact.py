@@ -323,28 +323,65 @@ def test_labelers_outvote_a_bad_one():
 # --- nearest neighbours
 
 
-def test_nearest(spark):
+def brute_nearest(ids, x, q, k):
+    """The k nearest of row q, from one vector for each id."""
+    scores = nearest.exact(x[q], x)
+    order = [i for i in np.lexsort((ids, -scores)) if i != q][:k]
+    return [(ids[i], scores[i]) for i in order]
+
+
+def by_query(df):
+    got = collections.defaultdict(list)
+    for r in sorted(df.collect(), key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append((r.vec_id, r.score))
+        assert r.rank == len(got[r.query_id])
+    return got
+
+
+@pytest.mark.parametrize("way", [{}, {"recall": None, "eps": np.inf}, {"list_rows": 50, "chunk_rows": 30, "query_rows": 7, "recall": None, "eps": np.inf}, {"list_rows": 50, "sample_rows": 250, "chunk_rows": 30, "query_rows": 7}])
+def test_nearest(spark, way):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 70)).round(3)
     x[300:360] = x[7]
-    rows = [(i, [float(v) for v in r], "t") for i, r in enumerate(x)]
+    rows = [(i, [float(v) for v in r], "t", 1) for i, r in enumerate(x)]
     bad = [(1000, None), (1020, [0.0] * 70), (1040, [float("nan")] * 70), (1060, [float("inf")] + [1.0] * 69), (1080, [None] * 70), (1100, [1.0] * 3), (None, rows[0][1])]
-    rows += [(i, v, "t") for i, v in bad] + [rows[20]]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
-    got = collections.defaultdict(list)
-    for r in nearest.search(df, F.col("vec_id") % 20 == 0, k=5, chunk_rows=100, query_rows=10).collect():
-        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    rows += [(i, v, "t", 1) for i, v in bad] + [rows[20]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string, list int").repartition(3)
+    got = by_query(nearest.search(df, F.col("vec_id") % 20 == 0, k=5, **way))
     assert set(got) == set(range(0, 600, 20))
     hits = 0
     for q, found in got.items():
-        scores = nearest.exact(x[q], x)
-        order = [i for i in np.lexsort((np.arange(600), -scores)) if i != q][:5]
-        found = sorted(found)
-        assert [f[0] for f in found] == [1, 2, 3, 4, 5]
-        assert all(f[2] == scores[f[1]] for f in found)
-        hits += len(set(order) & {f[1] for f in found})
-        assert [f[1:] for f in found] == sorted((f[1:] for f in found), key=lambda f: (-f[1], f[0]))
-    assert hits >= 0.99 * 5 * len(got)
+        want = brute_nearest(np.arange(600), x, q, 5)
+        assert len(found) == 5 and found == sorted(found, key=lambda f: (-f[1], f[0]))
+        assert all(s == nearest.exact(x[q], x[i : i + 1])[0] for i, s in found)
+        hits += len({i for i, _ in want} & {i for i, _ in found})
+        if way.get("recall", 1) is None:
+            assert found == want
+    assert hits >= 0.9 * 5 * len(got)
+
+
+@pytest.mark.parametrize("clusters", [0, 60])
+def test_nearest_recall_and_visits(spark, clusters):
+    """Queries with ids divisible by 50 against all rows; clustered data take few lists."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(6000, 32))
+    if clusters:
+        x = rng.normal(size=(clusters, 32))[rng.integers(0, clusters, 6000)] * 3 + 0.3 * x
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = by_query(nearest.search(df, F.col("vec_id") % 50 == 0, k=20, list_rows=100, sample_rows=2000, chunk_rows=60, query_rows=30))
+    assert len(got) == 120
+    hits = sum(len({i for i, _ in brute_nearest(np.arange(6000), x, q, 20)} & {i for i, _ in found}) for q, found in got.items())
+    assert hits >= 0.9 * 20 * 120
+    fitted = nearest.fit(np.arange(2000), x[:2000], 61, 20, 0.98)
+    assert fitted.probes <= 6 if clusters else fitted.probes > 6
+
+
+def test_a_vector_of_most_rows(spark):
+    x = np.random.default_rng(2).normal(size=(400, 16)).round(2)
+    x[100:] = x[100]
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = by_query(nearest.search(df, F.col("vec_id") % 20 == 0, k=4, recall=None, eps=np.inf, list_rows=40))
+    assert got == {q: brute_nearest(np.arange(400), x, q, 4) for q in range(0, 400, 20)}
 
 
 def test_nearest_empty(spark):
