@@ -13,9 +13,10 @@ reverse give every text back. Only the texts of assistant turns carry loss.
 
 Nulls: a null text is empty, a null role is an empty one, a null seq comes first, and null
 conversation ids are one conversation. Events that agree in all columns count once, as logs may
-deliver them twice; rows of a table of finished turns (``events_of``) count each. Ties in seq are ordered by message, kind, role and text. Other columns are
-ignored; an empty log gives no rows. Events of a message, and then messages by ranges of their
-places, are gathered before conversations are, so only finished parts meet in a long one.
+deliver them twice; rows of a table of finished turns (``events_of``) count each, repeated ones too.
+Ties in seq are ordered by message, kind, role and text. Other columns are ignored; an empty log gives
+no rows. Events of a message, and then messages by ranges of their places, are gathered before
+conversations are, so only finished parts meet in a long one; a conversation must fit in a row.
 """
 
 from __future__ import annotations
@@ -56,7 +57,10 @@ def reconstruct(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """(conv_id, segments array<struct<text, loss>>, formatted) of each conversation."""
+    """(conv_id, formatted, mask array<struct<chars, loss>>) of each conversation.
+
+    The mask covers the formatted text: three runs for each turn, its head, its text and its close.
+    """
     segment = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
     turn = F.array(
         segment(F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")), F.lit(False)),
@@ -65,14 +69,20 @@ def render(messages: DataFrame) -> DataFrame:
     )
     turns = messages.select("conv_id", "place", "message", turn.alias("turn"))
     parts = turns.groupBy("conv_id", F.floor(F.col("place") / RANGE).alias("part")).agg(F.array_sort(F.collect_list(F.struct("place", "message", "turn"))).alias("turns"))
-    own = parts.select("conv_id", F.struct("part", F.flatten(F.col("turns.turn")).alias("segments")).alias("part"))
-    whole = own.groupBy("conv_id").agg(F.flatten(F.array_sort(F.collect_list("part"))["segments"]).alias("segments"))
-    return whole.withColumn("formatted", F.array_join(F.col("segments.text"), ""))
+    segments = F.flatten(F.col("turns.turn"))
+    mask = F.transform(segments, lambda s: F.struct(F.char_length(s["text"]).alias("chars"), s["loss"].alias("loss")))
+    own = parts.select("conv_id", F.struct("part", F.array_join(segments["text"], "").alias("text"), mask.alias("mask")).alias("part"))
+    whole = own.groupBy("conv_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    return whole.select("conv_id", F.array_join(F.col("parts.text"), "").alias("formatted"), F.flatten("parts.mask").alias("mask"))
+
+
+def _turns(formatted: Column) -> Column:
+    """What follows each start of a turn; no text or role can hold one."""
+    return F.slice(F.split(formatted, r"<\|im_start\|>"), 2, 1 << 30)
 
 
 def parse(formatted: Column) -> Column:
     """The turns of a formatted conversation, read back: array<struct<role, text>>."""
-    turns = F.slice(F.split(formatted, r"<\|im_start\|>"), 2, 1 << 30)
     close = len(END) + 1
 
     def turn(part: Column) -> Column:
@@ -80,19 +90,41 @@ def parse(formatted: Column) -> Column:
         text = F.substring(part, F.char_length(role) + 2, F.char_length(part) - F.char_length(role) - 1 - close)
         return F.struct(unescape_role(role).alias("role"), unescape(text).alias("text"))
 
-    return F.transform(turns, turn)
+    return F.transform(_turns(formatted), turn)
+
+
+def loss_text(formatted: Column, mask: Column) -> Column:
+    """All text under the loss mask, cut out of the formatted conversation and unescaped."""
 
+    def cut(part: Column, i: Column) -> Column:
+        head, text = F.get(mask, 3 * i), F.get(mask, 3 * i + 1)
+        return F.when(text["loss"], unescape(F.substring(part, head["chars"] - len(START) + 1, text["chars"]))).otherwise("")
 
-def loss_text(segments: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+    return F.array_join(F.transform(_turns(formatted), cut), "")
 
 
-def events_of(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns (conv_id, turn, role, text) as a log: each row sets a message of its own.
+def events_of(conversations: DataFrame, deltas: int = 3) -> DataFrame:
+    """A table of finished turns (conv_id, turn, role, text) as the log that led to them.
 
-    Rows that repeat are turns of their own too: the number of each copy is part of its message.
+    A turn of the assistant was streamed: a first attempt that was given up for a regeneration, whose
+    text came in ``deltas`` parts. Any other turn was sent empty and then edited. Rows that repeat are
+    turns of their own: the number of each copy is part of its message. A null turn comes first;
+    turns that tie are ordered by role and by the SHA-256 of their texts.
     """
-    counted = conversations.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))
-    rows = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
-    return rows.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.struct("turn", "role", "text", "copy").alias("message"), "role", "text")
+    rows = conversations.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 50))).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    counted = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))
+    turns = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    size = F.char_length("text")
+
+    def event(step: int, kind: str, text: Column) -> Column:
+        return F.struct((F.col("turn") * (deltas + 3) + step).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+
+    def piece(i: int, of: int) -> Column:
+        low, high = F.floor(size * i / of), F.floor(size * (i + 1) / of)
+        return F.substring("text", low + 1, high - low)
+
+    none = F.lit(None).cast("string")
+    streamed = [event(0, "message", none), event(1, "delta", piece(0, 4)), event(2, "regenerate", none), *[event(3 + i, "delta", piece(i, deltas)) for i in range(deltas)]]
+    sent = [event(0, "message", none), event(1, "edit", F.col("text"))]
+    log = turns.select("conv_id", "role", F.struct("turn", "role", F.sha2("text", 256).alias("digest"), "copy").alias("message"), F.explode(F.when(F.col("role") == "assistant", F.array(*streamed)).otherwise(F.array(*sent))).alias("event"))
+    return log.select("conv_id", "event.seq", "event.kind", "message", "role", "event.text")

@@ -92,7 +92,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.sql(f"SELECT -1L AS conv_id, turn, role, '{tricky}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
     done = chat.render(chat.reconstruct(chat.events_of(turns)))
-    read = done.select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss"))
+    read = done.select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("mask")).alias("loss"))
     all_turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",

@@ -410,7 +410,7 @@ def test_control_strings_survive(spark):
     rows = [(i, t, ("assistant", "user", "od\nd<|")[(i + t) % 3], x) for i in range(2) for t, x in enumerate(texts)] + [(9, t, "assistant", None if t % 2 else "x" * 2000) for t in range(2500)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     done = chat.render(chat.reconstruct(chat.events_of(turns)))
-    read = {r.conv_id: r for r in done.select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss")).collect()}
+    read = {r.conv_id: r for r in done.select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("mask")).alias("loss")).collect()}
     for conv in (0, 1, 9):
         mine = [(r[2], r[3] or "") for r in rows if r[0] == conv]
         assert [(t.role, t.text) for t in read[conv].turns] == mine
@@ -420,11 +420,29 @@ def test_control_strings_survive(spark):
 def test_repeated_turns_stay(spark):
     rows = [(1, 0, "user", "again"), (1, 1, "assistant", "yes"), (1, 1, "assistant", "yes"), (1, 1, "assistant", "yes"), (1, 2, "user", None), (1, 2, "user", None)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
-    read = chat.render(chat.reconstruct(chat.events_of(turns))).select(chat.parse(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss")).first()
+    read = chat.render(chat.reconstruct(chat.events_of(turns))).select(chat.parse(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("mask")).alias("loss")).first()
     assert [(t.role, t.text) for t in read.turns] == [(role, text or "") for _, _, role, text in rows]
     assert read.loss == "yesyesyes"
 
 
+def test_a_log_of_finished_turns_folds_back(spark):
+    """Deltas, edits and regenerations; nulls, ties, repeats, extra columns; an empty table."""
+    rows = [(c, t, role, text, "x", "x") for c in (1, None) for t, role, text in ((0, "user", "héllo"), (1, "assistant", "a😀bcdefg"), (1, "assistant", "other"), (None, None, None), (None, "", ""), (5, "assistant", None))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, kind string, seq string").repartition(4)
+    log = chat.events_of(turns)
+    assert {r.kind for r in log.collect()} == {"message", "delta", "edit", "regenerate"}
+    twice = log.union(log)  # delivered twice
+    done = chat.render(chat.reconstruct(twice)).select("conv_id", "mask", "formatted", chat.parse(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("mask")).alias("loss")).collect()
+    order = lambda r: (r[1] is not None, r[1] or 0, r[2] or "", hashlib.sha256((r[3] or "").encode()).hexdigest())
+    assert {r.conv_id for r in done} == {1, None}
+    for r in done:
+        mine = sorted((x for x in rows if x[0] == r.conv_id), key=order)
+        assert [(t.role, t.text) for t in r.turns] == [(x[2] or "", x[3] or "") for x in mine]
+        assert r.loss == "".join(x[3] or "" for x in mine if x[2] == "assistant")
+        assert sum(m.chars for m in r.mask) == len(r.formatted) and len(r.mask) == 3 * len(mine)
+    assert chat.render(chat.reconstruct(chat.events_of(turns.where("false")))).count() == 0
+
+
 def test_chat_query(spark, sf_dir):
     digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
     got = {r.conv_id: r for r in queries.op10_chat(spark, sf_dir).collect()}
