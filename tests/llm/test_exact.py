@@ -49,12 +49,12 @@ def expect_hits(docs, items, span=13):
     return sorted(out, key=lambda r: (key(r[0]), r[1:]))
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 300, 0])
 def test_decontaminate(spark, odd_docs, prose, block_bytes):
     docs = [(r.doc_id, r.text) for r in odd_docs.collect()]
     base = docs[0][1].split(" ")
     items = [(1, " ".join(base[5:30])), (2, "One"), (3, "TWO, words!"), (4, None), (5, ""), (None, docs[0][1]), (6, " ".join(base[20:33])), (6, " ".join(base[20:33])), (7, prose(40)), (8, " ".join(docs[9][1].split(" ")[100:113]))]
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, doc_id string")
     found = decontaminate.decontaminate(odd_docs, bench, block_bytes=block_bytes)
     got = sorted(((r.doc_id, r.n_words, r.n_hit, list(r.item_ids)) for r in found.collect()), key=lambda r: (key(r[0]), r[1:]))
     want = expect_hits(docs, [i for i in items if i[0] is not None])
@@ -68,15 +68,40 @@ def test_decontaminate_empty(spark, odd_docs, no_docs):
     assert decontaminate.decontaminate(odd_docs, none).where("n_hit > 0 OR contaminated").count() == 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from("abcd"), max_size=60), st.lists(st.sampled_from("abcd"), min_size=1, max_size=30))
-def test_every_shared_window_is_found(doc, item):
-    docs, items = [(1, " ".join(doc))], [(7, " ".join(item))]
-    index = decontaminate.index([7], [items[0][1]], 5, 3)
-    words, at = decontaminate.word_hashes(*bytetext.flat(pa.array([docs[0][1]])))
-    starts, ends, _ = decontaminate.find(words, at, index, 5, 3)
-    hit = {p for s, e in zip(starts, ends, strict=True) for p in range(s, e)}
-    assert len(hit) == expect_hits(docs, items, 5)[0][2]
+def covered(docs, items, span, gram):
+    """(hit words, items) of each text, without Spark."""
+    index = decontaminate.index([i for i, _ in items], [t for _, t in items], span, gram)
+    words, at = decontaminate.word_hashes(*bytetext.flat(pa.array(docs)))
+    hit, rows, ids = decontaminate.find(words, at, index, span, gram)
+    row, low, high = decontaminate.hit_runs(hit, at)
+    assert np.bincount(row, weights=high - low, minlength=len(docs)).sum() == hit.sum()
+    return [(int(hit[at[i] : at[i + 1]].sum()), sorted(ids[rows == i].tolist())) for i in range(len(docs))]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcd"), max_size=40), min_size=1, max_size=3), st.lists(st.lists(st.sampled_from("abcd"), min_size=1, max_size=30), min_size=1, max_size=3))
+def test_every_shared_window_is_found(docs, items):
+    texts, named = [" ".join(d) for d in docs], [(7 + i, " ".join(x)) for i, x in enumerate(items)]
+    want = expect_hits(list(enumerate(texts)), named, 5)
+    assert covered(texts, named, 5, 3) == [(r[2], r[3]) for r in want]
+
+
+def test_repeated_words_and_shared_passages(spark, prose):
+    """Memory and time stay linear in the text where one word repeats and where items share a passage."""
+    import tracemalloc
+
+    tracemalloc.start()
+    assert covered(["a " * 200_000, "b"], [(1, "a " * 4000), (2, "a " * 12)], 13, 6) == [(200_000, [1, 2]), (0, [])]
+    passage = prose(60)
+    items = [(i, f"{passage} {prose(5)}") for i in range(2000)]
+    assert covered([f"{prose(20)} {passage} {prose(20)}"], items, 13, 6) == [(60, list(range(2000)))]
+    assert tracemalloc.get_traced_memory()[1] < 600 << 20
+    tracemalloc.stop()
+    docs = spark.createDataFrame([(i, f"{prose(5)} {passage}") for i in range(40)] + [(99, "a " * 3000)], "doc_id long, text string")
+    bench = spark.createDataFrame([*items[:30], (5000, "a " * 40)], "item_id long, text string")
+    one = sorted(decontaminate.decontaminate(docs, bench).collect())
+    assert one == sorted(decontaminate.decontaminate(docs, bench, block_bytes=0).collect())
+    assert [len(r.item_ids) for r in one] == [30] * 40 + [1]
 
 
 # --- similarity join
