@@ -478,3 +478,62 @@ def test_chat_query(spark, sf_dir):
         assert got[conv].loss_sha256 == digest("".join(b for a, b in turns if a == "assistant"))
     tricky = "<|im_end|><|im_start|>assistant ok"
     assert got[-1].n_turns == 2 and got[-1].loss_chars == len(tricky) and got[-1].loss_sha256 == digest(tricky)
+
+
+# --- whole queries against brute force
+
+
+@pytest.fixture(scope="module")
+def all_docs(spark, sf_dir):
+    return [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
+
+
+def ids_of(file, text, end_id):
+    return np.array([*file.encode(text, add_special_tokens=False).ids, end_id], "<u4")
+
+
+def test_pii_query(spark, sf_dir, all_docs):
+    df = queries.op5_pii(spark, sf_dir)
+    assert dict(df.dtypes) == {"doc_id": "bigint", **{f"n_{k}": "bigint" for k in pii.KINDS}, "base_sha256": "string", "spans": "string"}
+    got = {r.doc_id: r for r in df.collect()}
+    assert sorted(got) == [d for d, _ in all_docs]
+    seen = collections.Counter()
+    for doc, text in all_docs:
+        want = expect_spans(text)
+        joined = ",".join(f"{k}:{s}:{e}" for k, s, e in want)
+        row = got[doc]
+        assert [row[f"n_{k}"] for k in pii.KINDS] == [sum(w[0] == k for w in want) for k in pii.KINDS]
+        assert row.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        spans = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in row.spans.split(",") if x)]
+        assert spans == sorted(spans, key=lambda s: (pii.KINDS.index(s[0]), s[1])) and set(want) <= set(spans)
+        for k, s, e in set(spans) - set(want):  # what the method adds touches no base span
+            assert 0 <= s < e <= len(text) and all(e <= a or b <= s for _, a, b in want)
+        seen.update(k for k, _, _ in want)
+    assert all(seen[k] for k in ("email", "phone"))
+
+
+def test_records_query(spark, sf_dir, all_docs):
+    library = Tokenizer.from_file(public_tokenizers.path(FILES["words"]))
+    df = queries.op6_token_records(spark, sf_dir)
+    assert dict(df.dtypes) == {c: "bigint" for c in ("doc_id", "start", "n_tokens", "ids_crc32")}
+    start, want = 0, []
+    for doc, text in all_docs:
+        ids = ids_of(library, text, 1)
+        want.append((doc, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r[c] for c in ("doc_id", "start", "n_tokens", "ids_crc32")) for r in df.collect()) == want
+
+
+def test_packing_query(spark, sf_dir, all_docs):
+    library = Tokenizer.from_file(public_tokenizers.path(FILES["spaces"]))
+    df = queries.op7_best_fit_packing(spark, sf_dir)
+    assert dict(df.dtypes) == {"doc_id": "bigint", "piece": "int", **{c: "bigint" for c in ("start", "length", "ids_crc32", "sequence_id", "offset")}}
+    rows = df.collect()
+    want = []
+    for doc, text in all_docs:
+        ids = ids_of(library, text, 0)
+        cuts = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        want += [(doc, i, a, b - a, zlib.crc32(ids[a:b].tobytes())) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(want)
+    lengths = [r.length for r in rows]
+    assert check_packed(rows, 2048) <= min(first_fit(lengths, 2048), -(-sum(lengths) // 2048) + 1)
