@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import WALK_M_PER_MIN, minutes
-from gridloom.sources.store import kept
+from gridloom.sources.store import Rounds
 
 BUCKETS = (5, 10, 15)
 
@@ -18,25 +18,22 @@ def undirected(edges: DataFrame) -> DataFrame:
     return least.union(least.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"), "length"))
 
 
-def shortest_paths(sources: DataFrame, edges: DataFrame, cutoff_m: float, most_rounds: int = 10_000) -> DataFrame:
+def shortest_paths(sources: DataFrame, edges: DataFrame, cutoff_m: float) -> DataFrame:
     """(src, node, d) with d <= cutoff_m, from (src, node) starts over (u, v, length) both ways.
 
     Frontier relaxation: each round joins the nodes improved last with their edges, keeps the least
     distance for each (src, node), and goes on with those that improved. All sources run in one
     job, rows are spread by (src, node), and every round is kept in a table.
     """
-    state = kept(sources.select("src", "node").distinct().withColumn("d", F.lit(0.0)), "walk")
-    frontier = state
-    for _ in range(most_rounds):
+    rounds = Rounds(sources.sparkSession, "walk")
+    state = frontier = rounds.keep(sources.select("src", "node").distinct().withColumn("d", F.lit(0.0)))
+    while not frontier.isEmpty():
         step = frontier.join(edges, F.col("node") == F.col("u")).select("src", F.col("v").alias("node"), (F.col("d") + F.col("length")).alias("new"))
         offers = step.where(F.col("new") <= cutoff_m).groupBy("src", "node").agg(F.min("new").alias("new"))
         better = F.col("new").isNotNull() & (F.col("d").isNull() | (F.col("new") < F.col("d")))
-        merged = state.join(offers, ["src", "node"], "full_outer").select("src", "node", F.least("d", "new").alias("d"), better.alias("moved"))
-        merged = kept(merged, "walk")
+        merged = rounds.keep(state.join(offers, ["src", "node"], "full_outer").select("src", "node", F.least("d", "new").alias("d"), better.alias("moved")))
         state, frontier = merged.select("src", "node", "d"), merged.where("moved").select("src", "node", "d")
-        if frontier.isEmpty():
-            return state
-    raise RuntimeError("shortest paths did not settle")
+    return state
 
 
 def walk_times(starts: DataFrame, edges: DataFrame, node_cells: DataFrame, max_minutes: float = 15.0, m_per_min: float = WALK_M_PER_MIN) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Tables kept between the rounds of an iterative job, in storage that every executor sees."""
+"""Tables kept between the steps of a job, in storage that every executor sees."""
 
 from __future__ import annotations
 
@@ -8,17 +8,49 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def round_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a session without one (tests) gets a temporary folder."""
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``.
+
+    A local session without one (as in tests) gets a temporary folder; on a cluster, where no folder
+    of one machine will do, a missing setting is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Spark's own file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Computes ``df`` once, into a table; reading that back cuts the lineage and survives lost executors."""
-    path = f"{round_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """The tables of an iterative job, of which only the last round's stays."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.path = spark, name, None
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """As kept(); the table kept before it, which ``df`` may read, is deleted once this one is written."""
+        before, self.path = self.path, new_path(self.spark, self.name)
+        df.write.parquet(self.path)
+        if before:
+            remove(self.spark, before)
+        return self.spark.read.schema(df.schema).parquet(self.path)
