@@ -12,10 +12,10 @@ whose second part, the risk on negatives, is kept from going below zero: while a
 below, steps only undo that. The prior is the toxic share of the labels that may be learned from,
 counted over all of them.
 
-Words speak for toxicity or not at all: weights are never negative. Only features of
-``least_texts`` texts of the sample or more have weights, and the first epochs shrink weights
-towards zero (``sparsity``), so that the classifier cannot learn single texts by heart; the
-features left then are trained on without shrinking. Last, the constant is set where the same
+Words speak for toxicity or not at all: weights are never negative. Only features have weights that
+``least_texts`` texts of the sample or more have, and toxic ones so much oftener than unlabelled ones
+that chance would not do it (``least_deviations`` of their difference); so the classifier cannot learn
+single texts by heart. The first epochs shrink weights towards zero (``sparsity``), later ones not. Last, the constant is set where the same
 corrected risk, of decisions instead of losses, is least on the sample. The sample is bounded: at most
 ``each_toxic`` toxic and ``each_other`` unlabelled texts, of any length, and ``most_bytes`` of either. Weights, of fixed size, go to
 every task and each text is scored whole. A null text is scored as an empty one; null ids are never
@@ -83,7 +83,7 @@ def scores(model: Classifier, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
     return 1 / (1 + np.exp(-np.clip(total + model.bias, -30, 30)))
 
 
-def train(toxic: list[str], other: list[str], prior: float, least_texts: int = 8, epochs: int = 160, more_epochs: int = 200, rate: float = 0.2, sparsity: float = 3e-3, batch: int = 4000, seed: int = 3) -> Classifier:
+def train(toxic: list[str], other: list[str], prior: float, least_texts: int = 8, least_deviations: float = 4.0, epochs: int = 60, more_epochs: int = 120, rate: float = 0.2, sparsity: float = 1e-4, batch: int = 4000, seed: int = 3) -> Classifier:
     """Non-negative risk, by Adagrad steps on mini-batches of both samples."""
     weights = np.zeros(1 << BUCKET_BITS)
     if not toxic or not other or prior <= 0:
@@ -91,7 +91,10 @@ def train(toxic: list[str], other: list[str], prior: float, least_texts: int = 8
     data, offsets = bt.flat(pa.array(toxic + other, pa.large_string()))
     bucket, row = word_sets(data, offsets)
     used, back, texts = np.unique(bucket, return_inverse=True, return_counts=True)
-    often = texts >= least_texts
+    in_toxic = np.bincount(back[row < len(toxic)], minlength=len(used))
+    share = texts / (len(toxic) + len(other))
+    gap = in_toxic / len(toxic) - (texts - in_toxic) / len(other)
+    often = (texts >= least_texts) & (gap > least_deviations * np.sqrt(share * (1 - share) * (1 / len(toxic) + 1 / len(other))))
     number = np.cumsum(often) - 1
     used = used[often]
     kept = often[back]
@@ -102,11 +105,8 @@ def train(toxic: list[str], other: list[str], prior: float, least_texts: int = 8
     seen, seen_bias = np.full(len(used), 1e-4), 1e-2
     parts = max(1, len(other) // batch)
     for epoch in range(epochs + more_epochs):
-        if epoch == epochs:  # the features are chosen: from here on their weights are not shrunk
-            chosen = w > 0
-            w *= chosen
-            sparsity = 0.0
-            seen = np.where(chosen, 1e-2, np.inf)
+        if epoch == epochs:
+            sparsity, seen = 0.0, np.full(len(used), 1e-2)
         p_order, u_order = np.array_split(rng.permutation(len(toxic)), parts), np.array_split(len(toxic) + rng.permutation(len(other)), parts)
         for p_rows, u_rows in zip(p_order, u_order, strict=True):
             if not len(p_rows):
