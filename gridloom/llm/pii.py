@@ -40,7 +40,6 @@ KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("pattern", "checksum", "gazetteer", "context", "border")
 ABSTAIN, NO, YES = 0, 1, 2
 
-_LOCAL = re.compile(rb"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(rb"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _NOT_LOCAL = ~bt.byte_class((48, 57), (65, 90), (97, 122), *((ord(c), ord(c)) for c in "._%+-"))
 # The two patterns below start only where a run of digits starts: a match from inside a run would
@@ -50,7 +49,7 @@ _DIGITS = re.compile(rb"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 
 _AT_WORD = re.compile(rb"[\x20]?[\(\[](?:at|AT|At)[\)\]][\x20]?")
-_AT_DOMAIN = re.compile(rb"[A-Za-z0-9-]{1,63}(?:(?:\.|[\x20]?[\(\[](?:dot|DOT|Dot)[\)\]][\x20]?)[A-Za-z0-9-]{1,63}){1,6}")
+_AT_DOMAIN = re.compile(rb"[A-Za-z0-9-]++(?:(?:\.|[\x20]?[\(\[](?:dot|DOT|Dot)[\)\]][\x20]?)[A-Za-z0-9-]++)++")
 _IPV6_HINT = re.compile(rb":[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:")
 _IPV6 = re.compile(rb"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
 _NATIONAL = re.compile(rb"(?<![0-9+.-])(?:\([0-9]{3}\)[\x20.-]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])")
@@ -115,11 +114,13 @@ def base_spans(text: bytes) -> Iterator[tuple[int, int, int, bool]]:
 
 def _wider(text: bytes) -> Iterator[tuple[int, int, int]]:
     if b"at)" in text.lower() or b"at]" in text.lower():
+        outside = np.flatnonzero(_NOT_LOCAL[np.frombuffer(text, np.uint8)])
         for m in _AT_WORD.finditer(text):
-            before = _LOCAL.search(text[max(0, m.start() - 64) : m.start()][::-1])
+            i = int(np.searchsorted(outside, m.start()))
+            start = int(outside[i - 1]) + 1 if i else 0
             after = _AT_DOMAIN.match(text, m.end())
-            if before and before.start() == 0 and after:
-                yield 0, m.start() - before.end(), after.end()
+            if start < m.start() and after:
+                yield 0, start, after.end()
     if _IPV6_HINT.search(text):
         for m in _IPV6.finditer(text):
             yield 1, m.start(), m.end()
