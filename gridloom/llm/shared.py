@@ -2,34 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.sources.store import Rounds, new_path
+from gridloom.sources.store import kept as stored
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which every executor sees.
-
-    Only a session that names none (a local one, as in tests) gets a temporary folder of its own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it again: computed once, lineage cut."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["connected_components", "new_path", "partitions", "plain", "small_batches", "stored"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -46,12 +25,13 @@ def plain(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node in ``edges`` (two long columns); component: the smallest node reached.
 
     Alternates two star operations until the edges no longer change. Each is a partially aggregated
     minimum and an equi-join, whose hot keys adaptive execution splits; nothing is gathered in one
-    task or on the driver. Every round is written to the shared folder, which cuts the lineage.
+    task or on the driver. Every round is written to the shared folder, which cuts the lineage, and
+    takes the place of the round before it.
     Rows with a null end and self-loops add nothing.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
@@ -74,17 +54,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     def digest(x: DataFrame) -> tuple:
         return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.max(F.xxhash64("u", "v"))).first())
 
-    now = stored(pairs, "links")
-    before = digest(now)
-    for _ in range(most_rounds):
-        if not before[0]:
-            break
-        now = stored(small(large(now)), "links")
-        after = digest(now)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("connected components did not settle")
+    rounds = Rounds(edges.sparkSession, "links")
+    now = rounds.keep(pairs)
+    before, after = None, digest(now)
+    while after[0] and after != before:
+        now = rounds.keep(small(large(now)))
+        before, after = after, digest(now)
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
