@@ -12,7 +12,7 @@ sequences are filled exactly wherever possible:
 * A combination is used as often as its lengths last, so that every step exhausts a length and the
   plan has a few thousand combinations at most.
 * The plan gives each length's pieces, by rank, to combinations. Ranks are counted in salted groups
-  of each length, so that a length of most pieces is spread over many tasks.
+  of each length, as many as it needs, so that a length of most pieces is spread over many tasks.
 
 Null text is an empty one: its end id alone. Null ids are kept; rows that repeat are packed each.
 Other columns of the input are ignored. An empty input gives an empty result.
@@ -53,10 +53,14 @@ def _cut(path: str, mode: str, end_id: int, size: int):
     return run
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, mode: str = "spaces", end_id: int = 0, size: int = 2048) -> DataFrame:
-    """(doc_id, piece, start, length, ids) of all pieces; ids are little-endian unsigned 32-bit integers."""
+def cut_pieces(docs: DataFrame, tokenizer: str, mode: str = "spaces", end_id: int = 0, size: int = 2048, with_ids: bool = True) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, ids?) of all pieces; ids are little-endian unsigned 32-bit integers.
+
+    Without ids the table that is written stays a small part of the texts.
+    """
     rows = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stored(rows.mapInArrow(_cut(tokenizer, mode, end_id, size), PIECES), "pieces")
+    pieces = rows.mapInArrow(_cut(tokenizer, mode, end_id, size), PIECES)
+    return stored(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), *(["ids"] if with_ids else [])), "pieces")
 
 
 @dataclass
@@ -155,24 +159,28 @@ def _assign(plan, ranks_at: int):
     return run
 
 
-def place(pieces: DataFrame, size: int = 2048, rows_per_group: int = 20_000) -> DataFrame:
+def place(pieces: DataFrame, size: int = 2048, rows_per_group: int = 2_000) -> DataFrame:
     """Adds (sequence_id, offset) to rows that have doc_id, piece, start and length; other columns stay.
 
-    Pass narrow rows: they are shuffled once, by length.
+    ``pieces``: a table as cut_pieces() stores it, of narrow rows (reading it again gives the same rows
+    in the same order). Pieces of full length are a sequence each, with negative numbers, and are not
+    shuffled; the others are shuffled once, by length, in groups of about ``rows_per_group``.
     """
     spark = pieces.sparkSession
     counts = np.zeros(size + 1, np.int64)
-    for row in pieces.groupBy("length").count().collect():  # at most size rows
+    for row in pieces.where(F.col("length") < size).groupBy("length").count().collect():  # fewer than size rows
         counts[row.length] = row["count"]
     plan = spark.sparkContext.broadcast(make_plan(counts, size))
-    salts = max(1, int(counts.max()) // rows_per_group + 1)
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    names = [f"`{c}`" for c in pieces.columns]
+    full = pieces.where(F.col("length") == size).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    salts = F.element_at(F.lit((counts // rows_per_group + 1).tolist()), F.col("length").cast("int") + 1)  # of each length
+    salted = pieces.where(F.col("length") < size).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), salts).cast("int"))
     groups = salted.groupBy("length", "_salt").count()
     before = groups.select("length", "_salt", (F.sum("count").over(Window.partitionBy("length").orderBy("_salt")) - F.col("count")).alias("_before"))
     nth = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", *[F.col(f"`{c}`") for c in pieces.columns if c not in ("doc_id", "piece")]))
-    ranked = salted.withColumn("_nth", nth).join(before, ["length", "_salt"]).select(*[f"`{c}`" for c in pieces.columns], (F.col("_before") + F.col("_nth") - 1).alias("_rank"))
+    ranked = salted.withColumn("_nth", nth).join(before, ["length", "_salt"]).select(*names, (F.col("_before") + F.col("_nth") - 1).alias("_rank"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema), "sequence_id long, offset long"])
-    return ranked.mapInArrow(_assign(plan, len(pieces.columns)), schema)
+    return ranked.mapInArrow(_assign(plan, len(pieces.columns)), schema).union(full)
 
 
 def sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:

@@ -254,6 +254,7 @@ def test_packing(spark, odd_docs, no_docs):
     assert got == want
     placed = packing.place(pieces.drop("ids"), size=size, rows_per_group=50).collect()
     assert len(placed) == sum(want.values())
+    assert all((r.sequence_id < 0) == (r.length == size) for r in placed)
     assert check_packed(placed, size) <= first_fit([r.length for r in placed], size)
     whole = packing.sequences(pieces.where("doc_id = 1"), packing.place(pieces.where("doc_id = 1").drop("ids"), size=size)).collect()
     assert sum(len(r.parts) for r in whole) == sum(r.doc_id == 1 for r in placed)
@@ -300,7 +301,7 @@ def expect_spans(text):
 
 PII_TEXTS = [
     "é a@b.c%d@e.f x", "@@a@b@c.d.e.@", "1.2.3.4.5.6.7.8 300.1.1.1 0001.2.3.4", "4111 1111 1111 1111-2, 4111111111111111 4111-1111-1111-1111", "+1 (162) 555-6820 +12 +1-- ++49 30 1234567é",
-    "x" * 2000 + "@y.z", "1" * 3000, "1." * 500, None, "", "mail: joe (at) example (dot) com, call (717) 555-0202",
+    "x" * 2000 + "@y.z", "1" * 3000, "1." * 500, None, "", "mail: joe (at) example (dot) com, call (717) 555-0202", "y" * 300 + " (at) example.com",
 ]
 
 
@@ -321,6 +322,8 @@ def test_pii_base_spans(spark, odd_docs, no_docs):
         else:
             assert not expect_spans(re.sub(r"\[(EMAIL|IP|CARD|PHONE)\]", "\n", b.text))
     assert pii.detect(no_docs, pii.fit(no_docs), "lang").count() == 0
+    long = f"mail {'y' * 300} (at) {'d' * 90}.com"
+    assert [(k, s, e) for k, s, e in pii._wider(long.encode())] == [(0, 5, len(long))]
 
 
 @settings(max_examples=200, deadline=None)
