@@ -59,8 +59,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents, placed in sequences of 2048; a null or empty text is its end id alone."""
-    pieces = packing.cut_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), mode="spaces", end_id=0, size=2048)
-    return packing.place(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), size=2048)
+    pieces = packing.cut_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), mode="spaces", end_id=0, size=2048, with_ids=False)
+    return packing.place(pieces, size=2048)
 
 
 STAGES = [
