@@ -65,10 +65,13 @@ def _buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def word_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, rows): the distinct feature buckets of each text, without bucket 0."""
-    buckets, at = _buckets(data, offsets)
-    rows = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    pairs = np.unique((rows << BUCKET_BITS | buckets)[buckets > 0])
-    return pairs & ((1 << BUCKET_BITS) - 1), pairs >> BUCKET_BITS
+    found = [(np.zeros(0, np.int32),) * 2]
+    for a, b in bt.groups(offsets):
+        buckets, at = _buckets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        rows = np.repeat(np.arange(b - a), np.diff(at))
+        pairs = np.unique((rows << BUCKET_BITS | buckets)[buckets > 0])
+        found.append(((pairs & ((1 << BUCKET_BITS) - 1)).astype(np.int32), (a + (pairs >> BUCKET_BITS)).astype(np.int32)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def scores(model: Classifier, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -90,15 +93,14 @@ def train(toxic: list[str], other: list[str], prior: float, least_texts: int = 8
         return Classifier(weights, 0.0, 0.0 if not toxic else 1.0)
     data, offsets = bt.flat(pa.array(toxic + other, pa.large_string()))
     bucket, row = word_sets(data, offsets)
-    used, back, texts = np.unique(bucket, return_inverse=True, return_counts=True)
-    in_toxic = np.bincount(back[row < len(toxic)], minlength=len(used))
+    texts = np.bincount(bucket, minlength=len(weights))
+    in_toxic = np.bincount(bucket[row < len(toxic)], minlength=len(weights))
     share = texts / (len(toxic) + len(other))
     gap = in_toxic / len(toxic) - (texts - in_toxic) / len(other)
     often = (texts >= least_texts) & (gap > least_deviations * np.sqrt(share * (1 - share) * (1 / len(toxic) + 1 / len(other))))
-    number = np.cumsum(often) - 1
-    used = used[often]
-    kept = often[back]
-    column, row = number[back[kept]], row[kept]
+    used = np.flatnonzero(often)
+    kept = often[bucket]
+    column, row = (np.cumsum(often) - 1)[bucket[kept]], row[kept]
     at = np.searchsorted(row, np.arange(len(toxic) + len(other) + 1))
     rng = np.random.default_rng(seed)
     w, bias = np.zeros(len(used)), float(np.log(prior / (1 - prior))) if prior < 1 else 0.0
