@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import WALK_M_PER_MIN, minutes
-from gridloom.sources.store import Rounds
+from gridloom.sources.store import kept
 
 BUCKETS = (5, 10, 15)
 
@@ -18,22 +22,97 @@ def undirected(edges: DataFrame) -> DataFrame:
     return least.union(least.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"), "length"))
 
 
-def shortest_paths(sources: DataFrame, edges: DataFrame, cutoff_m: float) -> DataFrame:
+def shortest_paths(sources: DataFrame, edges: DataFrame, cutoff_m: float, most_edges: int = 4_000_000) -> DataFrame:
     """(src, node, d) with d <= cutoff_m, from (src, node) starts over (u, v, length) both ways.
 
-    Frontier relaxation: each round joins the nodes improved last with their edges, keeps the least
-    distance for each (src, node), and goes on with those that improved. All sources run in one
-    job, rows are spread by (src, node), and every round is kept in a table.
+    Sources are spread over tasks. A graph of at most ``most_edges`` edges (they are counted first) is
+    sent to every task, which relaxes blocks of its sources in arrays; a larger one is never sent
+    anywhere, and is relaxed in rounds of joins. Nodes are long; edges of negative or no length are left out.
+    """
+    good = edges.where(F.col("length") >= 0).select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("length").cast("double").alias("length"))
+    starts = sources.select("src", F.col("node").cast("long").alias("node")).dropna().distinct()
+    if good.limit(most_edges + 1).count() > most_edges:
+        return _in_rounds(starts, good, cutoff_m)
+    return _in_tasks(starts, good, cutoff_m)
+
+
+_CELLS = 1 << 23  # distances that a task holds at a time
+
+
+def _in_tasks(sources: DataFrame, edges: DataFrame, cutoff_m: float) -> DataFrame:
+    table = edges.toArrow()
+    u, v, length = (table.column(c).to_numpy() for c in ("u", "v", "length"))
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    order = np.argsort(ends[: len(u)], kind="stable")
+    first = np.searchsorted(ends[: len(u)][order], np.arange(len(nodes) + 1))
+    graph = sources.sparkSession.sparkContext.broadcast((nodes, first, ends[len(u) :][order], length[order]))  # most_edges edges at most
+
+    def relax(known: np.ndarray, keys: np.ndarray) -> None:
+        """Lowers the distances of a block (a row of all nodes for each source) from the nodes ``keys`` on."""
+        nodes, first, to, length = graph.value
+        while len(keys):
+            node = keys % len(nodes)
+            size = first[node + 1] - first[node]
+            edge = np.arange(size.sum()) + np.repeat(first[node] - (np.cumsum(size) - size), size)
+            offer, there = np.repeat(known[keys], size) + length[edge], np.repeat(keys - node, size) + to[edge]
+            better = (offer <= cutoff_m) & (offer < known[there])
+            offer, there = offer[better], there[better]
+            np.minimum.at(known, there, offer)
+            keys = np.unique(there)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes = graph.value[0]
+        block = max(1, _CELLS // max(len(nodes), 1))
+        for batch in batches:
+            for low in range(0, batch.num_rows, block):
+                part = batch.slice(low, block)
+                lists = part.column(1)
+                row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+                start = lists.flatten().to_numpy()
+                at = np.searchsorted(nodes, start)
+                inside = np.zeros(len(start), bool)
+                inside[at < len(nodes)] = nodes[at[at < len(nodes)]] == start[at < len(nodes)]
+                known = np.full(part.num_rows * len(nodes), np.inf)
+                keys = row[inside] * len(nodes) + at[inside]
+                known[keys] = 0.0
+                relax(known, keys)
+                found = np.flatnonzero(known < np.inf)
+                source = np.concatenate([found // max(len(nodes), 1), row[~inside]])  # starts without an edge reach themselves
+                node = np.concatenate([nodes[found % max(len(nodes), 1)], start[~inside]])
+                d = np.concatenate([known[found], np.zeros(int((~inside).sum()))])
+                for a in range(0, len(d), 1 << 16):
+                    some = slice(a, a + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(source[some])), pa.array(node[some]), pa.array(d[some])], ["src", "node", "d"])
+
+    # a fixed number of tasks: the rows are few and small, but each is a search of its own
+    tasks = max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), sources.sparkSession.sparkContext.defaultParallelism)
+    grouped = sources.repartition(tasks, "src").groupBy("src").agg(F.collect_set("node").alias("nodes"))
+    return grouped.mapInArrow(run, f"src {sources.schema['src'].dataType.simpleString()}, node long, d double")
+
+
+def _in_rounds(sources: DataFrame, edges: DataFrame, cutoff_m: float) -> DataFrame:
+    """For graphs of any size: frontier relaxation as joins, for all sources in one job.
+
+    Each round offers the neighbours of the nodes
+    improved last new distances, and keeps, as a table of its own, those that improve on all rounds
+    before. What is known is never written again; one shuffle by (src, node) compares it with the
+    offers. The least of all rounds is the distance.
     """
-    rounds = Rounds(sources.sparkSession, "walk")
-    state = frontier = rounds.keep(sources.select("src", "node").distinct().withColumn("d", F.lit(0.0)))
-    while not frontier.isEmpty():
-        step = frontier.join(edges, F.col("node") == F.col("u")).select("src", F.col("v").alias("node"), (F.col("d") + F.col("length")).alias("new"))
-        offers = step.where(F.col("new") <= cutoff_m).groupBy("src", "node").agg(F.min("new").alias("new"))
-        better = F.col("new").isNotNull() & (F.col("d").isNull() | (F.col("new") < F.col("d")))
-        merged = rounds.keep(state.join(offers, ["src", "node"], "full_outer").select("src", "node", F.least("d", "new").alias("d"), better.alias("moved")))
-        state, frontier = merged.select("src", "node", "d"), merged.where("moved").select("src", "node", "d")
-    return state
+    shortest = edges.agg(F.min("length")).first()[0]  # an end that is nearer to the cutoff leads no further
+    found = [kept(sources.select("src", "node").distinct().withColumn("d", F.lit(0.0)), "walk")]
+    known = found[0]
+    while shortest is not None:
+        ends = found[-1].where(F.col("d") <= cutoff_m - shortest)
+        step = ends.join(edges, F.col("node") == F.col("u")).select("src", F.col("v").alias("node"), (F.col("d") + F.col("length")).alias("new"))
+        offers = step.where(F.col("new") <= cutoff_m)
+        either = known.select("src", "node", "d", F.lit(None).cast("double").alias("new")).union(offers.select("src", "node", F.lit(None).cast("double"), "new"))
+        best = either.groupBy("src", "node").agg(F.min("d").alias("d"), F.min("new").alias("new"))
+        better = kept(best.where(F.col("new").isNotNull() & (F.col("d").isNull() | (F.col("new") < F.col("d")))).select("src", "node", F.col("new").alias("d")), "walk")
+        if better.isEmpty():
+            break
+        found.append(better)
+        known = known.union(better)
+    return known.groupBy("src", "node").agg(F.min("d").alias("d"))
 
 
 def walk_times(starts: DataFrame, edges: DataFrame, node_cells: DataFrame, max_minutes: float = 15.0, m_per_min: float = WALK_M_PER_MIN) -> DataFrame:

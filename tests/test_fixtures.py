@@ -1,6 +1,7 @@
 """Hand-computed cases of each operator."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,6 +147,31 @@ def test_walk(spark):
     assert rows(times) == [(100, 100, 0.0), (100, 200, 5.0), (100, 300, 15.0)]
 
 
+def test_paths_in_tasks_and_in_rounds(spark):
+    rng = random.Random(4)
+    pairs = [(rng.randrange(60), rng.randrange(60), float(rng.randrange(0, 500))) for _ in range(150)] + [(1, 2, float("nan")), (1, 3, -5.0)]
+    edges = catchment.undirected(spark.createDataFrame(pairs, "u long, v long, length double"))
+    starts = spark.createDataFrame([(f"s{i}", i) for i in range(0, 60, 3)] + [("s0", 33), ("away", 999), (None, 1), ("none", None)], "src string, node long")
+    graph = {}
+    for u, v, d in edges.collect():
+        graph.setdefault(u, []).append((v, d))
+    want = set()
+    for src in {s for s, n in starts.collect() if s is not None and n is not None}:
+        best = {n: 0.0 for s, n in starts.collect() if s == src}
+        todo = list(best)
+        while todo:
+            u = todo.pop()
+            for v, d in graph.get(u, []):
+                if best[u] + d <= 900 and best[u] + d < best.get(v, math.inf):
+                    best[v] = best[u] + d
+                    todo.append(v)
+        want |= {(src, n, d) for n, d in best.items()}
+    for most_edges in (1000, 10):
+        got = [tuple(r) for r in catchment.shortest_paths(starts, edges, 900.0, most_edges).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert catchment.shortest_paths(starts, edges.where("false"), 900.0).where("d > 0").count() == 0
+
+
 def test_buckets(spark):
     times = spark.createDataFrame([(1, c, m) for c, m in ((1, 0.0), (2, 5.0), (3, 5.01), (4, 15.0), (9, 1.0))], "src_cell long, cell_id long, minutes double")
     cells = spark.createDataFrame([(1, 10), (2, None), (3, 5), (4, 1)], "cell_id long, poi_count long")
