@@ -12,16 +12,19 @@ How it runs, with every step linear in the input's tokens:
    bitmap of fixed size marks those in more than ``common`` documents. Order i is (marked,
    i-th hash): rare tokens first, and unrelated between orders. The bitmap is approximate only
    towards more marks, and any order is a right one: it steers the work, never the result.
-3. Linked documents must share a token of their prefixes under every order. Under the first one,
-   a rare token has few documents by definition, whose pairs are filtered one by one by how many
-   prefix tokens they share; documents of a common token hang on one hub per run of compatible
-   sizes, first within each map task, so that a token of a third of all documents still sends one
-   row per task. Connected components of these edges confine all links.
+3. Linked documents must share tokens of their prefixes under every order. A rare token has few
+   documents by definition: pairs that share one under the first order are counted one by one, and so
+   are they under every other order; only pairs that share enough prefix tokens under each of them
+   stay candidates. Documents of a common token hang on one hub per run of compatible sizes, first
+   within each map task, so that a token of a third of all documents still sends one row per task.
+   Connected components of these edges confine all links.
 4. The sets of documents in such components meet in tasks of bounded size (large components are
-   cut in blocks, every two of which meet). There pairs must pass the prefix filters of all orders
-   at once, before their sets are intersected exactly.
+   cut in blocks, every two of which meet, and each of which meets itself once). There pairs must pass
+   the prefix filters of all orders at once, before their sets are intersected exactly.
 5. Connected components of the verified links.
 
+Words and shingles are told apart by 64-bit hashes, sets by 128 bits.
+
 Null or empty texts have no shingles, and link with nothing. A row whose id is null keeps its
 size, and has no component. Each row has its row in the result; rows that repeat an id and its
 text agree, and rows that repeat an id with another text each join what their own text links to.
@@ -200,52 +203,63 @@ def _pairs(rows: np.ndarray, common: int, percent: int) -> tuple[np.ndarray, np.
     return np.unique(np.concatenate(out), return_counts=True) if out else (np.zeros(0, _EDGE), np.zeros(0, np.int64))
 
 
+#: Kinds of rows that postings are dealt in: rare tokens and prefix ends of order i are _RARE + 2 i and _RARE + 2 i + 1.
+_OFTEN, _HUB, _RARE = 0, 1, 2
+
+
 def candidate_edges(docs: DataFrame, bitmap, k: int, percent: int, common: int) -> DataFrame:
-    """Edges (a, b) whose connected components confine all links, by the prefixes of the first order.
+    """Edges (a, b) whose connected components confine all links, by the prefixes of all orders.
 
     A rare token has at most ``common`` documents, whose pairs are looked at one by one. If w is the
     smaller of the ends of two prefixes (among rare tokens), all common tokens up to w are in both
     prefixes; further ones number at most what lies behind w in the set whose prefix ends there.
-    A pair whose shared prefix tokens and this rest are too few for a link is dropped. Documents
-    whose prefixes reach common tokens hang on a hub for each such token and run of sizes.
+    A pair whose shared prefix tokens and this rest are too few for a link, under any order, is
+    dropped. Documents whose prefixes reach common tokens hang on a hub for each such token and run of
+    sizes, under the first order.
     """
     bits = _bucket_bits(docs)
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare, often, ends, n = [], [], [], 0
+        held: dict[int, list[np.ndarray]] = {}
+        n = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for kind, rows in ((0, np.concatenate(rare)), (1, _runs(np.concatenate(often), percent)[0])):
-                bucket = (rows["key"] >> _U(63 - bits)) & _U((1 << bits) - 1)
-                order = np.argsort(bucket, kind="stable")
-                yield _blobs(rows[order], bucket[order], kind)
-            for kind, rows, by in ((2, _runs(np.concatenate(often), percent)[1], "a"), (3, np.concatenate(ends), "doc")):
-                bucket = rows[by] & ((1 << bits) - 1)
+            runs, hubs = _runs(np.concatenate(held.pop(_OFTEN)), percent)
+            for kind, rows in [(_OFTEN, runs), (_HUB, hubs), *((kind, np.concatenate(x)) for kind, x in held.items())]:
+                if rows.dtype == _POSTING:
+                    bucket = (rows["key"] >> _U(63 - bits)) & _U((1 << bits) - 1)
+                else:
+                    bucket = rows["a" if rows.dtype == _EDGE else "doc"] & ((1 << bits) - 1)
                 order = np.argsort(bucket, kind="stable")
                 yield _blobs(rows[order], bucket[order], kind)
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, tokens, at in shingle_sets(batch.column(1), k):
-                keys, rows = prefixes(tokens, at, bitmap.value, ORDERS[0], percent)
-                part = np.empty(len(keys), dtype=_POSTING)
-                part["key"], part["hub"] = keys, ids[a + rows]
-                part["low"] = part["high"] = np.diff(at)[rows]
-                marked = keys >> _U(63) == 1
-                rare.append(part[~marked])
-                often.append(part[marked])
-                stop = np.searchsorted(rows, np.arange(b - a), side="right") - 1
-                some = np.flatnonzero(np.diff(at))
-                end = np.empty(len(some), dtype=_END)
-                end["doc"], end["n"] = ids[a + some], np.diff(at)[some]
-                end["rest"] = end["n"] - np.bincount(rows[~marked], minlength=b - a)[some]
-                end["w"] = np.where(marked[stop[some]], np.int64(0x7FFFFFFFFFFFFFFF), keys[stop[some]].view(np.int64))
-                ends.append(end)
-                n += len(keys)
+                sizes = np.diff(at)
+                some = np.flatnonzero(sizes)
+                for i, seed in enumerate(ORDERS):
+                    keys, rows = prefixes(tokens, at, bitmap.value, seed, percent)
+                    marked = keys >> _U(63) == 1
+                    wanted = slice(None) if i == 0 else ~marked  # common tokens make hubs under the first order alone
+                    part = np.empty(len(keys[wanted]), dtype=_POSTING)
+                    part["key"], part["hub"] = keys[wanted], ids[a + rows[wanted]]
+                    part["low"] = part["high"] = sizes[rows[wanted]]
+                    if i == 0:
+                        held.setdefault(_OFTEN, []).append(part[marked])
+                        part = part[~marked]
+                    held.setdefault(_RARE + 2 * i, []).append(part)
+                    stop = np.searchsorted(rows, np.arange(b - a), side="right") - 1
+                    end = np.empty(len(some), dtype=_END)
+                    end["doc"], end["n"] = ids[a + some], sizes[some]
+                    end["rest"] = sizes[some] - np.bincount(rows[~marked], minlength=b - a)[some]
+                    end["w"] = np.where(marked[stop[some]], np.int64(0x7FFFFFFFFFFFFFFF), keys[stop[some]].view(np.int64))
+                    held.setdefault(_RARE + 2 * i + 1, []).append(end)
+                    n += len(part)
                 if n >= _FLUSH:
                     yield from flush()
-                    rare, often, ends, n = [], [], [], 0
-        if n:
+                    held, n = {}, 0
+        if held:
             yield from flush()
 
     def meet(table: pa.Table) -> pa.Table:
@@ -254,28 +268,33 @@ def candidate_edges(docs: DataFrame, bitmap, k: int, percent: int, common: int)
         def of(kind: int, dtype: np.dtype) -> np.ndarray:
             return np.concatenate([np.zeros(0, dtype), *(np.frombuffer(x, dtype) for i, x in zip(kinds, blobs, strict=True) if i == kind)])
 
-        pairs, shared = _pairs(of(0, _POSTING), common, percent)
-        hubs = np.unique(np.concatenate([of(2, _EDGE), _runs(of(1, _POSTING), percent)[1]]))
-        ends = of(3, _END)
-        kind = np.repeat(np.array([0, 1, 2], np.int32), [len(pairs), len(hubs), len(ends)])
-        return pa.table({
-            "kind": kind,
-            "a": np.concatenate([pairs["a"], hubs["a"], ends["doc"]]),
-            "b": np.concatenate([pairs["b"], hubs["b"], ends["w"]]),
-            "shared": np.concatenate([shared, np.zeros(len(hubs), np.int64), ends["rest"]]),
-            "n": np.concatenate([np.zeros(len(pairs) + len(hubs), np.int64), ends["n"]]),
-        })
+        hubs = np.unique(np.concatenate([of(_HUB, _EDGE), _runs(of(_OFTEN, _POSTING), percent)[1]]))
+        none = np.zeros(len(hubs), np.int64)
+        out = [(np.full(len(hubs), _HUB), hubs["a"], hubs["b"], none, none)]
+        for kind in range(_RARE, _RARE + 2 * len(ORDERS), 2):
+            pairs, shared = _pairs(of(kind, _POSTING), common, percent)
+            ends = of(kind + 1, _END)
+            out.append((np.full(len(pairs), kind), pairs["a"], pairs["b"], shared, np.zeros(len(pairs), np.int64)))
+            out.append((np.full(len(ends), kind + 1), ends["doc"], ends["w"], ends["rest"].astype(np.int64), ends["n"].astype(np.int64)))
+        kind, a, b, shared, n = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"kind": kind.astype(np.int32), "a": a, "b": b, "shared": shared, "n": n})
 
     some = plain(docs, "doc_id", "text").where("doc_id is not null and text is not null")
     every = stored(some.mapInArrow(postings, "bucket int, kind int, blob binary").groupBy("bucket").applyInArrow(meet, "kind int, a long, b long, shared long, n long"), "prefixes")
-    pairs = every.where("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    ends = every.where("kind = 2")
+    rare = [F.col("kind") == _RARE + 2 * i for i in range(len(ORDERS))]
+    counted = every.where(F.col("kind").isin(*[_RARE + 2 * i for i in range(len(ORDERS))]))
+    # a pair without a rare token in common under a further order has a count of 0 there
+    pairs = counted.groupBy("a", "b").agg(*[F.coalesce(F.sum(F.when(is_order, F.col("shared"))), F.lit(0)).alias(f"shared{i}") for i, is_order in enumerate(rare)]).where("shared0 > 0")
+    ends = every.where(F.col("kind").isin(*[_RARE + 2 * i + 1 for i in range(len(ORDERS))]))
+    own = ends.groupBy("a").agg(F.max("n").alias("n"), (F.count_if(F.col("kind") == _RARE + 1) > 1).alias("again"), *[F.max(F.when(F.col("kind") == _RARE + 2 * i + 1, F.struct(F.col("b").alias("w"), F.col("shared").alias("rest")))).alias(f"end{i}") for i in range(len(ORDERS))])
     for side in "ab":
-        own = ends.select(F.col("a").alias(side), F.col("b").alias(f"w_{side}"), F.col("shared").alias(f"rest_{side}"), F.col("n").alias(f"n_{side}"))
-        pairs = pairs.join(own, side)
-    rest = F.when(F.col("w_a") < F.col("w_b"), F.col("rest_a")).when(F.col("w_a") > F.col("w_b"), F.col("rest_b")).otherwise(F.least("rest_a", "rest_b"))
-    enough = (100 + percent) * (F.col("shared") + rest) >= percent * (F.col("n_a") + F.col("n_b"))
-    return pairs.where(enough).select("a", "b").union(every.where("kind = 1").select("a", "b"))
+        pairs = pairs.join(own.select(F.col("a").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in own.columns[1:]]), side)
+    for i in range(len(ORDERS)):
+        a, b = F.col(f"a_end{i}"), F.col(f"b_end{i}")
+        rest = F.when(a["w"] < b["w"], a["rest"]).when(a["w"] > b["w"], b["rest"]).otherwise(F.least(a["rest"], b["rest"]))
+        enough = (100 + percent) * (F.col(f"shared{i}") + rest) >= percent * (F.col("a_n") + F.col("b_n"))
+        pairs = pairs.where(F.col("a_again") | F.col("b_again") | enough)  # ids of several rows have several ends
+    return pairs.select("a", "b").union(every.where(F.col("kind") == _HUB).select("a", "b"))
 
 
 def _lists(keys: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -296,8 +315,11 @@ def _met(i: int, lists: tuple, n: int) -> np.ndarray:
     return np.bincount(found[found < i], minlength=n)
 
 
-def links_within(ids: np.ndarray, tokens: np.ndarray, at: np.ndarray, bitmap: np.ndarray, percent: int) -> np.ndarray:
-    """Component label (smallest id) of each of the given sets, over all pairs of them that link."""
+def links_within(ids: np.ndarray, tokens: np.ndarray, at: np.ndarray, bitmap: np.ndarray, percent: int, block: np.ndarray | None = None) -> np.ndarray:
+    """Component label (smallest id) of each of the given sets, over all pairs of them that link.
+
+    ``block``: only pairs of two blocks are looked at.
+    """
     n = len(ids)
     sizes = np.diff(at)
     orders = [_lists(*prefixes(tokens, at, bitmap, seed, percent), n) for seed in ORDERS]
@@ -316,6 +338,8 @@ def links_within(ids: np.ndarray, tokens: np.ndarray, at: np.ndarray, bitmap: np
         near = _met(i, orders[0], n) > 0
         for other in orders[1:]:
             near &= _met(i, other, n) > 0
+        if block is not None:
+            near &= block != block[i]
         near = np.flatnonzero(near)
         near = near[(100 * sizes[near] >= percent * sizes[i]) & (100 * sizes[i] >= percent * sizes[near])]
         if not len(near):
@@ -370,14 +394,16 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, common: i
     def verify(table: pa.Table) -> pa.Table:
         ids = table.column("doc_id").to_numpy()
         each = [np.frombuffer(x, _U) for x in table.column("tokens").to_pylist()]
-        labels = links_within(ids, np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])]), bitmap.value, percent)
+        two = table.column("two")[0].as_py()
+        block = table.column("block").to_numpy() if two["low"] < two["high"] else None  # a block meets itself in a task of its own
+        labels = links_within(ids, np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])]), bitmap.value, percent, block)
         apart = labels != ids
         return pa.table({"a": ids[apart], "b": labels[apart]})
 
     chosen = placed.hint("shuffle_hash").join(pairs.where("text is not null"), "doc_id").select("doc_id", "text", "task", "blocks", "block")
     # each document meets every block of its component once: as the lower or as the upper of two
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, "block").alias("low"), F.greatest(j, "block").alias("high")))
-    dealt = chosen.mapInArrow(sets, "doc_id long, task long, blocks int, block int, tokens binary").select("doc_id", "task", F.explode(met).alias("two"), "tokens")
+    dealt = chosen.mapInArrow(sets, "doc_id long, task long, blocks int, block int, tokens binary").select("doc_id", "task", "block", F.explode(met).alias("two"), "tokens")
     linked = dealt.groupBy("task", "two").applyInArrow(verify, "a long, b long")
     found = connected_components(linked)
 
