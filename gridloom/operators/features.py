@@ -69,22 +69,24 @@ def with_counts(cells: DataFrame, *tables: DataFrame, cell: str = "cell_id") ->
     return out
 
 
-def kring_sum(values: DataFrame, grid: DataFrame, value: str, into: str, k: int = 2, cell: str = "cell_id", by: Sequence[str] = (), inside_only: bool = False, sparse: bool = False) -> DataFrame:
+def kring_sum(values: DataFrame, grid: DataFrame, value: str, into: str, k: int = 2, cell: str = "cell_id", by: Sequence[str] = (), inside_only: bool = False, sparse: bool = False, scope: str | None = None) -> DataFrame:
     """(cell_id, by..., into): for each grid cell the sum of ``value`` over all cells within k steps.
 
     Every valued cell is sent to its neighbours, so the work follows the valued cells and not the
     grid. ``inside_only``: values of cells outside the grid are left out. ``sparse``: only sums of
-    cells that a value reaches; else every grid cell has a row, with 0 where nothing does.
+    cells that a value reaches; else every grid cell has a row, with 0 where nothing does. ``scope``:
+    a column of both tables, such as the city, whose cells have ids of their own.
     """
-    ids = grid.select(cell).distinct()
-    rows = values.where(F.col(cell).isNotNull() & (F.coalesce(F.col(value), F.lit(0)) != 0)).select(cell, *by, F.col(value).alias("_v"))
+    keys = [scope] if scope else []
+    ids = grid.select(cell, *keys).distinct()
+    rows = values.where(F.col(cell).isNotNull() & (F.coalesce(F.col(value), F.lit(0)) != 0)).select(cell, *keys, *by, F.col(value).alias("_v"))
     if inside_only:
-        rows = rows.join(ids, cell, "left_semi")
-    sent = rows.select(*by, "_v", F.explode(disk(F.col(cell), k)).alias(cell)).groupBy(cell, *by).agg(F.sum("_v").alias(into))
-    inside = sent.join(ids, cell, "left_semi" if sparse or by else "inner")
+        rows = rows.join(ids, [cell, *keys], "left_semi")
+    sent = rows.select(*keys, *by, "_v", F.explode(disk(F.col(cell), k)).alias(cell)).groupBy(cell, *keys, *by).agg(F.sum("_v").alias(into))
+    inside = sent.join(ids, [cell, *keys], "left_semi" if sparse or by else "inner")
     if sparse or by:
         return inside
-    return ids.join(inside, cell, "left").fillna(0, subset=[into])
+    return ids.join(inside, [cell, *keys], "left").fillna(0, subset=[into])
 
 
 def ring_centroids(rings: DataFrame, origin: tuple[float, float] = (37.77, -122.44)) -> DataFrame:

@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from gridloom.functions.scalars import clip, display_name
 from gridloom.operators.features import kring_sum
 from gridloom.operators.normalize import apply_bounds, fit_bounds
+from gridloom.sources.store import kept
 
 DEMAND = {"poi_count": 0.4, "amenity_count": 0.3, "transit_stop_count": 0.3}
 
 
-def categories(counts: DataFrame, least: int = 10) -> DataFrame:
-    """(category, total, n_cells, display_name) of categories with ``least`` points or more."""
-    totals = counts.groupBy("category").agg(F.sum("count").alias("total"), F.count("*").alias("n_cells")).where(F.col("total") >= least)
-    return totals.withColumn("display_name", display_name(F.col("category"))).orderBy(F.desc("total"), "category")
+def categories(counts: DataFrame, least: int = 10, scope: str | None = None) -> DataFrame:
+    """(scope?, category, total, n_cells, display_name) of categories with ``least`` points or more."""
+    keys = [scope] if scope else []
+    totals = counts.groupBy(*keys, "category").agg(F.sum("count").alias("total"), F.count("*").alias("n_cells")).where(F.col("total") >= least)
+    return totals.withColumn("display_name", display_name(F.col("category"))).orderBy(*keys, F.desc("total"), "category")
 
 
 def demand(cells: DataFrame, bounds: DataFrame | None = None, scope: str | None = None) -> DataFrame:
@@ -33,71 +35,108 @@ def _raw(kring: Column, most: Column) -> Column:
     return clip(F.col("demand_proxy") * (1.0 - saturation))
 
 
+def _ranked(asked: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds _down, the rank of a cell from the highest demand on (ties: smaller id first), and _up, from the lowest.
+
+    Cells are dealt by ranges, ranked within them, and shifted by the sizes of the ranges before: no
+    task holds all cells.
+    """
+    order = [F.desc("demand_proxy"), F.col("cell_id")]
+    tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = kept(asked.repartitionByRange(tasks, *keys, *order).withColumn("_range", F.spark_partition_id()), "demand")
+    sizes = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_size"))  # a row for each range
+    so_far = Window.partitionBy(*keys).orderBy("_range")
+    before = sizes.select(*keys, "_range", (F.sum("_size").over(so_far) - F.col("_size")).alias("_before"), F.sum("_size").over(so_far.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    ranked = dealt.withColumn("_nth", nth).join(F.broadcast(before) if not keys else before, [*keys, "_range"])
+    return ranked.withColumn("_down", F.col("_before") + F.col("_nth")).withColumn("_up", F.col("_all") + 1 - F.col("_down")).drop("_range", "_nth", "_before", "_all")
+
+
+_BLOCK = 4096
+
+
+def _first_free(rows: DataFrame, keys: list[str], rank: str, into: str) -> DataFrame:
+    """(keys, into): the least rank from 1 on that none of a group's rows has.
+
+    Ranks are put in blocks, whose rows are counted; only a group's blocks are walked in order, and
+    the first that is not full has it.
+    """
+    at = F.col(rank) - 1
+    blocks = rows.groupBy(*keys, F.floor(at / _BLOCK).alias("_block")).agg(F.count("*").alias("_n"), F.collect_list((at % _BLOCK).cast("int")).alias("_held"))  # _BLOCK numbers at most
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_block")) - 1
+    full = blocks.withColumn("_full", (F.col("_block") == nth) & (F.col("_n") == _BLOCK))
+    open_at = F.coalesce(F.min(F.when(~F.col("_full"), F.struct("_block", "_held"))), F.struct((F.max("_block") + 1).alias("_block"), F.array().cast("array<int>").alias("_held")))
+    first = full.groupBy(*keys).agg(open_at.alias("_open"), F.count_if("_full").alias("_run"))
+    # a block that is not there at all is free from its start
+    held = F.when(F.col("_open._block") == F.col("_run"), F.col("_open._held")).otherwise(F.array().cast("array<int>"))
+    gap = F.array_min(F.array_except(F.sequence(F.lit(0), F.lit(_BLOCK)), held))
+    return first.select(*keys, (F.col("_run") * _BLOCK + gap + 1).alias(into))
+
+
 def opportunity(counts: DataFrame, cells: DataFrame, k: int = 2, scope: str | None = None) -> DataFrame:
     """Sparse opportunities: a row for each category and cell that a point of it reaches within k steps.
 
     Cells without a row have saturation 0, hence ``demand_proxy`` as raw value. They still count in
-    the minimum and maximum that raw values are scaled by, without ever being listed: of a
-    category's m rows, those whose demand ranks run on from 1 without a gap tell the best-placed
-    cell that has no row, and likewise from the other end.
+    the minimum and maximum that raw values are scaled by, without ever being listed: the least rank
+    by demand that none of a category's rows has tells the best-placed cell that has no row, and
+    likewise from the other end. ``scope``: a column of both tables; ids of two cities may coincide.
 
     Columns: cell_id, scope?, category, cat_count_cell, cat_count_kring, demand_proxy, saturation,
     opportunity_raw, opportunity.
     """
     keys = [scope] if scope else []
-    asked = demand(cells, scope=scope)
-    ring = kring_sum(counts, cells, "count", "cat_count_kring", k, by=("category",))
-    own = counts.select("cell_id", "category", F.col("count").alias("cat_count_cell"))
-    ranked = asked.withColumns({
-        "_down": F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("demand_proxy"), "cell_id")),
-        "_up": F.row_number().over(Window.partitionBy(*keys).orderBy("demand_proxy", F.desc("cell_id"))),
-    })
-    rows = ring.join(own, ["cell_id", "category"], "left").fillna(0, subset=["cat_count_cell"]).join(ranked, "cell_id")
-    group = Window.partitionBy(*keys, "category")
-    rows = rows.withColumn("_most", F.max("cat_count_kring").over(group))
+    ranked = _ranked(demand(cells, scope=scope), keys)
+    ring = kring_sum(counts, cells, "count", "cat_count_kring", k, by=("category",), scope=scope)
+    own = counts.select("cell_id", *keys, "category", F.col("count").alias("cat_count_cell"))
+    rows = ring.join(own, ["cell_id", *keys, "category"], "left").fillna(0, subset=["cat_count_cell"]).join(ranked, ["cell_id", *keys])
+    rows = kept(rows.join(rows.groupBy(*keys, "category").agg(F.max("cat_count_kring").alias("_most")), [*keys, "category"]), "opportunity")
     rows = rows.withColumn("saturation", F.col("cat_count_kring") / (F.col("_most") + 1)).withColumn("opportunity_raw", _raw(F.col("cat_count_kring"), F.col("_most")))
-    rows = rows.withColumns({f"_n{way}": F.row_number().over(group.orderBy(f"_{way}")) for way in ("down", "up")})
-    edges = rows.groupBy(*keys, "category").agg(
-        F.max("opportunity_raw").alias("_max"),
-        F.min("opportunity_raw").alias("_min"),
-        *[(F.coalesce(F.max(F.when(F.col(f"_{way}") == F.col(f"_n{way}"), F.col(f"_{way}"))), F.lit(0)) + 1).alias(f"_free_{way}") for way in ("down", "up")],
-    )
+    edges = rows.groupBy(*keys, "category").agg(F.max("opportunity_raw").alias("_max"), F.min("opportunity_raw").alias("_min"))
     for way, name in (("down", "_best"), ("up", "_worst")):
         at = ranked.select(*keys, F.col(f"_{way}").alias(f"_free_{way}"), F.col("demand_proxy").alias(name))
-        edges = edges.join(at, [*keys, f"_free_{way}"], "left")
-    edges = edges.select(*keys, "category", F.greatest("_max", clip(F.col("_best"))).alias("_high"), F.least("_min", clip(F.col("_worst"))).alias("_low"))
+        edges = edges.join(_first_free(rows, [*keys, "category"], f"_{way}", f"_free_{way}"), [*keys, "category"]).join(at, [*keys, f"_free_{way}"], "left")
+    free = lambda name: F.when(F.col(name).isNotNull(), clip(F.col(name)))  # noqa: E731  (null where every cell has a row)
+    edges = edges.select(*keys, "category", F.greatest("_max", free("_best")).alias("_high"), F.least("_min", free("_worst")).alias("_low"))
     span = F.col("_high") - F.col("_low")
     scaled = F.when(span > 0, clip((F.col("opportunity_raw") - F.col("_low")) / F.nullif(span, F.lit(0.0)))).otherwise(F.col("opportunity_raw"))
     return rows.join(edges, [*keys, "category"]).select("cell_id", *keys, "category", "cat_count_cell", "cat_count_kring", "demand_proxy", "saturation", "opportunity_raw", scaled.alias("opportunity"))
 
 
-def densify(counts: DataFrame, cells: DataFrame, names: list[str], k: int = 2, scope: str | None = None) -> DataFrame:
-    """Opportunity of every cell for the named categories (a category without points anywhere too)."""
+def densify(counts: DataFrame, cells: DataFrame, names: list[str] | DataFrame, k: int = 2, scope: str | None = None) -> DataFrame:
+    """Opportunity of every cell for the named categories (a category without points anywhere too).
+
+    ``names``: a list, or a table with a column category.
+    """
     keys = [scope] if scope else []
-    chosen = counts.where(F.col("category").isin(*names))
-    asked = demand(cells, scope=scope).withColumn("category", F.explode(F.array(*[F.lit(n) for n in names])))
-    ring = kring_sum(chosen, cells, "count", "cat_count_kring", k, by=("category",))
-    own = chosen.select("cell_id", "category", F.col("count").alias("cat_count_cell"))
-    rows = asked.join(ring, ["cell_id", "category"], "left").join(own, ["cell_id", "category"], "left").fillna(0, subset=["cat_count_kring", "cat_count_cell"])
-    group = Window.partitionBy(*keys, "category")
-    rows = rows.withColumn("_most", F.max("cat_count_kring").over(group))
+    if not isinstance(names, DataFrame):
+        names = cells.sparkSession.createDataFrame([(n,) for n in names], "category string")
+    names = names.select("category").distinct()
+    chosen = counts.join(names, "category", "left_semi")
+    asked = demand(cells, scope=scope).join(names)  # every cell with every name is what is asked for
+    ring = kring_sum(chosen, cells, "count", "cat_count_kring", k, by=("category",), scope=scope)
+    own = chosen.select("cell_id", *keys, "category", F.col("count").alias("cat_count_cell"))
+    rows = asked.join(ring, ["cell_id", *keys, "category"], "left").join(own, ["cell_id", *keys, "category"], "left").fillna(0, subset=["cat_count_kring", "cat_count_cell"])
+    rows = rows.join(rows.groupBy(*keys, "category").agg(F.max("cat_count_kring").alias("_most")), [*keys, "category"])
     rows = rows.withColumn("saturation", F.when(F.col("_most") > 0, F.col("cat_count_kring") / (F.col("_most") + 1)).otherwise(0.0)).withColumn("opportunity_raw", _raw(F.col("cat_count_kring"), F.col("_most")))
-    low, high = F.min("opportunity_raw").over(group), F.max("opportunity_raw").over(group)
+    ends = rows.groupBy(*keys, "category").agg(F.min("opportunity_raw").alias("_low"), F.max("opportunity_raw").alias("_high"))
+    low, high = F.col("_low"), F.col("_high")
     scaled = F.when(high > low, clip((F.col("opportunity_raw") - low) / F.nullif(high - low, F.lit(0.0)))).otherwise(F.col("opportunity_raw"))
-    return rows.withColumn("opportunity", scaled).drop("_most")
+    return rows.join(ends, [*keys, "category"]).withColumn("opportunity", scaled).select("cell_id", *keys, "demand_proxy", "category", "cat_count_kring", "cat_count_cell", "saturation", "opportunity_raw", "opportunity")
 
 
-def best_per_category(opportunities: DataFrame, n: int = 10) -> DataFrame:
-    order = Window.partitionBy("category").orderBy(F.desc("opportunity"), "cell_id")
+def best_per_category(opportunities: DataFrame, n: int = 10, scope: str | None = None) -> DataFrame:
+    order = Window.partitionBy(*([scope] if scope else []), "category").orderBy(F.desc("opportunity"), "cell_id")
     return opportunities.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def summary(counts: DataFrame, cells: DataFrame) -> DataFrame:
-    """(category, total_in_grid, cells_with, cells_without), from the sparse counts inside the grid."""
-    inside = counts.join(cells.select("cell_id"), "cell_id", "left_semi").where("count > 0")
-    sums = inside.groupBy("category").agg(F.sum("count").alias("total_in_grid"), F.countDistinct("cell_id").alias("cells_with"))
-    size = cells.agg(F.countDistinct("cell_id").alias("_cells"))  # one row
-    return sums.crossJoin(F.broadcast(size)).select("category", "total_in_grid", "cells_with", (F.col("_cells") - F.col("cells_with")).alias("cells_without"))
+def summary(counts: DataFrame, cells: DataFrame, scope: str | None = None) -> DataFrame:
+    """(scope?, category, total_in_grid, cells_with, cells_without), from the sparse counts inside the grid."""
+    keys = [scope] if scope else []
+    inside = counts.join(cells.select("cell_id", *keys), ["cell_id", *keys], "left_semi").where("count > 0")
+    sums = inside.groupBy(*keys, "category").agg(F.sum("count").alias("total_in_grid"), F.countDistinct("cell_id").alias("cells_with"))
+    size = cells.groupBy(*keys).agg(F.countDistinct("cell_id").alias("_cells"))  # one row for each scope
+    both = sums.join(size, scope) if scope else sums.crossJoin(F.broadcast(size))
+    return both.select(*keys, "category", "total_in_grid", "cells_with", (F.col("_cells") - F.col("cells_with")).alias("cells_without"))
 
 
 def verdict(kring: Column, own: Column) -> Column:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.geo import bearing, compass, haversine_m
+from gridloom.functions.geo import EARTH_RADIUS_M, bearing, compass, haversine_m
 from gridloom.functions.scalars import shown_name, whole_metres
 from gridloom.sources.store import kept
 
@@ -22,25 +22,54 @@ def _around(lat: Column, lon: Column) -> Column:
     return F.transform(steps, lambda s: F.struct((lat + s["i"]).alias("blat"), (lon + s["j"]).alias("blon")))
 
 
-def nearest_within(centres: DataFrame, pois: DataFrame, k: int = 5, radius_m: float = 1500.0, max_abs_lat: float = 60.0, match: str | None = "category") -> DataFrame:
-    """The k nearest points of each centre within a radius, per category.
+_TURN = 360.0
 
-    ``centres``: (cell_id, lat, lon); ``pois``: (id, lat, lon, category, name?). Buckets are at
-    least the radius wide up to ``max_abs_lat``, so the nine around a centre hold all points in
-    reach. ``match=None``: the k nearest of any category. Rows: cell_id, category, rank, id, name,
-    distance_m (rounded half to even), direction. Ties go to the smaller id.
+
+def _band(lat: Column, tall: float) -> Column:
+    return F.floor(lat / F.lit(tall)).cast("long")
+
+
+def _buckets_around(band: Column, tall: float) -> Column:
+    """How many buckets a band of latitude has: each is at least as wide as a band is tall, at the band's edge nearest a pole."""
+    edge = F.least(F.greatest(F.abs(band), F.abs(band + 1)) * F.lit(tall), F.lit(90.0))
+    return F.greatest(F.floor(F.lit(_TURN / tall) * F.cos(F.radians(edge))), F.lit(1)).cast("long")
+
+
+def _bucket_of(lon: Column, buckets: Column) -> Column:
+    """The bucket of a longitude, before it is wrapped around the globe."""
+    return F.floor((lon + F.lit(180.0)) * buckets / F.lit(_TURN)).cast("long")
+
+
+def nearest_within(centres: DataFrame, pois: DataFrame, k: int = 5, radius_m: float = 1500.0, match: str | None = "category", scope: str | None = None) -> DataFrame:
+    """The k nearest points of each centre within a radius, per category, anywhere on the globe.
+
+    ``centres``: (cell_id, lat, lon); ``pois``: (id, lat, lon, category, name?). Bands of latitude are
+    as tall as the radius and cut in buckets of about that width; a centre looks into the buckets
+    that its radius touches in its own band and the two beside it, around the date line and poles too.
+    ``match=None``: the k nearest of any category. ``scope``: a column of both, such as the city, in
+    whose limits points are looked for. Rows: cell_id, scope?, category, rank, id, name, distance_m (rounded
+    half to even), direction. Ties go to the smaller id.
     """
+    keys = [scope] if scope else []
     tall = radius_m / 111_000.0
-    wide = radius_m / (111_000.0 * math.cos(math.radians(max_abs_lat)))
     name = F.col("name") if "name" in pois.columns else F.lit(None).cast("string")
-    right = pois.dropna(subset=["lat", "lon"]).select("id", name.alias("name"), "category", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), _bucket(F.col("lat"), tall).alias("blat"), _bucket(F.col("lon"), wide).alias("blon"))
-    left = centres.dropna(subset=["lat", "lon"]).select("cell_id", "lat", "lon", F.explode(_around(_bucket(F.col("lat"), tall), _bucket(F.col("lon"), wide))).alias("b")).select("cell_id", "lat", "lon", "b.*")
+    band = _band(F.col("lat"), tall)
+    right = pois.dropna(subset=["lat", "lon"]).withColumn("blat", band).select("id", *keys, name.alias("name"), "category", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "blat", F.pmod(_bucket_of(F.col("lon"), _buckets_around(F.col("blat"), tall)), _buckets_around(F.col("blat"), tall)).alias("blon"))
+    # the largest difference in longitude within the radius; all of the globe where that holds a pole
+    sine = F.lit(math.sin(radius_m / EARTH_RADIUS_M)) / F.cos(F.radians(F.col("lat")))
+    polar = F.abs(F.col("lat")) + tall >= 90.0
+    wide = F.when(polar, 180.0).otherwise(F.degrees(F.asin(F.least(sine, F.lit(1.0)))) * (1 + 1e-9) + 1e-9)
+    look = centres.dropna(subset=["lat", "lon"]).select("cell_id", *keys, "lat", "lon", wide.alias("_wide"), F.explode(F.array(band - 1, band, band + 1)).alias("blat"))
+    n = _buckets_around(F.col("blat"), tall)
+    low = _bucket_of(F.col("lon") - F.col("_wide"), n)
+    high = F.least(_bucket_of(F.col("lon") + F.col("_wide"), n), low + n - 1)
+    left = look.select("cell_id", *keys, "lat", "lon", "blat", F.explode(F.transform(F.sequence(low, high), lambda i: F.pmod(i, n))).alias("blon"))
     d = haversine_m(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
-    near = left.join(right, ["blat", "blon"]).withColumn("_d", d).where(F.col("_d") <= radius_m)
-    by = ["cell_id", *([match] if match else [])]
+    near = left.join(right, ["blat", "blon", *keys]).withColumn("_d", d).where(F.col("_d") <= radius_m)
+    by = ["cell_id", *keys, *([match] if match else [])]
     order = Window.partitionBy(*by).orderBy(F.floor(F.col("_d") * 1e6 + 0.5), "id")
     best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.select("cell_id", "category", "rank", "id", shown_name(F.col("name")).alias("name"), whole_metres(F.col("_d")).alias("distance_m"), compass(bearing(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))).alias("direction"))
+    return best.select("cell_id", *keys, "category", "rank", "id", shown_name(F.col("name")).alias("name"), whole_metres(F.col("_d")).alias("distance_m"), compass(bearing(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))).alias("direction"))
 
 
 def nearest(points: DataFrame, targets: DataFrame, point_id: str, target_id: str, start_degrees: float = 0.004) -> DataFrame:

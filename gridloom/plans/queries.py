@@ -152,8 +152,7 @@ def opportunity_all(spark, sf):
 
 
 def _dense(spark, sf):
-    names = sorted(r.category for r in opportunity.categories(_counts(spark, sf)).select("category").collect())  # names of the business kinds
-    return opportunity.densify(_counts(spark, sf), _cells(spark, sf), names)
+    return opportunity.densify(_counts(spark, sf), _cells(spark, sf), opportunity.categories(_counts(spark, sf)))
 
 
 def opportunity_top10(spark, sf):

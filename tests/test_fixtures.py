@@ -111,6 +111,29 @@ def test_competitors(spark):
     assert got == [("c", 1, 1, "same", 0, "N"), ("c", 2, 2, "(unnamed)", 1500, "N"), ("d", 1, 4, "other", 700, "E")]
 
 
+@pytest.mark.parametrize("lat", [0.0, 70.0, -85.0, 89.99])
+@pytest.mark.parametrize("lon", [10.0, 179.995])
+def test_competitors_anywhere(spark, lat, lon):
+    rng = random.Random(7)
+    wide = min(0.04 / max(math.cos(math.radians(lat)), 1e-3), 180.0)
+
+    def some(n):
+        return [(i, max(-90.0, min(90.0, lat + rng.uniform(-0.02, 0.02))), (lon + rng.uniform(-wide, wide) + 180) % 360 - 180) for i in range(n)]
+
+    centres, points = some(25), some(250)
+    c = spark.createDataFrame([(*r, "a") for r in centres] + [(99, lat, lon, "b")], "cell_id long, lat double, lon double, city string")
+    p = spark.createDataFrame([(*r, "x", "a") for r in points] + [(500, None, 1.0, "x", "a")], "id long, lat double, lon double, category string, city string")
+
+    def metres(a, b):
+        (la, lo), (lb, ob) = [(math.radians(x), math.radians(y)) for _, x, y in (a, b)]
+        h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((ob - lo) / 2) ** 2
+        return 2 * geo.EARTH_RADIUS_M * math.asin(min(1.0, math.sqrt(h)))
+
+    want = {(x[0], y[0]) for x in centres for y in points if metres(x, y) <= 1500}
+    found = proximity.nearest_within(c, p, k=1000, scope="city").collect()
+    assert want and len(found) == len(want) and {(r.cell_id, r.id) for r in found} == want
+
+
 def test_nearest_equals_brute_force(spark):
     points = [(i, (i * 37 % 101) / 50.0, (i * 53 % 97) / 50.0) for i in range(60)] + [(99, 40.0, 60.0)]
     targets = [(i, (i * 71 % 89) / 45.0, (i * 29 % 83) / 45.0) for i in range(25)]
@@ -134,6 +157,36 @@ def test_opportunity(spark):
     assert rows(opportunity.summary(counts, cells)) == [("a", 6, 2, 4)]
 
 
+def test_opportunity_of_two_cities_with_equal_ids(spark):
+    rng = random.Random(11)
+    grid = [cell(q, r) for q in range(9) for r in range(9)]
+    cells = [(c, city, rng.randrange(6), rng.randrange(4), rng.randrange(3)) for city in ("a", "b") for c in rng.sample(grid, 60)]
+    counts = [(c, city, name, rng.randrange(1, 5)) for city in ("a", "b") for name, n in (("x", 3), ("y", 25)) for c in rng.sample(grid, n)]
+    df = spark.createDataFrame(cells, "cell_id long, city string, poi_count int, amenity_count int, transit_stop_count int")
+    n = spark.createDataFrame(counts, "cell_id long, city string, category string, count long")
+    key = ["cell_id", "category", "cat_count_cell", "cat_count_kring"]
+    both = opportunity.opportunity(n, df, scope="city")
+    dense = opportunity.densify(n, df, ["x", "y"], scope="city")
+    for city in ("a", "b"):
+        one, own = df.where(F.col("city") == city).drop("city"), n.where(F.col("city") == city).drop("city")
+        shown = lambda d: rows(d.select(*key, F.round("opportunity", 9)))
+        alone = opportunity.opportunity(own, one)
+        assert shown(both.where(F.col("city") == city)) == shown(alone)
+        whole = shown(opportunity.densify(own, one, ["x", "y"]))
+        assert shown(dense.where(F.col("city") == city)) == whole
+        assert shown(alone) == [r for r in whole if r[3] > 0]
+        assert rows(opportunity.summary(n, df, scope="city").where(F.col("city") == city).drop("city")) == rows(opportunity.summary(own, one))
+        best = opportunity.best_per_category(dense, 4, scope="city")
+        assert best.where(F.col("city") == city).count() == 8
+
+
+def test_the_first_free_rank(spark):
+    groups = {"none missing": range(1, 9001), "first": range(2, 50), "later": [r for r in range(1, 9000) if r != 8500], "a block": [*range(1, 4097), *range(9000, 9100)], "edge": range(1, 4097)}
+    df = spark.createDataFrame([(g, r) for g, ranks in groups.items() for r in ranks], "g string, r long")
+    got = dict(rows(opportunity._first_free(df, ["g"], "r", "free")))
+    assert got == {"none missing": 9001, "first": 1, "later": 8500, "a block": 4097, "edge": 4097}
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(1, 2, 100.0), (2, 1, 80.0), (1, 2, -5.0), (1, 2, float("nan")), (3, None, 1.0)], "u long, v long, length double")
     assert rows(catchment.undirected(df)) == [(1, 2, 80.0), (2, 1, 80.0)]
