@@ -197,6 +197,10 @@ SQL: dict[str, str] = {
     "road_edges": sql("SELECT u, v, length FROM edges"),
     "walk_time_cells": sql(f"SELECT src_cell, cell_id, {_r('minutes')} AS minutes FROM times", _WALK),
     "catchment_summary": sql("SELECT src_cell, CAST(within_min AS INTEGER) AS within_min, count(*) FILTER (minutes <= within_min) AS n_cells, CAST(coalesce(sum(poi_count) FILTER (minutes <= within_min), 0) AS BIGINT) AS n_pois FROM times JOIN poi_features USING (cell_id), (SELECT unnest([5, 10, 15]) AS within_min) GROUP BY 1, 2", _WALK),
+    "scan_fallback": "SELECT p_type AS category, count(*) AS n FROM part GROUP BY 1",
+    "landed_table": sql("SELECT category, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids, min(name) AS first_name FROM pois GROUP BY 1"),
+    "inverted_norm": sql(f"SELECT cell_id, {_r('1e0 - n_poi_count')} AS far_from_pois FROM normed"),
+    "walk_bands": sql("SELECT src_cell, cell_id, CASE WHEN minutes <= 15 THEN 100 ELSE 0 END AS red, CASE WHEN minutes <= 15 THEN 210 ELSE 0 END AS green, CASE WHEN minutes <= 15 THEN 230 ELSE 0 END AS blue, CASE WHEN minutes <= 5 THEN 150 WHEN minutes <= 10 THEN 90 WHEN minutes <= 15 THEN 50 ELSE 0 END AS alpha FROM times", _WALK),
     "ring_centroids": sql(f"SELECT id AS feature_id, {_r('lat + (id % 5 + 1) / 1e5 / 2e0')} AS lat, {_r('lon + (id % 7 + 1) / 1e5')} AS lon FROM buildings"),
     "map_layer": sql(f"SELECT cell_id, {_channel(0)} AS red, {_channel(1)} AS green, {_channel(2)} AS blue, 215 AS alpha, {_r('s * 400e0')} AS elevation, {_r('floor(s * 1000e0 + 0.5e0) / 10e0')} AS percent FROM (SELECT cell_id, {_r('score_site')} AS s FROM scored)"),
     "top_cells": sql(f"SELECT *, CAST(row_number() OVER (ORDER BY score_site DESC, cell_id) AS INTEGER) AS rank FROM (SELECT cell_id, {_r('score_site')} AS score_site, top_category FROM scored) ORDER BY score_site DESC, cell_id LIMIT 10"),

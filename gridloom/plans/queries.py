@@ -15,7 +15,7 @@ from gridloom.functions.hexgrid import HexGrid
 from gridloom.operators import catchment, export, features, normalize, opportunity, proximity, scores, similarity
 from gridloom.plans import city, standins
 from gridloom.sources import tables
-from gridloom.sources.store import kept
+from gridloom.sources.store import kept, new_path
 
 GRID = HexGrid()
 SIMILAR = ("poi_count", "unique_categories", "category_entropy", "intersection_count", "building_count", "transit_stop_count", "amenity_count", "restaurant_count", "nightlife_count", "safety_count", "greenery_count", "shop_count", "restaurant_count_kring")
@@ -169,6 +169,32 @@ def whitespace_verdict(spark, sf):
     return dense.select("category", "cell_id", opportunity.verdict(F.col("cat_count_kring"), F.col("cat_count_cell")).alias("verdict"))
 
 
+def scan_fallback(spark, sf):
+    raw = tables.scan(spark, f"{sf}/pois_slim.parquet", f"{sf}/part.parquet")  # there is no slim copy
+    return raw.groupBy(F.col("p_type").alias("category")).agg(F.count("*").alias("n"))
+
+
+def landed_table(spark, sf):
+    """Written by category and read back; a second write leaves what has landed."""
+    path = new_path(spark, "pois")
+    some = standins.pois(spark, sf)
+    tables.save(some, path, ["category"], ["id"])
+    tables.save(some.limit(1), path, ["category"], ["id"], mode="ignore")
+    return tables.scan(spark, path).groupBy("category").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.min("name").alias("first_name"))
+
+
+def inverted_norm(spark, sf):
+    cells = _cells(spark, sf)
+    low, high = (F.col(c) for c in ("p05", "p95"))
+    bounds = normalize.fit_bounds(cells, ["poi_count"])  # one row
+    return _rounded(cells.crossJoin(F.broadcast(bounds)).select("cell_id", normalize.inverted(F.col("poi_count").cast("double"), low, high).alias("far_from_pois")))
+
+
+def walk_bands(spark, sf):
+    colour = export.band_colour(F.col("minutes"))
+    return _times(spark, sf).select("src_cell", "cell_id", *[colour[i].alias(n) for i, n in enumerate(("red", "green", "blue", "alpha"))])
+
+
 def category_display_name(spark, sf):
     slugs = _pois(spark, sf).select(F.concat_ws("_and_", F.lower(F.regexp_replace("category", " ", "_")), F.lit("brand_store")).alias("slug")).distinct()
     return slugs.select("slug", scalars.display_name(F.col("slug")).alias("display_name"))
@@ -276,6 +302,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         list_categories, kring_sum_grid, kring_sum_open, norm_bounds, robust_norm, feature_profile, raw_features, temporal_profile, temporal_long,
         opportunity_all, opportunity_top10, whitespace_summary, whitespace_verdict, category_display_name, nearest_competitors, nearest_cell, nearest_node,
         zscore, similar_cells, similar_enriched, similar_lsh, embedding_knn, road_edges, walk_time_cells, catchment_summary, ring_centroids, map_layer,
-        top_cells, activity_windows,
+        top_cells, activity_windows, scan_fallback, landed_table, inverted_norm, walk_bands,
     )
 } | {"site_score": _score("site"), "character_score": _score("character"), "site_breakdown": _breakdown("site"), "character_breakdown": _breakdown("character")}

@@ -6,6 +6,7 @@ Parquet scan by themselves.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -61,6 +62,16 @@ def within(df: DataFrame, box: BBox, lat: str = "lat", lon: str = "lon") -> Data
     return df.where(F.col(lon).between(box.west, box.east) & F.col(lat).between(box.south, box.north))
 
 
+def city_subset(cells: DataFrame, pois: DataFrame, box: BBox) -> tuple[DataFrame, DataFrame]:
+    """Cells (by center_lat, center_lon) and points of interest inside a box: an error without cells, a warning without points."""
+    inside, points = within(cells, box, "center_lat", "center_lon"), within(pois, box)
+    if inside.isEmpty():
+        raise MissingInput(f"no cell inside {box}: is it the box of this table?")
+    if points.isEmpty():
+        warnings.warn(f"no point of interest inside {box}: all counts will be 0", stacklevel=2)
+    return inside, points
+
+
 def valid_points(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Coordinates that are there, numbers, and strictly inside the range."""
     return df.dropna(subset=[lat, lon]).where((F.abs(F.col(lat)) < 90.0) & (F.abs(F.col(lon)) < 180.0))
@@ -98,9 +109,13 @@ def numeric_features(df: DataFrame, leave_out: Iterable[str] = ()) -> list[str]:
 
 
 def save(df: DataFrame, path: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = (), mode: str = "overwrite") -> None:
-    """Writes a table; sorted files let later scans skip row groups. ``mode="ignore"`` keeps what has landed."""
+    """Writes a table; sorted files let later scans skip row groups. ``mode="ignore"`` keeps what has landed.
+
+    Rows are dealt by ranges of the partition columns and then of the sort columns (or of a hash), so
+    that a value of most rows is spread over tasks and files.
+    """
     if partition_by:
-        df = df.repartition(*partition_by)
+        df = df.repartitionByRange(*partition_by, *(sort_by or [F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]))
     if sort_by:
         df = df.sortWithinPartitions(*partition_by, *sort_by)
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)

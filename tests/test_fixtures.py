@@ -90,6 +90,24 @@ def test_scan_falls_back(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/raw").count() == 3
 
 
+def test_city_subset(spark):
+    cells = spark.createDataFrame([(1, 37.75, -122.4)], "cell_id long, center_lat double, center_lon double")
+    pois = spark.createDataFrame([(1, 37.75, -122.4), (2, 10.0, 10.0)], "id long, lat double, lon double")
+    box = tables.SAN_FRANCISCO
+    assert [d.count() for d in tables.city_subset(cells, pois, box)] == [1, 1]
+    with pytest.warns(UserWarning, match="no point of interest"):
+        tables.city_subset(cells, pois.where("id = 2"), box)
+    with pytest.raises(tables.MissingInput, match="no cell"):
+        tables.city_subset(cells.where("false"), pois, box)
+
+
+def test_a_hot_value_is_written_in_parts(spark, tmp_path):
+    rows_of = spark.range(4000).select("id", F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("city"))
+    for name, sort in (("sorted", ["id"]), ("not", [])):
+        tables.save(rows_of, f"file://{tmp_path}/{name}", ["city"], sort)
+        assert spark.read.parquet(f"file://{tmp_path}/{name}").groupBy("city").count().orderBy("city").collect() == [("a", 3600), ("b", 400)]
+
+
 def test_compass(spark):
     angles = [0.0, 22.4, 22.5, 45.0, 180.0, 337.4, 337.5, 359.9]
     df = spark.createDataFrame([(i, a) for i, a in enumerate(angles)], "i int, a double")
