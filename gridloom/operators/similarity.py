@@ -93,7 +93,7 @@ def exact_knn(vectors: DataFrame, id_column: str, vector: str = "z", k: int = 5,
     own = blocks if queries is None else asked.count() // rows_per_block + 1
     one = (F.lit(0).alias("table"), F.lit(0.0).alias("bucket"))
     left = _packed(_dealt(asked, F.lit(own), *one), "a").withColumn("b_part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return _ranked(_met(left, _packed(_dealt(known, F.lit(blocks), *one), "b"), k, own * blocks), k, id_column)
+    return _ranked(_met(left, _packed(_dealt(known, F.lit(blocks), *one), "b"), k, min(own * blocks, 10_000)), k, id_column)
 
 
 def _batched(function, rows: int = 20_000):
