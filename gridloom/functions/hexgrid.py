@@ -8,7 +8,7 @@ neighbourhoods are sums on (q, r): a k-ring is an equi-join with 1 + 3 k (k + 1)
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,13 +22,23 @@ _ROOT3 = 1.7320508075688772
 
 @dataclass(frozen=True)
 class HexGrid:
-    """Origin in degrees, edge of a cell in metres, metres per degree at the origin."""
-
-    lat0: float = 37.77
-    lon0: float = -122.44
-    edge_m: float = 174.0
-    m_per_lat: float = 111_195.0
-    m_per_lon: float = 87_892.0
+    """Origin in degrees, edge of a cell in metres, metres per degree at the origin.
+
+    Each is a number, or a column of the rows that the grid is applied to.
+    """
+
+    lat0: float | Column = 37.77
+    lon0: float | Column = -122.44
+    edge_m: float | Column = 174.0
+    m_per_lat: float | Column = 111_195.0
+    m_per_lon: float | Column = 87_892.0
+
+    @staticmethod
+    def of_scopes(grids: dict[str, HexGrid], scope: str) -> HexGrid:
+        """The grid that each row's ``scope`` has; no cell for scopes without one. For more cities than
+        fit in an expression, give the tables columns of origins and make a grid of those."""
+        pick = lambda field: F.create_map(*[F.lit(x) for name, g in grids.items() for x in (name, getattr(g, field))])[F.col(scope)]
+        return HexGrid(*[pick(f.name) for f in fields(HexGrid)])
 
     def xy(self, lat: Column, lon: Column) -> tuple[Column, Column]:
         return (lon - F.lit(self.lon0)) * F.lit(self.m_per_lon), (lat - F.lit(self.lat0)) * F.lit(self.m_per_lat)

@@ -15,20 +15,24 @@ from gridloom.sources.store import kept
 BUCKETS = (5, 10, 15)
 
 
-def undirected(edges: DataFrame) -> DataFrame:
-    """(u, v, length): the least positive length of each unordered pair, in both directions."""
+def undirected(edges: DataFrame, scope: str | None = None) -> DataFrame:
+    """(u, v, length, scope?): the least positive length of each unordered pair, in both directions."""
     good = edges.where(F.col("length").isNotNull() & ~F.isnan(F.col("length").cast("double")) & (F.col("length") > 0) & F.col("u").isNotNull() & F.col("v").isNotNull())
-    least = good.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("length").alias("length"))
-    return least.union(least.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"), "length"))
+    keys = [scope] if scope else []
+    least = good.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), *keys).agg(F.min("length").alias("length"))
+    return least.select("u", "v", "length", *keys).union(least.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"), "length", *keys))
 
 
-def shortest_paths(sources: DataFrame, edges: DataFrame, cutoff_m: float, most_edges: int = 4_000_000) -> DataFrame:
-    """(src, node, d) with d <= cutoff_m, from (src, node) starts over (u, v, length) both ways.
+def shortest_paths(sources: DataFrame, edges: DataFrame, cutoff_m: float, most_edges: int = 4_000_000, scope: str | None = None) -> DataFrame:
+    """(src, scope?, node, d) with d <= cutoff_m, from (src, node) starts over (u, v, length) both ways.
 
     Sources are spread over tasks. A graph of at most ``most_edges`` edges (they are counted first) is
     sent to every task, which relaxes blocks of its sources in arrays; a larger one is never sent
     anywhere, and is relaxed in rounds of joins. Nodes are long; edges of negative or no length are left out.
+    ``scope``: a column of both tables, such as the city, whose sources and nodes have ids of their own.
     """
+    if scope:
+        return _renumbered(sources, edges, cutoff_m, most_edges, scope)
     good = edges.where(F.col("length") >= 0).select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("length").cast("double").alias("length"))
     starts = sources.select("src", F.col("node").cast("long").alias("node")).dropna().distinct()
     if good.limit(most_edges + 1).count() > most_edges:
@@ -36,6 +40,16 @@ def shortest_paths(sources: DataFrame, edges: DataFrame, cutoff_m: float, most_e
     return _in_tasks(starts, good, cutoff_m)
 
 
+def _renumbered(sources: DataFrame, edges: DataFrame, cutoff_m: float, most_edges: int, scope: str) -> DataFrame:
+    """Paths over nodes of many scopes, by numbers that no two nodes share."""
+    ends = [sources.select(scope, F.col("node").cast("long").alias("node")), *(edges.select(scope, F.col(c).cast("long").alias("node")) for c in ("u", "v"))]
+    numbers = kept(ends[0].union(ends[1]).union(ends[2]).dropna().distinct().withColumn("_n", F.monotonically_increasing_id()), "nodes")
+    number = lambda df, c: df.withColumn("node", F.col(c).cast("long")).join(numbers, [scope, "node"]).drop("node").withColumn(c, F.col("_n")).drop("_n")
+    starts = number(sources.dropna(subset=["src"]).withColumn("start", F.col("node")), "start").select(F.struct(scope, "src").alias("src"), F.col("start").alias("node"))
+    paths = shortest_paths(starts, number(number(edges, "u"), "v").select("u", "v", "length"), cutoff_m, most_edges)
+    return paths.withColumnRenamed("node", "_n").join(numbers.select("node", "_n"), "_n").select("src.src", f"src.{scope}", "node", "d")
+
+
 _CELLS = 1 << 23  # distances that a task holds at a time
 
 
@@ -115,28 +129,31 @@ def _in_rounds(sources: DataFrame, edges: DataFrame, cutoff_m: float) -> DataFra
     return known.groupBy("src", "node").agg(F.min("d").alias("d"))
 
 
-def walk_times(starts: DataFrame, edges: DataFrame, node_cells: DataFrame, max_minutes: float = 15.0, m_per_min: float = WALK_M_PER_MIN) -> DataFrame:
-    """(src_cell, cell_id, minutes): the least walk time to any node of a cell; the source itself is 0.
+def walk_times(starts: DataFrame, edges: DataFrame, node_cells: DataFrame, max_minutes: float = 15.0, m_per_min: float = WALK_M_PER_MIN, scope: str | None = None) -> DataFrame:
+    """(src_cell, scope?, cell_id, minutes): the least walk time to any node of a cell; the source itself is 0.
 
     ``starts``: (src_cell, node), the node nearest to each source; ``node_cells``: (node, cell_id).
-    The cutoff is inclusive. Cells outside the grid stay in the result.
+    The cutoff is inclusive. Cells outside the grid stay in the result. ``scope``: a column of all three
+    tables, such as the city; ids of cells and nodes count within it.
     """
-    paths = shortest_paths(starts.select(F.col("src_cell").alias("src"), "node"), edges, max_minutes * m_per_min)
-    reached = paths.join(node_cells, "node").select(F.col("src").alias("src_cell"), "cell_id", minutes(F.col("d"), m_per_min).alias("minutes"))
-    own = starts.select("src_cell", F.col("src_cell").alias("cell_id"), F.lit(0.0).alias("minutes"))
-    return reached.union(own).groupBy("src_cell", "cell_id").agg(F.min("minutes").alias("minutes"))
+    keys = [scope] if scope else []
+    paths = shortest_paths(starts.select(F.col("src_cell").alias("src"), *keys, "node"), edges, max_minutes * m_per_min, scope=scope)
+    reached = paths.join(node_cells, ["node", *keys]).select(F.col("src").alias("src_cell"), *keys, "cell_id", minutes(F.col("d"), m_per_min).alias("minutes"))
+    own = starts.select("src_cell", *keys, F.col("src_cell").alias("cell_id"), F.lit(0.0).alias("minutes"))
+    return reached.union(own).groupBy("src_cell", *keys, "cell_id").agg(F.min("minutes").alias("minutes"))
 
 
-def summary(times: DataFrame, cells: DataFrame) -> DataFrame:
-    """(src_cell, within_min, n_cells, n_pois): nested, inclusive buckets over cells of the grid."""
+def summary(times: DataFrame, cells: DataFrame, scope: str | None = None) -> DataFrame:
+    """(src_cell, scope?, within_min, n_cells, n_pois): nested, inclusive buckets over cells of the grid."""
     pois = F.coalesce(F.col("poi_count"), F.lit(0)) if "poi_count" in cells.columns else F.lit(0)
-    grid = cells.select("cell_id", pois.cast("long").alias("_pois"))
-    inside = times.join(grid, "cell_id")
-    wide = inside.groupBy("src_cell").agg(F.array(*[F.struct(F.lit(b).alias("within_min"), F.count_if(F.col("minutes") <= b).alias("n_cells"), F.coalesce(F.sum(F.when(F.col("minutes") <= b, F.col("_pois"))), F.lit(0)).alias("n_pois")) for b in BUCKETS]).alias("all"))
-    return wide.select("src_cell", F.explode("all").alias("one")).select("src_cell", "one.*")
+    keys = [scope] if scope else []
+    grid = cells.select("cell_id", *keys, pois.cast("long").alias("_pois"))
+    inside = times.join(grid, ["cell_id", *keys])
+    wide = inside.groupBy("src_cell", *keys).agg(F.array(*[F.struct(F.lit(b).alias("within_min"), F.count_if(F.col("minutes") <= b).alias("n_cells"), F.coalesce(F.sum(F.when(F.col("minutes") <= b, F.col("_pois"))), F.lit(0)).alias("n_pois")) for b in BUCKETS]).alias("all"))
+    return wide.select("src_cell", *keys, F.explode("all").alias("one")).select("src_cell", *keys, "one.*")
 
 
-def as_map(summary_rows: DataFrame) -> DataFrame:
-    """(src_cell, buckets map<string, struct>): the roll-up of each source in one row."""
+def as_map(summary_rows: DataFrame, scope: str | None = None) -> DataFrame:
+    """(src_cell, scope?, buckets map<string, struct>): the roll-up of each source in one row."""
     entry = F.struct(F.concat(F.col("within_min").cast("string"), F.lit("_min")), F.struct("n_cells", "n_pois"))
-    return summary_rows.groupBy("src_cell").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("buckets"))
+    return summary_rows.groupBy("src_cell", *([scope] if scope else [])).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("buckets"))

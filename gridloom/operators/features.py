@@ -29,22 +29,27 @@ def labels() -> dict[str, Column]:
     }
 
 
-def count_labels(amenities: DataFrame, cell: str = "cell_id") -> DataFrame:
-    """(cell_id, <label>_count ...): one pass, partially aggregated before the shuffle."""
+def _keys(cell: str, scope: str | None) -> list[str]:
+    """What tells cells apart: their id, within a scope such as the city if there is one."""
+    return [cell, *([scope] if scope else [])]
+
+
+def count_labels(amenities: DataFrame, cell: str = "cell_id", scope: str | None = None) -> DataFrame:
+    """(cell_id, scope?, <label>_count ...): one pass, partially aggregated before the shuffle."""
     rows = amenities.where(F.col(cell).isNotNull())
-    return rows.groupBy(cell).agg(*[F.count_if(c).alias(f"{name}_count") for name, c in labels().items()])
+    return rows.groupBy(*_keys(cell, scope)).agg(*[F.count_if(c).alias(f"{name}_count") for name, c in labels().items()])
 
 
-def count_points(points: DataFrame, into: str, cell: str = "cell_id") -> DataFrame:
-    return points.where(F.col(cell).isNotNull()).groupBy(cell).agg(F.count("*").alias(into))
+def count_points(points: DataFrame, into: str, cell: str = "cell_id", scope: str | None = None) -> DataFrame:
+    return points.where(F.col(cell).isNotNull()).groupBy(*_keys(cell, scope)).agg(F.count("*").alias(into))
 
 
-def category_counts(pois: DataFrame, cell: str = "cell_id") -> DataFrame:
-    """The sparse (cell_id, category, count) table that all category questions start from."""
-    return pois.dropna(subset=[cell, "category"]).groupBy(cell, "category").agg(F.count("*").alias("count"))
+def category_counts(pois: DataFrame, cell: str = "cell_id", scope: str | None = None) -> DataFrame:
+    """The sparse (cell_id, scope?, category, count) table that all category questions start from."""
+    return pois.dropna(subset=[cell, "category"]).groupBy(*_keys(cell, scope), "category").agg(F.count("*").alias("count"))
 
 
-def poi_features(counts: DataFrame, cell: str = "cell_id") -> DataFrame:
+def poi_features(counts: DataFrame, cell: str = "cell_id", scope: str | None = None) -> DataFrame:
     """poi_count, unique_categories, category_entropy (natural log) and top_category of each cell.
 
     Takes the sparse counts, so that both aggregations shuffle no more than a row for each category
@@ -52,7 +57,7 @@ def poi_features(counts: DataFrame, cell: str = "cell_id") -> DataFrame:
     """
     n = F.col("count").cast("double")
     total = F.sum(n)
-    return counts.groupBy(cell).agg(
+    return counts.groupBy(*_keys(cell, scope)).agg(
         F.sum("count").alias("poi_count"),
         F.count("*").alias("unique_categories"),
         F.greatest(F.log(total) - F.sum(n * F.log(n)) / total, F.lit(0.0)).alias("category_entropy"),
@@ -60,12 +65,12 @@ def poi_features(counts: DataFrame, cell: str = "cell_id") -> DataFrame:
     )
 
 
-def with_counts(cells: DataFrame, *tables: DataFrame, cell: str = "cell_id") -> DataFrame:
+def with_counts(cells: DataFrame, *tables: DataFrame, cell: str = "cell_id", scope: str | None = None) -> DataFrame:
     """Left lookups with zeros where a cell has no row; rows outside the grid drop out."""
     out = cells
     for table in tables:
-        new = [c for c in table.columns if c != cell]
-        out = out.join(table, cell, "left").fillna(0, subset=new)
+        new = [c for c in table.columns if c not in _keys(cell, scope)]
+        out = out.join(table, _keys(cell, scope), "left").fillna(0, subset=new)
     return out
 
 

@@ -1,8 +1,8 @@
 """Robust normalisation in two passes: bounds are fitted once on a whole scope, then applied anywhere.
 
 Bounds are a table of their own, so that scores of a subset, even of one cell, are those that the
-cell has within its scope. ``percentile`` is exact and holds one count for each distinct value;
-``accuracy`` switches to the approximate one for columns of very many distinct doubles.
+cell has within its scope. They are exact: distinct values are counted, and summed up in order by
+ranges, so that no task holds a column; ``accuracy`` takes approximate ones instead.
 """
 
 from __future__ import annotations
@@ -13,21 +13,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalars import clip
+from gridloom.operators.order import running
 
 LOW, HIGH = 0.05, 0.95
 
 
 def fit_bounds(df: DataFrame, columns: Sequence[str], scope: str | None = None, accuracy: int | None = None) -> DataFrame:
     """(scope?, feature, p05, p95, is_degenerate): a missing value counts as 0, a missing column is all 0."""
-    def bounds(c: str) -> Column:
-        x = F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0)
-        both = F.array(F.lit(LOW), F.lit(HIGH))
-        return F.percentile(x, both) if accuracy is None else F.percentile_approx(x, both, accuracy)
-
-    wide = df.groupBy(*([scope] if scope else [])).agg(*[bounds(c).alias(c) for c in columns])
-    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c)[0].alias("p05"), F.col(c)[1].alias("p95")) for c in columns])
-    long = wide.select(*([scope] if scope else []), F.explode(rows).alias("b"))
-    return long.select(*([scope] if scope else []), "b.*", (F.col("b.p95") <= F.col("b.p05")).alias("is_degenerate"))
+    keys = [scope] if scope else []
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0)
+    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), value(c).alias("x")) for c in columns])).alias("b")).select(*keys, "b.*")
+    if accuracy is None:
+        found = _percentiles(long, [*keys, "feature"])
+    else:
+        both = F.percentile_approx("x", F.array(F.lit(LOW), F.lit(HIGH)), accuracy)
+        found = long.groupBy(*keys, "feature").agg(both.alias("b")).select(*keys, "feature", F.col("b")[0].alias("p05"), F.col("b")[1].alias("p95"))
+    if not scope:  # an empty table has bounds too: null
+        found = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string").join(found, "feature", "left")
+    return found.withColumn("is_degenerate", F.col("p95") <= F.col("p05"))
+
+
+def _percentiles(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, p05, p95) of x, with linear interpolation between the two values around a position."""
+    counted = rows.groupBy(*keys, "x").agg(F.count("*").alias("n"))
+    held = running(counted, keys, [F.col("x")], F.col("n"))
+
+    def bound(p: float) -> Column:
+        position = (F.col("_all") - 1) * F.lit(p)
+        at = lambda rank: F.max(F.when((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("n")), F.col("x")))
+        low, high = F.floor(position), F.ceil(position)
+        share = F.max(position - low)
+        return F.when(at(low) == at(high), at(low)).otherwise(at(low) * (1.0 - share) + at(high) * share)
+
+    return held.groupBy(*keys).agg(bound(LOW).alias("p05"), bound(HIGH).alias("p95"))
 
 
 def norm(x: Column, low: Column, high: Column) -> Column:

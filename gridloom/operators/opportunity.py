@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.scalars import clip, display_name
 from gridloom.operators.features import kring_sum
 from gridloom.operators.normalize import apply_bounds, fit_bounds
+from gridloom.operators.order import running
 from gridloom.sources.store import kept
 
 DEMAND = {"poi_count": 0.4, "amenity_count": 0.3, "transit_stop_count": 0.3}
@@ -38,39 +39,64 @@ def _raw(kring: Column, most: Column) -> Column:
 def _ranked(asked: DataFrame, keys: list[str]) -> DataFrame:
     """Adds _down, the rank of a cell from the highest demand on (ties: smaller id first), and _up, from the lowest.
 
-    Cells are dealt by ranges, ranked within them, and shifted by the sizes of the ranges before: no
-    task holds all cells.
+    Demands that agree in nine decimals are ties. No task holds all cells.
     """
-    order = [F.desc("demand_proxy"), F.col("cell_id")]
-    tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = kept(asked.repartitionByRange(tasks, *keys, *order).withColumn("_range", F.spark_partition_id()), "demand")
-    sizes = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_size"))  # a row for each range
-    so_far = Window.partitionBy(*keys).orderBy("_range")
-    before = sizes.select(*keys, "_range", (F.sum("_size").over(so_far) - F.col("_size")).alias("_before"), F.sum("_size").over(so_far.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
-    nth = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
-    ranked = dealt.withColumn("_nth", nth).join(F.broadcast(before) if not keys else before, [*keys, "_range"])
-    return ranked.withColumn("_down", F.col("_before") + F.col("_nth")).withColumn("_up", F.col("_all") + 1 - F.col("_down")).drop("_range", "_nth", "_before", "_all")
+    ranked = running(asked, keys, [F.desc(_nine("demand_proxy")), F.col("cell_id")])
+    return ranked.withColumn("_down", F.col("_before") + 1).withColumn("_up", F.col("_all") - F.col("_before")).drop("_before", "_all")
+
+
+def _nine(c: str) -> Column:
+    return F.floor(F.col(c) * 1e9 + 0.5)
 
 
 _BLOCK = 4096
 
 
-def _first_free(rows: DataFrame, keys: list[str], rank: str, into: str) -> DataFrame:
-    """(keys, into): the least rank from 1 on that none of a group's rows has.
+def _free(rows: DataFrame, keys: list[str], rank: str, n: int = 1) -> DataFrame:
+    """(keys, rank): the n least ranks from 1 on that none of a group's rows has; a row of rank 0 holds none.
 
-    Ranks are put in blocks, whose rows are counted; only a group's blocks are walked in order, and
-    the first that is not full has it.
+    Ranks are put in blocks, whose rows are counted. Only a group's blocks are walked in order, and
+    only those before which fewer than n ranks are free are looked into.
     """
     at = F.col(rank) - 1
-    blocks = rows.groupBy(*keys, F.floor(at / _BLOCK).alias("_block")).agg(F.count("*").alias("_n"), F.collect_list((at % _BLOCK).cast("int")).alias("_held"))  # _BLOCK numbers at most
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_block")) - 1
-    full = blocks.withColumn("_full", (F.col("_block") == nth) & (F.col("_n") == _BLOCK))
-    open_at = F.coalesce(F.min(F.when(~F.col("_full"), F.struct("_block", "_held"))), F.struct((F.max("_block") + 1).alias("_block"), F.array().cast("array<int>").alias("_held")))
-    first = full.groupBy(*keys).agg(open_at.alias("_open"), F.count_if("_full").alias("_run"))
-    # a block that is not there at all is free from its start
-    held = F.when(F.col("_open._block") == F.col("_run"), F.col("_open._held")).otherwise(F.array().cast("array<int>"))
-    gap = F.array_min(F.array_except(F.sequence(F.lit(0), F.lit(_BLOCK)), held))
-    return first.select(*keys, (F.col("_run") * _BLOCK + gap + 1).alias(into))
+    blocks = rows.groupBy(*keys, F.floor(at / _BLOCK).alias("_block")).agg(F.count_if(at >= 0).alias("_n"), F.collect_list((at % _BLOCK).cast("int")).alias("_held"))  # _BLOCK numbers at most
+    order = Window.partitionBy(*keys).orderBy("_block")
+    after = F.coalesce(F.lag("_block").over(order), F.lit(-1)) + 1  # the first block behind the one before
+    walked = blocks.select(*keys, "_block", "_held", after.alias("_after"), F.lead("_block").over(order).isNull().alias("_last"), (F.sum("_n").over(order) - F.col("_n")).alias("_before"))
+    few = walked.where(F.col("_after") * _BLOCK - F.col("_before") < n)
+    none = F.array().cast("array<bigint>")
+    stretch = lambda low, high: F.when(low < high, F.sequence(low, F.least(high, low + n) - 1)).otherwise(none)
+    start = F.col("_block") * _BLOCK
+    gap = F.when(F.col("_block") > 0, stretch(F.col("_after") * _BLOCK, start)).otherwise(none)
+    own = F.when(F.col("_block") >= 0, F.transform(F.array_except(F.sequence(F.lit(0), F.lit(_BLOCK - 1)), "_held"), lambda i: i + start)).otherwise(none)
+    end = F.when(F.col("_last"), stretch(start + _BLOCK, start + _BLOCK + n)).otherwise(none)
+    found = few.select(*keys, F.explode(F.concat(gap, F.slice(own, 1, n), end)).alias("_at"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_at"))
+    return found.withColumn("_nth", nth).where(F.col("_nth") <= n).select(*keys, (F.col("_at") + 1).alias(rank))
+
+
+def _parts(counts: DataFrame, cells: DataFrame, k: int, keys: list[str], scope: str | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows of the cells that a category reaches; all cells by demand; ranks that a category's rows hold, and its bounds."""
+    ranked = _ranked(demand(cells, scope=scope), keys)
+    ring = kring_sum(counts, cells, "count", "cat_count_kring", k, by=("category",), scope=scope)
+    own = counts.select("cell_id", *keys, "category", F.col("count").alias("cat_count_cell"))
+    rows = ring.join(own, ["cell_id", *keys, "category"], "left").fillna(0, subset=["cat_count_cell"]).join(ranked, ["cell_id", *keys])
+    rows = kept(rows.join(rows.groupBy(*keys, "category").agg(F.max("cat_count_kring").alias("_most")), [*keys, "category"]), "opportunity")
+    rows = rows.withColumn("saturation", F.col("cat_count_kring") / (F.col("_most") + 1)).withColumn("opportunity_raw", _raw(F.col("cat_count_kring"), F.col("_most")))
+    names = counts.select(*keys, "category").distinct()
+    held = rows.select(*keys, "category", "_down", "_up").union(names.select(*keys, "category", F.lit(0), F.lit(0)))
+    edges = names.join(rows.groupBy(*keys, "category").agg(F.max("opportunity_raw").alias("_max"), F.min("opportunity_raw").alias("_min")), [*keys, "category"], "left")
+    for way, name in (("_down", "_best"), ("_up", "_worst")):
+        at = ranked.select(*keys, way, F.col("demand_proxy").alias(name))
+        edges = edges.join(_free(held, [*keys, "category"], way), [*keys, "category"]).join(at, [*keys, way], "left").drop(way)
+    free = lambda name: F.when(F.col(name).isNotNull(), clip(F.col(name)))  # noqa: E731  (null where every cell has a row)
+    edges = edges.select(*keys, "category", F.greatest("_max", free("_best")).alias("_high"), F.least("_min", free("_worst")).alias("_low"))
+    return rows, ranked, held, edges
+
+
+def _scaled() -> Column:
+    span = F.col("_high") - F.col("_low")
+    return F.when(span > 0, clip((F.col("opportunity_raw") - F.col("_low")) / F.nullif(span, F.lit(0.0)))).otherwise(F.col("opportunity_raw"))
 
 
 def opportunity(counts: DataFrame, cells: DataFrame, k: int = 2, scope: str | None = None) -> DataFrame:
@@ -85,21 +111,23 @@ def opportunity(counts: DataFrame, cells: DataFrame, k: int = 2, scope: str | No
     opportunity_raw, opportunity.
     """
     keys = [scope] if scope else []
-    ranked = _ranked(demand(cells, scope=scope), keys)
-    ring = kring_sum(counts, cells, "count", "cat_count_kring", k, by=("category",), scope=scope)
-    own = counts.select("cell_id", *keys, "category", F.col("count").alias("cat_count_cell"))
-    rows = ring.join(own, ["cell_id", *keys, "category"], "left").fillna(0, subset=["cat_count_cell"]).join(ranked, ["cell_id", *keys])
-    rows = kept(rows.join(rows.groupBy(*keys, "category").agg(F.max("cat_count_kring").alias("_most")), [*keys, "category"]), "opportunity")
-    rows = rows.withColumn("saturation", F.col("cat_count_kring") / (F.col("_most") + 1)).withColumn("opportunity_raw", _raw(F.col("cat_count_kring"), F.col("_most")))
-    edges = rows.groupBy(*keys, "category").agg(F.max("opportunity_raw").alias("_max"), F.min("opportunity_raw").alias("_min"))
-    for way, name in (("down", "_best"), ("up", "_worst")):
-        at = ranked.select(*keys, F.col(f"_{way}").alias(f"_free_{way}"), F.col("demand_proxy").alias(name))
-        edges = edges.join(_first_free(rows, [*keys, "category"], f"_{way}", f"_free_{way}"), [*keys, "category"]).join(at, [*keys, f"_free_{way}"], "left")
-    free = lambda name: F.when(F.col(name).isNotNull(), clip(F.col(name)))  # noqa: E731  (null where every cell has a row)
-    edges = edges.select(*keys, "category", F.greatest("_max", free("_best")).alias("_high"), F.least("_min", free("_worst")).alias("_low"))
-    span = F.col("_high") - F.col("_low")
-    scaled = F.when(span > 0, clip((F.col("opportunity_raw") - F.col("_low")) / F.nullif(span, F.lit(0.0)))).otherwise(F.col("opportunity_raw"))
-    return rows.join(edges, [*keys, "category"]).select("cell_id", *keys, "category", "cat_count_cell", "cat_count_kring", "demand_proxy", "saturation", "opportunity_raw", scaled.alias("opportunity"))
+    rows, _, _, edges = _parts(counts, cells, k, keys, scope)
+    return rows.join(edges, [*keys, "category"]).select("cell_id", *keys, "category", "cat_count_cell", "cat_count_kring", "demand_proxy", "saturation", "opportunity_raw", _scaled().alias("opportunity"))
+
+
+def top_opportunities(counts: DataFrame, cells: DataFrame, n: int = 10, k: int = 2, scope: str | None = None) -> DataFrame:
+    """(cell_id, scope?, category, cat_count_cell, cat_count_kring, demand_proxy, opportunity, rank): the n best cells of each category.
+
+    The best of all cells, while only the sparse rows are ranked and, for each category, the n cells of
+    highest demand that it does not reach. Opportunities that agree in nine decimals are ties, which
+    go to the smaller id.
+    """
+    keys = [scope] if scope else []
+    rows, ranked, held, edges = _parts(counts, cells, k, keys, scope)
+    wide_open = _free(held, [*keys, "category"], "_down", n).join(ranked, [*keys, "_down"]).select("cell_id", *keys, "category", F.lit(0).cast("long").alias("cat_count_cell"), F.lit(0).cast("long").alias("cat_count_kring"), "demand_proxy", clip(F.col("demand_proxy")).alias("opportunity_raw"))
+    both = rows.select(*wide_open.columns).union(wide_open).join(edges, [*keys, "category"]).withColumn("opportunity", _scaled())
+    order = Window.partitionBy(*keys, "category").orderBy(F.desc(_nine("opportunity")), "cell_id")
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("opportunity_raw", "_low", "_high")
 
 
 def densify(counts: DataFrame, cells: DataFrame, names: list[str] | DataFrame, k: int = 2, scope: str | None = None) -> DataFrame:

@@ -72,27 +72,29 @@ def nearest_within(centres: DataFrame, pois: DataFrame, k: int = 5, radius_m: fl
     return best.select("cell_id", *keys, "category", "rank", "id", shown_name(F.col("name")).alias("name"), whole_metres(F.col("_d")).alias("distance_m"), compass(bearing(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))).alias("direction"))
 
 
-def nearest(points: DataFrame, targets: DataFrame, point_id: str, target_id: str, start_degrees: float = 0.004) -> DataFrame:
-    """(point_id, target_id, d2): the target with the least squared degree distance; ties: smaller id.
+def nearest(points: DataFrame, targets: DataFrame, point_id: str, target_id: str, start_degrees: float = 0.004, scope: str | None = None) -> DataFrame:
+    """(point_id, scope?, target_id, d2): the target with the least squared degree distance; ties: smaller id.
 
-    Both are (id, lat, lon). Points look into the nine buckets around them. What they find is right
+    Both are (id, lat, lon), and ``scope``, a column of both such as the city, if targets are those of
+    the point's own scope; ids then count within it. Points without a target drop out. Points look into the nine buckets around them. What they find is right
     once it is no farther than a bucket is wide; the others look again with buckets twice as wide.
     Each round is kept in a table; rounds end when nothing is left (all targets are in reach at last).
     """
-    left = points.dropna(subset=["lat", "lon"]).select(F.col(point_id).alias("_p"), "lat", "lon")
-    right = targets.dropna(subset=["lat", "lon"]).select(F.col(target_id).alias("_t"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
+    keys = [scope] if scope else []
+    left = points.dropna(subset=["lat", "lon", *keys]).select(F.col(point_id).alias("_p"), *keys, "lat", "lon")
+    right = targets.dropna(subset=["lat", "lon", *keys]).select(F.col(target_id).alias("_t"), *keys, F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
     done, size = None, start_degrees
     while True:
         buckets = right.withColumns({"blat": _bucket(F.col("t_lat"), size), "blon": _bucket(F.col("t_lon"), size)})
-        look = left.select("_p", "lat", "lon", F.explode(_around(_bucket(F.col("lat"), size), _bucket(F.col("lon"), size))).alias("b")).select("_p", "lat", "lon", "b.*")
+        look = left.select("_p", *keys, "lat", "lon", F.explode(_around(_bucket(F.col("lat"), size), _bucket(F.col("lon"), size))).alias("b")).select("_p", *keys, "lat", "lon", "b.*")
         d2 = (F.col("t_lat") - F.col("lat")) * (F.col("t_lat") - F.col("lat")) + (F.col("t_lon") - F.col("lon")) * (F.col("t_lon") - F.col("lon"))
-        found = look.join(buckets, ["blat", "blon"]).withColumn("_d2", d2).groupBy("_p").agg(F.min(F.struct("_d2", "_t")).alias("best"))
-        seen = kept(left.join(found, "_p", "left").select("_p", "lat", "lon", F.col("best._d2").alias("_d2"), F.col("best._t").alias("_t")), "nearest")
+        found = look.join(buckets, ["blat", "blon", *keys]).withColumn("_d2", d2).groupBy("_p", *keys).agg(F.min(F.struct("_d2", "_t")).alias("best"))
+        seen = kept(left.join(found, ["_p", *keys], "left").select("_p", *keys, "lat", "lon", F.col("best._d2").alias("_d2"), F.col("best._t").alias("_t")), "nearest")
         last = size >= 360.0  # every bucket is in reach
         settled = F.col("_d2").isNotNull() & (F.lit(last) | (F.col("_d2") <= size * size))
         part = seen.where(settled)
         done = part if done is None else done.union(part)
-        left = seen.where(~settled).select("_p", "lat", "lon")
+        left = seen.where(~settled).select("_p", *keys, "lat", "lon")
         if last or left.isEmpty():
-            return done.select(F.col("_p").alias(point_id), F.col("_t").alias(target_id), F.col("_d2").alias("d2"))
+            return done.select(F.col("_p").alias(point_id), *keys, F.col("_t").alias(target_id), F.col("_d2").alias("d2"))
         size *= 2.0

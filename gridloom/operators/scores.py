@@ -86,22 +86,24 @@ def activity(df: DataFrame, bounds: DataFrame, scope: str | None = None) -> Data
     return normed.withColumns({f"activity_{b}": clip(_weighted(parts)) for b, parts in ACTIVITY.items()}).drop(*[f"n_{f}" for f in features])
 
 
-def activity_long(profile: DataFrame, cell: str = "cell_id") -> DataFrame:
-    """(cell_id, bucket, label, activity)."""
-    named = profile.select(cell, *[F.col(f"activity_{b}").alias(b) for b in ACTIVITY])
-    long = named.unpivot([cell], list(ACTIVITY), "bucket", "activity")
-    return long.select(cell, "bucket", bucket_name(F.col("bucket")).alias("label"), "activity")
+def activity_long(profile: DataFrame, cell: str = "cell_id", scope: str | None = None) -> DataFrame:
+    """(cell_id, scope?, bucket, label, activity)."""
+    keys = [cell, *([scope] if scope else [])]
+    named = profile.select(*keys, *[F.col(f"activity_{b}").alias(b) for b in ACTIVITY])
+    long = named.unpivot(keys, list(ACTIVITY), "bucket", "activity")
+    return long.select(*keys, "bucket", bucket_name(F.col("bucket")).alias("label"), "activity")
 
 
 def breakdown(df: DataFrame, bounds: DataFrame, definition: Definition, cell: str = "cell_id", scope: str | None = None) -> DataFrame:
-    """(cell_id, component, weight, value, weighted), by the bounds of the whole scope."""
+    """(cell_id, scope?, component, weight, value, weighted), by the bounds of the whole scope."""
     parts = components(df, bounds, definition, scope)
-    long = parts.select(cell, *definition).unpivot([cell], list(definition), "component", "value")
+    keys = [cell, *([scope] if scope else [])]
+    long = parts.select(*keys, *definition).unpivot(keys, list(definition), "component", "value")
     weight = F.lit(None).cast("double")
     for c, (w, _) in definition.items():
         weight = F.when(F.col("component") == c, w).otherwise(weight)
     value = clip(F.col("value"))
-    return long.select(cell, "component", weight.alias("weight"), value.alias("value"), (weight * value).alias("weighted"))
+    return long.select(*keys, "component", weight.alias("weight"), value.alias("value"), (weight * value).alias("weighted"))
 
 
 def top_cells(df: DataFrame, by: str, n: int = 10, scope: str | None = None, cell: str = "cell_id") -> DataFrame:

@@ -13,22 +13,22 @@ from gridloom.functions.scalars import coordinates
 from gridloom.sources.store import kept
 
 
-KEYS = ("table", "bucket", "part")
+KEYS = ("scope", "table", "bucket", "part")
 
 
-def _rows(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """(id, v) of the rows that have both."""
-    some = vectors.where(F.col(vector).isNotNull() & F.col(id_column).isNotNull())
-    return some.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+def _rows(vectors: DataFrame, id_column: str, vector: str, scope: str | None = None) -> DataFrame:
+    """(scope, id, v) of the rows that have all of them; one scope, 0, where there is none."""
+    some = vectors.dropna(subset=[id_column, vector, *([scope] if scope else [])])
+    return some.select((F.col(scope) if scope else F.lit(0)).alias("scope"), F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
 
 
 def _dealt(rows: DataFrame, blocks: Column, table: str | Column = "table", bucket: str | Column = "bucket") -> DataFrame:
-    """Rows (id, v) with their bucket and, by a hash of the id, their block of it."""
-    return rows.select(F.pmod(F.xxhash64("id"), blocks).cast("int").alias("part"), table, bucket, "id", "v")
+    """Rows (scope, id, v) with their bucket and, by a hash of the id, their block of it."""
+    return rows.select(F.pmod(F.xxhash64("id"), blocks).cast("int").alias("part"), "scope", table, bucket, "id", "v")
 
 
 def _packed(rows: DataFrame, name: str) -> DataFrame:
-    """Blocks of dealt rows as one row each: (table, bucket, part, ids, x, dims), the last three named after ``name``."""
+    """Blocks of dealt rows as one row each: (scope, table, bucket, part, ids, x, dims), the last three named after ``name``."""
 
     def pack(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
@@ -37,16 +37,16 @@ def _packed(rows: DataFrame, name: str) -> DataFrame:
         keys = [table.column(key).slice(0, 1).combine_chunks() for key in KEYS]
         return pa.table([*keys, pa.array([ids[order].tobytes()]), pa.array([x.tobytes()]), pa.array([x.shape[1]], pa.int32())], [*KEYS, "ids", "x", "dims"])
 
-    packed = rows.groupBy(*KEYS).applyInArrow(pack, "table int, bucket double, part int, ids binary, x binary, dims int")
+    packed = rows.groupBy(*KEYS).applyInArrow(pack, f"scope {rows.schema['scope'].dataType.simpleString()}, table int, bucket double, part int, ids binary, x binary, dims int")
     return packed.select(*KEYS, *[F.col(c).alias(f"{name}_{c}") for c in ("ids", "x", "dims")])
 
 
 def _met(left: DataFrame, right: DataFrame, k: int, tasks: int) -> DataFrame:
-    """(id, nbr_id, dist_sq): the k nearest to each row of a block of ``left`` in every block of ``right`` that it is to meet (``b_part``)."""
+    """(scope, id, nbr_id, dist_sq): the k nearest to each row of a block of ``left`` in every block of ``right`` that it is to meet (``b_part``)."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a_ids, a, a_dims, b_ids, b, b_dims in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for at, (a_ids, a, a_dims, b_ids, b, b_dims) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
                 one, two = np.frombuffer(a).reshape(-1, a_dims), np.frombuffer(b).reshape(-1, b_dims)
                 own, other = np.frombuffer(a_ids, np.int64), np.frombuffer(b_ids, np.int64)
                 norms = (two * two).sum(axis=1)
@@ -66,34 +66,48 @@ def _met(left: DataFrame, right: DataFrame, k: int, tasks: int) -> DataFrame:
                         for d in range(gaps.shape[1]):
                             total += gaps[:, d] * gaps[:, d]
                         best = np.lexsort((other[some], total))[:k]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), own[low + i])), pa.array(other[some[best]]), pa.array(total[best])], ["id", "nbr_id", "dist_sq"])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(best), at))), pa.array(np.full(len(best), own[low + i])), pa.array(other[some[best]]), pa.array(total[best])], ["scope", "id", "nbr_id", "dist_sq"])
 
     dealt = left.repartition(tasks, *KEYS, "b_part")
-    joined = dealt.join(right.withColumnRenamed("part", "b_part"), ["table", "bucket", "b_part"])
-    return joined.select("a_ids", "a_x", "a_dims", "b_ids", "b_x", "b_dims").mapInArrow(_batched(meet), "id long, nbr_id long, dist_sq double")
+    joined = dealt.join(right.withColumnRenamed("part", "b_part"), ["scope", "table", "bucket", "b_part"])
+    return joined.select("scope", "a_ids", "a_x", "a_dims", "b_ids", "b_x", "b_dims").mapInArrow(_batched(meet), f"scope {left.schema['scope'].dataType.simpleString()}, id long, nbr_id long, dist_sq double")
 
 
-def _ranked(met: DataFrame, k: int, id_column: str) -> DataFrame:
-    order = Window.partitionBy("id").orderBy("dist_sq", "nbr_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("id").alias(id_column), "rank", "nbr_id", "dist_sq")
+def _ranked(met: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("scope", "id").orderBy("dist_sq", "nbr_id")
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("scope", "id", "rank", "nbr_id", "dist_sq")
 
 
-def exact_knn(vectors: DataFrame, id_column: str, vector: str = "z", k: int = 5, rows_per_block: int = 4096, rows: int | None = None, queries: DataFrame | None = None) -> DataFrame:
-    """(id, rank, nbr_id, dist_sq): the k nearest by squared L2, never the row itself; ties: smaller id.
+def _named(ranked: DataFrame, id_column: str, scope: str | None) -> DataFrame:
+    return ranked.select(F.col("id").alias(id_column), *([F.col("scope").alias(scope)] if scope else []), "rank", "nbr_id", "dist_sq")
+
+
+def _sized(rows: DataFrame, rows_per_block: int) -> DataFrame:
+    """(scope, blocks): a row for each scope."""
+    return kept(rows.groupBy("scope").agg((F.floor(F.count("*") / rows_per_block) + 1).cast("int").alias("blocks")), "blocks")
+
+
+def exact_knn(vectors: DataFrame, id_column: str, vector: str = "z", k: int = 5, rows_per_block: int = 4096, queries: DataFrame | None = None, scope: str | None = None) -> DataFrame:
+    """(id, scope?, rank, nbr_id, dist_sq): the k nearest by squared L2, never the row itself; ties: smaller id.
 
     Vectors are cut in blocks of about ``rows_per_block``; every two blocks meet in one task, which
     keeps k rows for each vector, and a ranking over blocks ends it. No task holds more than two
-    blocks. ``rows``: the number of vectors, if known (else it is counted). Null vectors drop out.
-    ``queries``: the rows whose neighbours are wanted, if not all; neighbours come from ``vectors``.
+    blocks. Null vectors drop out. ``queries``: the rows whose neighbours are wanted, if not all;
+    neighbours come from ``vectors``. ``scope``: a column, such as the city, in whose limits neighbours
+    are looked for; ids count within it.
     """
-    known = _rows(vectors, id_column, vector)
-    asked = known if queries is None else _rows(queries, id_column, vector)
-    n = known.count() if rows is None else rows
-    blocks = n // rows_per_block + 1
-    own = blocks if queries is None else asked.count() // rows_per_block + 1
+    known = _rows(vectors, id_column, vector, scope)
+    asked = known if queries is None else _rows(queries, id_column, vector, scope)
+    return _named(_exact(known, asked, k, rows_per_block), id_column, scope)
+
+
+def _exact(known: DataFrame, asked: DataFrame, k: int, rows_per_block: int) -> DataFrame:
+    blocks = _sized(known, rows_per_block)
+    own = blocks if asked is known else _sized(asked, rows_per_block)
+    pairs = own.join(blocks.withColumnRenamed("blocks", "_b"), "scope").agg(F.coalesce(F.sum(F.col("blocks").cast("long") * F.col("_b")), F.lit(1))).first()[0]
     one = (F.lit(0).alias("table"), F.lit(0.0).alias("bucket"))
-    left = _packed(_dealt(asked, F.lit(own), *one), "a").withColumn("b_part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return _ranked(_met(left, _packed(_dealt(known, F.lit(blocks), *one), "b"), k, min(own * blocks, 10_000)), k, id_column)
+    left = _packed(_dealt(asked.join(own, "scope"), F.col("blocks"), *one), "a").join(blocks, "scope").withColumn("b_part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    return _ranked(_met(left, _packed(_dealt(known.join(blocks, "scope"), F.col("blocks"), *one), "b"), k, min(pairs, 10_000)), k)
 
 
 def _batched(function, rows: int = 20_000):
@@ -113,13 +127,14 @@ def _batched(function, rows: int = 20_000):
     return run
 
 
-def enrich(neighbours: DataFrame, cells: DataFrame, score: str) -> DataFrame:
+def enrich(neighbours: DataFrame, cells: DataFrame, score: str, scope: str | None = None) -> DataFrame:
     """Neighbours with their centre, score in percent, top category and distance; unknown cells drop out."""
-    known = cells.select(F.col("cell_id").alias("nbr_id"), coordinates(F.col("center_lat"), F.col("center_lon")).alias("centre"), (F.floor(F.col(score) * 1000.0 + 0.5) / 10.0).alias("score_pct"), "top_category")
-    return neighbours.join(known, "nbr_id").withColumn("distance", F.floor(F.sqrt("dist_sq") * 100.0 + 0.5) / 100.0)
+    keys = [scope] if scope else []
+    known = cells.select(F.col("cell_id").alias("nbr_id"), *keys, coordinates(F.col("center_lat"), F.col("center_lon")).alias("centre"), (F.floor(F.col(score) * 1000.0 + 0.5) / 10.0).alias("score_pct"), "top_category")
+    return neighbours.join(known, ["nbr_id", *keys]).withColumn("distance", F.floor(F.sqrt("dist_sq") * 100.0 + 0.5) / 100.0)
 
 
-def approximate_knn(vectors: DataFrame, id_column: str, vector: str = "z", k: int = 5, bucket_length: float = 2.0, tables: int = 6, seed: int = 1, rows_per_block: int = 4096) -> DataFrame:
+def approximate_knn(vectors: DataFrame, id_column: str, vector: str = "z", k: int = 5, bucket_length: float = 2.0, tables: int = 6, seed: int = 1, rows_per_block: int = 4096, scope: str | None = None) -> DataFrame:
     """As exact_knn, by random-projection hashing from Spark ML: for many vectors, at a recall below 1.
 
     Buckets are cut in blocks of about ``rows_per_block``; all blocks of a bucket meet, and two of
@@ -130,25 +145,25 @@ def approximate_knn(vectors: DataFrame, id_column: str, vector: str = "z", k: in
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = kept(_rows(vectors, id_column, vector), "vectors")
+    rows = kept(_rows(vectors, id_column, vector, scope), "vectors")
     n = rows.count()
     far = rows
     found = None
     if n > k:
         as_vectors = rows.withColumn("w", array_to_vector("v"))
         model = BucketedRandomProjectionLSH(inputCol="w", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed).fit(as_vectors)
-        hashed = model.transform(as_vectors).select("id", "v", F.posexplode("h").alias("table", "h"))
+        hashed = model.transform(as_vectors).select("scope", "id", "v", F.posexplode("h").alias("table", "h"))
         # adding 0.0 makes -0.0 and 0.0 one bucket
-        hashed = hashed.select("id", "v", "table", (vector_to_array("h")[0] + F.lit(0.0)).alias("bucket"))
-        hot = kept(hashed.groupBy("table", "bucket").count().where(F.col("count") >= rows_per_block).select("table", "bucket", (F.floor(F.col("count") / rows_per_block) + 1).cast("int").alias("blocks")), "buckets")
+        hashed = hashed.select("scope", "id", "v", "table", (vector_to_array("h")[0] + F.lit(0.0)).alias("bucket"))
+        hot = kept(hashed.groupBy("scope", "table", "bucket").count().where(F.col("count") >= rows_per_block).select("scope", "table", "bucket", (F.floor(F.col("count") / rows_per_block) + 1).cast("int").alias("blocks")), "buckets")
         pairs = hot.agg(F.coalesce(F.sum(F.col("blocks").cast("long") * F.col("blocks")), F.lit(0))).first()[0]
-        in_blocks = lambda df: df.join(hot, ["table", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        in_blocks = lambda df: df.join(hot, ["scope", "table", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         packed = _dealt(in_blocks(hashed), F.col("blocks"))
         left = in_blocks(_packed(packed, "a")).withColumn("b_part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
         met = _met(left, _packed(packed, "b"), k, min(pairs + tables * n // rows_per_block + 1, 10_000))
-        found = kept(_ranked(met.distinct(), k, "id"), "finds")
-        near = found.where((F.col("rank") == k) & (F.col("dist_sq") <= (2.0 * bucket_length) ** 2)).select("id")
-        far = rows.join(near, "id", "left_anti")
-    whole = exact_knn(rows, "id", "v", k, rows_per_block, n, far)
-    result = whole if found is None else found.join(near, "id", "left_semi").unionByName(whole)
-    return result.withColumnRenamed("id", id_column)
+        found = kept(_ranked(met.distinct(), k), "finds")
+        near = found.where((F.col("rank") == k) & (F.col("dist_sq") <= (2.0 * bucket_length) ** 2)).select("scope", "id")
+        far = rows.join(near, ["scope", "id"], "left_anti")
+    whole = _exact(rows, far, k, rows_per_block)
+    result = whole if found is None else found.join(near, ["scope", "id"], "left_semi").unionByName(whole)
+    return _named(result, id_column, scope)

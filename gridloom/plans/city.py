@@ -13,7 +13,10 @@ from gridloom.operators import features, scores
 
 @dataclass(frozen=True)
 class Layers:
-    """Point tables of a city: pois (lat, lon, category), amenities (tags), and plain points."""
+    """Point tables of a city: pois (lat, lon, category), amenities (tags), and plain points.
+
+    For many cities at once, every table has a column that names the city, the ``scope`` below.
+    """
 
     pois: DataFrame
     amenities: DataFrame
@@ -22,27 +25,30 @@ class Layers:
     buildings: DataFrame
 
 
-def cell_features(layers: Layers, grid: HexGrid, k: int = 2) -> DataFrame:
+def cell_features(layers: Layers, grid: HexGrid, k: int = 2, scope: str | None = None) -> DataFrame:
     """Every cell that holds a point of interest, with its features.
 
     Each layer is binned and aggregated by itself, and joined to the grid by cell: only counts are
     shuffled. The grid is where points of interest are; other layers' points outside it drop out.
+    With a ``scope``, ids count within it: each city may have a grid of its own (HexGrid.of_scopes).
     """
+    keys = ["cell_id", *([scope] if scope else [])]
     pois = grid.with_cell(layers.pois)
-    counts = features.category_counts(pois)
-    own = features.poi_features(counts)
+    counts = features.category_counts(pois, scope=scope)
+    own = features.poi_features(counts, scope=scope)
     lat, lon = grid.centre(F.col("cell_id"))
-    cells = own.select("cell_id", lat.alias("center_lat"), lon.alias("center_lon"), "poi_count", "unique_categories", "category_entropy", "top_category")
+    cells = own.select(*keys, lat.alias("center_lat"), lon.alias("center_lon"), "poi_count", "unique_categories", "category_entropy", "top_category")
     filled = features.with_counts(
         cells,
-        features.count_points(grid.with_cell(layers.intersections), "intersection_count"),
-        features.count_points(grid.with_cell(layers.buildings), "building_count"),
-        features.count_points(grid.with_cell(layers.transit), "transit_stop_count"),
-        features.count_labels(grid.with_cell(layers.amenities)),
+        features.count_points(grid.with_cell(layers.intersections), "intersection_count", scope=scope),
+        features.count_points(grid.with_cell(layers.buildings), "building_count", scope=scope),
+        features.count_points(grid.with_cell(layers.transit), "transit_stop_count", scope=scope),
+        features.count_labels(grid.with_cell(layers.amenities), scope=scope),
+        scope=scope,
     )
-    ring = features.kring_sum(filled.select("cell_id", "restaurant_count"), filled, "restaurant_count", "restaurant_count_kring", k, inside_only=True)
-    return filled.join(ring, "cell_id")
+    ring = features.kring_sum(filled.select(*keys, "restaurant_count"), filled, "restaurant_count", "restaurant_count_kring", k, inside_only=True, scope=scope)
+    return filled.join(ring, keys)
 
 
-def scored_cells(layers: Layers, grid: HexGrid, k: int = 2) -> DataFrame:
-    return scores.with_all(cell_features(layers, grid, k))
+def scored_cells(layers: Layers, grid: HexGrid, k: int = 2, scope: str | None = None) -> DataFrame:
+    return scores.with_all(cell_features(layers, grid, k, scope), scope=scope)

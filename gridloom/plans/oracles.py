@@ -154,7 +154,32 @@ def _channel(c: int) -> str:
 
 _LONG = " UNION ALL ".join(f"SELECT cell_id, '{b}' AS bucket, '{label}' AS label, {_r(f'activity_{b}')} AS activity FROM scored" for b, label in (("morning", "Morning (6–11)"), ("midday", "Midday (11–16)"), ("evening", "Evening (16–22)"), ("late_night", "Late night (22–2)")))
 
+
+
+def _by_city(select: str, more: str = "") -> str:
+    """The rows of two cities, each with an origin of its own and every other row of each table."""
+    parts = []
+    for name, n, lat0, lon0 in (("west", 0, _LAT0, _LON0), ("east", 1, "37.74e0", "(-122.47e0)")):
+        text = sql(select, more).replace(_LAT0, lat0).replace(_LON0, lon0).replace("raw_edges WHERE", f"raw_edges WHERE u % 2 = {n} AND v % 2 = {n} AND")
+        for end, key in (("AS name FROM part", "p_partkey"), ("AS leisure FROM events", "event_id"), ("AS lon FROM supplier", "s_suppkey"), ("AS lon FROM customer", "c_custkey"), ("AS lon FROM orders", "o_orderkey")):
+            text = text.replace(end, f"{end} WHERE {key} % 2 = {n}")
+        parts.append(f"SELECT '{name}' AS city, * FROM ({text})")
+    return " UNION ALL ".join(parts)
+
+
+_BOUNDS = " UNION ALL ".join(f"SELECT '{c}' AS feature, {_r(f'quantile_cont({c}::DOUBLE, 0.05)')} AS p05, {_r(f'quantile_cont({c}::DOUBLE, 0.95)')} AS p95, quantile_cont({c}::DOUBLE, 0.95) <= quantile_cont({c}::DOUBLE, 0.05) AS is_degenerate FROM cells" for c in _NORMED)
+
+
+def _best(n: int) -> str:
+    return f"SELECT category, cell_id, demand_proxy, opportunity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY opportunity DESC, cell_id) AS rank FROM (SELECT category, cell_id, {_r('demand_proxy')} AS demand_proxy, {_r('opportunity')} AS opportunity FROM dense)) WHERE rank <= {n}"
+
+
 SQL: dict[str, str] = {
+    "city_scores": _by_city(f"SELECT cell_id, poi_count, restaurant_count_kring, {', '.join(f'{_r(c)} AS {c}' for c in ('center_lat', 'center_lon', 'score_site', 'score_character', 'activity_evening'))} FROM scored"),
+    "city_bounds": _by_city(_BOUNDS),
+    "city_opportunity_top5": _by_city(_best(5)),
+    "city_similar": _by_city(f"SELECT cell_id, CAST(rank AS INTEGER) AS rank, nbr_id, {_r('dist_sq')} AS dist_sq FROM knn"),
+    "city_walks": _by_city(f"SELECT src_cell, cell_id, {_r('minutes')} AS minutes FROM times", _WALK),
     "bbox_subset": sql("SELECT category, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM pois WHERE lon BETWEEN -122.48e0 AND -122.40e0 AND lat BETWEEN 37.74e0 AND 37.80e0 GROUP BY 1"),
     "resolve_columns": sql(f"SELECT id, name, category, {_r('lat')} AS lat, {_r('lon')} AS lon FROM pois"),
     "valid_points": sql(f"SELECT id, {_r('lat')} AS lat, {_r('lon')} AS lon FROM pois WHERE id % 5 <> 0 AND id % 7 <> 0 AND id % 11 <> 0 AND id % 13 <> 0"),

@@ -18,6 +18,7 @@ from gridloom.sources import tables
 from gridloom.sources.store import kept, new_path
 
 GRID = HexGrid()
+CITY_GRIDS = {"west": GRID, "east": HexGrid(lat0=37.74, lon0=-122.47)}
 SIMILAR = ("poi_count", "unique_categories", "category_entropy", "intersection_count", "building_count", "transit_stop_count", "amenity_count", "restaurant_count", "nightlife_count", "safety_count", "greenery_count", "shop_count", "restaurant_count_kring")
 
 
@@ -156,8 +157,8 @@ def _dense(spark, sf):
 
 
 def opportunity_top10(spark, sf):
-    dense = _rounded(_dense(spark, sf)).select("category", "cell_id", "demand_proxy", "opportunity")
-    return opportunity.best_per_category(dense, 10)
+    best = opportunity.top_opportunities(_counts(spark, sf), _cells(spark, sf), 10)
+    return _rounded(best.select("category", "cell_id", "demand_proxy", "opportunity", "rank"))
 
 
 def whitespace_summary(spark, sf):
@@ -287,6 +288,43 @@ def top_cells(spark, sf):
     return scores.top_cells(scored, "score_site", 10)
 
 
+def _city_grid() -> HexGrid:
+    return HexGrid.of_scopes(CITY_GRIDS, "city")
+
+
+def _city_cells(spark, sf):
+    return kept(city.cell_features(standins.city_layers(spark, sf), _city_grid(), scope="city"), "cells")
+
+
+def city_scores(spark, sf):
+    scored = scores.with_all(_city_cells(spark, sf), scope="city")
+    return _rounded(scored.select("city", "cell_id", "poi_count", "restaurant_count_kring", "center_lat", "center_lon", "score_site", "score_character", "activity_evening"))
+
+
+def city_bounds(spark, sf):
+    return _rounded(normalize.fit_bounds(_city_cells(spark, sf), scores.all_features(), scope="city"))
+
+
+def city_opportunity_top5(spark, sf):
+    counts = features.category_counts(_city_grid().with_cell(standins.city_layers(spark, sf).pois), scope="city")
+    best = opportunity.top_opportunities(counts, _city_cells(spark, sf), 5, scope="city")
+    return _rounded(best.select("city", "category", "cell_id", "demand_proxy", "opportunity", "rank"))
+
+
+def city_similar(spark, sf):
+    z = normalize.zscores(_city_cells(spark, sf), "cell_id", SIMILAR, scope="city")
+    return _rounded(similarity.exact_knn(kept(z.select("city", "cell_id", F.transform("z", six).alias("z")), "zscores"), "cell_id", k=5, scope="city"))
+
+
+def city_walks(spark, sf):
+    nodes = _city_grid().with_cell(standins.city_layers(spark, sf).intersections).withColumnRenamed("id", "node")
+    lat, lon = _city_grid().centre(F.col("cell_id"))
+    sites = _city_grid().with_cell(standins.city_layers(spark, sf).pois).select("city", "cell_id").distinct().select("city", "cell_id", lat.alias("lat"), lon.alias("lon"))
+    starts = proximity.nearest(sites, nodes, "cell_id", "node", scope="city").withColumnRenamed("cell_id", "src_cell")
+    edges = kept(catchment.undirected(standins.city_edges(spark, sf), scope="city"), "edges")
+    return _rounded(catchment.walk_times(starts, edges, nodes.select("node", "city", "cell_id"), 15.0, scope="city"))
+
+
 def activity_windows(spark, sf):
     from gridloom.streaming.activity import windows
 
@@ -303,5 +341,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         opportunity_all, opportunity_top10, whitespace_summary, whitespace_verdict, category_display_name, nearest_competitors, nearest_cell, nearest_node,
         zscore, similar_cells, similar_enriched, similar_lsh, embedding_knn, road_edges, walk_time_cells, catchment_summary, ring_centroids, map_layer,
         top_cells, activity_windows, scan_fallback, landed_table, inverted_norm, walk_bands,
+        city_scores, city_bounds, city_opportunity_top5, city_similar, city_walks,
     )
 } | {"site_score": _score("site"), "character_score": _score("character"), "site_breakdown": _breakdown("site"), "character_breakdown": _breakdown("character")}

@@ -5,6 +5,8 @@ Coordinates follow from ids by integer arithmetic, so that any engine derives th
 
 from __future__ import annotations
 
+from dataclasses import fields
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,3 +81,23 @@ def building_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def layers(spark: SparkSession, sf_dir: str) -> Layers:
     return Layers(pois(spark, sf_dir), amenities(spark, sf_dir), transit(spark, sf_dir), road_nodes(spark, sf_dir), buildings(spark, sf_dir))
+
+
+def _city(key: Column) -> Column:
+    return F.when(key % 2 == 0, "west").otherwise("east").alias("city")
+
+
+def _halved(points: DataFrame) -> DataFrame:
+    """Every other point to each of two cities, in which ids are given anew, so that both have the same."""
+    return points.withColumns({"city": _city(F.col("id")), "id": F.floor(F.col("id") / 2)})
+
+
+def city_layers(spark: SparkSession, sf_dir: str) -> Layers:
+    whole = layers(spark, sf_dir)
+    return Layers(*[_halved(getattr(whole, f.name)) for f in fields(Layers)])
+
+
+def city_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(u, v, length, city) of the edges between nodes of one city."""
+    inside = road_edges(spark, sf_dir).where(F.col("u") % 2 == F.col("v") % 2)
+    return inside.select(F.floor(F.col("u") / 2).alias("u"), F.floor(F.col("v") / 2).alias("v"), "length", _city(F.col("u")))

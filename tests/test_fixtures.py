@@ -201,8 +201,14 @@ def test_opportunity_of_two_cities_with_equal_ids(spark):
 def test_the_first_free_rank(spark):
     groups = {"none missing": range(1, 9001), "first": range(2, 50), "later": [r for r in range(1, 9000) if r != 8500], "a block": [*range(1, 4097), *range(9000, 9100)], "edge": range(1, 4097)}
     df = spark.createDataFrame([(g, r) for g, ranks in groups.items() for r in ranks], "g string, r long")
-    got = dict(rows(opportunity._first_free(df, ["g"], "r", "free")))
+    got = dict(rows(opportunity._free(df, ["g"], "r")))
     assert got == {"none missing": 9001, "first": 1, "later": 8500, "a block": 4097, "edge": 4097}
+    for n in (3, 5000):
+        several = opportunity._free(df.union(spark.createDataFrame([("nothing", 0), ("first", 0)], df.schema)), ["g"], "r", n)
+        found = {}
+        for g, r in rows(several):
+            found.setdefault(g, []).append(r)
+        assert found == {g: [r for r in range(1, 20_000) if r not in set(ranks)][:n] for g, ranks in (groups | {"nothing": []}).items()}
 
 
 def test_edges(spark):
