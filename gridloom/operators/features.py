@@ -44,6 +44,21 @@ def count_points(points: DataFrame, into: str, cell: str = "cell_id", scope: str
     return points.where(F.col(cell).isNotNull()).groupBy(*_keys(cell, scope)).agg(F.count("*").alias(into))
 
 
+def count_layers(amenities: DataFrame, layers: dict[str, DataFrame], cell: str = "cell_id", scope: str | None = None) -> DataFrame:
+    """(cell_id, scope?, <layer> ..., <label>_count ...): count_points and count_labels of all layers in one shuffle.
+
+    ``layers``: a table of points for each column of counts.
+    """
+    tags = ("amenity", "shop", "leisure")
+    keys = _keys(cell, scope)
+    tagged = amenities.select(*keys, F.lit(-1).alias("_layer"), *[F.col(c).cast("string").alias(c) for c in tags])
+    for i, points in enumerate(layers.values()):
+        tagged = tagged.union(points.select(*keys, F.lit(i), *[F.lit(None).cast("string") for _ in tags]))
+    counts = [F.count_if(F.col("_layer") == i).alias(name) for i, name in enumerate(layers)]
+    counts += [F.count_if((F.col("_layer") == -1) & c).alias(f"{name}_count") for name, c in labels().items()]
+    return tagged.where(F.col(cell).isNotNull()).groupBy(*keys).agg(*counts)
+
+
 def category_counts(pois: DataFrame, cell: str = "cell_id", scope: str | None = None) -> DataFrame:
     """The sparse (cell_id, scope?, category, count) table that all category questions start from."""
     return pois.dropna(subset=[cell, "category"]).groupBy(*_keys(cell, scope), "category").agg(F.count("*").alias("count"))

@@ -28,8 +28,8 @@ class Layers:
 def cell_features(layers: Layers, grid: HexGrid, k: int = 2, scope: str | None = None) -> DataFrame:
     """Every cell that holds a point of interest, with its features.
 
-    Each layer is binned and aggregated by itself, and joined to the grid by cell: only counts are
-    shuffled. The grid is where points of interest are; other layers' points outside it drop out.
+    Points of interest are counted by category, all other layers together, each in one shuffle of
+    partial counts, which are joined by cell. The grid is where points of interest are; other layers' points outside it drop out.
     With a ``scope``, ids count within it: each city may have a grid of its own (HexGrid.of_scopes).
     """
     keys = ["cell_id", *([scope] if scope else [])]
@@ -38,14 +38,9 @@ def cell_features(layers: Layers, grid: HexGrid, k: int = 2, scope: str | None =
     own = features.poi_features(counts, scope=scope)
     lat, lon = grid.centre(F.col("cell_id"))
     cells = own.select(*keys, lat.alias("center_lat"), lon.alias("center_lon"), "poi_count", "unique_categories", "category_entropy", "top_category")
-    filled = features.with_counts(
-        cells,
-        features.count_points(grid.with_cell(layers.intersections), "intersection_count", scope=scope),
-        features.count_points(grid.with_cell(layers.buildings), "building_count", scope=scope),
-        features.count_points(grid.with_cell(layers.transit), "transit_stop_count", scope=scope),
-        features.count_labels(grid.with_cell(layers.amenities), scope=scope),
-        scope=scope,
-    )
+    points = {"intersection_count": layers.intersections, "building_count": layers.buildings, "transit_stop_count": layers.transit}
+    counted = features.count_layers(grid.with_cell(layers.amenities), {name: grid.with_cell(p) for name, p in points.items()}, scope=scope)
+    filled = features.with_counts(cells, counted, scope=scope)
     ring = features.kring_sum(filled.select(*keys, "restaurant_count"), filled, "restaurant_count", "restaurant_count_kring", k, inside_only=True, scope=scope)
     return filled.join(ring, keys)
 
