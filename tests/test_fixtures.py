@@ -265,6 +265,36 @@ def test_similarity(spark):
     assert all(r[0] != r[2] for r in got) and got[0][3] == 0.0
 
 
+def test_two_cities_with_equal_ids(spark):
+    rng = random.Random(5)
+    vectors = [(c, i, [rng.gauss(0, 1 + 9 * (i % 7 == 0)) for _ in range(4)]) for c in ("a", "b") for i in range(120)]
+    df = spark.createDataFrame([*vectors, (None, 1, [0.0] * 4), ("a", 500, None)], "city string, id long, z array<double>")
+    key = ["id", "rank", "nbr_id"]
+    exact = similarity.exact_knn(df, "id", k=3, rows_per_block=50, scope="city")
+    rough = similarity.approximate_knn(df, "id", k=3, rows_per_block=50, scope="city")
+    for city in ("a", "b"):
+        one = lambda d: set(rows(d.where(F.col("city") == city).select(*key)))
+        alone = set(rows(similarity.exact_knn(df.where(F.col("city") == city), "id", k=3).select(*key)))
+        assert len(alone) == 360 and one(exact) == alone
+        assert len(one(rough)) == 360 and len(one(rough) & alone) >= 0.9 * 360
+    edges = catchment.undirected(spark.createDataFrame([(1, 2, 400.0, "a"), (2, 3, 400.0, "a"), (1, 2, 800.0, "b")], "u long, v long, length double, city string"), scope="city")
+    starts = spark.createDataFrame([(7, "a", 1), (7, "b", 2)], "src_cell long, city string, node long")
+    cells = spark.createDataFrame([("a", 1, 7), ("a", 2, 8), ("a", 3, 9), ("b", 1, 8), ("b", 2, 7)], "city string, node long, cell_id long")
+    times = catchment.walk_times(starts, edges, cells, scope="city")
+    assert rows(times.select("city", "cell_id", "minutes")) == [("a", 7, 0.0), ("a", 8, 5.0), ("a", 9, 10.0), ("b", 7, 0.0), ("b", 8, 10.0)]
+    pois = spark.createDataFrame([("a", 8, 3), ("b", 8, 5)], "city string, cell_id long, poi_count long")
+    found = catchment.as_map(catchment.summary(times, pois, scope="city"), scope="city")
+    assert {r.city: (r.buckets["5_min"].n_pois, r.buckets["10_min"].n_pois) for r in found.collect()} == {"a": (3, 3), "b": (0, 5)}
+
+
+def test_bounds_of_a_hot_scope(spark):
+    values = [("hot", float(i % 997)) for i in range(6000)] + [("one", 3.5), ("two", 1.0), ("two", 2.0)]
+    df = spark.createDataFrame(values, "city string, x double")
+    got = {r.city: (r.p05, r.p95) for r in normalize.fit_bounds(df, ["x"], scope="city").collect()}
+    want = {r.city: tuple(r.b) for r in df.groupBy("city").agg(F.percentile("x", F.array(F.lit(0.05), F.lit(0.95))).alias("b")).collect()}
+    assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for c in got for a, b in zip(got[c], want[c], strict=True))
+
+
 def test_entropy_and_top(spark):
     counts = spark.createDataFrame([(1, "b", 2), (1, "a", 2), (2, "a", 4)], "cell_id long, category string, count long")
     got = rows(features.poi_features(counts))

@@ -38,13 +38,6 @@ def test_lsh_recall(spark, sf_dir):
     assert len(exact & rough) >= 0.9 * len(exact)
 
 
-def test_lsh_recall_of_an_index(spark, sf_dir):
-    key = ["cell_id", "nbr_id"]
-    exact = {tuple(r) for r in QUERIES["similar_cells"](spark, sf_dir).select(*key).collect()}
-    rough = {tuple(r) for r in QUERIES["similar_lsh"](spark, sf_dir).select(*key).collect()}
-    assert len(exact & rough) >= 0.9 * len(exact)
-
-
 def test_lsh_on_skewed_vectors(spark):
     rng = random.Random(3)
     rows = [(i, [rng.gauss(0, 0.3) for _ in range(13)]) for i in range(600)] + [(1000 + i, [rng.gauss(0, 30) for _ in range(13)]) for i in range(60)]
