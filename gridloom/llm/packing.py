@@ -6,9 +6,10 @@ sequences are filled exactly wherever possible:
 
 * The number of pieces of each length is counted over all documents: at most ``size`` counts,
   whatever the input. The plan is made on these counts alone.
-* The longest length left opens a sequence. Its gap is looked up among the sums of one, two and
-  three lengths that are still available; an exact fill closes the sequence. Where there is none,
-  the longest piece that fits is added (best fit) and the smaller gap is looked up again.
+* An index holds how often one, two and three lengths that are still available add up to each sum,
+  and is kept up as pieces are used. The longest length left opens a sequence, whose gap is looked up
+  there; an exact fill closes it. Where there is none, the longest piece that fits is added (best fit)
+  and the smaller gap is looked up again.
 * A combination is used as often as its lengths last, so that every step exhausts a length and the
   plan has a few thousand combinations at most.
 * The plan gives each length's pieces, by rank, to combinations. Ranks are counted in salted groups
@@ -75,66 +76,112 @@ class Plan:
     sequences: int
 
 
-def _exact(gap: int, left: np.ndarray) -> list[int] | None:
-    """One, two or three available lengths whose sum is the gap."""
-    if left[gap] > 0:
-        return [gap]
-    have = np.flatnonzero(left[: gap + 1] > 0)
-
-    def two(total: int, without: int = 0) -> list[int] | None:
-        some = have[(have <= total // 2)]
-        if not len(some):
-            return None
-        others = total - some
-        ok = left[others] - (others == without) > 0
-        ok &= left[some] - (some == without) > (some == others)
-        if not ok.any():
-            return None
-        best = int(some[ok][np.argmax(np.minimum(left[some[ok]], left[others[ok]]))])
-        return [total - best, best]
-
-    if found := two(gap):
-        return found
-    for third in have[have <= gap - 2][::-1]:
-        if 3 * third < gap:
-            break
-        if found := two(gap - int(third), int(third)):
-            return [int(third), *found]
-    return None
+class SumIndex:
+    """Which sums one, two and three available lengths have, under the counts of what is left of each.
+
+    ``pairs[s]`` and ``triples[s]`` count the sets of two and of three lengths (a length may stand in one
+    as often as pieces of it are left) that add up to s. Only the last three pieces of a length matter to
+    them: taking one changes the sums with one shifted addition, so nothing is ever searched afresh.
+    """
+
+    def __init__(self, counts: np.ndarray):
+        self.size = len(counts) - 1
+        self.left = np.zeros(len(counts), np.int64)
+        self.some = np.zeros(len(counts), np.int64)  # 1 where a length is left
+        self.pairs = np.zeros(len(counts), np.int64)
+        self.triples = np.zeros(len(counts), np.int64)
+        for length in np.flatnonzero(counts):
+            self.change(int(length), int(counts[length]))
+
+    def _add(self, sums: np.ndarray, shift: int, of: np.ndarray, sign: int) -> None:
+        if shift <= self.size:
+            sums[shift:] += sign * of[: self.size + 1 - shift]
+
+    def change(self, length: int, by: int) -> None:
+        """``by`` more pieces of a length are available, or fewer if it is negative."""
+        before, after = int(min(self.left[length], 3)), int(min(self.left[length] + by, 3))
+        self.left[length] += by
+        sign = 1 if after > before else -1
+        for level in range(before + 1, after + 1) if sign > 0 else range(before, after, -1):
+            if level == 1:  # sets that have the length once: with pairs and single lengths free of it
+                self.some[length] = 0
+                if sign < 0:
+                    self._add(self.pairs, length, self.some, -1)
+                self._add(self.triples, length, self.pairs, sign)
+                if sign > 0:
+                    self._add(self.pairs, length, self.some, 1)
+                    self.some[length] = 1
+            elif level == 2:  # sets that have it twice
+                self.some[length] = 0
+                self._add(self.triples, 2 * length, self.some, sign)
+                self.some[length] = 1
+                if 2 * length <= self.size:
+                    self.pairs[2 * length] += sign
+            elif 3 * length <= self.size:
+                self.triples[3 * length] += sign
+
+    def _two(self, total: int) -> list[int]:
+        """Two lengths of that sum, of those most often left."""
+        low = np.arange(total // 2 + 1)
+        each = np.minimum(self.left[low], self.left[total - low])
+        if total % 2 == 0:
+            each[-1] = self.left[total // 2] // 2
+        return [total - int(np.argmax(each)), int(np.argmax(each))]
+
+    def exact(self, gap: int) -> list[int] | None:
+        """One, two or three available lengths whose sum is the gap."""
+        if self.left[gap] > 0:
+            return [gap]
+        if self.pairs[gap] > 0:
+            return self._two(gap)
+        if self.triples[gap] > 0:
+            longest = np.flatnonzero((self.some[: gap + 1] > 0) & (self.pairs[gap::-1] > 0))  # the other two may need the same piece
+            for third in longest[::-1].tolist():
+                self.change(third, -1)
+                found = self._two(gap - third) if self.pairs[gap - third] > 0 else None
+                self.change(third, 1)
+                if found:
+                    return [third, *found]
+        return None
 
 
 def make_plan(counts: np.ndarray, size: int) -> Plan:
     """``counts``: available pieces of each length 0 .. size."""
-    left = counts.astype(np.int64).copy()
+    index = SumIndex(counts)
+    left = index.left
     used = np.zeros(size + 1, np.int64)
     rows, sequences = [], 0
     while left.any():
         longest = int(np.flatnonzero(left)[-1])
-        inside = [longest]
-        rest = left.copy()
-        rest[longest] -= 1
-        gap = size - longest
+        inside: list[int] = []
+        gap = size
+
+        def put(length: int, times: int = 1) -> None:
+            nonlocal gap
+            inside.extend([length] * times)
+            index.change(length, -times)
+            gap -= length * times
+
+        put(longest)
         while gap:
-            if fill := _exact(gap, rest):
-                inside += fill
+            if fill := index.exact(gap):
+                for length in fill:
+                    put(length)
                 break
-            fits = np.flatnonzero(rest[: gap + 1] > 0)
+            fits = np.flatnonzero(left[: gap + 1])
             if not len(fits):
                 break
             best = int(fits[-1])
-            take = min(int(rest[best]), gap // best) if best * 4 < gap else 1  # far from full: only the last few are chosen singly
-            inside += [best] * take
-            rest[best] -= take
-            gap -= best * take
+            put(best, min(int(left[best]), gap // best) if best * 4 < gap else 1)  # far from full: only the last few are chosen singly
         lengths, each = np.unique(inside, return_counts=True)
-        times = int((left[lengths] // each).min())
+        more = int((left[lengths] // each).min())  # the same again, as often as its lengths last
         offset = 0
         for length, n in zip(lengths[::-1].tolist(), each[::-1].tolist(), strict=True):
             rows.append((length, int(used[length]), n, sequences, offset))
             offset += length * n
-            used[length] += n * times
-            left[length] -= n * times
-        sequences += times
+            used[length] += n * (more + 1)
+            index.change(length, -n * more)
+        sequences += more + 1
     rows.sort()
     columns = [np.array([r[i] for r in rows], dtype=np.int64) for i in range(5)]
     return Plan(*columns, sequences)

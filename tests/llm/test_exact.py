@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -276,6 +277,25 @@ def test_plan_places_every_piece_once(counts):
     assert all(v <= 20 for v in fill.values()) and len(fill) == plan.sequences
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 4), min_size=17, max_size=17), st.lists(st.tuples(st.integers(1, 16), st.integers(-3, 3)), max_size=8))
+def test_index_of_sums(counts, changes):
+    index = packing.SumIndex(np.array([0, *counts[1:]]))
+    for length, by in [(1, 0), *changes]:
+        index.change(length, max(by, -int(index.left[length])))
+        have = np.flatnonzero(index.left).tolist()
+        sums = [collections.Counter(), collections.Counter(), collections.Counter()]
+        for n in (1, 2, 3):
+            for some in itertools.combinations_with_replacement(have, n):
+                if all(index.left[x] >= some.count(x) for x in some):
+                    sums[n - 1][sum(some)] += 1
+        assert index.pairs.tolist() == [sums[1][s] for s in range(17)] and index.triples.tolist() == [sums[2][s] for s in range(17)]
+        for gap in range(1, 17):
+            fill = index.exact(gap)
+            assert (fill is not None) == any(x[gap] for x in sums)
+            assert fill is None or (sum(fill) == gap and all(index.left[x] >= fill.count(x) for x in fill))
+
+
 # --- personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
