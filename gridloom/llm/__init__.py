@@ -1 +1 @@
-"""Operations of a training-data pipeline: ten operators and their registered queries."""
+"""Operations of a training-data pipeline: thirteen operators and their registered queries."""

@@ -74,9 +74,72 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
+#: crc32 of an id as text, byte by byte and bit by bit.
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, _: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)), 4294967295::BIGINT)"""
+
+TRIE = f"""
+WITH o AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC32} % 6 AS h FROM (SELECT DISTINCT conv_id FROM o)
+), s AS (
+  SELECT c.conv_id, i, role, text FROM c JOIN o ON o.conv_id = base AND i <= h
+  UNION ALL
+  SELECT c.conv_id, i, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND i > h
+), p AS (
+  SELECT conv_id, count(*) OVER own AS depth, string_agg(sha256(length(role) || ':' || role || text), '') OVER own AS key, length(text) AS chars
+  FROM s WINDOW own AS (PARTITION BY conv_id ORDER BY i ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c
+), nodes AS (
+  SELECT key, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(chars) AS own FROM p GROUP BY key
+), below AS (
+  SELECT *, unnest(range(0, depth + 1)) AS up FROM nodes
+), children AS (
+  SELECT left(key, 64 * (depth - 1)) AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), sums AS (
+  SELECT left(b.key, 64 * up) AS key, CAST(sum(own) AS BIGINT) AS saved, count(*) FILTER (c.n IS NULL) AS leaves FROM below b LEFT JOIN children c ON b.key = c.key GROUP BY 1
+), ends AS (
+  SELECT key, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS digest FROM (SELECT conv_id, arg_max(key, depth) AS key FROM p GROUP BY conv_id) GROUP BY key
+)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(children.n, 0) AS n_children, sums.leaves AS n_leaves, sums.saved AS saved_tokens, coalesce(ends.digest, sha256('')) AS ends_sha256
+FROM nodes n JOIN sums USING (key) LEFT JOIN children USING (key) LEFT JOIN ends USING (key)
+  LEFT JOIN nodes up ON n.depth > 0 AND up.key = left(n.key, 64 * (n.depth - 1))
+"""
+
+COLLOCATIONS = rf"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d
+), g AS (
+  SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS p FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, range(1, 6) AS sizes(m))
+), f AS (
+  SELECT lang, m, p, count(*) AS a FROM g GROUP BY ALL
+), n AS (
+  SELECT lang, sum(a) AS n FROM f WHERE m = 1 GROUP BY lang
+), c AS (
+  SELECT lang, m, p, a, string_split(p, ' ') AS w FROM f WHERE m > 1 AND a >= 100
+), cuts AS (
+  SELECT lang, m, p, a, k, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 : m], ' ') AS tail FROM (SELECT *, unnest(range(1, m)) AS k FROM c)
+), scores AS (
+  SELECT c.lang, c.m, c.p, c.a, k, x.a AS l, y.a AS r, n, (CAST(1000 AS HUGEINT) * c.a * n) // (CAST(x.a AS HUGEINT) * y.a) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.p = head JOIN f y ON y.lang = c.lang AND y.p = tail JOIN n ON n.lang = c.lang
+), one AS (
+  SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+), held AS (
+  SELECT lang, array_to_string(w[1 : m - 1], ' ') AS p, a FROM c WHERE m > 2 UNION SELECT lang, array_to_string(w[2 : m], ' '), a FROM c WHERE m > 2
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM one ANTI JOIN held USING (lang, p, a) QUALIFY rank <= 2000
+"""
+
 SQL: dict[str, str] = {
     "op1_decontaminate": DECONTAMINATE,
     "op4_nearest": NEAREST,
     "op8_ngram_jaccard_join": JACCARD,
     "op10_chat": CHAT,
+    "op11_prefix_trie": TRIE,
+    "op13_collocations": COLLOCATIONS,
 }

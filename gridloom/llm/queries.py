@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, decontaminate, jaccard_join, language_id, nearest, oracles, packing, pii, quality, token_records, toxicity
+from gridloom.llm import chat, collocations, decontaminate, jaccard_join, language_id, nearest, oracles, packing, pii, quality, simhash, token_records, toxicity, trie
 from gridloom.llm.samples import fold
-from gridloom.llm.shared import small_batches
+from gridloom.llm.shared import small_batches, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,6 +104,25 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = stored(trie.numbered(_table(spark, sf_dir, "conversations")), "turns")
+    turns, ids = trie.with_openings(own, group=100, folds=6)
+    nodes, members = trie.prefix_trie(turns, ids)
+    found = nodes.join(trie.member_digests(members), list(trie.KEY), "left")
+    none = F.sha2(F.lit("").cast("binary"), 256)
+    counts = ["n_convs", "n_children", "n_leaves"]
+    return found.select("conv_id", "depth", "parent_conv_id", *counts, F.col("saved").alias("saved_tokens"), F.coalesce("ends_sha256", none).alias("ends_sha256"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash(_table(spark, sf_dir, "documents"), k=3, seed=42)
+    return found.select("doc_id", simhash.as_hex(F.col("print")).alias("fingerprint"), "component_id")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), most=2000, least=100, longest=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
@@ -115,6 +134,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_language_id": op9_language_id,
     "op10_chat": op10_chat,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_simhash": op12_simhash,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = oracles.SQL
