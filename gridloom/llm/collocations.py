@@ -48,7 +48,8 @@ _U = np.uint64
 _BREAK = bt.byte_class((0x0A, 0x0D), *((x, x) for x in b".,;:!?"))
 WORD = ~(_BREAK | bt.byte_class((0x20, 0x20), (0x09, 0x09)))
 MOST_BITS = 30
-_FLUSH = 1 << 21
+#: Positions counted at once, and distinct words or phrases held in a task before they are sent.
+_FLUSH, _HELD = 1 << 22, 1 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0x2545F4914F6CDD1D, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 LONGEST = len(_ODD)
 
@@ -80,6 +81,12 @@ def grams(hashes: np.ndarray, longest: int) -> list[np.ndarray]:
     return out
 
 
+def phrase(words: np.ndarray) -> np.ndarray:
+    """The hash that grams() gives each row of words."""
+    m = words.shape[1]
+    return words[:, 0] if m == 1 else bt.mix((words * _ODD[:m]).sum(axis=1, dtype=np.uint64) + _U(m))
+
+
 class Bitmap:
     """Which 64-bit hashes belong to a set, and a few more."""
 
@@ -106,16 +113,33 @@ class Bitmap:
 def dictionary(docs: DataFrame) -> DataFrame:
     """(lang, hash, word, n) of all words of ``docs`` (lang, text)."""
 
+    def collect(held: list[tuple]) -> tuple:
+        ids, n, langs, words = zip(*held, strict=True)
+        one, first, of = np.unique(np.concatenate(ids), return_index=True, return_inverse=True)
+        return one, np.bincount(of, weights=np.concatenate(n)).astype(np.int64), pa.concat_arrays(langs).take(pa.array(first)), pa.concat_arrays(words).take(pa.array(first))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            langs = batch.column(0)
             for hashes, _, part, starts, ends, rows in words_of(batch):
                 ids, first, n = np.unique(hashes, return_index=True, return_counts=True)
                 sizes = ends[first] - starts[first]
                 text = part[bt.ranges(starts[first], sizes)].tobytes()
                 at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
                 words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(at), pa.py_buffer(text)])
-                yield pa.RecordBatch.from_arrays([langs.take(pa.array(rows[first])), pa.array(ids.view(np.int64)), words.cast(pa.binary()), pa.array(n)], ["lang", "hash", "word", "n"])
+                held.append((ids, n, batch.column(0).take(pa.array(rows[first])), words.cast(pa.binary())))
+                size += len(ids)
+                if size >= _HELD:
+                    held = [collect(held)]
+                    if (size := len(held[0][0])) >= _HELD // 2:
+                        yield dealt(held.pop())
+                        size = 0
+        if held:
+            yield dealt(collect(held))
+
+    def dealt(found: tuple) -> pa.RecordBatch:
+        ids, n, langs, words = found
+        return pa.RecordBatch.from_arrays([langs, pa.array(ids.view(np.int64)), words, pa.array(n)], ["lang", "hash", "word", "n"])
 
     found = docs.mapInArrow(run, "lang string, hash long, word binary, n long")
     return found.groupBy("lang", "hash").agg(F.min("word").alias("word"), F.sum("n").alias("n"))
@@ -174,71 +198,81 @@ def count_phrases(docs: DataFrame, sizes: range, opened, known, pairs=None) -> D
 
 
 def describe(docs: DataFrame, wanted, opened, longest: int) -> DataFrame:
-    """(hash, size, words, heads, tails, survives) of wanted phrases with both ends open.
+    """(hash, survives, cuts array<struct<k, head, tail>>, words) of wanted phrases with both ends open.
 
-    heads[k - 1] and tails[k - 1]: hashes of the parts before and behind a cut after k words; survives:
-    whether neither the words before all occurrences nor those behind them are one and the same.
+    survives: whether neither the words before all occurrences nor those behind them are one and the
+    same; head and tail: hashes of the parts before and behind a cut after k words.
     """
-    seen = ["left_low", "left_high", "right_low", "right_high"]
-    parts = [f"{kind}{k}" for kind in ("word", "head", "tail") for k in range(1, longest + (kind == "word"))]
-    names = ["hash", "size", *seen, *parts]
+    names = ["hash", "left", "right", *(f"word{k}" for k in range(1, longest + 1))]
 
-    def collect(held: list[np.ndarray]) -> pa.RecordBatch:
+    def collect(held: list[np.ndarray]) -> np.ndarray:
+        """One column for each phrase; the neighbours are 0 where they are not one and the same word."""
         rows = np.concatenate(held, axis=1)
         rows = rows[:, np.argsort(rows[0], kind="stable")]
         first = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
         out = rows[:, first]
-        for i, edge in ((2, np.minimum), (3, np.maximum), (4, np.minimum), (5, np.maximum)):
-            out[i] = edge.reduceat(rows[i], first)
-        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in out], names)
+        for i in (1, 2):
+            out[i] *= np.minimum.reduceat(rows[i], first) == np.maximum.reduceat(rows[i], first)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
             for hashes, follow, *_ in words_of(batch):
-                ends = np.flatnonzero(opened.value.has(hashes))
+                if len(hashes) < 2:
+                    continue
+                is_open = opened.value.has(hashes)
+                ends = np.flatnonzero(is_open)
                 every = grams(hashes, longest)
-                before = np.where(np.concatenate([[0], follow[:-1]]) > 0, np.concatenate([[_U(0)], hashes[:-1]]), _U(0)) if len(hashes) else hashes
-                is_open = np.zeros(len(hashes), dtype=bool)
-                is_open[ends] = True
+                before = np.concatenate([np.zeros(1, _U), np.where(follow[:-1] > 0, hashes[:-1], _U(0))])
                 for m in range(2, longest + 1):
                     at = ends[follow[ends] >= m - 1]
                     at = at[is_open[at + m - 1]]
                     at = at[wanted.value.has(every[m - 1][at])]
-                    if not len(at):
-                        continue
                     out = np.zeros((len(names), len(at)), np.uint64)
-                    out[0], out[1] = every[m - 1][at], m
-                    out[2] = out[3] = before[at]
-                    more = at[follow[at] >= m]
-                    out[4, follow[at] >= m] = hashes[more + m]
-                    out[5] = out[4]
-                    for k in range(1, m + 1):
-                        out[names.index(f"word{k}")] = hashes[at + k - 1]
-                    for k in range(1, m):
-                        out[names.index(f"head{k}")] = every[k - 1][at]
-                        out[names.index(f"tail{k}")] = every[m - k - 1][at + k]
+                    out[0], out[1] = every[m - 1][at], before[at]
+                    more = follow[at] >= m
+                    out[2, more] = hashes[at[more] + m]
+                    for k in range(m):
+                        out[3 + k] = hashes[at + k]
                     held.append(out)
                     n += len(at)
-                if n >= _FLUSH // 16:
-                    yield collect(held)
-                    held, n = [], 0
-        if held:
-            yield collect(held)
+            if n >= _HELD // 2:
+                held = [collect(held)]
+                if (n := held[0].shape[1]) >= _HELD // 4:
+                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in held.pop()], names)
+                    n = 0
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in collect(held)], names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = np.stack([c.to_numpy(zero_copy_only=False).view(_U) for c in batch.columns[2:]], axis=1)
+            sizes = (words != 0).sum(axis=1)
+            rows = np.repeat(np.arange(len(words)), sizes - 1)
+            k = bt.ranges(np.ones(len(words), np.int64), sizes - 1)
+            head, tail = np.zeros(len(k), _U), np.zeros(len(k), _U)
+            for m in range(1, longest):
+                of = np.flatnonzero(k == m)
+                head[of] = phrase(words[rows[of], :m])
+            for m in range(1, longest):
+                of = np.flatnonzero(sizes[rows] - k == m)
+                tail[of] = phrase(words[rows[of][:, None], k[of][:, None] + np.arange(m)])
+            at = pa.array(np.concatenate([[0], np.cumsum(sizes - 1)]).astype(np.int32))
+            cuts = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([pa.array(k), pa.array(head.view(np.int64)), pa.array(tail.view(np.int64))], ["k", "head", "tail"]))
+            every = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(words[words != 0].view(np.int64)))
+            survives = pa.array((sizes == longest) | ~batch.column(1).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([batch.column(0), survives, cuts, every], ["hash", "survives", "cuts", "words"])
 
     rows = docs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
-    # tasks order hashes as unsigned, Spark as signed: the ends of a range are taken from both columns
-    ends = [edge(of(f"{x}_low"), of(f"{x}_high")).alias(f"{x}_{name}") for x in ("left", "right") for name, edge, of in (("low", F.least, F.min), ("high", F.greatest, F.max))]
-    found = rows.groupBy("hash").agg(*ends, *[F.max(c).alias(c) for c in ("size", *parts)])
-    same = ((F.col("left_low") == F.col("left_high")) & (F.col("left_low") != 0)) | ((F.col("right_low") == F.col("right_high")) & (F.col("right_low") != 0))
-    gathered = [F.array(*[p for p in parts if p.startswith(kind)]).alias(f"{kind}s") for kind in ("word", "head", "tail")]
-    return found.select("hash", "size", *gathered, ((F.col("size") == longest) | ~same).alias("survives"))
+    one = [((F.min(c) == F.max(c)) & (F.max(c) != 0)) for c in ("left", "right")]
+    found = rows.groupBy("hash").agg((one[0] | one[1]).alias("inside"), *[F.max(c).alias(c) for c in names[3:]])
+    return found.mapInArrow(cut, "hash long, survives boolean, cuts array<struct<k: long, head: long, tail: long>>, words array<long>")
 
 
 def score(found: DataFrame, counts: DataFrame, words: DataFrame, totals: DataFrame) -> DataFrame:
     """Adds lang, a, l, r, n and score to phrases. ``counts``: (hash, n) of all phrases and words that may be parts."""
-    cuts = found.join(counts.withColumnRenamed("n", "a"), "hash").select("hash", "a", F.col("words")[0].alias("first"), F.posexplode(F.arrays_zip("heads", "tails")).alias("k", "cut"), "size")
-    cuts = cuts.where(F.col("k") < F.col("size") - 1).select("hash", "a", "first", "k", F.col("cut.heads").alias("head"), F.col("cut.tails").alias("tail"))
+    cuts = found.join(counts.withColumnRenamed("n", "a"), "hash").select("hash", "a", F.col("words")[0].alias("first"), F.explode("cuts").alias("cut")).select("hash", "a", "first", "cut.*")
     cuts = cuts.join(counts.select(F.col("hash").alias("head"), F.col("n").alias("l")), "head").join(counts.select(F.col("hash").alias("tail"), F.col("n").alias("r")), "tail")
     cuts = cuts.join(words.select(F.col("hash").alias("first"), "lang"), "first").join(totals, "lang")
     exact = F.expr("(cast(1000 as decimal(4,0)) * (cast(a as decimal(16,0)) * cast(n as decimal(16,0)))) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0)))")
@@ -311,7 +345,7 @@ def _round(spark: SparkSession, texts: DataFrame, frequent: DataFrame, totals: D
 
 def _ranked(found: DataFrame, frequent: DataFrame, most: int) -> DataFrame:
     """Spells the phrases out and numbers them."""
-    each = found.select("hash", F.posexplode(F.filter("words", lambda w: w != 0)).alias("i", "word_hash"))
+    each = found.select("hash", F.posexplode("words").alias("i", "word_hash"))
     spelt = each.join(frequent.select(F.col("hash").alias("word_hash"), F.col("word").cast("string").alias("word")), "word_hash")
     phrases = spelt.groupBy("hash").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
