@@ -24,7 +24,7 @@ candidate with the same count goes through an extension by one word with the sam
 
 Counting is a pass over the texts in Arrow batches; counts are combined in the task before the
 shuffle, so that frequent words and phrases send one row a batch. Sets of words and phrases reach the
-tasks as bitmaps of 16 bits for each member, of at most 2**30 bits (128 MB); beyond that more of the
+tasks as Bloom filters of 32 bits for each member, of at most 2**30 bits (128 MB); beyond that more of the
 other phrases are counted too, with the same result. Words and phrases are told apart by 64-bit hashes.
 
 Defined: a null text is empty, a null language is ``und``; ids are not used, so repeated rows count
@@ -88,24 +88,32 @@ def phrase(words: np.ndarray) -> np.ndarray:
 
 
 class Bitmap:
-    """Which 64-bit hashes belong to a set, and a few more."""
+    """Which 64-bit hashes belong to a set, and about one in a thousand others: a Bloom filter of three probes."""
+
+    SHIFTS = (0, 17, 34)
 
     def __init__(self, bits: int, table: np.ndarray):
         self.bits, self.table = bits, table
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        slot = hashes & _U((1 << self.bits) - 1)
-        return (self.table[(slot >> _U(3)).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8)) & 1 == 1
+        found = np.ones(len(hashes), dtype=bool)
+        left = np.arange(len(hashes))
+        for shift in self.SHIFTS:
+            slot = (hashes[left] >> _U(shift)) & _U((1 << self.bits) - 1)
+            hit = (self.table[(slot >> _U(3)).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8)) & 1 == 1
+            found[left[~hit]] = False
+            left = left[hit]
+        return found
 
     @staticmethod
     def of(hashes: DataFrame, column: str = "hash") -> Bitmap:
         """Of a column of longs; the driver fetches at most 2**MOST_BITS bits."""
         n = hashes.count()
-        bits = min(MOST_BITS, max(15, (16 * n).bit_length()))
-        slot = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
-        slices = hashes.select(F.shiftright(slot, 15).alias("part"), slot.bitwiseAND(F.lit(32767)).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits"))
+        bits = min(MOST_BITS, max(15, (32 * n).bit_length()))
+        probes = F.array(*[F.shiftrightunsigned(column, shift).bitwiseAND(F.lit((1 << bits) - 1)) for shift in Bitmap.SHIFTS])
+        slots = hashes.select(F.explode(probes).alias("slot")).select(F.shiftright("slot", 15).alias("part"), F.col("slot").bitwiseAND(F.lit(32767)).alias("at"))
         table = np.zeros(1 << (bits - 3), np.uint8)
-        for row in slices.toLocalIterator():
+        for row in slots.groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")).collect():
             table[row.part * 4096 : (row.part + 1) * 4096] = np.frombuffer(row.bits, np.uint8)
         return Bitmap(bits, table)
 
@@ -173,7 +181,7 @@ def _common_pairs(two: np.ndarray, opened: np.ndarray, frequent) -> np.ndarray:
 
 
 def count_phrases(docs: DataFrame, sizes: range, opened, known, pairs=None) -> DataFrame:
-    """(hash, n) of the phrases of these sizes that start or end with an open word. The sets are broadcast bitmaps."""
+    """(hash, n) of the phrases of these sizes that start or end with an open word. The sets are broadcast filters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
