@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import WALK_M_PER_MIN, minutes
@@ -23,121 +23,170 @@ def undirected(edges: DataFrame, scope: str | None = None) -> DataFrame:
     return least.select("u", "v", "length", *keys).union(least.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"), "length", *keys))
 
 
-def shortest_paths(sources: DataFrame, edges: DataFrame, cutoff_m: float, most_edges: int = 4_000_000, scope: str | None = None) -> DataFrame:
+#: Kinds of rows that meet in a region: labels of rounds before, offers to improve them, the region's graph.
+_LABEL, _OFFER, _GRAPH = 0, 1, 2
+_CELLS = 1 << 22  # distances that a task holds at a time
+
+
+def shortest_paths(sources: DataFrame, edges: DataFrame, cutoff_m: float, regions: DataFrame | None = None, scope: str | None = None, most_nodes: int = 1 << 14, sources_per_task: int = 128) -> DataFrame:
     """(src, scope?, node, d) with d <= cutoff_m, from (src, node) starts over (u, v, length) both ways.
 
-    Sources are spread over tasks. A graph of at most ``most_edges`` edges (they are counted first) is
-    sent to every task, which relaxes blocks of its sources in arrays; a larger one is never sent
-    anywhere, and is relaxed in rounds of joins. Nodes are long; edges of negative or no length are left out.
-    ``scope``: a column of both tables, such as the city, whose sources and nodes have ids of their own.
+    The graph is cut into regions of at most ``most_nodes`` nodes, and each is packed into arrays once. In
+    a round every region that was offered something relaxes its own nodes for the sources that reach it,
+    and only improved distances across its borders travel on, to the next round. A graph of no more than
+    ``most_nodes`` nodes is one region, and one round. The costs of a source follow the regions that it
+    enters; no graph is sent anywhere as a whole, and sources of one region are spread over tasks.
+
+    ``regions``: (node, scope?, region long), such as blocks of a map; those with more nodes are split, and nodes without a row make
+    one of their own. Any cut gives the same distances; the fewer edges it cuts, the fewer rounds.
+    Nodes are long; edges of negative or no length are left out, starts without an edge reach themselves.
+    ``scope``: a column of all tables, such as the city, whose sources and nodes have ids of their own.
     """
-    if scope:
-        return _renumbered(sources, edges, cutoff_m, most_edges, scope)
-    good = edges.where(F.col("length") >= 0).select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("length").cast("double").alias("length"))
-    starts = sources.select("src", F.col("node").cast("long").alias("node")).dropna().distinct()
-    if good.limit(most_edges + 1).count() > most_edges:
-        return _in_rounds(starts, good, cutoff_m)
-    return _in_tasks(starts, good, cutoff_m)
-
-
-def _renumbered(sources: DataFrame, edges: DataFrame, cutoff_m: float, most_edges: int, scope: str) -> DataFrame:
-    """Paths over nodes of many scopes, by numbers that no two nodes share."""
-    ends = [sources.select(scope, F.col("node").cast("long").alias("node")), *(edges.select(scope, F.col(c).cast("long").alias("node")) for c in ("u", "v"))]
-    numbers = kept(ends[0].union(ends[1]).union(ends[2]).dropna().distinct().withColumn("_n", F.monotonically_increasing_id()), "nodes")
-    number = lambda df, c: df.withColumn("node", F.col(c).cast("long")).join(numbers, [scope, "node"]).drop("node").withColumn(c, F.col("_n")).drop("_n")
-    starts = number(sources.dropna(subset=["src"]).withColumn("start", F.col("node")), "start").select(F.struct(scope, "src").alias("src"), F.col("start").alias("node"))
-    paths = shortest_paths(starts, number(number(edges, "u"), "v").select("u", "v", "length"), cutoff_m, most_edges)
-    return paths.withColumnRenamed("node", "_n").join(numbers.select("node", "_n"), "_n").select("src.src", f"src.{scope}", "node", "d")
-
-
-_CELLS = 1 << 23  # distances that a task holds at a time
-
-
-def _in_tasks(sources: DataFrame, edges: DataFrame, cutoff_m: float) -> DataFrame:
-    table = edges.toArrow()
-    u, v, length = (table.column(c).to_numpy() for c in ("u", "v", "length"))
-    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
-    order = np.argsort(ends[: len(u)], kind="stable")
-    first = np.searchsorted(ends[: len(u)][order], np.arange(len(nodes) + 1))
-    graph = sources.sparkSession.sparkContext.broadcast((nodes, first, ends[len(u) :][order], length[order]))  # most_edges edges at most
-
-    def relax(known: np.ndarray, keys: np.ndarray) -> None:
-        """Lowers the distances of a block (a row of all nodes for each source) from the nodes ``keys`` on."""
-        nodes, first, to, length = graph.value
+    keys = [scope] if scope else []
+    good = edges.where(F.col("length") >= 0).select(*keys, F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("length").cast("double").alias("length")).dropna()
+    starts = sources.select("src", *keys, F.col("node").cast("long").alias("node")).dropna().distinct()
+    placed = _placed(starts, good, regions, keys, most_nodes)
+    graph = _packed(good, placed, keys)
+    offers = starts.join(placed, [*keys, "node"]).select(*keys, "region", "src", "node", F.lit(0.0).alias("d"))
+    most = offers.groupBy(*keys, "region").count().agg(F.max("count")).first()[0] or 0
+    parts = int(most // sources_per_task) + 1
+    place = [*keys, "region", "part"]
+    offers = offers.withColumn("part", F.pmod(F.xxhash64("src"), F.lit(parts)).cast("int"))
+    src = sources.schema["src"].dataType.simpleString()
+    none = F.lit(None).cast(src)
+    schema = ", ".join([*(f"`{c}` {edges.schema[c].dataType.simpleString()}" for c in keys), f"region long, part int, kind int, src {src}, node long, d double"])
+    found: list[DataFrame] = []
+    while True:
+        touched = offers.select(*place).distinct()
+        columns = [*place, "kind", "src", "node", "d", "blob"]
+        rows = offers.select(*place, F.lit(_OFFER).alias("kind"), "src", "node", "d", F.lit(None).cast("binary").alias("blob"))
+        rows = rows.union(touched.join(graph, [*keys, "region"]).withColumns({"kind": F.lit(_GRAPH), "src": none, "node": F.lit(0).cast("long"), "d": F.lit(0.0)}).select(*columns))
+        for labels in found:  # of the regions that were offered something, no others
+            rows = rows.union(labels.join(touched, place, "left_semi").withColumn("blob", F.lit(None).cast("binary")).select(*columns))
+        done = kept(rows.groupBy(*place).applyInArrow(_relaxed(cutoff_m, len(keys)), schema), "walk")
+        found.append(done.where(F.col("kind") == _LABEL))
+        offers = done.where(F.col("kind") == _OFFER).groupBy(*place, "src", "node").agg(F.min("d").alias("d"))
+        if done.where(F.col("kind") == _OFFER).isEmpty():
+            break
+    if len(found) == 1:
+        return found[0].select("src", *keys, "node", "d")
+    every = found[0]
+    for labels in found[1:]:
+        every = every.union(labels)
+    return every.groupBy("src", *keys, "node").agg(F.min("d").alias("d"))
+
+
+def _placed(starts: DataFrame, edges: DataFrame, regions: DataFrame | None, keys: list[str], most_nodes: int) -> DataFrame:
+    """(keys, node, region): every node in a region of about ``most_nodes`` nodes or fewer."""
+    nodes = starts.select(*keys, "node").union(edges.select(*keys, "u")).union(edges.select(*keys, "v")).distinct()
+    if regions is None:
+        named = nodes.withColumn("region", F.lit(-1).cast("long"))
+    else:
+        given = regions.groupBy(*keys, F.col("node").cast("long").alias("node")).agg(F.min(F.col("region").cast("long")).alias("region"))
+        named = nodes.join(given, [*keys, "node"], "left").withColumn("region", F.coalesce("region", F.lit(-1).cast("long")))
+    named = kept(named, "nodes")
+    sizes = named.groupBy(*keys, "region").agg(F.count("*").alias("n"))
+    totals = sizes.withColumn("all", F.sum("n").over(Window.partitionBy(*(keys or [F.lit(0)]))))  # a row for each region
+    split = F.pmod(F.xxhash64("node", F.lit(5)), F.ceil(F.col("n") / most_nodes))
+    region = F.when(F.col("all") <= most_nodes, F.lit(0).cast("long")).otherwise(F.xxhash64("region", split))
+    return kept(named.join(totals, [*keys, "region"]).select(*keys, "node", region.alias("region")), "placed")
+
+
+def _packed(edges: DataFrame, placed: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, region, blob): the arrays of each region."""
+    ends = edges.join(placed.withColumnRenamed("node", "u"), [*keys, "u"]).join(placed.select(*keys, F.col("node").alias("v"), F.col("region").alias("to")), [*keys, "v"])
+
+    def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        u, v, length, to = (table.column(c).to_numpy() for c in ("u", "v", "length", "to"))
+        own = to == key[-1].as_py()
+        nodes, at = np.unique(np.concatenate([u, v[own]]), return_inverse=True)
+        start, end = at[: len(u)], at[len(u) :]
+        inner, outer = np.argsort(start[own], kind="stable"), np.argsort(start[~own], kind="stable")
+        first, out_first = (np.searchsorted(x, np.arange(len(nodes) + 1)) for x in (start[own][inner], start[~own][outer]))
+        arrays = (nodes, first, end[inner].astype(np.int32), length[own][inner], out_first, v[~own][outer], to[~own][outer], length[~own][outer])
+        return pa.table({**{c: pa.array([k.as_py()], k.type) for c, k in zip([*keys, "region"], key, strict=True)}, "blob": pa.array([pickle.dumps(arrays, protocol=5)], pa.binary())})
+
+    schema = ", ".join([*(f"`{c}` {edges.schema[c].dataType.simpleString()}" for c in keys), "region long, blob binary"])
+    return kept(ends.select(*keys, "region", "u", "v", "length", "to").groupBy(*keys, "region").applyInArrow(pack, schema), "graph")
+
+
+def _edges_of(at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of nodes ``at``, one after another, and how many each has."""
+    size = first[at + 1] - first[at]
+    return np.arange(size.sum()) + np.repeat(first[at] - (np.cumsum(size) - size), size), size
+
+
+def _relaxed(cutoff_m: float, n_keys: int):
+    """A function of the rows of one region and part: improved labels, and offers across its borders."""
+
+    def lower(known: np.ndarray, keys: np.ndarray, n: int, first: np.ndarray, to: np.ndarray, length: np.ndarray) -> None:
+        """Lowers the distances of a block (a row of the region's nodes for each source) from ``keys`` on."""
         while len(keys):
-            node = keys % len(nodes)
-            size = first[node + 1] - first[node]
-            edge = np.arange(size.sum()) + np.repeat(first[node] - (np.cumsum(size) - size), size)
+            node = keys % n
+            edge, size = _edges_of(node, first)
             offer, there = np.repeat(known[keys], size) + length[edge], np.repeat(keys - node, size) + to[edge]
             better = (offer <= cutoff_m) & (offer < known[there])
             offer, there = offer[better], there[better]
             np.minimum.at(known, there, offer)
             keys = np.unique(there)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes = graph.value[0]
-        block = max(1, _CELLS // max(len(nodes), 1))
-        for batch in batches:
-            for low in range(0, batch.num_rows, block):
-                part = batch.slice(low, block)
-                lists = part.column(1)
-                row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
-                start = lists.flatten().to_numpy()
-                at = np.searchsorted(nodes, start)
-                inside = np.zeros(len(start), bool)
-                inside[at < len(nodes)] = nodes[at[at < len(nodes)]] == start[at < len(nodes)]
-                known = np.full(part.num_rows * len(nodes), np.inf)
-                keys = row[inside] * len(nodes) + at[inside]
-                known[keys] = 0.0
-                relax(known, keys)
-                found = np.flatnonzero(known < np.inf)
-                source = np.concatenate([found // max(len(nodes), 1), row[~inside]])  # starts without an edge reach themselves
-                node = np.concatenate([nodes[found % max(len(nodes), 1)], start[~inside]])
-                d = np.concatenate([known[found], np.zeros(int((~inside).sum()))])
-                for a in range(0, len(d), 1 << 16):
-                    some = slice(a, a + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(source[some])), pa.array(node[some]), pa.array(d[some])], ["src", "node", "d"])
-
-    # a fixed number of tasks: the rows are few and small, but each is a search of its own
-    tasks = max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), sources.sparkSession.sparkContext.defaultParallelism)
-    grouped = sources.repartition(tasks, "src").groupBy("src").agg(F.collect_set("node").alias("nodes"))
-    return grouped.mapInArrow(run, f"src {sources.schema['src'].dataType.simpleString()}, node long, d double")
-
-
-def _in_rounds(sources: DataFrame, edges: DataFrame, cutoff_m: float) -> DataFrame:
-    """For graphs of any size: frontier relaxation as joins, for all sources in one job.
-
-    Each round offers the neighbours of the nodes
-    improved last new distances, and keeps, as a table of its own, those that improve on all rounds
-    before. What is known is never written again; one shuffle by (src, node) compares it with the
-    offers. The least of all rounds is the distance.
-    """
-    shortest = edges.agg(F.min("length")).first()[0]  # an end that is nearer to the cutoff leads no further
-    found = [kept(sources.select("src", "node").distinct().withColumn("d", F.lit(0.0)), "walk")]
-    known = found[0]
-    while shortest is not None:
-        ends = found[-1].where(F.col("d") <= cutoff_m - shortest)
-        step = ends.join(edges, F.col("node") == F.col("u")).select("src", F.col("v").alias("node"), (F.col("d") + F.col("length")).alias("new"))
-        offers = step.where(F.col("new") <= cutoff_m)
-        either = known.select("src", "node", "d", F.lit(None).cast("double").alias("new")).union(offers.select("src", "node", F.lit(None).cast("double"), "new"))
-        best = either.groupBy("src", "node").agg(F.min("d").alias("d"), F.min("new").alias("new"))
-        better = kept(best.where(F.col("new").isNotNull() & (F.col("d").isNull() | (F.col("new") < F.col("d")))).select("src", "node", F.col("new").alias("d")), "walk")
-        if better.isEmpty():
-            break
-        found.append(better)
-        known = known.union(better)
-    return known.groupBy("src", "node").agg(F.min("d").alias("d"))
-
-
-def walk_times(starts: DataFrame, edges: DataFrame, node_cells: DataFrame, max_minutes: float = 15.0, m_per_min: float = WALK_M_PER_MIN, scope: str | None = None) -> DataFrame:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        kind = table.column("kind").to_numpy()
+        blob = next((table.column("blob")[int(i)].as_py() for i in np.flatnonzero(kind == _GRAPH)), None)
+        zero = np.zeros(1, np.int64)
+        empty = np.zeros(0, np.int64)
+        nodes, first, to, length, out_first, out_node, out_region, out_length = pickle.loads(blob) if blob else (empty, zero, empty, empty * 1.0, zero, empty, empty, empty * 1.0)
+        rows = np.flatnonzero(kind != _GRAPH)
+        names = table.column("src").combine_chunks().take(pa.array(rows)).dictionary_encode()
+        if isinstance(names, pa.ChunkedArray):
+            names = names.combine_chunks()
+        src, node, d, offered = names.indices.to_numpy(), table.column("node").to_numpy()[rows], table.column("d").to_numpy()[rows], kind[rows] == _OFFER
+        alone = np.setdiff1d(node, nodes)  # starts without an edge
+        every = np.concatenate([nodes, alone])
+        n = len(every)
+        first, out_first = (np.concatenate([x, np.full(len(alone), x[-1])]) for x in (first, out_first))
+        order = np.argsort(every, kind="stable")
+        at = order[np.searchsorted(every, node, sorter=order)]
+        out: list[tuple] = []
+        block = max(1, _CELLS // n)
+        by_src = np.argsort(src, kind="stable")
+        edges_of_block = np.searchsorted(src[by_src], np.arange(0, len(names.dictionary) + block, block))
+        for i, (low, high) in enumerate(zip(edges_of_block[:-1], edges_of_block[1:], strict=True)):
+            some = by_src[low:high]
+            places = (src[some] - i * block).astype(np.int64) * n + at[some]
+            known = np.full(min(block, len(names.dictionary) - i * block) * n, np.inf)
+            old = ~offered[some]
+            np.minimum.at(known, places[old], d[some][old])
+            before = known.copy()
+            np.minimum.at(known, places[~old], d[some][~old])
+            lower(known, np.unique(places[~old][known[places[~old]] < before[places[~old]]]), n, first, to, length)
+            changed = np.flatnonzero(known < before)
+            out.append((np.full(len(changed), _LABEL), changed // n + i * block, every[changed % n], known[changed], np.full(len(changed), key[n_keys].as_py())))
+            edge, size = _edges_of(changed % n, out_first)
+            far = np.repeat(known[changed], size) + out_length[edge]
+            kept_edges = far <= cutoff_m
+            edge, far, who = edge[kept_edges], far[kept_edges], np.repeat(changed // n + i * block, size)[kept_edges]
+            best = np.lexsort((far, out_node[edge], who))
+            edge, far, who = edge[best], far[best], who[best]
+            new = np.ones(len(who), bool)
+            new[1:] = (who[1:] != who[:-1]) | (out_node[edge[1:]] != out_node[edge[:-1]])
+            out.append((np.full(int(new.sum()), _OFFER), who[new], out_node[edge[new]], far[new], out_region[edge[new]]))
+        what, who, node, d, region = (np.concatenate(x) for x in zip(*out, strict=True))
+        fixed = {c: pa.repeat(k, len(what)) for c, k in zip(table.column_names[:n_keys], key[:n_keys], strict=True)}
+        return pa.table({**fixed, "region": pa.array(region, pa.int64()), "part": pa.repeat(key[n_keys + 1], len(what)), "kind": pa.array(what, pa.int32()), "src": names.dictionary.take(pa.array(who)), "node": node, "d": d})
+
+    return run
+
+
+def walk_times(starts: DataFrame, edges: DataFrame, node_cells: DataFrame, max_minutes: float = 15.0, m_per_min: float = WALK_M_PER_MIN, scope: str | None = None, regions: DataFrame | None = None) -> DataFrame:
     """(src_cell, scope?, cell_id, minutes): the least walk time to any node of a cell; the source itself is 0.
 
     ``starts``: (src_cell, node), the node nearest to each source; ``node_cells``: (node, cell_id).
     The cutoff is inclusive. Cells outside the grid stay in the result. ``scope``: a column of all three
-    tables, such as the city; ids of cells and nodes count within it.
+    tables, such as the city; ids of cells and nodes count within it. ``regions``: as for shortest_paths().
     """
     keys = [scope] if scope else []
-    paths = shortest_paths(starts.select(F.col("src_cell").alias("src"), *keys, "node"), edges, max_minutes * m_per_min, scope=scope)
+    paths = shortest_paths(starts.select(F.col("src_cell").alias("src"), *keys, "node"), edges, max_minutes * m_per_min, regions, scope)
     reached = paths.join(node_cells, ["node", *keys]).select(F.col("src").alias("src_cell"), *keys, "cell_id", minutes(F.col("d"), m_per_min).alias("minutes"))
     own = starts.select("src_cell", *keys, F.col("src_cell").alias("cell_id"), F.lit(0.0).alias("minutes"))
     return reached.union(own).groupBy("src_cell", *keys, "cell_id").agg(F.min("minutes").alias("minutes"))

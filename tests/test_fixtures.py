@@ -224,7 +224,7 @@ def test_walk(spark):
     assert rows(times) == [(100, 100, 0.0), (100, 200, 5.0), (100, 300, 15.0)]
 
 
-def test_paths_in_tasks_and_in_rounds(spark):
+def test_paths_over_regions(spark):
     rng = random.Random(4)
     pairs = [(rng.randrange(60), rng.randrange(60), float(rng.randrange(0, 500))) for _ in range(150)] + [(1, 2, float("nan")), (1, 3, -5.0)]
     edges = catchment.undirected(spark.createDataFrame(pairs, "u long, v long, length double"))
@@ -243,8 +243,9 @@ def test_paths_in_tasks_and_in_rounds(spark):
                     best[v] = best[u] + d
                     todo.append(v)
         want |= {(src, n, d) for n, d in best.items()}
-    for most_edges in (1000, 10):
-        got = [tuple(r) for r in catchment.shortest_paths(starts, edges, 900.0, most_edges).collect()]
+    cuts = {n: spark.createDataFrame([(i, i % n) for i in range(55)], "node long, region long") for n in (7, 100)}  # some nodes have none
+    for regions, most_nodes, per_task in ((None, 1000, 128), (None, 30, 2), (cuts[7], 20, 3), (cuts[7], 3, 128), (cuts[100], 20, 128)):
+        got = [tuple(r) for r in catchment.shortest_paths(starts, edges, 900.0, regions, most_nodes=most_nodes, sources_per_task=per_task).collect()]
         assert len(got) == len(want) and set(got) == want
     assert catchment.shortest_paths(starts, edges.where("false"), 900.0).where("d > 0").count() == 0
 
@@ -280,7 +281,10 @@ def test_two_cities_with_equal_ids(spark):
     edges = catchment.undirected(spark.createDataFrame([(1, 2, 400.0, "a"), (2, 3, 400.0, "a"), (1, 2, 800.0, "b")], "u long, v long, length double, city string"), scope="city")
     starts = spark.createDataFrame([(7, "a", 1), (7, "b", 2)], "src_cell long, city string, node long")
     cells = spark.createDataFrame([("a", 1, 7), ("a", 2, 8), ("a", 3, 9), ("b", 1, 8), ("b", 2, 7)], "city string, node long, cell_id long")
+    cut = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 1, 1)], "city string, node long, region long")
     times = catchment.walk_times(starts, edges, cells, scope="city")
+    both = catchment.shortest_paths(starts.withColumnRenamed("src_cell", "src"), edges, 1200.0, cut, "city", most_nodes=1)
+    assert rows(both.select("city", "node", "d")) == [("a", 1, 0.0), ("a", 2, 400.0), ("a", 3, 800.0), ("b", 1, 800.0), ("b", 2, 0.0)]
     assert rows(times.select("city", "cell_id", "minutes")) == [("a", 7, 0.0), ("a", 8, 5.0), ("a", 9, 10.0), ("b", 7, 0.0), ("b", 8, 10.0)]
     pois = spark.createDataFrame([("a", 8, 3), ("b", 8, 5)], "city string, cell_id long, poi_count long")
     found = catchment.as_map(catchment.summary(times, pois, scope="city"), scope="city")
