@@ -45,4 +45,4 @@ def layer(cells: DataFrame, score: str, cell: str = "cell_id", height: float = 4
     """(cell_id, colour, elevation, percent)."""
     s = F.col(score)
     known = F.when(s.isNull() | F.isnan(s), 0.0).otherwise(s)
-    return cells.select(cell, colour(s).alias("colour"), (known * height).alias("elevation"), (F.floor(known * 1000.0 + 0.5) / 10.0).alias("percent"))
+    return cells.select(cell, colour(s).alias("colour"), (known * height).alias("elevation"), (F.rint(known * 1000.0) / 10.0).alias("percent"))

@@ -130,8 +130,8 @@ def _batched(function, rows: int = 20_000):
 def enrich(neighbours: DataFrame, cells: DataFrame, score: str, scope: str | None = None) -> DataFrame:
     """Neighbours with their centre, score in percent, top category and distance; unknown cells drop out."""
     keys = [scope] if scope else []
-    known = cells.select(F.col("cell_id").alias("nbr_id"), *keys, coordinates(F.col("center_lat"), F.col("center_lon")).alias("centre"), (F.floor(F.col(score) * 1000.0 + 0.5) / 10.0).alias("score_pct"), "top_category")
-    return neighbours.join(known, ["nbr_id", *keys]).withColumn("distance", F.floor(F.sqrt("dist_sq") * 100.0 + 0.5) / 100.0)
+    known = cells.select(F.col("cell_id").alias("nbr_id"), *keys, coordinates(F.col("center_lat"), F.col("center_lon")).alias("centre"), (F.rint(F.col(score) * 1000.0) / 10.0).alias("score_pct"), "top_category")
+    return neighbours.join(known, ["nbr_id", *keys]).withColumn("distance", F.rint(F.sqrt("dist_sq") * 100.0) / 100.0)
 
 
 def approximate_knn(vectors: DataFrame, id_column: str, vector: str = "z", k: int = 5, bucket_length: float = 2.0, tables: int = 6, seed: int = 1, rows_per_block: int = 4096, scope: str | None = None) -> DataFrame:

@@ -215,7 +215,7 @@ SQL: dict[str, str] = {
     "nearest_node": sql("SELECT cell_id, node FROM starts"),
     "zscore": sql("SELECT cell_id, CAST(unnest(range(len(z))) AS INTEGER) AS position, unnest(z) AS value FROM z"),
     "similar_cells": sql(f"SELECT cell_id, CAST(rank AS INTEGER) AS rank, nbr_id, {_r('dist_sq')} AS dist_sq FROM knn"),
-    "similar_enriched": sql("""SELECT knn.cell_id, CAST(rank AS INTEGER) AS rank, nbr_id, printf('%.4f, %.4f', center_lat, center_lon) AS centre, floor(score_site * 1000e0 + 0.5e0) / 10e0 AS score_pct, top_category, floor(sqrt(dist_sq) * 100e0 + 0.5e0) / 100e0 AS distance FROM knn JOIN scored ON nbr_id = scored.cell_id"""),
+    "similar_enriched": sql("""SELECT knn.cell_id, CAST(rank AS INTEGER) AS rank, nbr_id, printf('%.4f, %.4f', center_lat, center_lon) AS centre, round_even(score_site * 1000e0, 0) / 10e0 AS score_pct, top_category, round_even(sqrt(dist_sq) * 100e0, 0) / 100e0 AS distance FROM knn JOIN scored ON nbr_id = scored.cell_id"""),
     "embedding_knn": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1e4 + 0.5e0)) AS z FROM embeddings)
       SELECT vec_id, CAST(rank AS INTEGER) AS rank, nbr_id, dist_sq FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist_sq, nbr_id) AS rank
       FROM (SELECT a.vec_id, b.vec_id AS nbr_id, list_sum(list_transform(range(1, len(a.z) + 1), lambda i: (a.z[i] - b.z[i]) * (a.z[i] - b.z[i]))) AS dist_sq FROM v a, v b WHERE a.vec_id <> b.vec_id)) WHERE rank <= 5""",
@@ -227,7 +227,7 @@ SQL: dict[str, str] = {
     "inverted_norm": sql(f"SELECT cell_id, {_r('1e0 - n_poi_count')} AS far_from_pois FROM normed"),
     "walk_bands": sql("SELECT src_cell, cell_id, CASE WHEN minutes <= 15 THEN 100 ELSE 0 END AS red, CASE WHEN minutes <= 15 THEN 210 ELSE 0 END AS green, CASE WHEN minutes <= 15 THEN 230 ELSE 0 END AS blue, CASE WHEN minutes <= 5 THEN 150 WHEN minutes <= 10 THEN 90 WHEN minutes <= 15 THEN 50 ELSE 0 END AS alpha FROM times", _WALK),
     "ring_centroids": sql(f"SELECT id AS feature_id, {_r('lat + (id % 5 + 1) / 1e5 / 2e0')} AS lat, {_r('lon + (id % 7 + 1) / 1e5')} AS lon FROM buildings"),
-    "map_layer": sql(f"SELECT cell_id, {_channel(0)} AS red, {_channel(1)} AS green, {_channel(2)} AS blue, 215 AS alpha, {_r('s * 400e0')} AS elevation, {_r('floor(s * 1000e0 + 0.5e0) / 10e0')} AS percent FROM (SELECT cell_id, {_r('score_site')} AS s FROM scored)"),
+    "map_layer": sql(f"SELECT cell_id, {_channel(0)} AS red, {_channel(1)} AS green, {_channel(2)} AS blue, 215 AS alpha, {_r('s * 400e0')} AS elevation, {_r('round_even(s * 1000e0, 0) / 10e0')} AS percent FROM (SELECT cell_id, {_r('score_site')} AS s FROM scored)"),
     "top_cells": sql(f"SELECT *, CAST(row_number() OVER (ORDER BY score_site DESC, cell_id) AS INTEGER) AS rank FROM (SELECT cell_id, {_r('score_site')} AS score_site, top_category FROM scored) ORDER BY score_site DESC, cell_id LIMIT 10"),
     "activity_windows": sql("SELECT strftime(time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS window_start, cell_id, count(DISTINCT user_id) AS devices FROM ticks GROUP BY 1, 2", f"ticks AS (SELECT ts, user_id, cell_id FROM {_binned('(SELECT ts, user_id, ' + _at('event_id', 11) + ' FROM events)')})").replace("WITH RECURSIVE", "WITH"),
 }

@@ -260,9 +260,10 @@ def road_edges(spark, sf):
 
 
 def _times(spark, sf):
-    nodes = GRID.with_cell(standins.road_nodes(spark, sf)).select(F.col("id").alias("node"), "cell_id")
+    block = F.floor(F.col("lat") * 20) * 10_000 + F.floor(F.col("lon") * 20)
+    nodes = GRID.with_cell(standins.road_nodes(spark, sf)).select(F.col("id").alias("node"), "cell_id", block.alias("region"))
     edges = kept(catchment.undirected(standins.road_edges(spark, sf)), "edges")
-    return catchment.walk_times(_starts(spark, sf).select(F.col("cell_id").alias("src_cell"), "node"), edges, nodes, 15.0)
+    return catchment.walk_times(_starts(spark, sf).select(F.col("cell_id").alias("src_cell"), "node"), edges, nodes.select("node", "cell_id"), 15.0, regions=nodes.select("node", "region"))
 
 
 def walk_time_cells(spark, sf):

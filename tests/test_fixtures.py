@@ -299,6 +299,25 @@ def test_bounds_of_a_hot_scope(spark):
     assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for c in got for a, b in zip(got[c], want[c], strict=True))
 
 
+def test_bounds_by_a_sketch(spark):
+    """Groups far larger than those that are bracketed by their ends; ties at a bound; brackets that miss."""
+    x = F.when(F.col("id") % 3 == 0, F.lit(7.0)).otherwise(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 7.0 - 1e4)
+    df = spark.range(60_000).select(x.alias("x"), F.when(F.col("id") % 5 == 0, "few").otherwise("most").alias("city"))
+    want = {r.city: tuple(r.b) for r in df.groupBy("city").agg(F.percentile("x", F.array(F.lit(0.05), F.lit(0.95))).alias("b")).collect()}
+    rows_of = df.withColumn("feature", F.lit("x"))
+    for found in (normalize._percentiles(rows_of, ["city"]), normalize._by_ranges(rows_of, ["city"])):
+        got = {r.city: (r.p05, r.p95) for r in found.collect()}
+        assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for c in got for a, b in zip(got[c], want[c], strict=True))
+
+
+def test_bounds_where_brackets_miss(spark, monkeypatch):
+    df = spark.range(30_000).select((F.col("id") * 1.0).alias("x"), F.lit("x").alias("feature"))
+    approximate = F.percentile_approx
+    monkeypatch.setattr(F, "percentile_approx", lambda c, q, n: F.transform(approximate(c, q, n), lambda v: v + 500.0))
+    got = normalize._percentiles(df, ["feature"]).first()
+    assert (round(got.p05, 6), round(got.p95, 6)) == (1499.95, 28499.05)
+
+
 def test_entropy_and_top(spark):
     counts = spark.createDataFrame([(1, "b", 2), (1, "a", 2), (2, "a", 4)], "cell_id long, category string, count long")
     got = rows(features.poi_features(counts))
