@@ -44,15 +44,29 @@ class HexGrid:
         return (lon - F.lit(self.lon0)) * F.lit(self.m_per_lon), (lat - F.lit(self.lat0)) * F.lit(self.m_per_lat)
 
     def with_cell(self, points: DataFrame, lat: str = "lat", lon: str = "lon", into: str = "cell_id") -> DataFrame:
-        """Adds the id of the cell that holds each point; null for a null or NaN coordinate."""
-        lat_c, lon_c = F.col(lat), F.col(lon)
+        """Adds the id of the cell that holds each point; null for a null or NaN coordinate.
+
+        As cell_id(), in projections one upon another: each intermediate value is computed once, in generated code.
+        """
+        lat_c, lon_c = F.col(f"`{lat}`"), F.col(f"`{lon}`")
         valid = lat_c.isNotNull() & lon_c.isNotNull() & ~F.isnan(lat_c) & ~F.isnan(lon_c)
-        return points.withColumn(into, F.when(valid, self.cell_id(lat_c, lon_c)))
+        fq, fr = self._axial(lat_c, lon_c)
+        half = lambda c: F.floor(c + F.lit(0.5)).cast("double")
+        whole = points.withColumns({"_fq": fq, "_fr": fr}).withColumns({"_q": half(F.col("_fq")), "_r": half(F.col("_fr")), "_s": half(-F.col("_fq") - F.col("_fr"))})
+        moved = whole.withColumns({"_dq": F.abs(F.col("_q") - F.col("_fq")), "_dr": F.abs(F.col("_r") - F.col("_fr")), "_ds": F.abs(F.col("_s") + F.col("_fq") + F.col("_fr"))})
+        by_q = (F.col("_dq") > F.col("_dr")) & (F.col("_dq") > F.col("_ds"))
+        q = F.when(by_q, -F.col("_r") - F.col("_s")).otherwise(F.col("_q"))
+        r = F.when(~by_q & (F.col("_dr") > F.col("_ds")), -F.col("_q") - F.col("_s")).otherwise(F.col("_r"))
+        # never null where valid: a filter on the id that is pushed to the scan is one on the coordinates, not on all this
+        known = F.coalesce(pack(q, r), F.lit(0).cast("long"))
+        return moved.withColumn(into, F.when(valid, known)).drop("_fq", "_fr", "_q", "_r", "_s", "_dq", "_dr", "_ds")
+
+    def _axial(self, lat: Column, lon: Column) -> tuple[Column, Column]:
+        x, y = self.xy(lat, lon)
+        return (F.lit(_ROOT) * x - y / F.lit(3.0)) / F.lit(self.edge_m), (y * F.lit(2.0) / F.lit(3.0)) / F.lit(self.edge_m)
 
     def cell_id(self, lat: Column, lon: Column) -> Column:
-        x, y = self.xy(lat, lon)
-        fq = (F.lit(_ROOT) * x - y / F.lit(3.0)) / F.lit(self.edge_m)
-        fr = (y * F.lit(2.0) / F.lit(3.0)) / F.lit(self.edge_m)
+        fq, fr = self._axial(lat, lon)
         # let-bindings by a one-element transform: each intermediate value is computed once
         whole = F.transform(F.array(F.struct(fq.alias("q"), fr.alias("r"))), _rounded)
         return pack(whole[0]["q"], whole[0]["r"])

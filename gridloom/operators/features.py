@@ -36,8 +36,7 @@ def _keys(cell: str, scope: str | None) -> list[str]:
 
 def count_labels(amenities: DataFrame, cell: str = "cell_id", scope: str | None = None) -> DataFrame:
     """(cell_id, scope?, <label>_count ...): one pass, partially aggregated before the shuffle."""
-    rows = amenities.where(F.col(cell).isNotNull())
-    return rows.groupBy(*_keys(cell, scope)).agg(*[F.count_if(c).alias(f"{name}_count") for name, c in labels().items()])
+    return count_layers(amenities, {}, cell, scope)
 
 
 def count_points(points: DataFrame, into: str, cell: str = "cell_id", scope: str | None = None) -> DataFrame:
@@ -49,14 +48,17 @@ def count_layers(amenities: DataFrame, layers: dict[str, DataFrame], cell: str =
 
     ``layers``: a table of points for each column of counts.
     """
-    tags = ("amenity", "shop", "leisure")
     keys = _keys(cell, scope)
-    tagged = amenities.select(*keys, F.lit(-1).alias("_layer"), *[F.col(c).cast("string").alias(c) for c in tags])
+    names = [*layers, *(f"{name}_count" for name in labels())]
+    # a bit for each count: generated code of as many conditions would be too long a method to be compiled
+    bits = F.lit(0).cast("long")
+    for i, condition in enumerate(labels().values()):
+        bits = bits + F.when(condition, F.lit(1 << (len(layers) + i)).cast("long")).otherwise(F.lit(0).cast("long"))
+    rows = amenities.select(*keys, bits.alias("_bits"))
     for i, points in enumerate(layers.values()):
-        tagged = tagged.union(points.select(*keys, F.lit(i), *[F.lit(None).cast("string") for _ in tags]))
-    counts = [F.count_if(F.col("_layer") == i).alias(name) for i, name in enumerate(layers)]
-    counts += [F.count_if((F.col("_layer") == -1) & c).alias(f"{name}_count") for name, c in labels().items()]
-    return tagged.where(F.col(cell).isNotNull()).groupBy(*keys).agg(*counts)
+        rows = rows.union(points.select(*keys, F.lit(1 << i).cast("long")))
+    counts = [F.sum(F.shiftright("_bits", i).bitwiseAND(F.lit(1).cast("long"))).alias(name) for i, name in enumerate(names)]
+    return rows.where(F.col(cell).isNotNull()).groupBy(*keys).agg(*counts)
 
 
 def category_counts(pois: DataFrame, cell: str = "cell_id", scope: str | None = None) -> DataFrame:

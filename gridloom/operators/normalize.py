@@ -48,7 +48,7 @@ def _percentiles(rows: DataFrame, keys: list[str]) -> DataFrame:
     sketch = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"), F.percentile_approx("x", F.array(*map(F.lit, ends)), ACCURACY).alias("q"))
     many = F.col("n") * MARGIN >= 4
     each = [F.struct(F.lit(p).alias("p"), F.when(many, F.col("q")[2 * i]).otherwise(F.col("least")).alias("low"), F.when(many, F.col("q")[2 * i + 1]).otherwise(F.col("most")).alias("high")) for i, p in enumerate((LOW, HIGH))]
-    brackets = kept(sketch.select(*keys, F.col("n").alias("all"), F.explode(F.array(*each)).alias("b")).select(*keys, "all", "b.*"), "brackets")
+    brackets = sketch.select(*keys, F.col("n").alias("all"), F.explode(F.array(*each)).alias("b")).select(*keys, "all", "b.*")
     looked = rows.join(brackets, keys).where(F.col("x") <= F.col("high"))
     counted = looked.groupBy(*keys, "p", "all", F.when(F.col("x") >= F.col("low"), F.col("x")).alias("x")).agg(F.count("*").alias("n"))
     earlier = Window.partitionBy(*keys, "p").orderBy(F.col("x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.hexgrid import HexGrid
 from gridloom.operators import features, scores
+from gridloom.sources.store import kept
 
 
 @dataclass(frozen=True)
@@ -40,7 +41,7 @@ def cell_features(layers: Layers, grid: HexGrid, k: int = 2, scope: str | None =
     cells = own.select(*keys, lat.alias("center_lat"), lon.alias("center_lon"), "poi_count", "unique_categories", "category_entropy", "top_category")
     points = {"intersection_count": layers.intersections, "building_count": layers.buildings, "transit_stop_count": layers.transit}
     counted = features.count_layers(grid.with_cell(layers.amenities), {name: grid.with_cell(p) for name, p in points.items()}, scope=scope)
-    filled = features.with_counts(cells, counted, scope=scope)
+    filled = kept(features.with_counts(cells, counted, scope=scope), "filled")  # read three times below
     ring = features.kring_sum(filled.select(*keys, "restaurant_count"), filled, "restaurant_count", "restaurant_count_kring", k, inside_only=True, scope=scope)
     return filled.join(ring, keys)
 
