@@ -55,15 +55,18 @@ _BLOCK = 4096
 def _free(rows: DataFrame, keys: list[str], rank: str, n: int = 1) -> DataFrame:
     """(keys, rank): the n least ranks from 1 on that none of a group's rows has; a row of rank 0 holds none.
 
-    Ranks are put in blocks, whose rows are counted. Only a group's blocks are walked in order, and
-    only those before which fewer than n ranks are free are looked into.
+    Ranks are put in blocks, whose rows are counted. Only these counts are walked in order; the ranks
+    themselves are gathered for the blocks before which fewer than n ranks are free, and for no others.
     """
     at = F.col(rank) - 1
-    blocks = rows.groupBy(*keys, F.floor(at / _BLOCK).alias("_block")).agg(F.count_if(at >= 0).alias("_n"), F.collect_list((at % _BLOCK).cast("int")).alias("_held"))  # _BLOCK numbers at most
+    placed = rows.select(*keys, F.floor(at / _BLOCK).alias("_block"), at.alias("_at"))
+    blocks = placed.groupBy(*keys, "_block").agg(F.count_if(F.col("_at") >= 0).alias("_n"))
     order = Window.partitionBy(*keys).orderBy("_block")
     after = F.coalesce(F.lag("_block").over(order), F.lit(-1)) + 1  # the first block behind the one before
-    walked = blocks.select(*keys, "_block", "_held", after.alias("_after"), F.lead("_block").over(order).isNull().alias("_last"), (F.sum("_n").over(order) - F.col("_n")).alias("_before"))
+    walked = blocks.select(*keys, "_block", after.alias("_after"), F.lead("_block").over(order).isNull().alias("_last"), (F.sum("_n").over(order) - F.col("_n")).alias("_before"))
     few = walked.where(F.col("_after") * _BLOCK - F.col("_before") < n)
+    # _BLOCK numbers at most in a list
+    few = few.join(placed, [*keys, "_block"]).groupBy(*keys, "_block", "_after", "_last").agg(F.collect_list((F.col("_at") % _BLOCK).cast("int")).alias("_held"))
     none = F.array().cast("array<bigint>")
     stretch = lambda low, high: F.when(low < high, F.sequence(low, F.least(high, low + n) - 1)).otherwise(none)
     start = F.col("_block") * _BLOCK
