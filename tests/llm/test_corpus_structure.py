@@ -70,13 +70,10 @@ def test_trie_against_brute_force(spark, tmp_path, monkeypatch):
     rows = [(c, t, rng.choice(["user", "assistant", None]), rng.choice(["a", "bb", "", None, "ccc é😀"])) for c in [*range(40), 100, 101, 205, -7, 7_000_000_000_000] for t in range(rng.randint(1, 9))]
     rows += [(c, t, "user", f"same {t}") for c in range(300, 360) for t in range(8)]  # a third of all, identical
     rows += [(500, None, "user", "null turn"), (500, 0, "user", "x"), (500, 0, "user", "x"), (500, 0, "system", "tie"), (None, 1, "user", "no id")]
-    rows += [(600, t, "user", f"long {t % 7}") for t in range(2500)] + [(700, 0, "user", "y" * 300_000)]
+    rows += [(600, t, "user", f"long {t % 7}") for t in range(60)] + [(700, 0, "user", "y" * 300_000)]
     monkeypatch.setattr(trie, "BLOCK_BITS", 3)  # conversations and member lists cross blocks
     monkeypatch.setattr(trie, "CHUNK_BITS", 2)
-    assert trie_of(spark, tmp_path, rows[:-2501]) == expect_trie(rebuilt(rows[:-2501]))
-    monkeypatch.setattr(trie, "BLOCK_BITS", 10)
-    few = [r for r in rows if r[0] is not None and r[0] >= 300]
-    assert trie_of(spark, tmp_path, few) == expect_trie(rebuilt(few))
+    assert trie_of(spark, tmp_path, rows) == expect_trie(rebuilt(rows))
 
 
 def test_trie_of_nothing(spark, tmp_path):
