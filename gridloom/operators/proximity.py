@@ -1,7 +1,8 @@
-"""Range and nearest-neighbour joins, as equi-joins on buckets with an exact check behind."""
+"""Range and nearest-neighbour joins, as equi-joins on buckets or blocks with an exact check behind."""
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,19 +10,10 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.geo import EARTH_RADIUS_M, bearing, compass, haversine_m
 from gridloom.functions.scalars import shown_name, whole_metres
+from gridloom.operators import boxtree
 from gridloom.sources.store import kept
 
 
-def _bucket(x: Column, size: float) -> Column:
-    return F.floor(x / F.lit(size)).cast("long")
-
-
-def _around(lat: Column, lon: Column) -> Column:
-    """The nine buckets around a bucket."""
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    return F.transform(steps, lambda s: F.struct((lat + s["i"]).alias("blat"), (lon + s["j"]).alias("blon")))
-
-
 _TURN = 360.0
 
 
@@ -72,29 +64,52 @@ def nearest_within(centres: DataFrame, pois: DataFrame, k: int = 5, radius_m: fl
     return best.select("cell_id", *keys, "category", "rank", "id", shown_name(F.col("name")).alias("name"), whole_metres(F.col("_d")).alias("distance_m"), compass(bearing(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))).alias("direction"))
 
 
-def nearest(points: DataFrame, targets: DataFrame, point_id: str, target_id: str, start_degrees: float = 0.004, scope: str | None = None) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, point_id: str, target_id: str, rows_per_block: int = 64, scope: str | None = None) -> DataFrame:
     """(point_id, scope?, target_id, d2): the target with the least squared degree distance; ties: smaller id.
 
     Both are (id, lat, lon), and ``scope``, a column of both such as the city, if targets are those of
-    the point's own scope; ids then count within it. Points without a target drop out. Points look into the nine buckets around them. What they find is right
-    once it is no farther than a bucket is wide; the others look again with buckets twice as wide.
-    Each round is kept in a table; rounds end when nothing is left (all targets are in reach at last).
+    the point's own scope; ids then count within it. Points without a target drop out, and so do nulls and
+    coordinates that are not finite; repeated rows of a point are one. Targets are cut in blocks (see
+    ``blocks``). Points descend a tree of the blocks' boxes, many at once in a task, and are joined with the
+    blocks that may hold their nearest, of which there are a few. A task holds the boxes of one scope.
     """
     keys = [scope] if scope else []
-    left = points.dropna(subset=["lat", "lon", *keys]).select(F.col(point_id).alias("_p"), *keys, "lat", "lon")
-    right = targets.dropna(subset=["lat", "lon", *keys]).select(F.col(target_id).alias("_t"), *keys, F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
-    done, size = None, start_degrees
+    own = F.col(scope) if scope else F.lit(0)
+    # tables of their own, as both are read again, and so that no filter carries the formulas of its columns to a scan
+    given = lambda df, of, name: kept(df.select(own.alias("_s"), F.col(of).alias(name), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")), "places")
+    finite = lambda df: df.dropna(subset=["_s", "lat", "lon"]).where((F.abs("lat") < math.inf) & (F.abs("lon") < math.inf))
+    right = finite(given(targets, target_id, "_t")).withColumnsRenamed({"lat": "t_lat", "lon": "t_lon"})
+    # one target for each place, so that no number of targets at one place makes a block large
+    placed = blocks(right.groupBy("_s", "t_lat", "t_lon").agg(F.min("_t").alias("_t")), rows_per_block)
+    every = finite(given(points, point_id, "_p"))
+    met = boxtree.visits(every.distinct(), placed)
+    d_lat, d_lon = F.col("t_lat") - F.col("lat"), F.col("t_lon") - F.col("lon")
+    found = met.join(placed, ["_s", "_b"]).groupBy("_s", "_p", "lat", "lon").agg(F.min(F.struct((d_lat * d_lat + d_lon * d_lon).alias("d2"), "_t")).alias("best"))
+    return found.select(F.col("_p").alias(point_id), *([F.col("_s").alias(scope)] if scope else []), F.col("best._t").alias(target_id), "best.d2")
+
+
+def blocks(places: DataFrame, rows_per_block: int) -> DataFrame:
+    """``places`` (_s, t_lat, t_lon, ...) with ``_b``, a block of at most ``rows_per_block`` of a scope's places.
+
+    The box of a scope's places is cut in cells by their number; cells with too many are cut again
+    by their own number and box, until none has too many. Only their places go through another round. Of
+    a scope of more than 2**18 * ``rows_per_block`` places the blocks are larger, so that there are a few
+    times 2**18 at most. Equal places, if any, must be made one before.
+    """
+    box = [f(c).alias(f"_{m}_{c}") for m, f in (("low", F.min), ("high", F.max)) for c in ("t_lat", "t_lon")]
+    most = F.greatest(F.lit(rows_per_block).cast("long"), F.floor(F.col("_n") / (1 << 18)))
+    # cells a side, by the number that the cell is to be cut in; both ends of a box always come apart
+    side = F.least(F.ceil(F.sqrt(F.col("_n") / F.col("_most"))) + 1, F.lit(1024))
+    step = lambda c: F.when(F.col(f"_high_{c}") > F.col(f"_low_{c}"), F.floor((F.col(c) - F.col(f"_low_{c}")) / (F.col(f"_high_{c}") - F.col(f"_low_{c}")) * (F.col("_side") - 1))).otherwise(0)
+    left, settled = places.withColumns({"_b": F.lit(0).cast("long"), "_most": F.lit(None).cast("long")}), []
     while True:
-        buckets = right.withColumns({"blat": _bucket(F.col("t_lat"), size), "blon": _bucket(F.col("t_lon"), size)})
-        look = left.select("_p", *keys, "lat", "lon", F.explode(_around(_bucket(F.col("lat"), size), _bucket(F.col("lon"), size))).alias("b")).select("_p", *keys, "lat", "lon", "b.*")
-        d2 = (F.col("t_lat") - F.col("lat")) * (F.col("t_lat") - F.col("lat")) + (F.col("t_lon") - F.col("lon")) * (F.col("t_lon") - F.col("lon"))
-        found = look.join(buckets, ["blat", "blon", *keys]).withColumn("_d2", d2).groupBy("_p", *keys).agg(F.min(F.struct("_d2", "_t")).alias("best"))
-        seen = kept(left.join(found, ["_p", *keys], "left").select("_p", *keys, "lat", "lon", F.col("best._d2").alias("_d2"), F.col("best._t").alias("_t")), "nearest")
-        last = size >= 360.0  # every bucket is in reach
-        settled = F.col("_d2").isNotNull() & (F.lit(last) | (F.col("_d2") <= size * size))
-        part = seen.where(settled)
-        done = part if done is None else done.union(part)
-        left = seen.where(~settled).select("_p", *keys, "lat", "lon")
-        if last or left.isEmpty():
-            return done.select(F.col("_p").alias(point_id), *keys, F.col("_t").alias(target_id), F.col("_d2").alias("d2"))
-        size *= 2.0
+        cells = left.groupBy("_s", "_b").agg(F.count("*").alias("_n"), F.coalesce(F.max("_most"), most).alias("_limit"), *box)
+        cells = cells.withColumnRenamed("_limit", "_most").withColumn("_side", side)
+        met = left.drop("_most").join(cells, ["_s", "_b"])
+        open_still = F.col("_n") > F.col("_most")
+        cut = F.when(open_still, F.xxhash64("_b", step("t_lat"), step("t_lon"))).otherwise(F.col("_b"))
+        seen = kept(met.select(*places.columns, cut.alias("_b"), "_most", open_still.alias("_open")), "blocks")
+        settled.append(seen.where("not _open").drop("_most", "_open"))
+        left = seen.where("_open").drop("_open")
+        if left.isEmpty():
+            return functools.reduce(DataFrame.union, settled)

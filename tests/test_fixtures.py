@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import geo, scalars
 from gridloom.functions.hexgrid import HexGrid, disk, disk_offsets, pack
-from gridloom.operators import catchment, export, features, normalize, opportunity, proximity, scores, similarity
+from gridloom.operators import boxtree, catchment, export, features, normalize, opportunity, proximity, scores, similarity
 from gridloom.sources import tables
 
 GRID = HexGrid()
@@ -161,6 +161,36 @@ def test_nearest_equals_brute_force(spark):
     assert got == {i: min(((x - a) ** 2 + (y - b) ** 2, j) for j, a, b in targets)[1] for i, x, y in points}
 
 
+@pytest.mark.parametrize("rows_per_block", [1, 5, 64])
+def test_nearest_in_dense_blocks(spark, rows_per_block):
+    """A third of all targets in a speck, many at one place, a far outlier, ids that are strings, two scopes."""
+    rng = random.Random(3)
+    speck = [(37.7 + rng.uniform(0, 1e-7), -122.4 + rng.uniform(0, 1e-7)) for _ in range(200)]
+    spread = [(rng.uniform(37, 38), rng.uniform(-123, -122)) for _ in range(300)] + [(37.5, -122.5)] * 100 + [(-80.0, 170.0)]
+    targets = [(f"t{i}", *x, "a" if i % 3 else "b") for i, x in enumerate(speck + spread)]
+    places = [(rng.uniform(37, 38), rng.uniform(-123, -122)) for _ in range(80)] + [(37.7, -122.4), (37.5, -122.5), (89.0, 179.0), (-80.1, 170.0), (0.0, 0.0)]
+    points = [(i, *x, city) for i, x in enumerate(places) for city in "ab"]
+    p = spark.createDataFrame([*points, points[0], (1000, None, 1.0, "a"), (1001, float("nan"), 1.0, "a"), (1002, float("inf"), 1.0, "a"), (1003, 1.0, 1.0, "none"), (1004, 1.0, 1.0, None)], "id long, lat double, lon double, city string")
+    t = spark.createDataFrame([*targets, ("t", 37.5, None, "a"), ("s", float("nan"), 1.0, "a")], "t string, lat double, lon double, city string")
+    found = proximity.nearest(p, t, "id", "t", rows_per_block, scope="city")
+    got = sorted((r.id, r.city, r.d2, r.t) for r in found.collect())
+    assert got == sorted((i, city, *min(((a - x) * (a - x) + (b - y) * (b - y), j) for j, a, b, of in targets if of == city)) for i, x, y, city in points)
+    assert proximity.nearest(p, t.where("false"), "id", "t").count() == 0 == proximity.nearest(p.where("false"), t, "id", "t").count()
+
+
+def test_blocks_and_visits_are_bounded(spark):
+    """Blocks stay small however dense the places are, and a point visits few of them."""
+    rng = random.Random(5)
+    places = [(0, 10 + rng.gauss(0, 1e-4), 20 + rng.gauss(0, 1e-4)) for _ in range(3000)] + [(0, rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(3000)]
+    t = spark.createDataFrame(places, "_s int, t_lat double, t_lon double")
+    placed = proximity.blocks(t, 16).cache()
+    sizes = [r["count"] for r in placed.groupBy("_b").count().collect()]
+    assert max(sizes) <= 16 and sum(sizes) == 6000 and len(sizes) < 4000
+    p = spark.createDataFrame([(0, i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(200)] + [(0, 200 + i, 10 + rng.gauss(0, 1e-3), 20 + rng.gauss(0, 1e-3)) for i in range(200)], "_s int, _p int, lat double, lon double")
+    met = [r["count"] for r in boxtree.visits(p, placed, together=50).groupBy("_p").count().collect()]
+    assert len(met) == 400 and sum(met) / 400 < 12
+
+
 def test_opportunity(spark):
     cells = spark.createDataFrame([(cell(10 * i, 0), i, i, i) for i in range(6)], "cell_id long, poi_count int, amenity_count int, transit_stop_count int")
     counts = spark.createDataFrame([(cell(0, 0), "a", 4), (cell(50, 0), "a", 2), (cell(1, 0), "b", 1)], "cell_id long, category string, count long")
