@@ -19,8 +19,12 @@ last word bounds what ends there. The frontier is opened best bound first:
    reach the score of the best ``most`` survivors so far, ties included, which settles it (or all words, if
    there were too few).
 
-A phrase survives unless all its occurrences have one and the same word before them, or behind: a longer
-candidate with the same count goes through an extension by one word with the same count.
+A phrase survives unless a phrase of one word more, before it or behind, has its count: a longer
+candidate with the same count goes through such an extension, and as both ends of a scored phrase are
+open, all its extensions were counted.
+
+Counts know phrases by their hashes. Their words come from one more pass, in which a phrase is sent only
+from texts whose hash ends in the 16 bits that its count kept (the least of those it was met with).
 
 Counting is a pass over the texts in Arrow batches; counts are combined in the task before the
 shuffle, so that frequent words and phrases send one row a batch. Sets of words and phrases reach the
@@ -153,9 +157,22 @@ def dictionary(docs: DataFrame) -> DataFrame:
     return found.groupBy("lang", "hash").agg(F.min("word").alias("word"), F.sum("n").alias("n"))
 
 
-def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
-    ids, n = np.unique(np.concatenate(held), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(n)], ["hash", "n"])
+def places(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """For each word, 16 bits of a hash of the words of its text."""
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    of_text = bt.mix(np.add.reduceat(hashes * (np.arange(len(hashes), dtype=np.uint64) - np.repeat(first, np.diff(np.append(first, len(rows)))).astype(np.uint64) + _U(1)), first)) >> _U(48)
+    return np.repeat(of_text.astype(np.int16), np.diff(np.append(first, len(rows))))
+
+
+def placed(hashes: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The hash of a phrase at a place."""
+    return bt.mix(hashes + place.astype(np.uint64) * _ODD[-1])
+
+
+def _counted(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    every, place = (np.concatenate(x) for x in zip(*held, strict=True))
+    ids, first, n = np.unique(every, return_index=True, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(n), pa.array(place[first])], ["hash", "n", "place"])
 
 
 def _positions(hashes: np.ndarray, follow: np.ndarray, m: int, ends: np.ndarray, known: np.ndarray, pairs: np.ndarray | None) -> np.ndarray:
@@ -181,77 +198,75 @@ def _common_pairs(two: np.ndarray, opened: np.ndarray, frequent) -> np.ndarray:
 
 
 def count_phrases(docs: DataFrame, sizes: range, opened, known, pairs=None) -> DataFrame:
-    """(hash, n) of the phrases of these sizes that start or end with an open word. The sets are broadcast filters."""
+    """(hash, n, place) of the phrases of these sizes that start or end with an open word. The sets are broadcast filters.
+
+    place: one of the places of texts that the phrase occurs in.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            for hashes, follow, *_ in words_of(batch):
+            for hashes, follow, _, _, _, rows in words_of(batch):
                 if len(hashes) < 2:
                     continue
                 ends, common = opened.value.has(hashes), known.value.has(hashes)
-                every = grams(hashes, sizes[-1])
+                every, place = grams(hashes, sizes[-1]), places(hashes, rows)
                 two = None if pairs is None else _common_pairs(every[1], ends, pairs.value)
                 for m in sizes:
-                    part = every[m - 1][_positions(hashes, follow, m, ends, common, two)]
-                    held.append(part)
-                    n += len(part)
+                    at = _positions(hashes, follow, m, ends, common, two)
+                    held.append((every[m - 1][at], place[at]))
+                    n += len(at)
                 if n >= _FLUSH:
                     yield _counted(held)
                     held, n = [], 0
         if n:
             yield _counted(held)
 
-    return docs.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "hash long, n long, place short").groupBy("hash").agg(F.sum("n").alias("n"), F.min("place").alias("place"))
 
 
-def describe(docs: DataFrame, wanted, opened, longest: int) -> DataFrame:
-    """(hash, survives, cuts array<struct<k, head, tail>>, words) of wanted phrases with both ends open.
+def describe(docs: DataFrame, wanted, opened, known, pairs, longest: int) -> DataFrame:
+    """(hash, open, cuts array<struct<k, head, tail>>, words) of counted phrases, from the places that were kept of them.
 
-    survives: whether neither the words before all occurrences nor those behind them are one and the
-    same; head and tail: hashes of the parts before and behind a cut after k words.
+    ``wanted``: phrases at their places. open: whether both ends are open; head and tail: hashes of
+    the parts before and behind a cut after k words. A phrase is sent by the tasks that hold texts of its place
+    alone, so that there are about as many rows as phrases, however many tasks meet them. Filters let a
+    few phrases through that were not asked for.
     """
-    names = ["hash", "left", "right", *(f"word{k}" for k in range(1, longest + 1))]
+    names = ["hash", "open", *(f"word{k}" for k in range(1, longest + 1))]
 
-    def collect(held: list[np.ndarray]) -> np.ndarray:
-        """One column for each phrase; the neighbours are 0 where they are not one and the same word."""
+    def one(held: list[np.ndarray]) -> np.ndarray:
         rows = np.concatenate(held, axis=1)
-        rows = rows[:, np.argsort(rows[0], kind="stable")]
-        first = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
-        out = rows[:, first]
-        for i in (1, 2):
-            out[i] *= np.minimum.reduceat(rows[i], first) == np.maximum.reduceat(rows[i], first)
-        return out
+        return rows[:, np.unique(rows[0], return_index=True)[1]]
+
+    def sent(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in rows], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            for hashes, follow, *_ in words_of(batch):
+            for hashes, follow, _, _, _, rows in words_of(batch):
                 if len(hashes) < 2:
                     continue
-                is_open = opened.value.has(hashes)
-                ends = np.flatnonzero(is_open)
-                every = grams(hashes, longest)
-                before = np.concatenate([np.zeros(1, _U), np.where(follow[:-1] > 0, hashes[:-1], _U(0))])
+                ends, common = opened.value.has(hashes), known.value.has(hashes)
+                every, place = grams(hashes, longest), places(hashes, rows)
+                two = _common_pairs(every[1], ends, pairs.value)
                 for m in range(2, longest + 1):
-                    at = ends[follow[ends] >= m - 1]
-                    at = at[is_open[at + m - 1]]
-                    at = at[wanted.value.has(every[m - 1][at])]
+                    at = _positions(hashes, follow, m, ends, common, two)
+                    at = at[wanted.value.has(placed(every[m - 1][at], place[at]))]
                     out = np.zeros((len(names), len(at)), np.uint64)
-                    out[0], out[1] = every[m - 1][at], before[at]
-                    more = follow[at] >= m
-                    out[2, more] = hashes[at[more] + m]
+                    out[0], out[1] = every[m - 1][at], ends[at] & ends[at + m - 1]
                     for k in range(m):
-                        out[3 + k] = hashes[at + k]
+                        out[2 + k] = hashes[at + k]
                     held.append(out)
                     n += len(at)
             if n >= _HELD // 2:
-                held = [collect(held)]
+                held = [one(held)]
                 if (n := held[0].shape[1]) >= _HELD // 4:
-                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in held.pop()], names)
+                    yield sent(held.pop())
                     n = 0
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in collect(held)], names)
+            yield sent(one(held))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,13 +284,21 @@ def describe(docs: DataFrame, wanted, opened, longest: int) -> DataFrame:
             at = pa.array(np.concatenate([[0], np.cumsum(sizes - 1)]).astype(np.int32))
             cuts = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([pa.array(k), pa.array(head.view(np.int64)), pa.array(tail.view(np.int64))], ["k", "head", "tail"]))
             every = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(words[words != 0].view(np.int64)))
-            survives = pa.array((sizes == longest) | ~batch.column(1).to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([batch.column(0), survives, cuts, every], ["hash", "survives", "cuts", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(batch.column(1).to_numpy() > 0), cuts, every], ["hash", "open", "cuts", "words"])
 
-    rows = docs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
-    one = [((F.min(c) == F.max(c)) & (F.max(c) != 0)) for c in ("left", "right")]
-    found = rows.groupBy("hash").agg((one[0] | one[1]).alias("inside"), *[F.max(c).alias(c) for c in names[3:]])
-    return found.mapInArrow(cut, "hash long, survives boolean, cuts array<struct<k: long, head: long, tail: long>>, words array<long>")
+    found = docs.mapInArrow(run, ", ".join(f"{c} long" for c in names)).groupBy("hash").agg(*[F.max(c).alias(c) for c in names[1:]])
+    return found.mapInArrow(cut, "hash long, open boolean, cuts array<struct<k: long, head: long, tail: long>>, words array<long>")
+
+
+def surviving(found: DataFrame, counts: DataFrame) -> DataFrame:
+    """The phrases with both ends open, with ``survives``: whether no phrase of one word more that starts or ends with it has its count.
+
+    All such longer phrases have an open end and were counted, and a longer candidate of any length with the same count goes through one of them.
+    """
+    longer = found.where(F.size("words") > 2).join(counts, "hash").select("n", F.explode(F.array(F.col("cuts")[0]["tail"], F.element_at("cuts", -1)["head"])).alias("hash"))
+    most = longer.groupBy("hash").agg(F.max("n").alias("_longer"))
+    met = found.where("open").join(counts, "hash").join(most, "hash", "left")
+    return met.select("hash", F.coalesce(F.col("_longer") < F.col("n"), F.lit(True)).alias("survives"), "cuts", "words")
 
 
 def score(found: DataFrame, counts: DataFrame, words: DataFrame, totals: DataFrame) -> DataFrame:
@@ -342,13 +365,25 @@ def _round(spark: SparkSession, texts: DataFrame, frequent: DataFrame, totals: D
     here = frequent.join(theta, "lang")
     known, opened = share(Bitmap.of(here)), share(Bitmap.of(here.where("bound >= theta")))
     two = stored(count_phrases(texts, range(2, 3), opened, known).where(F.col("n") >= least), "pairs")
-    counts = two
+    pairs = share(Bitmap.of(two))
+    placed_counts = two
     if longest > 2:
-        pairs = share(Bitmap.of(two))
-        counts = two.union(stored(count_phrases(texts, range(3, longest + 1), opened, known, pairs).where(F.col("n") >= least), "phrases"))
-    wanted = share(Bitmap.of(counts))
-    found = stored(describe(texts, wanted, opened, longest), "found")
-    return score(found, counts.union(here.select("hash", "n")), here, totals)
+        placed_counts = two.union(stored(count_phrases(texts, range(3, longest + 1), opened, known, pairs).where(F.col("n") >= least), "phrases"))
+    wanted = share(Bitmap.of(_placed(placed_counts)))
+    counts = placed_counts.select("hash", "n")
+    found = stored(describe(texts, wanted, opened, known, pairs, longest), "found")
+    return score(surviving(found, counts), counts.union(here.select("hash", "n")), here, totals)
+
+
+def _placed(counts: DataFrame) -> DataFrame:
+    """(hash): of each phrase at its place, as ``placed`` has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, place = batch.column(0).to_numpy().view(_U), batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(placed(hashes, place).view(np.int64))], ["hash"])
+
+    return counts.select("hash", "place").mapInArrow(run, "hash long")
 
 
 def _ranked(found: DataFrame, frequent: DataFrame, most: int) -> DataFrame:
