@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalars import coordinates
+from gridloom.operators.metricblocks import KEYS, OTHER, cuts_of, in_blocks, in_cells, pairs, pivots_of, reach
 from gridloom.sources.store import kept
 
-
-KEYS = ("scope", "table", "bucket", "part")
+PACKED = pa.schema([("ids", pa.binary()), ("x", pa.binary()), ("dims", pa.int32()), ("centre", pa.binary()), ("radius", pa.float64()), ("n_ids", pa.int64())])
 
 
 def _rows(vectors: DataFrame, id_column: str, vector: str, scope: str | None = None) -> DataFrame:
@@ -28,25 +28,30 @@ def _dealt(rows: DataFrame, blocks: Column, table: str | Column = "table", bucke
 
 
 def _packed(rows: DataFrame, name: str) -> DataFrame:
-    """Blocks of dealt rows as one row each: (scope, table, bucket, part, ids, x, dims), the last three named after ``name``."""
+    """Blocks of dealt rows as one row each: (scope, table, bucket, part, ids, x, dims, centre, radius, n_ids), from ids on named after ``name``."""
 
     def pack(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
         order = np.argsort(ids, kind="stable")
         x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)[order]
         keys = [table.column(key).slice(0, 1).combine_chunks() for key in KEYS]
-        return pa.table([*keys, pa.array([ids[order].tobytes()]), pa.array([x.tobytes()]), pa.array([x.shape[1]], pa.int32())], [*KEYS, "ids", "x", "dims"])
+        # rows with parts that are not finite neither find nor are found
+        known = x[np.isfinite(x).all(axis=1)]
+        centre = known.mean(axis=0) if len(known) else np.zeros(x.shape[1])
+        radius = np.sqrt(((known - centre) ** 2).sum(axis=1)).max(initial=0.0)
+        own = [ids[order].tobytes(), x.tobytes(), x.shape[1], centre.tobytes(), radius, len(np.unique(ids))]
+        return pa.table([*keys, *[pa.array([value], field.type) for value, field in zip(own, PACKED, strict=True)]], [*KEYS, *PACKED.names])
 
-    packed = rows.groupBy(*KEYS).applyInArrow(pack, f"scope {rows.schema['scope'].dataType.simpleString()}, table int, bucket double, part int, ids binary, x binary, dims int")
-    return packed.select(*KEYS, *[F.col(c).alias(f"{name}_{c}") for c in ("ids", "x", "dims")])
+    packed = rows.groupBy(*KEYS).applyInArrow(pack, f"scope {rows.schema['scope'].dataType.simpleString()}, table int, bucket double, part int, ids binary, x binary, dims int, centre binary, radius double, n_ids long")
+    return packed.select(*KEYS, *[F.col(c).alias(f"{name}_{c}") for c in PACKED.names])
 
 
 def _met(left: DataFrame, right: DataFrame, k: int, tasks: int) -> DataFrame:
-    """(scope, id, nbr_id, dist_sq): the k nearest to each row of a block of ``left`` in every block of ``right`` that it is to meet (``b_part``)."""
+    """(scope, table, bucket, part, id, nbr_id, dist_sq): the k nearest to each row of a block of ``left`` in each block of ``right`` that it is to meet (OTHER)."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, (a_ids, a, a_dims, b_ids, b, b_dims) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+            for at, (a_ids, a, a_dims, b_ids, b, b_dims) in enumerate(zip(*(c.to_pylist() for c in batch.columns[len(KEYS) :]), strict=True)):
                 one, two = np.frombuffer(a).reshape(-1, a_dims), np.frombuffer(b).reshape(-1, b_dims)
                 own, other = np.frombuffer(a_ids, np.int64), np.frombuffer(b_ids, np.int64)
                 norms = (two * two).sum(axis=1)
@@ -66,11 +71,12 @@ def _met(left: DataFrame, right: DataFrame, k: int, tasks: int) -> DataFrame:
                         for d in range(gaps.shape[1]):
                             total += gaps[:, d] * gaps[:, d]
                         best = np.lexsort((other[some], total))[:k]
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(best), at))), pa.array(np.full(len(best), own[low + i])), pa.array(other[some[best]]), pa.array(total[best])], ["scope", "id", "nbr_id", "dist_sq"])
+                        keys = [c.take(pa.array(np.full(len(best), at))) for c in batch.columns[: len(KEYS)]]
+                        yield pa.RecordBatch.from_arrays([*keys, pa.array(np.full(len(best), own[low + i])), pa.array(other[some[best]]), pa.array(total[best])], [*KEYS, "id", "nbr_id", "dist_sq"])
 
-    dealt = left.repartition(tasks, *KEYS, "b_part")
-    joined = dealt.join(right.withColumnRenamed("part", "b_part"), ["scope", "table", "bucket", "b_part"])
-    return joined.select("scope", "a_ids", "a_x", "a_dims", "b_ids", "b_x", "b_dims").mapInArrow(_batched(meet), f"scope {left.schema['scope'].dataType.simpleString()}, id long, nbr_id long, dist_sq double")
+    dealt = left.repartition(tasks, *KEYS, *OTHER)
+    joined = dealt.join(right.withColumnsRenamed(dict(zip(KEYS[1:], OTHER, strict=True))), ["scope", *OTHER])
+    return joined.select(*KEYS, "a_ids", "a_x", "a_dims", "b_ids", "b_x", "b_dims").mapInArrow(_batched(meet), f"scope {left.schema['scope'].dataType.simpleString()}, table int, bucket double, part int, id long, nbr_id long, dist_sq double")
 
 
 def _ranked(met: DataFrame, k: int) -> DataFrame:
@@ -87,27 +93,64 @@ def _sized(rows: DataFrame, rows_per_block: int) -> DataFrame:
     return kept(rows.groupBy("scope").agg((F.floor(F.count("*") / rows_per_block) + 1).cast("int").alias("blocks")), "blocks")
 
 
-def exact_knn(vectors: DataFrame, id_column: str, vector: str = "z", k: int = 5, rows_per_block: int = 4096, queries: DataFrame | None = None, scope: str | None = None) -> DataFrame:
+def exact_knn(vectors: DataFrame, id_column: str, vector: str = "z", k: int = 5, rows_per_block: int = 4096, queries: DataFrame | None = None, scope: str | None = None, pivots: int = 256) -> DataFrame:
     """(id, scope?, rank, nbr_id, dist_sq): the k nearest by squared L2, never the row itself; ties: smaller id.
 
-    Vectors are cut in blocks of about ``rows_per_block``; every two blocks meet in one task, which
-    keeps k rows for each vector, and a ranking over blocks ends it. No task holds more than two
-    blocks. Null vectors drop out. ``queries``: the rows whose neighbours are wanted, if not all;
-    neighbours come from ``vectors``. ``scope``: a column, such as the city, in whose limits neighbours
-    are looked for; ids count within it.
+    Vectors go to the nearest of at most ``pivots`` vectors of their scope and are cut there, by distance,
+    in blocks of about ``rows_per_block``. Each block first meets the one of its own place, which says
+    how far its rows have to look; then those blocks meet whose centres and radii let them hold a nearer
+    row or a tie, and a ranking ends it. No task holds more than two blocks, and blocks are sent to
+    the pairs that stay alone; on vectors without clusters that may still be all pairs. Null vectors
+    drop out; rows with parts that are not finite find nothing. ``queries``: the rows whose neighbours are
+    wanted, if not all; neighbours come from ``vectors``. ``scope``: a column, such as the city, in whose
+    limits neighbours are looked for; ids count within it.
     """
     known = _rows(vectors, id_column, vector, scope)
     asked = known if queries is None else _rows(queries, id_column, vector, scope)
-    return _named(_exact(known, asked, k, rows_per_block), id_column, scope)
+    return _named(_exact(known, asked, k, rows_per_block, pivots), id_column, scope)
+
+
+def _tasks(pairs: int, rows_per_block: int) -> int:
+    """Tasks of about 2**22 comparisons, of one pair at least."""
+    return max(1, min(pairs, 8 + pairs * rows_per_block**2 // 2**22, 10_000))
 
 
-def _exact(known: DataFrame, asked: DataFrame, k: int, rows_per_block: int) -> DataFrame:
+def _exact(known: DataFrame, asked: DataFrame, k: int, rows_per_block: int, pivots: int = 256) -> DataFrame:
     blocks = _sized(known, rows_per_block)
-    own = blocks if asked is known else _sized(asked, rows_per_block)
-    pairs = own.join(blocks.withColumnRenamed("blocks", "_b"), "scope").agg(F.coalesce(F.sum(F.col("blocks").cast("long") * F.col("_b")), F.lit(1))).first()[0]
-    one = (F.lit(0).alias("table"), F.lit(0.0).alias("bucket"))
-    left = _packed(_dealt(asked.join(own, "scope"), F.col("blocks"), *one), "a").join(blocks, "scope").withColumn("b_part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    return _ranked(_met(left, _packed(_dealt(known.join(blocks, "scope"), F.col("blocks"), *one), "b"), k, min(pairs, 10_000)), k)
+    if blocks.agg(F.max("blocks")).first()[0] in (None, 1):  # nothing to choose from
+        own = blocks if asked is known else _sized(asked, rows_per_block)
+        n = own.agg(F.coalesce(F.sum("blocks"), F.lit(1))).first()[0]
+        one = (F.lit(0).alias("table"), F.lit(0.0).alias("bucket"))
+        left = _packed(_dealt(asked.join(own, "scope"), F.col("blocks"), *one), "a").select("*", F.col("table").alias("b_table"), F.col("bucket").alias("b_bucket"), F.lit(0).alias("b_part"))
+        return _ranked(_met(left, _packed(_dealt(known, F.lit(1), *one), "b"), k, min(n, 10_000)), k)
+    a, b, own, first, near = _planned(known, asked, blocks, k, rows_per_block, pivots)
+    rest = kept(near.join(own, [*KEYS, *OTHER], "left_anti"), "pairs")
+    second = _met(a.join(rest, list(KEYS)), b, k, _tasks(rest.count(), rows_per_block))
+    return _ranked(first.unionByName(second), k)
+
+
+def _planned(known: DataFrame, asked: DataFrame, blocks: DataFrame, k: int, rows_per_block: int, pivots: int) -> tuple[DataFrame, ...]:
+    """Blocks of both sides, the pairs of a place, what these find, and all pairs that may hold a neighbour."""
+    chosen = pivots_of(known, blocks, pivots)
+    cells = kept(in_cells(known, chosen), "cells")
+    cuts = cuts_of(cells, rows_per_block)
+    b = kept(_packed(in_blocks(cells, cuts, rows_per_block), "b"), "blocks")
+    if asked is known:
+        a = b.withColumnsRenamed({f"b_{c}": f"a_{c}" for c in PACKED.names})
+    else:
+        a = kept(_packed(in_blocks(kept(in_cells(asked, chosen), "cells"), cuts, rows_per_block), "a"), "blocks")
+    places = b.groupBy(*KEYS[:3]).agg(F.count("*").alias("_parts"))
+    own = kept(a.join(places, list(KEYS[:3])).select(*KEYS, F.col("table").alias("b_table"), F.col("bucket").alias("b_bucket"), F.pmod("part", "_parts").cast("int").alias("b_part")), "own")
+    first = kept(_met(a.join(own, list(KEYS)), b, k, _tasks(own.count(), rows_per_block)), "finds")
+    about = lambda side, name: side.select(*KEYS, *[F.col(f"{name}_{c}").alias(c) for c in ("centre", "radius", "n_ids")])
+    left, right = about(a, "a"), about(b, "b")
+    # the farthest k-th neighbour of a block, where all its rows have found k
+    each = first.groupBy(*KEYS, "id").agg(F.count("*").alias("n"), F.max("dist_sq").alias("far"))
+    found = each.groupBy(*KEYS).agg(F.min("n").alias("least"), F.count("*").alias("ids"), F.sqrt(F.max("far")).alias("far"))
+    bounds = left.join(found, list(KEYS), "left").join(reach(left, right, k), list(KEYS), "left")
+    sure = F.when((F.col("least") >= k) & (F.col("ids") == F.col("n_ids")), F.col("far"))
+    most = F.least(F.coalesce(sure, F.lit(float("inf"))), F.coalesce("most", F.lit(float("inf"))))
+    return a, b, own, first, pairs(bounds.select(*left.columns, most.alias("most")), right)
 
 
 def _batched(function, rows: int = 20_000):
@@ -157,11 +200,11 @@ def approximate_knn(vectors: DataFrame, id_column: str, vector: str = "z", k: in
         hashed = hashed.select("scope", "id", "v", "table", (vector_to_array("h")[0] + F.lit(0.0)).alias("bucket"))
         hot = kept(hashed.groupBy("scope", "table", "bucket").count().where(F.col("count") >= rows_per_block).select("scope", "table", "bucket", (F.floor(F.col("count") / rows_per_block) + 1).cast("int").alias("blocks")), "buckets")
         pairs = hot.agg(F.coalesce(F.sum(F.col("blocks").cast("long") * F.col("blocks")), F.lit(0))).first()[0]
-        in_blocks = lambda df: df.join(hot, ["scope", "table", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        packed = _dealt(in_blocks(hashed), F.col("blocks"))
-        left = in_blocks(_packed(packed, "a")).withColumn("b_part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        with_blocks = lambda df: df.join(hot, ["scope", "table", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        packed = _dealt(with_blocks(hashed), F.col("blocks"))
+        left = with_blocks(_packed(packed, "a")).withColumns({"b_table": F.col("table"), "b_bucket": F.col("bucket")}).withColumn("b_part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
         met = _met(left, _packed(packed, "b"), k, min(pairs + tables * n // rows_per_block + 1, 10_000))
-        found = kept(_ranked(met.distinct(), k), "finds")
+        found = kept(_ranked(met.select("scope", "id", "nbr_id", "dist_sq").distinct(), k), "finds")
         near = found.where((F.col("rank") == k) & (F.col("dist_sq") <= (2.0 * bucket_length) ** 2)).select("scope", "id")
         far = rows.join(near, ["scope", "id"], "left_anti")
     whole = _exact(rows, far, k, rows_per_block)

@@ -321,6 +321,41 @@ def test_two_cities_with_equal_ids(spark):
     assert {r.city: (r.buckets["5_min"].n_pois, r.buckets["10_min"].n_pois) for r in found.collect()} == {"a": (3, 3), "b": (0, 5)}
 
 
+def brute_knn(known, asked, k):
+    out = []
+    for i, v in asked:
+        far = sorted((sum((a - b) ** 2 for a, b in zip(v, w, strict=True)), j) for j, w in known if j != i)
+        out += [(i, rank, j) for rank, (_, j) in enumerate(far[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("pivots", [1, 16])
+def test_knn_by_blocks_against_brute_force(spark, pivots):
+    """Integer vectors with many ties, a third of all rows at one place, far rows; queries that are not known rows."""
+    rng = random.Random(8)
+    known = [(i, [float(rng.randrange(9)) for _ in range(3)]) for i in range(120)] + [(200 + i, [4.0] * 3) for i in range(60)]
+    known += [(300, [1e6, 0.0, 0.0]), (301, [-1e6, 5.0, 0.0])]
+    asked = [known[0], known[150], known[-1]] + [(900 + i, [rng.uniform(-20, 30) for _ in range(3)]) for i in range(20)]
+    df = spark.createDataFrame([*known, (None, [0.0] * 3), (400, None), (401, [float("nan"), 0.0, 0.0])], "id long, z array<double>")
+    got = similarity.exact_knn(df, "id", k=4, rows_per_block=16, pivots=pivots)
+    assert rows(got.select("id", "rank", "nbr_id")) == brute_knn(known, known, 4)
+    some = similarity.exact_knn(df, "id", k=4, rows_per_block=16, queries=spark.createDataFrame(asked, df.schema), pivots=pivots)
+    assert rows(some.select("id", "rank", "nbr_id")) == brute_knn(known, asked, 4)
+    few = similarity.exact_knn(df.where("id < 3"), "id", k=9, rows_per_block=1, pivots=pivots)
+    assert rows(few.select("id", "rank", "nbr_id")) == brute_knn(known[:3], known[:3], 9)
+    assert similarity.exact_knn(df.where("false"), "id").count() == 0
+
+
+def test_knn_of_clusters_meets_few_blocks(spark):
+    rng = random.Random(9)
+    centres = [[rng.uniform(-100, 100) for _ in range(6)] for _ in range(40)]
+    known = [(i, [c + rng.gauss(0, 0.5) for c in centres[i % 40]]) for i in range(4000)]
+    df = similarity._rows(spark.createDataFrame(known, "id long, z array<double>"), "id", "z")
+    a, b, _, _, near = similarity._planned(df, df, similarity._sized(df, 64), 5, 64, 256)
+    n = a.count()
+    assert n >= 50 and near.count() < 0.2 * n * b.count()
+
+
 def test_bounds_of_a_hot_scope(spark):
     values = [("hot", float(i % 997)) for i in range(6000)] + [("one", 3.5), ("two", 1.0), ("two", 2.0)]
     df = spark.createDataFrame(values, "city string, x double")
