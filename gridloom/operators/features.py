@@ -63,7 +63,8 @@ def count_layers(amenities: DataFrame, layers: dict[str, DataFrame], cell: str =
 
 def category_counts(pois: DataFrame, cell: str = "cell_id", scope: str | None = None) -> DataFrame:
     """The sparse (cell_id, scope?, category, count) table that all category questions start from."""
-    return pois.dropna(subset=[cell, "category"]).groupBy(*_keys(cell, scope), "category").agg(F.count("*").alias("count"))
+    # not dropna(), whose condition goes to the scan with the whole formula of the id written out
+    return pois.where(F.col(cell).isNotNull() & F.col("category").isNotNull()).groupBy(*_keys(cell, scope), "category").agg(F.count("*").alias("count"))
 
 
 def poi_features(counts: DataFrame, cell: str = "cell_id", scope: str | None = None) -> DataFrame:

@@ -80,6 +80,7 @@ def _free(rows: DataFrame, keys: list[str], rank: str, n: int = 1) -> DataFrame:
 
 def _parts(counts: DataFrame, cells: DataFrame, k: int, keys: list[str], scope: str | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Rows of the cells that a category reaches; all cells by demand; ranks that a category's rows hold, and its bounds."""
+    counts = kept(counts, "counts")  # read four times below
     ranked = _ranked(demand(cells, scope=scope), keys)
     ring = kring_sum(counts, cells, "count", "cat_count_kring", k, by=("category",), scope=scope)
     own = counts.select("cell_id", *keys, "category", F.col("count").alias("cat_count_cell"))
