@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -46,37 +44,105 @@ def _packed(rows: DataFrame, name: str) -> DataFrame:
     return packed.select(*KEYS, *[F.col(c).alias(f"{name}_{c}") for c in PACKED.names])
 
 
-def _met(left: DataFrame, right: DataFrame, k: int, tasks: int) -> DataFrame:
-    """(scope, table, bucket, part, id, nbr_id, dist_sq): the k nearest to each row of a block of ``left`` in each block of ``right`` that it is to meet (OTHER)."""
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, (a_ids, a, a_dims, b_ids, b, b_dims) in enumerate(zip(*(c.to_pylist() for c in batch.columns[len(KEYS) :]), strict=True)):
-                one, two = np.frombuffer(a).reshape(-1, a_dims), np.frombuffer(b).reshape(-1, b_dims)
-                own, other = np.frombuffer(a_ids, np.int64), np.frombuffer(b_ids, np.int64)
-                norms = (two * two).sum(axis=1)
-                for low in range(0, len(one), 256):
-                    part = one[low : low + 256]
-                    rough = norms - 2.0 * part @ two.T
-                    rough[own[low : low + 256, None] == other] = np.inf
-                    m = min(k + 16, len(other))
-                    near = np.argpartition(rough, m - 1, axis=1)[:, :m]
-                    # all that could tie with the last one kept are compared again, by exact differences
-                    cut = np.take_along_axis(rough, near, axis=1).max(axis=1)
-                    for i, row in enumerate(part):
-                        some = near[i] if m < k + 16 else np.flatnonzero(rough[i] <= cut[i] + 1e-9 * (1.0 + abs(cut[i])))
-                        some = some[np.isfinite(rough[i, some])]
-                        gaps = two[some] - row
-                        total = np.zeros(len(some))
-                        for d in range(gaps.shape[1]):
-                            total += gaps[:, d] * gaps[:, d]
-                        best = np.lexsort((other[some], total))[:k]
-                        keys = [c.take(pa.array(np.full(len(best), at))) for c in batch.columns[: len(KEYS)]]
-                        yield pa.RecordBatch.from_arrays([*keys, pa.array(np.full(len(best), own[low + i])), pa.array(other[some[best]]), pa.array(total[best])], [*KEYS, "id", "nbr_id", "dist_sq"])
-
-    dealt = left.repartition(tasks, *KEYS, *OTHER)
-    joined = dealt.join(right.withColumnsRenamed(dict(zip(KEYS[1:], OTHER, strict=True))), ["scope", *OTHER])
-    return joined.select(*KEYS, "a_ids", "a_x", "a_dims", "b_ids", "b_x", "b_dims").mapInArrow(_batched(meet), f"scope {left.schema['scope'].dataType.simpleString()}, table int, bucket double, part int, id long, nbr_id long, dist_sq double")
+class _Nearest:
+    """The k nearest found so far to each row of a block, which meets other blocks one after another.
+
+    Differences are rough at first, from one product of matrices in single precision; what could be among
+    the k nearest, with a bound for the rounding of the product, is compared again by exact differences.
+    """
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
+        known = np.isfinite(x).all(axis=1)  # rows with parts that are not finite find nothing
+        self.ids, self.x, self.k = ids[known], x[known], k
+        self.norms = (self.x * self.x).sum(axis=1)
+        self.dist = np.full((len(self.ids), k), np.inf)
+        self.nbrs = np.full((len(self.ids), k), np.iinfo(np.int64).max)
+
+    def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
+        known = np.isfinite(x).all(axis=1)
+        if not known.all():
+            ids, x = ids[known], x[known]
+        if not len(ids) or not len(self.ids):
+            return
+        norms = (x * x).sum(axis=1)
+        most = norms.max() + self.norms.max()
+        kind, unit = (np.float32, 2.0**-23) if most < 1e30 else (np.float64, 2.0**-52)
+        two = np.vstack([-2.0 * x.T, norms]).astype(kind)
+        slack = 4.0 * (x.shape[1] + 8) * unit * (self.norms + norms.max()) + 1e-30
+        shared = np.isin(self.ids, ids)
+        for low in range(0, len(self.ids), 512):
+            some = slice(low, low + 512)
+            part = self.x[some]
+            rough = np.hstack([part, np.ones((len(part), 1))]).astype(kind) @ two  # less the norm of the row itself
+            if shared[some].any():
+                rough[self.ids[some, None] == ids] = np.inf
+            limit = self.dist[some, -1]
+            if not np.isfinite(limit).all() and len(ids) > self.k:
+                limit = np.minimum(limit, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1] + self.norms[some] + slack[some])
+            limit = np.where(np.isfinite(limit), limit - self.norms[some] + slack[some], np.finfo(kind).max)
+            i, j = np.divmod(np.flatnonzero(rough <= np.nextafter(limit.astype(kind), kind(np.inf))[:, None]), len(ids))
+            fit = np.isfinite(rough[i, j])
+            self._add(i[fit] + low, ids, x, j[fit])
+
+    def _add(self, i: np.ndarray, ids: np.ndarray, x: np.ndarray, j: np.ndarray) -> None:
+        for low in range(0, len(i), 1 << 20):
+            one, two = i[low : low + (1 << 20)], j[low : low + (1 << 20)]
+            if not len(one):
+                continue
+            total = np.zeros(len(one))
+            for d in range(x.shape[1]):
+                gap = x[two, d] - self.x[one, d]
+                total += gap * gap
+            rows = np.unique(one)
+            at = np.concatenate([np.repeat(rows, self.k), one])
+            dist = np.concatenate([self.dist[rows].ravel(), total])
+            nbrs = np.concatenate([self.nbrs[rows].ravel(), ids[two]])
+            order = np.lexsort((nbrs, dist, at))
+            first = np.searchsorted(at[order], rows)
+            best = order[first[:, None] + np.arange(self.k)]
+            self.dist[rows], self.nbrs[rows] = dist[best], nbrs[best]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, rank = np.nonzero(np.isfinite(self.dist))
+        return self.ids[i], self.nbrs[i, rank], self.dist[i, rank]
+
+
+#: Blocks of either side that meet in a task at most, on average: each block is sent once to a group of as many.
+_TOGETHER = 16
+
+
+def _met(left: DataFrame, right: DataFrame, meets: DataFrame, k: int) -> DataFrame:
+    """(scope, table, bucket, part, id, nbr_id, dist_sq): the k nearest to each row of a block of ``left`` in the blocks of ``right`` that it meets.
+
+    ``meets``: (KEYS, OTHER), the pairs. Blocks are dealt in groups; two groups meet in one task, which holds a copy of
+    those of their blocks that have a pair in it, so that a block is sent to as many tasks as there are groups, not pairs.
+    A row of ``left`` has k finds in each task, which are ranked after it.
+    """
+    both = left.select("scope").union(right.select("scope")).groupBy("scope").agg((F.count("*") / 2).alias("_blocks"))
+    # few blocks are dealt as well, so that they meet in several tasks
+    groups = both.select("scope", F.greatest(F.floor(F.col("_blocks") / _TOGETHER), F.least(F.floor("_blocks"), F.lit(8)), F.lit(1)).alias("_n"))
+    group = lambda keys: F.pmod(F.xxhash64(*keys), F.col("_n"))
+    dealt = meets.join(groups, "scope").select(*KEYS, *OTHER, group(KEYS[1:]).alias("_i"), group(OTHER).alias("_j"))
+    cell = ["scope", "_i", "_j"]
+    asked = dealt.groupBy(*cell, *KEYS[1:]).agg(F.collect_list(F.struct(*OTHER)).alias("meets")).join(left, list(KEYS)).select(*cell, *KEYS[1:], "meets", "a_ids", "a_x", "a_dims")
+    other = dealt.select(*cell, *OTHER).distinct().join(right.withColumnsRenamed(dict(zip(KEYS[1:], OTHER, strict=True))), ["scope", *OTHER]).select(*[F.col(c).alias(c) for c in cell], *OTHER, "b_ids", "b_x", "b_dims")
+
+    def meet(one: pa.Table, two: pa.Table) -> pa.Table:
+        places = {tuple(r[c] for c in OTHER): i for i, r in enumerate(two.select(OTHER).to_pylist())}
+        blocks = [(np.frombuffer(two.column("b_ids")[i].as_py(), np.int64), np.frombuffer(two.column("b_x")[i].as_py()).reshape(-1, two.column("b_dims")[i].as_py())) for i in range(two.num_rows)]
+        out = []
+        for i, asks in enumerate(one.column("meets").to_pylist()):
+            near = _Nearest(np.frombuffer(one.column("a_ids")[i].as_py(), np.int64), np.frombuffer(one.column("a_x")[i].as_py()).reshape(-1, one.column("a_dims")[i].as_py()), k)
+            for ask in asks:
+                if (at := places.get(tuple(ask[c] for c in OTHER))) is not None:
+                    near.meet(*blocks[at])
+            found = near.found()
+            keys = [one.column(c).slice(i, 1).combine_chunks().take(pa.array(np.zeros(len(found[0]), np.int64))) for c in KEYS]
+            out.append(pa.table([*keys, *map(pa.array, found)], names))
+        return pa.concat_tables(out) if out else pa.table([*[one.column(c) for c in KEYS], pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
+
+    names = [*KEYS, "id", "nbr_id", "dist_sq"]
+    return asked.groupBy(*cell).cogroup(other.groupBy(*cell)).applyInArrow(meet, f"scope {left.schema['scope'].dataType.simpleString()}, table int, bucket double, part int, id long, nbr_id long, dist_sq double")
 
 
 def _ranked(met: DataFrame, k: int) -> DataFrame:
@@ -99,8 +165,8 @@ def exact_knn(vectors: DataFrame, id_column: str, vector: str = "z", k: int = 5,
     Vectors go to the nearest of at most ``pivots`` vectors of their scope and are cut there, by distance,
     in blocks of about ``rows_per_block``. Each block first meets the one of its own place, which says
     how far its rows have to look; then those blocks meet whose centres and radii let them hold a nearer
-    row or a tie, and a ranking ends it. No task holds more than two blocks, and blocks are sent to
-    the pairs that stay alone; on vectors without clusters that may still be all pairs. Null vectors
+    row or a tie, and a ranking ends it. A task holds about 16 blocks of either side, and only those with
+    a pair that stays; on vectors without clusters that may still be all pairs. Null vectors
     drop out; rows with parts that are not finite find nothing. ``queries``: the rows whose neighbours are
     wanted, if not all; neighbours come from ``vectors``. ``scope``: a column, such as the city, in whose
     limits neighbours are looked for; ids count within it.
@@ -110,22 +176,17 @@ def exact_knn(vectors: DataFrame, id_column: str, vector: str = "z", k: int = 5,
     return _named(_exact(known, asked, k, rows_per_block, pivots), id_column, scope)
 
 
-def _tasks(pairs: int, rows_per_block: int) -> int:
-    """Tasks of about 2**22 comparisons, of one pair at least."""
-    return max(1, min(pairs, 8 + pairs * rows_per_block**2 // 2**22, 10_000))
-
-
 def _exact(known: DataFrame, asked: DataFrame, k: int, rows_per_block: int, pivots: int = 256) -> DataFrame:
     blocks = _sized(known, rows_per_block)
     if blocks.agg(F.max("blocks")).first()[0] in (None, 1):  # nothing to choose from
         own = blocks if asked is known else _sized(asked, rows_per_block)
-        n = own.agg(F.coalesce(F.sum("blocks"), F.lit(1))).first()[0]
         one = (F.lit(0).alias("table"), F.lit(0.0).alias("bucket"))
-        left = _packed(_dealt(asked.join(own, "scope"), F.col("blocks"), *one), "a").select("*", F.col("table").alias("b_table"), F.col("bucket").alias("b_bucket"), F.lit(0).alias("b_part"))
-        return _ranked(_met(left, _packed(_dealt(known, F.lit(1), *one), "b"), k, min(n, 10_000)), k)
+        left = kept(_packed(_dealt(asked.join(own, "scope"), F.col("blocks"), *one), "a"), "blocks")
+        meets = left.select(*KEYS, F.col("table").alias("b_table"), F.col("bucket").alias("b_bucket"), F.lit(0).alias("b_part"))
+        return _ranked(_met(left, kept(_packed(_dealt(known, F.lit(1), *one), "b"), "blocks"), meets, k), k)
     a, b, own, first, near = _planned(known, asked, blocks, k, rows_per_block, pivots)
     rest = kept(near.join(own, [*KEYS, *OTHER], "left_anti"), "pairs")
-    second = _met(a.join(rest, list(KEYS)), b, k, _tasks(rest.count(), rows_per_block))
+    second = _met(a, b, rest, k)
     return _ranked(first.unionByName(second), k)
 
 
@@ -141,7 +202,7 @@ def _planned(known: DataFrame, asked: DataFrame, blocks: DataFrame, k: int, rows
         a = kept(_packed(in_blocks(kept(in_cells(asked, chosen), "cells"), cuts, rows_per_block), "a"), "blocks")
     places = b.groupBy(*KEYS[:3]).agg(F.count("*").alias("_parts"))
     own = kept(a.join(places, list(KEYS[:3])).select(*KEYS, F.col("table").alias("b_table"), F.col("bucket").alias("b_bucket"), F.pmod("part", "_parts").cast("int").alias("b_part")), "own")
-    first = kept(_met(a.join(own, list(KEYS)), b, k, _tasks(own.count(), rows_per_block)), "finds")
+    first = kept(_met(a, b, own, k), "finds")
     about = lambda side, name: side.select(*KEYS, *[F.col(f"{name}_{c}").alias(c) for c in ("centre", "radius", "n_ids")])
     left, right = about(a, "a"), about(b, "b")
     # the farthest k-th neighbour of a block, where all its rows have found k
@@ -153,23 +214,6 @@ def _planned(known: DataFrame, asked: DataFrame, blocks: DataFrame, k: int, rows
     return a, b, own, first, pairs(bounds.select(*left.columns, most.alias("most")), right)
 
 
-def _batched(function, rows: int = 20_000):
-    """Joins the small batches of a function into larger ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in function(batches):
-            held.append(batch)
-            n += batch.num_rows
-            if n >= rows:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, n = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    return run
-
-
 def enrich(neighbours: DataFrame, cells: DataFrame, score: str, scope: str | None = None) -> DataFrame:
     """Neighbours with their centre, score in percent, top category and distance; unknown cells drop out."""
     keys = [scope] if scope else []
@@ -199,11 +243,11 @@ def approximate_knn(vectors: DataFrame, id_column: str, vector: str = "z", k: in
         # adding 0.0 makes -0.0 and 0.0 one bucket
         hashed = hashed.select("scope", "id", "v", "table", (vector_to_array("h")[0] + F.lit(0.0)).alias("bucket"))
         hot = kept(hashed.groupBy("scope", "table", "bucket").count().where(F.col("count") >= rows_per_block).select("scope", "table", "bucket", (F.floor(F.col("count") / rows_per_block) + 1).cast("int").alias("blocks")), "buckets")
-        pairs = hot.agg(F.coalesce(F.sum(F.col("blocks").cast("long") * F.col("blocks")), F.lit(0))).first()[0]
         with_blocks = lambda df: df.join(hot, ["scope", "table", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         packed = _dealt(with_blocks(hashed), F.col("blocks"))
-        left = with_blocks(_packed(packed, "a")).withColumns({"b_table": F.col("table"), "b_bucket": F.col("bucket")}).withColumn("b_part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-        met = _met(left, _packed(packed, "b"), k, min(pairs + tables * n // rows_per_block + 1, 10_000))
+        left, right = kept(_packed(packed, "a"), "blocks"), kept(_packed(packed, "b"), "blocks")
+        meets = with_blocks(left.select(*KEYS)).withColumns({"b_table": F.col("table"), "b_bucket": F.col("bucket")}).withColumn("b_part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        met = _met(left, right, meets, k)
         found = kept(_ranked(met.select("scope", "id", "nbr_id", "dist_sq").distinct(), k), "finds")
         near = found.where((F.col("rank") == k) & (F.col("dist_sq") <= (2.0 * bucket_length) ** 2)).select("scope", "id")
         far = rows.join(near, ["scope", "id"], "left_anti")

@@ -1,9 +1,11 @@
 """Plans and steps whose cost must not grow faster than their tables."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions.hexgrid import HexGrid
-from gridloom.operators import features
+from gridloom.operators import features, similarity
 
 
 def test_counts_do_not_filter_by_the_formula_of_a_cell(spark):
@@ -13,3 +15,22 @@ def test_counts_do_not_filter_by_the_formula_of_a_cell(spark):
     # dropna() becomes this condition, which is pushed below all steps of the formula
     assert "atleastnnonnulls" not in counts._jdf.queryExecution().optimizedPlan().toString().lower()
     assert counts.agg(F.sum("count")).first()[0] == 38
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e12, 1e20])
+def test_neighbours_found_block_after_block(scale):
+    draw = np.random.default_rng(1)
+    ids, x = np.arange(700), draw.integers(-3, 4, (700, 6)) * scale  # many ties
+    x[13, 2], x[40, 0] = np.nan, np.inf
+    near = similarity._Nearest(ids[:600], x[:600], 4)
+    for low in range(0, 700, 100):
+        near.meet(ids[low : low + 100], x[low : low + 100])
+    got = {}
+    for i, nbr, d in zip(*near.found(), strict=True):
+        got.setdefault(i, []).append((d, nbr))
+    want = {}
+    for i in range(600):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        if i not in (13, 40):
+            want[i] = sorted((d[j], j) for j in range(700) if j not in (i, 13, 40))[:4]
+    assert {i: [j for _, j in found] for i, found in got.items()} == {i: [j for _, j in found] for i, found in want.items()}
