@@ -1,11 +1,14 @@
 """Plans and steps whose cost must not grow faster than their tables."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.functions import geo
 from gridloom.functions.hexgrid import HexGrid
-from gridloom.operators import features, similarity
+from gridloom.operators import features, proximity, similarity
 
 
 def test_counts_do_not_filter_by_the_formula_of_a_cell(spark):
@@ -34,3 +37,33 @@ def test_neighbours_found_block_after_block(scale):
         if i not in (13, 40):
             want[i] = sorted((d[j], j) for j in range(700) if j not in (i, 13, 40))[:4]
     assert {i: [j for _, j in found] for i, found in got.items()} == {i: [j for _, j in found] for i, found in want.items()}
+
+
+def test_competitors_among_many_by_growing_radii(spark):
+    draw = random.Random(3)
+    places = [(37.7 + draw.randrange(40) / 4e3, -122.4 + draw.randrange(40) / 4e3) for _ in range(1200)]
+    points = [(i, *places[i], draw.choice("ab") if i % 9 else None, None) for i in range(1200)]
+    points += [(5000 + i, 37.7201, -122.4, "a", None) for i in range(300)]  # many at one place, beyond the first radii
+    pois = spark.createDataFrame(points, "id long, lat double, lon double, category string, name string")
+    centres = [(c, 37.7 + c / 900, -122.4 + c / 1100) for c in range(12)] + [(99, 37.7205, -122.4005)]
+    got = {}
+    for r in proximity.nearest_within(spark.createDataFrame(centres, "cell_id long, lat double, lon double"), pois, 3, 1200.0).collect():
+        got.setdefault((r.cell_id, r.category), {})[r.rank] = r.id
+    at = spark.createDataFrame([(c[0], p[0], p[3], *c[1:], *p[1:3]) for c in centres for p in points], "c long, i long, g string, a double, b double, x double, y double")
+    far = at.withColumn("d", geo.haversine_m(F.col("a"), F.col("b"), F.col("x"), F.col("y"))).where("d <= 1200").collect()
+    want = {}
+    for r in far:
+        want.setdefault((r.c, r.g), []).append((int(r.d * 1e6 + 0.5), r.i))
+    assert got == {k: dict(enumerate([i for _, i in sorted(v)[:3]], 1)) for k, v in want.items()}
+    known = pois.select("id", F.col("category").alias("_m"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    assert len(proximity._radii(known, ["_m"], 3, 1200.0)) > 1
+
+
+def test_points_of_one_place_look_once(spark, monkeypatch):
+    looked = []
+    visits = proximity.boxtree.visits
+    monkeypatch.setattr(proximity.boxtree, "visits", lambda points, placed: looked.append(points.count()) or visits(points, placed))
+    points = spark.range(500).select("id", (F.col("id") % 5).cast("double").alias("lat"), F.lit(0.0).alias("lon"))
+    targets = spark.range(300).select(F.col("id").alias("t"), (F.col("id") / 10.0).alias("lat"), F.lit(0.0).alias("lon"))
+    found = proximity.nearest(points, targets, "id", "t", rows_per_block=16)
+    assert found.where("t = id % 5 * 10 and d2 = 0").count() == 500 and looked == [5]
