@@ -79,7 +79,7 @@ class _Nearest:
             limit = self.dist[some, -1]
             if not np.isfinite(limit).all() and len(ids) > self.k:
                 limit = np.minimum(limit, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1] + self.norms[some] + slack[some])
-            limit = np.where(np.isfinite(limit), limit - self.norms[some] + slack[some], np.finfo(kind).max)
+            limit = np.where(np.isfinite(limit), limit - self.norms[some] + slack[some], np.inf)
             i, j = np.divmod(np.flatnonzero(rough <= np.nextafter(limit.astype(kind), kind(np.inf))[:, None]), len(ids))
             fit = np.isfinite(rough[i, j])
             self._add(i[fit] + low, ids, x, j[fit])
