@@ -20,12 +20,15 @@ def undirected(edges: DataFrame, scope: str | None = None) -> DataFrame:
     good = edges.where(F.col("length").isNotNull() & ~F.isnan(F.col("length").cast("double")) & (F.col("length") > 0) & F.col("u").isNotNull() & F.col("v").isNotNull())
     keys = [scope] if scope else []
     least = good.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), *keys).agg(F.min("length").alias("length"))
-    return least.select("u", "v", "length", *keys).union(least.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"), "length", *keys))
+    way = lambda a, b: F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
+    ways = F.when(F.col("u") == F.col("v"), F.array(way("u", "v"))).otherwise(F.array(way("u", "v"), way("v", "u")))
+    return least.select(F.explode(ways).alias("way"), "length", *keys).select("way.u", "way.v", "length", *keys)
 
 
-#: Kinds of rows that meet in a region: labels of rounds before, offers to improve them, the region's graph.
-_LABEL, _OFFER, _GRAPH = 0, 1, 2
-_CELLS = 1 << 22  # distances that a task holds at a time
+#: Kinds of rows: labels that may go on, offers to improve them, the region's graph, labels too near the cutoff for any edge on.
+_LABEL, _OFFER, _GRAPH, _END = 0, 1, 2, 3
+_CELLS = 1 << 20  # distances that a task holds at a time
+_ROWS = 1 << 18  # labels and offers of a region that meet in a task, about
 
 
 def shortest_paths(sources: DataFrame, edges: DataFrame, cutoff_m: float, regions: DataFrame | None = None, scope: str | None = None, most_nodes: int = 1 << 14, sources_per_task: int = 128) -> DataFrame:
@@ -33,52 +36,60 @@ def shortest_paths(sources: DataFrame, edges: DataFrame, cutoff_m: float, region
 
     The graph is cut into regions of at most ``most_nodes`` nodes, and each is packed into arrays once. In
     a round every region that was offered something relaxes its own nodes for the sources that reach it,
-    and only improved distances across its borders travel on, to the next round. A graph of no more than
-    ``most_nodes`` nodes is one region, and one round. The costs of a source follow the regions that it
-    enters; no graph is sent anywhere as a whole, and sources of one region are spread over tasks.
+    and only improved distances across its borders travel on, to the next round. A distance that leaves no room
+    for even the shortest edge of its node is put out at once: it is neither offered nor dealt again. A graph of
+    no more than ``most_nodes`` nodes is one region, and one round. The costs of a source follow the nodes that it
+    reaches; no graph is sent anywhere as a whole, and sources of one region are spread over tasks.
 
     ``regions``: (node, scope?, region long), such as blocks of a map; those with more nodes are split, and nodes without a row make
     one of their own. Any cut gives the same distances; the fewer edges it cuts, the fewer rounds.
     Nodes are long; edges of negative or no length are left out, starts without an edge reach themselves.
     ``scope``: a column of all tables, such as the city, whose sources and nodes have ids of their own.
     """
+    found = _labels(sources, edges, cutoff_m, regions, scope, most_nodes, sources_per_task)
+    return found.groupBy("src", *([scope] if scope else []), "node").agg(F.min("d").alias("d"))
+
+
+def _labels(sources: DataFrame, edges: DataFrame, cutoff_m: float, regions: DataFrame | None, scope: str | None, most_nodes: int = 1 << 14, sources_per_task: int = 128) -> DataFrame:
+    """As shortest_paths(), with distances of paths that are not the shortest beside those of the shortest."""
     keys = [scope] if scope else []
-    good = edges.where(F.col("length") >= 0).select(*keys, F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("length").cast("double").alias("length")).dropna()
+    good = edges.where(F.col("length").between(0, cutoff_m)).select(*keys, F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("length").cast("double").alias("length")).dropna()
     starts = sources.select("src", *keys, F.col("node").cast("long").alias("node")).dropna().distinct()
     placed = _placed(starts, good, regions, keys, most_nodes)
     graph = _packed(good, placed, keys)
-    offers = starts.join(placed, [*keys, "node"]).select(*keys, "region", "src", "node", F.lit(0.0).alias("d"))
-    most = offers.groupBy(*keys, "region").count().agg(F.max("count")).first()[0] or 0
-    parts = int(most // sources_per_task) + 1
-    place = [*keys, "region", "part"]
-    offers = offers.withColumn("part", F.pmod(F.xxhash64("src"), F.lit(parts)).cast("int"))
+    place = [*keys, "region"]
+    label = [*place, "kind", "src", "node", "d"]
+    offers = kept(starts.join(placed, [*keys, "node"]).select(*place, F.lit(_OFFER).alias("kind"), "src", "node", F.lit(0.0).alias("d")), "starts")
+    most = offers.groupBy(*place).count().agg(F.max("count")).first()[0] or 0
     src = sources.schema["src"].dataType.simpleString()
-    none = F.lit(None).cast(src)
-    schema = ", ".join([*(f"`{c}` {edges.schema[c].dataType.simpleString()}" for c in keys), f"region long, part int, kind int, src {src}, node long, d double"])
+    schema = ", ".join([*(f"`{c}` {edges.schema[c].dataType.simpleString()}" for c in keys), f"region long, kind int, src {src}, node long, d double"])
+    none = F.lit(None).cast("binary")
     found: list[DataFrame] = []
     while True:
-        touched = offers.select(*place).distinct()
-        columns = [*place, "kind", "src", "node", "d", "blob"]
-        rows = offers.select(*place, F.lit(_OFFER).alias("kind"), "src", "node", "d", F.lit(None).cast("binary").alias("blob"))
-        rows = rows.union(touched.join(graph, [*keys, "region"]).withColumns({"kind": F.lit(_GRAPH), "src": none, "node": F.lit(0).cast("long"), "d": F.lit(0.0)}).select(*columns))
-        for labels in found:  # of the regions that were offered something, no others
-            rows = rows.union(labels.join(touched, place, "left_semi").withColumn("blob", F.lit(None).cast("binary")).select(*columns))
-        done = kept(rows.groupBy(*place).applyInArrow(_relaxed(cutoff_m, len(keys)), schema), "walk")
-        found.append(done.where(F.col("kind") == _LABEL))
-        offers = done.where(F.col("kind") == _OFFER).groupBy(*place, "src", "node").agg(F.min("d").alias("d"))
-        if done.where(F.col("kind") == _OFFER).isEmpty():
+        rows = offers
+        for done in found:
+            rows = rows.union(done.where(F.col("kind") == _LABEL))
+        # of the regions that were offered something, no others; in as many parts as their rows ask for
+        sizes = rows.groupBy(*place).agg(F.count("*").alias("n"), F.max("kind").alias("kind")).where(F.col("kind") == _OFFER)
+        touched = kept(sizes.select(*place, F.greatest(F.ceil(F.col("n") / _ROWS), F.lit(int(most // sources_per_task) + 1)).cast("int").alias("parts")), "touched")
+        if found and touched.isEmpty():
             break
-    if len(found) == 1:
-        return found[0].select("src", *keys, "node", "d")
+        part = F.pmod(F.xxhash64("src"), F.col("parts")).cast("int").alias("part")
+        rows = rows.join(touched, place).select(*label, part, none.alias("blob"))
+        every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+        graphs = touched.join(graph, place).select(*place, F.lit(_GRAPH).alias("kind"), F.lit(None).cast(src).alias("src"), F.lit(0).cast("long").alias("node"), F.lit(0.0).alias("d"), every_part, "blob")
+        found.append(kept(rows.union(graphs).groupBy(*place, "part").applyInArrow(_relaxed(cutoff_m, len(keys)), schema), "walk"))
+        offers = found[-1].where(F.col("kind") == _OFFER)
     every = found[0]
-    for labels in found[1:]:
-        every = every.union(labels)
-    return every.groupBy("src", *keys, "node").agg(F.min("d").alias("d"))
+    for done in found[1:]:
+        every = every.union(done)
+    return every.where(F.col("kind") != _OFFER).select("src", *keys, "node", "d")
 
 
 def _placed(starts: DataFrame, edges: DataFrame, regions: DataFrame | None, keys: list[str], most_nodes: int) -> DataFrame:
-    """(keys, node, region): every node in a region of about ``most_nodes`` nodes or fewer."""
-    nodes = starts.select(*keys, "node").union(edges.select(*keys, "u")).union(edges.select(*keys, "v")).distinct()
+    """(keys, node, region, least): every node in a region of about ``most_nodes`` nodes or fewer, and its shortest edge."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), "length"), F.struct(F.col("v").alias("node"), F.lit(None).cast("double").alias("length")))).alias("end")
+    nodes = edges.select(*keys, ends).select(*keys, "end.*").union(starts.select(*keys, "node", F.lit(None).cast("double").alias("length"))).groupBy(*keys, "node").agg(F.min("length").alias("least"))
     if regions is None:
         named = nodes.withColumn("region", F.lit(-1).cast("long"))
     else:
@@ -89,25 +100,47 @@ def _placed(starts: DataFrame, edges: DataFrame, regions: DataFrame | None, keys
     totals = sizes.withColumn("all", F.sum("n").over(Window.partitionBy(*(keys or [F.lit(0)]))))  # a row for each region
     split = F.pmod(F.xxhash64("node", F.lit(5)), F.ceil(F.col("n") / most_nodes))
     region = F.when(F.col("all") <= most_nodes, F.lit(0).cast("long")).otherwise(F.xxhash64("region", split))
-    return kept(named.join(totals, [*keys, "region"]).select(*keys, "node", region.alias("region")), "placed")
+    return kept(named.join(totals, [*keys, "region"]).select(*keys, "node", region.alias("region"), F.coalesce("least", F.lit(float("inf"))).alias("least")), "placed")
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The same numbers in the first type that holds them all."""
+    for kind in (np.int16, np.int32) if x.dtype.kind == "i" else (np.float32,):
+        with np.errstate(over="ignore", invalid="ignore"):
+            small = x.astype(kind)
+        if np.array_equal(small, x):
+            return small
+    return x
 
 
 def _packed(edges: DataFrame, placed: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, region, blob): the arrays of each region."""
-    ends = edges.join(placed.withColumnRenamed("node", "u"), [*keys, "u"]).join(placed.select(*keys, F.col("node").alias("v"), F.col("region").alias("to")), [*keys, "v"])
+    here = placed.select(*keys, F.col("node").alias("u"), "region")
+    there = placed.select(*keys, F.col("node").alias("v"), F.col("region").alias("to"), "least")
+    ends = edges.join(here, [*keys, "u"]).join(there, [*keys, "v"])
 
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        u, v, length, to = (table.column(c).to_numpy() for c in ("u", "v", "length", "to"))
+        u, v, length, to, beyond = (table.column(c).to_numpy() for c in ("u", "v", "length", "to", "least"))
         own = to == key[-1].as_py()
         nodes, at = np.unique(np.concatenate([u, v[own]]), return_inverse=True)
         start, end = at[: len(u)], at[len(u) :]
+        least = np.full(len(nodes), np.inf)
+        np.minimum.at(least, start, length)
         inner, outer = np.argsort(start[own], kind="stable"), np.argsort(start[~own], kind="stable")
         first, out_first = (np.searchsorted(x, np.arange(len(nodes) + 1)) for x in (start[own][inner], start[~own][outer]))
-        arrays = (nodes, first, end[inner].astype(np.int32), length[own][inner], out_first, v[~own][outer], to[~own][outer], length[~own][outer])
-        return pa.table({**{c: pa.array([k.as_py()], k.type) for c, k in zip([*keys, "region"], key, strict=True)}, "blob": pa.array([pickle.dumps(arrays, protocol=5)], pa.binary())})
+        names, named = np.unique(to[~own][outer], return_inverse=True)
+        arrays = (nodes, least, first, end[inner], length[own][inner], out_first, v[~own][outer], names, named, length[~own][outer], beyond[~own][outer])
+        return pa.table({**{c: pa.array([k.as_py()], k.type) for c, k in zip([*keys, "region"], key, strict=True)}, "blob": pa.array([pickle.dumps([_narrow(x) for x in arrays], protocol=5)], pa.binary())})
 
     schema = ", ".join([*(f"`{c}` {edges.schema[c].dataType.simpleString()}" for c in keys), "region long, blob binary"])
-    return kept(ends.select(*keys, "region", "u", "v", "length", "to").groupBy(*keys, "region").applyInArrow(pack, schema), "graph")
+    return kept(ends.select(*keys, "region", "u", "v", "length", "to", "least").groupBy(*keys, "region").applyInArrow(pack, schema), "graph")
+
+
+def _unpacked(blob: bytes | None) -> list[np.ndarray]:
+    if blob:
+        return [x.astype(np.int64) if x.dtype.kind == "i" else x.astype(np.float64) for x in pickle.loads(blob)]
+    zero, whole, real = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return [whole, real, zero, whole, real, zero, whole, whole, whole, real, real]
 
 
 def _edges_of(at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,8 +152,9 @@ def _edges_of(at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _relaxed(cutoff_m: float, n_keys: int):
     """A function of the rows of one region and part: improved labels, and offers across its borders."""
 
-    def lower(known: np.ndarray, keys: np.ndarray, n: int, first: np.ndarray, to: np.ndarray, length: np.ndarray) -> None:
-        """Lowers the distances of a block (a row of the region's nodes for each source) from ``keys`` on."""
+    def lower(known: np.ndarray, keys: np.ndarray, n: int, first: np.ndarray, to: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Lowers the distances of a block (a row of the region's nodes for each source) from ``keys`` on; the keys that were lowered."""
+        lowered = [keys]
         while len(keys):
             node = keys % n
             edge, size = _edges_of(node, first)
@@ -129,14 +163,16 @@ def _relaxed(cutoff_m: float, n_keys: int):
             offer, there = offer[better], there[better]
             np.minimum.at(known, there, offer)
             keys = np.unique(there)
+            lowered.append(keys)
+        return np.unique(np.concatenate(lowered))
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
-        blob = next((table.column("blob")[int(i)].as_py() for i in np.flatnonzero(kind == _GRAPH)), None)
-        zero = np.zeros(1, np.int64)
-        empty = np.zeros(0, np.int64)
-        nodes, first, to, length, out_first, out_node, out_region, out_length = pickle.loads(blob) if blob else (empty, zero, empty, empty * 1.0, zero, empty, empty, empty * 1.0)
         rows = np.flatnonzero(kind != _GRAPH)
+        if not len(rows):  # no source falls into this part
+            return table.slice(0, 0).drop_columns(["part", "blob"])
+        blob = next((table.column("blob")[int(i)].as_py() for i in np.flatnonzero(kind == _GRAPH)), None)
+        nodes, least, first, to, length, out_first, out_node, out_names, out_region, out_length, out_least = _unpacked(blob)
         names = table.column("src").combine_chunks().take(pa.array(rows)).dictionary_encode()
         if isinstance(names, pa.ChunkedArray):
             names = names.combine_chunks()
@@ -144,36 +180,42 @@ def _relaxed(cutoff_m: float, n_keys: int):
         alone = np.setdiff1d(node, nodes)  # starts without an edge
         every = np.concatenate([nodes, alone])
         n = len(every)
+        least = np.concatenate([least, np.full(len(alone), np.inf)])
         first, out_first = (np.concatenate([x, np.full(len(alone), x[-1])]) for x in (first, out_first))
         order = np.argsort(every, kind="stable")
         at = order[np.searchsorted(every, node, sorter=order)]
         out: list[tuple] = []
-        block = max(1, _CELLS // n)
+        block = max(1, min(_CELLS // n, len(names.dictionary)))
+        known = np.full(block * n, np.inf)
         by_src = np.argsort(src, kind="stable")
         edges_of_block = np.searchsorted(src[by_src], np.arange(0, len(names.dictionary) + block, block))
+        home = key[n_keys].as_py()
         for i, (low, high) in enumerate(zip(edges_of_block[:-1], edges_of_block[1:], strict=True)):
             some = by_src[low:high]
             places = (src[some] - i * block).astype(np.int64) * n + at[some]
-            known = np.full(min(block, len(names.dictionary) - i * block) * n, np.inf)
-            old = ~offered[some]
-            np.minimum.at(known, places[old], d[some][old])
-            before = known.copy()
-            np.minimum.at(known, places[~old], d[some][~old])
-            lower(known, np.unique(places[~old][known[places[~old]] < before[places[~old]]]), n, first, to, length)
-            changed = np.flatnonzero(known < before)
-            out.append((np.full(len(changed), _LABEL), changed // n + i * block, every[changed % n], known[changed], np.full(len(changed), key[n_keys].as_py())))
-            edge, size = _edges_of(changed % n, out_first)
-            far = np.repeat(known[changed], size) + out_length[edge]
-            kept_edges = far <= cutoff_m
-            edge, far, who = edge[kept_edges], far[kept_edges], np.repeat(changed // n + i * block, size)[kept_edges]
-            best = np.lexsort((far, out_node[edge], who))
-            edge, far, who = edge[best], far[best], who[best]
-            new = np.ones(len(who), bool)
-            new[1:] = (who[1:] != who[:-1]) | (out_node[edge[1:]] != out_node[edge[:-1]])
-            out.append((np.full(int(new.sum()), _OFFER), who[new], out_node[edge[new]], far[new], out_region[edge[new]]))
+            new = offered[some]
+            np.minimum.at(known, places[~new], d[some][~new])
+            lowers = d[some][new] < known[places[new]]
+            better = places[new][lowers]
+            np.minimum.at(known, better, d[some][new][lowers])
+            changed = lower(known, np.unique(better), n, first, to, length)
+            what, who, best = changed % n, changed // n + i * block, known[changed]
+            known[places] = known[changed] = np.inf  # for the next block
+            ends = best + least[what] > cutoff_m
+            out.append((np.where(ends, _END, _LABEL), who, every[what], best, np.full(len(changed), home)))
+            edge, size = _edges_of(what[~ends], out_first)
+            far = np.repeat(best[~ends], size) + out_length[edge]
+            within = far <= cutoff_m
+            edge, far, who = edge[within], far[within], np.repeat(who[~ends], size)[within]
+            sort = np.lexsort((far, out_node[edge], who))
+            edge, far, who = edge[sort], far[sort], who[sort]
+            one = np.ones(len(who), bool)
+            one[1:] = (who[1:] != who[:-1]) | (out_node[edge[1:]] != out_node[edge[:-1]])
+            edge, far, who = edge[one], far[one], who[one]
+            out.append((np.where(far + out_least[edge] > cutoff_m, _END, _OFFER), who, out_node[edge], far, out_names[out_region[edge]]))
         what, who, node, d, region = (np.concatenate(x) for x in zip(*out, strict=True))
         fixed = {c: pa.repeat(k, len(what)) for c, k in zip(table.column_names[:n_keys], key[:n_keys], strict=True)}
-        return pa.table({**fixed, "region": pa.array(region, pa.int64()), "part": pa.repeat(key[n_keys + 1], len(what)), "kind": pa.array(what, pa.int32()), "src": names.dictionary.take(pa.array(who)), "node": node, "d": d})
+        return pa.table({**fixed, "region": pa.array(region, pa.int64()), "kind": pa.array(what, pa.int32()), "src": names.dictionary.take(pa.array(who)), "node": node, "d": d})
 
     return run
 
@@ -186,7 +228,8 @@ def walk_times(starts: DataFrame, edges: DataFrame, node_cells: DataFrame, max_m
     tables, such as the city; ids of cells and nodes count within it. ``regions``: as for shortest_paths().
     """
     keys = [scope] if scope else []
-    paths = shortest_paths(starts.select(F.col("src_cell").alias("src"), *keys, "node"), edges, max_minutes * m_per_min, regions, scope)
+    # distances that are not the shortest go with the others of their cell
+    paths = _labels(starts.select(F.col("src_cell").alias("src"), *keys, "node"), edges, max_minutes * m_per_min, regions, scope)
     reached = paths.join(node_cells, ["node", *keys]).select(F.col("src").alias("src_cell"), *keys, "cell_id", minutes(F.col("d"), m_per_min).alias("minutes"))
     own = starts.select("src_cell", *keys, F.col("src_cell").alias("cell_id"), F.lit(0.0).alias("minutes"))
     return reached.union(own).groupBy("src_cell", *keys, "cell_id").agg(F.min("minutes").alias("minutes"))

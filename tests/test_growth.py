@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import geo
 from gridloom.functions.hexgrid import HexGrid
-from gridloom.operators import features, proximity, similarity
+from gridloom.operators import catchment, features, proximity, similarity
 
 
 def test_counts_do_not_filter_by_the_formula_of_a_cell(spark):
@@ -67,3 +67,18 @@ def test_points_of_one_place_look_once(spark, monkeypatch):
     targets = spark.range(300).select(F.col("id").alias("t"), (F.col("id") / 10.0).alias("lat"), F.lit(0.0).alias("lon"))
     found = proximity.nearest(points, targets, "id", "t", rows_per_block=16)
     assert found.where("t = id % 5 * 10 and d2 = 0").count() == 500 and looked == [5]
+
+
+def test_walks_deal_only_labels_that_may_go_on(spark, monkeypatch):
+    steps = []
+    kept = catchment.kept
+    monkeypatch.setattr(catchment, "kept", lambda df, name: steps.append((name, kept(df, name))) or steps[-1][1])
+    # a hub whose 40 neighbours are at its far end of the cutoff: each is put out once, none is offered to its region
+    pairs = [(0, 1, 500.0), *((1, i, 400.0) for i in range(2, 42)), *((i, i + 100, 200.0) for i in range(2, 42))]
+    edges = catchment.undirected(spark.createDataFrame(pairs, "u long, v long, length double"))
+    starts = spark.createDataFrame([(7, 0)], "src long, node long")
+    got = {(r.node, r.d) for r in catchment.shortest_paths(starts, edges, 1000.0, most_nodes=4).collect()}
+    assert got == {(0, 0.0), (1, 500.0), *((i, 900.0) for i in range(2, 42))}
+    walks = [df for name, df in steps if name == "walk"]
+    assert {r.node for df in walks for r in df.where("kind = 1").collect()} <= {1}  # offers
+    assert {r.node for df in walks for r in df.where("kind = 0").collect()} == {0, 1}  # labels that are dealt again
