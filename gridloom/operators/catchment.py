@@ -25,10 +25,10 @@ def undirected(edges: DataFrame, scope: str | None = None) -> DataFrame:
     return least.select(F.explode(ways).alias("way"), "length", *keys).select("way.u", "way.v", "length", *keys)
 
 
-#: Kinds of rows: labels that may go on, offers to improve them, the region's graph, labels too near the cutoff for any edge on.
-_LABEL, _OFFER, _GRAPH, _END = 0, 1, 2, 3
+#: Kinds of rows: arrays of a round's labels that may go on, offers to improve them, arrays of the region's graph, labels to put out.
+_LABELS, _OFFER, _GRAPH, _FOUND = 0, 1, 2, 3
 _CELLS = 1 << 20  # distances that a task holds at a time
-_ROWS = 1 << 18  # labels and offers of a region that meet in a task, about
+_TASKS = 64  # regions are few in small graphs; their sources are spread over about so many tasks
 
 
 def shortest_paths(sources: DataFrame, edges: DataFrame, cutoff_m: float, regions: DataFrame | None = None, scope: str | None = None, most_nodes: int = 1 << 14, sources_per_task: int = 128) -> DataFrame:
@@ -37,7 +37,8 @@ def shortest_paths(sources: DataFrame, edges: DataFrame, cutoff_m: float, region
     The graph is cut into regions of at most ``most_nodes`` nodes, and each is packed into arrays once. In
     a round every region that was offered something relaxes its own nodes for the sources that reach it,
     and only improved distances across its borders travel on, to the next round. A distance that leaves no room
-    for even the shortest edge of its node is put out at once: it is neither offered nor dealt again. A graph of
+    for even the shortest edge of its node is put out at once: it is neither offered nor dealt again; the others
+    are dealt as arrays, a row for each round, region and part of the sources. A graph of
     no more than ``most_nodes`` nodes is one region, and one round. The costs of a source follow the nodes that it
     reaches; no graph is sent anywhere as a whole, and sources of one region are spread over tasks.
 
@@ -57,33 +58,32 @@ def _labels(sources: DataFrame, edges: DataFrame, cutoff_m: float, regions: Data
     starts = sources.select("src", *keys, F.col("node").cast("long").alias("node")).dropna().distinct()
     placed = _placed(starts, good, regions, keys, most_nodes)
     graph = _packed(good, placed, keys)
-    place = [*keys, "region"]
-    label = [*place, "kind", "src", "node", "d"]
-    offers = kept(starts.join(placed, [*keys, "node"]).select(*place, F.lit(_OFFER).alias("kind"), "src", "node", F.lit(0.0).alias("d")), "starts")
-    most = offers.groupBy(*place).count().agg(F.max("count")).first()[0] or 0
+    place = [*keys, "region", "part"]
+    began = kept(starts.join(placed, [*keys, "node"]).select(*keys, "region", "src", "node"), "starts")
+    most = began.groupBy(*keys, "region").count().agg(F.max("count")).first()[0] or 0
+    n_regions, n_sources = graph.count(), began.select(*keys, "src").distinct().count()
+    parts = int(most // sources_per_task) + 1
+    if n_regions:
+        parts = max(parts, min(int(n_sources // sources_per_task) + 1, -(-_TASKS // n_regions)))
+    part = F.pmod(F.xxhash64("src"), F.lit(parts)).cast("int").alias("part")
+    none = F.lit(None).cast("binary").alias("blob")
+    offers = began.select(*keys, "region", part, F.lit(_OFFER).alias("kind"), "src", "node", F.lit(0.0).alias("d"), none)
     src = sources.schema["src"].dataType.simpleString()
-    schema = ", ".join([*(f"`{c}` {edges.schema[c].dataType.simpleString()}" for c in keys), f"region long, kind int, src {src}, node long, d double"])
-    none = F.lit(None).cast("binary")
+    schema = ", ".join([*(f"`{c}` {edges.schema[c].dataType.simpleString()}" for c in keys), f"region long, part int, kind int, src {src}, node long, d double, blob binary"])
     found: list[DataFrame] = []
-    while True:
-        rows = offers
-        for done in found:
-            rows = rows.union(done.where(F.col("kind") == _LABEL))
-        # of the regions that were offered something, no others; in as many parts as their rows ask for
-        sizes = rows.groupBy(*place).agg(F.count("*").alias("n"), F.max("kind").alias("kind")).where(F.col("kind") == _OFFER)
-        touched = kept(sizes.select(*place, F.greatest(F.ceil(F.col("n") / _ROWS), F.lit(int(most // sources_per_task) + 1)).cast("int").alias("parts")), "touched")
-        if found and touched.isEmpty():
-            break
-        part = F.pmod(F.xxhash64("src"), F.col("parts")).cast("int").alias("part")
-        rows = rows.join(touched, place).select(*label, part, none.alias("blob"))
-        every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-        graphs = touched.join(graph, place).select(*place, F.lit(_GRAPH).alias("kind"), F.lit(None).cast(src).alias("src"), F.lit(0).cast("long").alias("node"), F.lit(0.0).alias("d"), every_part, "blob")
-        found.append(kept(rows.union(graphs).groupBy(*place, "part").applyInArrow(_relaxed(cutoff_m, len(keys)), schema), "walk"))
+    while not found or not offers.isEmpty():
+        touched = offers.select(*place).distinct()
+        columns = [*place, "kind", "src", "node", "d", "blob"]
+        graphs = touched.join(graph, [*keys, "region"]).withColumns({"kind": F.lit(_GRAPH), "src": F.lit(None).cast(src), "node": F.lit(0).cast("long"), "d": F.lit(0.0)})
+        rows = offers.select(*columns).union(graphs.select(*columns))
+        for done in found:  # of the regions and parts that were offered something, no others
+            rows = rows.union(done.where(F.col("kind") == _LABELS).join(touched, place, "left_semi").select(*columns))
+        found.append(kept(rows.groupBy(*place).applyInArrow(_relaxed(cutoff_m, len(keys)), schema), "walk"))
         offers = found[-1].where(F.col("kind") == _OFFER)
     every = found[0]
     for done in found[1:]:
         every = every.union(done)
-    return every.where(F.col("kind") != _OFFER).select("src", *keys, "node", "d")
+    return every.where(F.col("kind") == _FOUND).select("src", *keys, "node", "d")
 
 
 def _placed(starts: DataFrame, edges: DataFrame, regions: DataFrame | None, keys: list[str], most_nodes: int) -> DataFrame:
@@ -168,15 +168,18 @@ def _relaxed(cutoff_m: float, n_keys: int):
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
-        rows = np.flatnonzero(kind != _GRAPH)
-        if not len(rows):  # no source falls into this part
-            return table.slice(0, 0).drop_columns(["part", "blob"])
-        blob = next((table.column("blob")[int(i)].as_py() for i in np.flatnonzero(kind == _GRAPH)), None)
-        nodes, least, first, to, length, out_first, out_node, out_names, out_region, out_length, out_least = _unpacked(blob)
-        names = table.column("src").combine_chunks().take(pa.array(rows)).dictionary_encode()
-        if isinstance(names, pa.ChunkedArray):
-            names = names.combine_chunks()
-        src, node, d, offered = names.indices.to_numpy(), table.column("node").to_numpy()[rows], table.column("d").to_numpy()[rows], kind[rows] == _OFFER
+        blobs = table.column("blob")
+        of = lambda k: [blobs[int(i)].as_py() for i in np.flatnonzero(kind == k)]
+        nodes, least, first, to, length, out_first, out_node, out_names, out_region, out_length, out_least = _unpacked(next(iter(of(_GRAPH)), None))
+        before = [pickle.loads(x) for x in of(_LABELS)]
+        rows = np.flatnonzero(kind == _OFFER)
+        asked = table.column("src").combine_chunks()
+        asked = asked.combine_chunks() if isinstance(asked, pa.ChunkedArray) else asked
+        names = pa.concat_arrays([asked.take(pa.array(rows)), *(x for x, _, _ in before)]).dictionary_encode()
+        src = names.indices.to_numpy()
+        node = np.concatenate([table.column("node").to_numpy()[rows], *(nodes[x] for _, x, _ in before)])
+        d = np.concatenate([table.column("d").to_numpy()[rows], *(x for _, _, x in before)])
+        offered = np.arange(len(d)) < len(rows)
         alone = np.setdiff1d(node, nodes)  # starts without an edge
         every = np.concatenate([nodes, alone])
         n = len(every)
@@ -185,6 +188,7 @@ def _relaxed(cutoff_m: float, n_keys: int):
         order = np.argsort(every, kind="stable")
         at = order[np.searchsorted(every, node, sorter=order)]
         out: list[tuple] = []
+        on: list[tuple] = []  # labels that may go on
         block = max(1, min(_CELLS // n, len(names.dictionary)))
         known = np.full(block * n, np.inf)
         by_src = np.argsort(src, kind="stable")
@@ -201,21 +205,36 @@ def _relaxed(cutoff_m: float, n_keys: int):
             changed = lower(known, np.unique(better), n, first, to, length)
             what, who, best = changed % n, changed // n + i * block, known[changed]
             known[places] = known[changed] = np.inf  # for the next block
-            ends = best + least[what] > cutoff_m
-            out.append((np.where(ends, _END, _LABEL), who, every[what], best, np.full(len(changed), home)))
-            edge, size = _edges_of(what[~ends], out_first)
-            far = np.repeat(best[~ends], size) + out_length[edge]
+            out.append((np.full(len(changed), _FOUND), who, every[what], best, np.full(len(changed), home)))
+            going = best + least[what] <= cutoff_m
+            what, who, best = what[going], who[going], best[going]
+            on.append((who, what, best))
+            edge, size = _edges_of(what, out_first)
+            far = np.repeat(best, size) + out_length[edge]
             within = far <= cutoff_m
-            edge, far, who = edge[within], far[within], np.repeat(who[~ends], size)[within]
+            edge, far, who = edge[within], far[within], np.repeat(who, size)[within]
             sort = np.lexsort((far, out_node[edge], who))
             edge, far, who = edge[sort], far[sort], who[sort]
             one = np.ones(len(who), bool)
             one[1:] = (who[1:] != who[:-1]) | (out_node[edge[1:]] != out_node[edge[:-1]])
             edge, far, who = edge[one], far[one], who[one]
-            out.append((np.where(far + out_least[edge] > cutoff_m, _END, _OFFER), who, out_node[edge], far, out_names[out_region[edge]]))
+            out.append((np.where(far + out_least[edge] > cutoff_m, _FOUND, _OFFER), who, out_node[edge], far, out_names[out_region[edge]]))
+        labels, at, best = (np.concatenate(x) for x in zip(*on, strict=True))
+        packed = pickle.dumps((names.dictionary.take(pa.array(labels)), at.astype(np.int32), best), protocol=5)
         what, who, node, d, region = (np.concatenate(x) for x in zip(*out, strict=True))
-        fixed = {c: pa.repeat(k, len(what)) for c, k in zip(table.column_names[:n_keys], key[:n_keys], strict=True)}
-        return pa.table({**fixed, "region": pa.array(region, pa.int64()), "kind": pa.array(what, pa.int32()), "src": names.dictionary.take(pa.array(who)), "node": node, "d": d})
+        n = len(what)
+        last = lambda x, one, kind: pa.concat_arrays([x, pa.array([one], kind)])
+        fixed = {c: pa.repeat(k, n + 1) for c, k in zip(table.column_names[:n_keys], key[:n_keys], strict=True)}
+        return pa.table({
+            **fixed,
+            "region": pa.array(np.append(region, home), pa.int64()),
+            "part": pa.repeat(key[n_keys + 1], n + 1),
+            "kind": pa.array(np.append(what, _LABELS), pa.int32()),
+            "src": last(names.dictionary.take(pa.array(who)), None, names.dictionary.type),
+            "node": pa.array(np.append(node, 0), pa.int64()),
+            "d": pa.array(np.append(d, 0.0)),
+            "blob": last(pa.nulls(n, pa.binary()), packed, pa.binary()),
+        })
 
     return run
 
